@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, ngram_join, quality
+from tessera.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -18,12 +18,20 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("key", "kept_text")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op8_exact_dedup)
+    f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {
