@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
+from tessera.llm import exact_dedup, fingerprints, ngram_join, packing, quality, suffix_dedup
 from tessera.llm.common import documents
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup)
+    f.__name__: f for f in (op2_document_fingerprints, op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup)
 }
 
 SQL: dict[str, str] = {
