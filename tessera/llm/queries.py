@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, ngram_join, packing, quality, suffix_dedup
+from tessera.llm import exact_dedup, fingerprints, html_blocks, ngram_join, packing, quality, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -34,8 +34,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup)
+    f.__name__: f for f in (op2_document_fingerprints, op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup, op10_html_extraction)
 }
 
 SQL: dict[str, str] = {
