@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, html_blocks, ngram_join, packing, quality, suffix_dedup
+from tessera.llm import chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, suffix_dedup
 from tessera.llm.common import documents
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.round_trip(documents(spark, sf_dir))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -34,18 +42,34 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_document_fingerprints, op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op7_suffix_array_dedup, op8_exact_dedup, op10_html_extraction)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_document_fingerprints,
+        op3_ngram_jaccard_join,
+        op4_quality_classifier,
+        op5_license_scan,
+        op6_packing,
+        op7_suffix_array_dedup,
+        op8_exact_dedup,
+        op9_chat_formatting,
+        op10_html_extraction,
+    )
 }
 
 SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
 nodes AS (SELECT w, min(doc_id) AS node, count(*) AS copies FROM words GROUP BY w),
 grams AS (
   SELECT DISTINCT node, array_to_string(list_slice(w, i, i + 4), ' ') AS g
@@ -66,5 +90,23 @@ FROM words JOIN nodes USING (w) JOIN classes USING (node) LEFT JOIN counts USING
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
 WINDOW g AS (PARTITION BY h)
+""",
+    "op5_license_scan": licenses.sql(),
+    "op9_chat_formatting": """
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, coalesce(turn, -1) AS k, row_number() OVER () AS row_no FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+heads AS (
+  SELECT s.*, perspective, CAST(floor(coalesce(turn, 0) / 64.0) AS BIGINT) AS part, s.role = perspective AS own,
+    CASE WHEN s.role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN s.role = 'system' THEN '<|im_start|>system' || chr(10)
+         ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head
+  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+lines AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS line FROM heads),
+placed AS (
+  SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, perspective, part ORDER BY k, role, said, row_no) - length(line) AS place FROM lines)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(line, '' ORDER BY k, role, said, row_no) AS text,
+  coalesce(string_agg(CAST(place + length(head) AS BIGINT) || '-' || CAST(place + length(line) - 1 AS BIGINT), ',' ORDER BY k, role, said, row_no) FILTER (WHERE own), '') AS masks,
+  CAST(coalesce(sum(length(line) - 1 - length(head)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
+FROM placed GROUP BY conv_id, perspective, part
 """,
 }
