@@ -99,7 +99,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
             arrays[k].append(v)
         return len(arrays["feature"]) - 1
 
-    if 0 < share < 1:
+    if len(y) and 0 < share < 1:
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
         offset = np.arange(x.shape[1]) * BINS

@@ -122,13 +122,13 @@ def fold_viterbi(edges: Column, n: Column) -> Column:
     """The same for the path of the highest sum of scores: characters without an edge cost as the worst score less 10."""
     by_end = F.array_sort(edges, lambda a, b: F.when(a["e"] != b["e"], a["e"] - b["e"]).otherwise(b["s"] - a["s"]))
     worst = F.array_min(F.transform(edges, lambda x: x["score"])) - 10.0
-    start = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(-1).alias("b")))
+    start = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).alias("m"), F.lit(-1).alias("b")))  # m: of equal ways the longer last piece
 
     def reach(best, e):
         into = F.filter(by_end, lambda x: x["e"] == e)
         ways = F.concat(
-            F.transform(into, lambda x: F.struct((F.get(best, x["s"])["v"] + x["score"]).alias("v"), x["s"].alias("b"))),
-            F.array(F.struct((F.get(best, e - 1)["v"] + worst).alias("v"), (e - 1).alias("b"))),
+            F.transform(into, lambda x: F.struct((F.get(best, x["s"])["v"] + x["score"]).alias("v"), (-x["s"]).alias("m"), x["s"].alias("b"))),
+            F.array(F.struct((F.get(best, e - 1)["v"] + worst).alias("v"), (1 - e).alias("m"), (e - 1).alias("b"))),
         )
         return F.concat(best, F.array(F.array_max(ways)))
 
