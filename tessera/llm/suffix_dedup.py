@@ -227,8 +227,9 @@ def _contexts(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
     """The context bytes of the wanted anchors of a block."""
     wanted = wanted[["key", "pos", "gram", "settled", "hot"]]
     if not len(wanted):
-        return wanted.assign(bytes=pd.Series([], dtype=object)).drop(columns=[])
-    text = {k: t.encode("utf-8", "surrogatepass") for k, t in zip(docs["key"], docs["text"], strict=True) if k in set(wanted["key"])} if len(docs) else {}
+        return wanted.assign(bytes=pd.Series([], dtype=object))
+    keys = set(wanted["key"])
+    text = {k: t.encode("utf-8", "surrogatepass") for k, t in zip(docs["key"], docs["text"], strict=True) if k in keys}
     _, lo, hi = unpack(wanted["pos"].to_numpy())
     return wanted.assign(bytes=[text[k][a : b + WINDOW] for k, a, b in zip(wanted["key"], lo, hi, strict=True)])
 
@@ -249,13 +250,14 @@ def covers(docs: DataFrame) -> DataFrame:
     """key, begin, end: stretches of the rows' texts that are covered by repeated windows. docs: key, text, _block."""
     anchors = docs.select("key", "text").mapInPandas(_anchors, "key long, pos long, gram long, context long")
     anchors = materialise(anchors, "anchors")
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # what is joined to is written first: both sides are then plain shuffles, of which Spark can split the hot partitions
+    grams = materialise(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = materialise(anchors.join(grams, "gram"), "shared")
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
     contexts = materialise(contexts, "contexts")
+    counted = materialise(shared.join(contexts.drop("one"), ["gram", "context"]).select("key", "pos", "n"), "counted")
     # settled: the whole context occurs again
-    settled = shared.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"])
-    whole = settled.select(
+    whole = counted.where("n > 1").select(
         "key", (F.shiftright("pos", 16) - F.shiftright("pos", 8).bitwiseAND(255)).alias("begin"), (F.shiftright("pos", 16) - F.col("pos").bitwiseAND(255) + WINDOW).alias("end")
     )
     groups = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open")).where("kinds > 1 AND open > 0")
