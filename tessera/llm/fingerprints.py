@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import materialise, text_of
 
-WORDS, SAMPLES, QUANTILES = 5, 64, 4096
+WORDS, SAMPLES, QUANTILES = 5, 48, 4096
 RANGES = 64  # stretches of doc_id in which each document's next one is found
 
 
