@@ -2,34 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tessera.plans import discovery, graph, scalars, tracker
+from tessera.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = graph.FLAGSHIP
 
-FLAGSHIP = "J1_hub_derivation"
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instalment-to-unit edges: instalment = (part, order), unit = order."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey").distinct()
-
-
-def hub_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("service"))
-    edges = _edges(spark, sf_dir).join(part, "l_partkey")
-    left = edges.select("l_orderkey", F.col("l_partkey").alias("title_id"), F.col("service").alias("source_service"))
-    right = edges.select("l_orderkey", F.col("l_partkey").alias("other_id"), F.col("service").alias("target_service"))
-    pairs = left.join(right, "l_orderkey").where("source_service <> target_service")
-    return pairs.groupBy("title_id", "target_service").agg(F.count("*").alias("n_paths"), F.countDistinct("other_id").alias("n_counterparts"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {FLAGSHIP: hub_derivation}
-
-SQL: dict[str, str] = {
-    FLAGSHIP: """
-WITH e AS (SELECT DISTINCT l_partkey, l_orderkey, p_type AS service FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT a.l_partkey AS title_id, b.service AS target_service, count(*) AS n_paths, count(DISTINCT b.l_partkey) AS n_counterparts
-FROM e a JOIN e b ON a.l_orderkey = b.l_orderkey AND a.service <> b.service GROUP BY ALL
-""",
-}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "discovery", "scalars", "tracker"]
