@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import materialise, text_of
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,20 +35,19 @@ def recipes(docs: DataFrame) -> DataFrame:
         F.unhex(F.sha2("_t", 256)).alias("sha"),
         F.transform(F.regexp_extract_all("_t", F.lit(CHUNKS), F.lit(0)), lambda c: F.unhex(F.sha2(c, 256))).alias("_chunks"),
     )
-    empty = rows.where(F.size("_chunks") == 0).groupBy("doc_id", "sha").agg(F.count("*").alias("copies"))
-    chunks = rows.select("doc_id", "sha", F.posexplode("_chunks").alias("_i", "_chunk")).withColumn("_id", F.xxhash64("_chunk"))
-    clashes = (
-        chunks.groupBy("_id").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high")).where("_low <> _high").select("_id", F.lit(True).alias("_clash"))
-    )
+    chunks = rows.select("doc_id", "sha", F.posexplode_outer("_chunks").alias("_i", "_chunk")).withColumn("_id", F.xxhash64("_chunk"))
+    digests = chunks.where("_chunk IS NOT NULL").groupBy("_id").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high"))
+    clashes = materialise(digests.where("_low <> _high").select("_id", F.lit(True).alias("_clash")), "clashes")
     name = F.when(F.col("_clash"), F.concat_ws("#", F.hex("_id"), F.hex("_chunk"))).otherwise(F.hex("_id"))
     lists = (
         chunks.join(clashes, "_id", "left")
         .groupBy("doc_id", "sha")
-        .agg(F.sort_array(F.collect_set(F.struct("_i", name.alias("_name")))).alias("_l"), F.count_if(F.col("_i") == 0).alias("copies"))
-    )
-    return lists.select("doc_id", "sha", F.transform("_l", lambda x: x["_name"]).alias("recipe"), "copies").unionByName(
-        empty.select("doc_id", "sha", F.array().cast("array<string>").alias("recipe"), "copies")
+        .agg(
+            F.sort_array(F.collect_set(F.when(F.col("_chunk").isNotNull(), F.struct("_i", name.alias("_name"))))).alias("_l"),
+            F.count_if(F.coalesce(F.col("_i"), F.lit(0)) == 0).alias("copies"),
+        )
     )
+    return lists.select("doc_id", "sha", F.transform("_l", lambda x: x["_name"]).alias("recipe"), "copies")
 
 
 def annotate(docs: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def annotate(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their own columns: of each group of equal texts one row, that with the largest doc_id."""
-    members = annotate(docs)
+    members = materialise(annotate(docs), "members")
     kept = members.where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
     sha = F.unhex(F.sha2(normalised(text_of()), 256))
     stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")), "left_semi")

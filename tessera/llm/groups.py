@@ -70,9 +70,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        # written first, so that both sides of the join are plain shuffles, of which Spark can split a hub's partition
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = materialise(large, "large")
+        down = materialise(large.groupBy("a").agg(F.min("b").alias("low")), "down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(down.withColumnRenamed("low", "b"))
         links = materialise(small.where("a <> b").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -184,7 +184,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     bands = nodes.where("sig IS NOT NULL").select(
         "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, ROWS)))).alias("bucket")
     )
-    full = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    full = materialise(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = bands.join(full, "bucket").join(nodes.select("node", "sig"), "node")
     return _dealt(shared, "bucket", "node").select("bucket", "_lo", "_hi", "side", "node", "sig").mapInPandas(_span, "a long, b long")
 
