@@ -84,8 +84,8 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of samples in which two fingerprints agree."""
-    same = F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring(a, k * 4 + 1, 4) == F.substring(b, k * 4 + 1, 4))
+    """Share of samples in which two fingerprints, in binary, agree."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring(a, k * 2 + 1, 2) == F.substring(b, k * 2 + 1, 2))
     return F.size(same) / F.lit(float(SAMPLES))
 
 
@@ -122,15 +122,24 @@ def compare(docs: DataFrame) -> DataFrame:
     both = text.select("k1", "k2", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), "text").unionByName(
         edited.select("k1", "k2", F.lit(1).alias("side"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     )
-    prints = materialise(fingerprint(both, keys), "fingerprints")
+    # in binary, at half the bytes, until the last projection
+    prints = materialise(fingerprint(both, keys).withColumn("fingerprint", F.unhex("fingerprint")), "fingerprints")
     own = prints.where("side = 0").select("k1", "k2", "fingerprint")
-    changed = prints.where("side = 1").select("k1", "k2", F.lower(F.hex("sha")).alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
+    changed = prints.where("side = 1").select("k1", "k2", "sha", F.col("fingerprint").alias("_edited"))
     following = own.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("fingerprint").alias("_following"))
     return (
         order.join(own, ["k1", "k2"])
         .join(changed, ["k1", "k2"])
         .join(following, ["next1", "next2"])
-        .withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("_following"))})
+        .withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("_edited")), "near_next": likeness(F.col("fingerprint"), F.col("_following"))})
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_chars"),
+            F.lower(F.hex("sha")).alias("edited_sha256"),
+            F.lower(F.hex("fingerprint")).alias("fingerprint"),
+            F.lower(F.hex("_edited")).alias("edited_fingerprint"),
+            "near_edited",
+            "near_next",
+        )
     )
