@@ -60,3 +60,16 @@ def completion(usable: Column, pending: Column, conflict: Column) -> Column:
 def newer_local(local: Column, remote: Column) -> Column:
     """Whether the local row is newer than the remote; a remote time that is missing or can't be read isn't older."""
     return F.coalesce(local > F.try_to_timestamp(remote), F.lit(False))
+
+
+#: AniList's list statuses and what they become.
+ANILIST_STATUSES = {"CURRENT": "watching", "COMPLETED": "completed", "PAUSED": "on_hold", "DROPPED": "dropped", "REPEATING": "rewatching", "PLANNING": "plan_to_watch"}
+
+
+def mal_status(status: Column) -> Column:
+    """MyAnimeList's status, which has the library's own names; null for any other."""
+    return F.when(status.isin(STATUSES), status)
+
+
+def anilist_status(status: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ANILIST_STATUSES.items() for x in pair])[status]

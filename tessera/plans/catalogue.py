@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import discovery, graph, matching, scalars, sources, streams, tracker
+from tessera.plans import discovery, graph, matching, publication, scalars, sources, streams, tracker
 from tessera.plans.registry import QUERIES, SQL
 
 FLAGSHIP = graph.FLAGSHIP
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "discovery", "matching", "scalars", "sources", "streams", "tracker"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "discovery", "matching", "publication", "scalars", "sources", "streams", "tracker"]
