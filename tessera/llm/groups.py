@@ -60,15 +60,16 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each node's component, for the nodes of the links (a, b).
 
-    Alternates a large-star and a small-star step, each a group-by-minimum and a join, until nothing changes; a hub's
-    neighbours are never gathered. Each round is written to the shared folder, which cuts the lineage.
+    Alternates a large-star and a small-star step, each a group-by-minimum and a join, until nothing changes. That takes
+    few rounds, about the logarithm of the longest chain, and no bound ends it early. A hub's neighbours are never gathered.
+    Each round is written to the shared folder, which cuts the lineage.
     """
     links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written first, so that both sides of the join are plain shuffles, of which Spark can split a hub's partition
         low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
