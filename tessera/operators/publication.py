@@ -147,3 +147,63 @@ def retire_bootstrap(assertions: DataFrame, groups: DataFrame) -> DataFrame:
     assertions: group_id, source and others; groups: group_id."""
     gone = groups.select("group_id", F.lit("bootstrap").alias("source")).distinct()
     return assertions.join(gone, ["group_id", "source"], "left_anti")
+
+
+def evidence_hash(prefix: str, members: DataFrame, key: str) -> DataFrame:
+    """key and evidence_hash: the prefix and the canonical JSON of its members in order. members: key, service, serviceId."""
+    refs = F.to_json(F.sort_array(F.collect_list(F.struct("service", "serviceId"))))
+    return members.groupBy(key).agg(F.concat(F.lit(f"{prefix}:"), refs).alias("evidence_hash"))
+
+
+def settled(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Status of each candidate: that of the first decision which settles it, as later ones find it closed; else open.
+
+    decisions: candidate_id, verdict (accepted, rejected, or kept, which settles nothing), at, decision_id."""
+    first = F.min_by("verdict", F.struct("at", "decision_id")).alias("_verdict")
+    done = decisions.where(F.col("verdict").isin("accepted", "rejected")).groupBy("candidate_id").agg(first)
+    return candidates.join(done, "candidate_id", "left").select("candidate_id", F.coalesce("_verdict", F.lit("open")).alias("status"))
+
+
+def rechecked(assertions: DataFrame, records: DataFrame, budget: int) -> DataFrame:
+    """Assertions with the verdict of a recheck within the group's budget: those that disagree become low.
+
+    assertions: group_id, assertion_id, pos, cost, stated, confidence; records: assertion_id, found. What the budget refuses
+    has no verdict; what no record is staged for is unavailable; neither changes."""
+    paid = ledger(assertions, budget).where("paid").select("group_id", "pos", F.lit(True).alias("_paid"))
+    both = assertions.join(paid, ["group_id", "pos"], "left").join(records, "assertion_id", "left")
+    verdict = F.when(F.col("_paid"), F.when(F.col("found").isNull(), "unavailable").when(F.col("found") == F.col("stated"), "agrees").otherwise("disagrees"))
+    after = F.when(verdict == "disagrees", "low").otherwise(F.col("confidence"))
+    return both.select("assertion_id", verdict.alias("verdict"), after.alias("confidence"))
+
+
+def work_metadata(works: DataFrame, by_kind: DataFrame, genres: DataFrame) -> DataFrame:
+    """Metadata by the work's media kind; an anime's genres come from TMDB, none where that has no record.
+
+    works: work_id, media_kind; by_kind: work_id, media_kind, title, genres; genres: work_id, tmdb_genres."""
+    both = works.join(by_kind, ["work_id", "media_kind"], "left").join(genres, "work_id", "left")
+    none = F.array().cast("array<string>")
+    chosen = F.when(F.col("media_kind") == "anime", F.coalesce("tmdb_genres", none)).otherwise(F.coalesce("genres", none))
+    return both.select("work_id", "title", chosen.alias("genres"))
+
+
+def opened(outcomes: DataFrame) -> DataFrame:
+    """How a search hit opens. outcomes: ref, outcome, continuity_id, retry_after, status_url. Only a pending build has a
+    status to ask for; what can be retried waits without one."""
+    o = F.col("outcome")
+    kind = F.when(o == "complete", "ready").when(o.isin("pending", "retryable"), "pending").otherwise(o)
+    shows = lambda c, *of: F.when(o.isin(*of), F.col(c)).alias(c)
+    return outcomes.select(
+        "ref", kind.alias("kind"), shows("continuity_id", "complete", "pending", "retryable"), shows("retry_after", "pending", "retryable"), shows("status_url", "pending")
+    )
+
+
+def unit_answers(edges: DataFrame) -> DataFrame:
+    """Per title and unit the services that cover it elsewhere and how many titles do. edges: as for ``paths``.
+
+    The unit's services are counted once and joined back, so that a unit of n titles gives n rows and not n squared."""
+    per = edges.groupBy("unit_id", "service").agg(F.count("*").alias("n"))
+    listed = per.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("service", "n"))).alias("_all"))
+    others = F.filter("_all", lambda x: x["service"] != F.col("service"))
+    found = edges.join(listed, "unit_id").select("title_id", "unit_id", others.alias("_o"))
+    total = F.aggregate("_o", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return found.select("title_id", "unit_id", F.array_join(F.transform("_o", lambda x: x["service"]), ",").alias("services"), total.alias("n_counterparts"))

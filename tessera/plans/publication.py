@@ -368,3 +368,85 @@ def broker(t: Tables) -> DataFrame:
         F.when(F.col("title_id") % 13 == 0, "unconfigured").when(F.col("service") == "tvdb", "unsupported-id").when(F.col("title_id") % 5 == 0, "request-failed").when(F.col("title_id") % 7 == 0, "no-record").otherwise("brokered")
     )
     return t.titles().select("title_id", outcome.alias("outcome"))
+
+
+@query(
+    "X21_evidence_hash",
+    "titles",
+    """SELECT group_id, 'fuzzy-group:[' || string_agg('{"service":"' || service || '","serviceId":"' || native || '"}', ',' ORDER BY service, native) || ']' AS evidence_hash FROM titles GROUP BY 1""",
+)
+def hashes(t: Tables) -> DataFrame:
+    return p.evidence_hash("fuzzy-group", t.titles().select("group_id", "service", F.col("native").alias("serviceId")), "group_id")
+
+
+@query(
+    "T8w_decisions",
+    "ev",
+    """+d AS (SELECT k % 40 AS candidate_id, event_type = 'click' AS yes, ts, event_id FROM ev WHERE event_type IN ('click', 'purchase') AND value > 90),
+f AS (SELECT candidate_id, yes FROM d QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY ts, event_id) = 1)
+SELECT c AS candidate_id, CASE WHEN yes IS NULL THEN 'open' WHEN yes THEN 'accepted' ELSE 'rejected' END AS status FROM range(50) r(c) LEFT JOIN f ON candidate_id = c""",
+)
+def decided(t: Tables) -> DataFrame:
+    verdict = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "purchase", "rejected").otherwise("kept")
+    d = t.events().where("value > 90").select((F.col("k") % 40).cast("long").alias("candidate_id"), verdict.alias("verdict"), F.col("ts").alias("at"), F.col("event_id").alias("decision_id"))
+    return p.settled(t.spark.range(50).select(F.col("id").alias("candidate_id")), d)
+
+
+@query(
+    "T10w_recheck",
+    "titles",
+    """+/*recursive*/ c AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY title_id) AS pos FROM titles),
+run AS (SELECT group_id, title_id, pos, ordinal <= 70 AS paid, CASE WHEN ordinal <= 70 THEN ordinal ELSE 0 END AS spent FROM c WHERE pos = 1
+  UNION ALL SELECT c.group_id, c.title_id, c.pos, spent + c.ordinal <= 70, CASE WHEN spent + c.ordinal <= 70 THEN spent + c.ordinal ELSE spent END FROM run JOIN c ON c.group_id = run.group_id AND c.pos = run.pos + 1),
+v AS (SELECT title_id, CASE WHEN NOT paid THEN NULL WHEN title_id % 4 = 0 THEN 'unavailable' WHEN title_id % 3 = 0 THEN 'disagrees' ELSE 'agrees' END AS verdict FROM run)
+SELECT title_id AS assertion_id, verdict, CASE WHEN verdict = 'disagrees' THEN 'low' ELSE 'high' END AS confidence FROM v""",
+)
+def recheck(t: Tables) -> DataFrame:
+    rows = ranked(t.titles(), ["group_id"], ["title_id"], "pos")
+    said = rows.select("group_id", F.col("title_id").alias("assertion_id"), "pos", F.col("ordinal").alias("cost"), F.col("ordinal").alias("stated"), F.lit("high").alias("confidence"))
+    found = t.titles().where("title_id % 4 <> 0").select(F.col("title_id").alias("assertion_id"), (F.col("ordinal") + (F.col("title_id") % 3 == 0).cast("int")).alias("found"))
+    return p.rechecked(said, found, 70)
+
+
+@query(
+    "R17_work_metadata",
+    "titles",
+    """SELECT title_id AS work_id, CASE WHEN title_id % 7 <> 0 THEN title END AS title,
+  CASE WHEN title_id % 3 = 0 THEN (CASE WHEN title_id % 5 <> 0 THEN 'tmdb-' || ordinal ELSE '' END) WHEN title_id % 7 <> 0 THEN 'own-' || service ELSE '' END AS genres FROM titles""",
+)
+def metadata(t: Tables) -> DataFrame:
+    kind = case(F.col("title_id"), "anime", "film", "tv").alias("media_kind")
+    x = t.titles().withColumnRenamed("title_id", "work_id").withColumn("media_kind", case(F.col("work_id"), "anime", "film", "tv"))
+    own = x.where("work_id % 7 <> 0").select("work_id", "media_kind", "title", F.array(F.concat(F.lit("own-"), "service")).alias("genres"))
+    tmdb = x.where("work_id % 5 <> 0").select("work_id", F.array(F.concat(F.lit("tmdb-"), F.col("ordinal").cast("string"))).alias("tmdb_genres"))
+    return p.work_metadata(t.titles().select(F.col("title_id").alias("work_id"), kind), own, tmdb).withColumn("genres", F.array_join("genres", ","))
+
+
+@query(
+    "R16_opened_hit",
+    "titles",
+    """+o AS (SELECT title_id AS ref, list_extract(['complete', 'pending', 'retryable', 'conflict', 'unknown'], CAST(title_id % 5 + 1 AS INT)) AS outcome, group_id FROM titles)
+SELECT ref, CASE outcome WHEN 'complete' THEN 'ready' WHEN 'retryable' THEN 'pending' ELSE outcome END AS kind, CASE WHEN outcome NOT IN ('conflict', 'unknown') THEN group_id END AS continuity_id,
+  CASE WHEN outcome IN ('pending', 'retryable') THEN 5 END AS retry_after, CASE WHEN outcome = 'pending' THEN '/status/' || ref END AS status_url FROM o""",
+)
+def opened(t: Tables) -> DataFrame:
+    outcome = case(F.col("title_id"), "complete", "pending", "retryable", "conflict", "unknown")
+    return p.opened(
+        t.titles().select(
+            F.col("title_id").alias("ref"),
+            outcome.alias("outcome"),
+            F.col("group_id").alias("continuity_id"),
+            F.lit(5).alias("retry_after"),
+            F.concat(F.lit("/status/"), F.col("title_id").cast("string")).alias("status_url"),
+        )
+    )
+
+
+@query(
+    "R2_instalment_answer",
+    "titles edges",
+    """SELECT a.title_id, a.unit_id, coalesce(string_agg(DISTINCT b.service, ',' ORDER BY b.service), '') AS services, count(b.title_id) AS n_counterparts
+FROM edges a LEFT JOIN edges b ON a.unit_id = b.unit_id AND a.service <> b.service GROUP BY 1, 2""",
+)
+def instalments(t: Tables) -> DataFrame:
+    return p.unit_answers(t.edges())
