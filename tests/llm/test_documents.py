@@ -229,6 +229,19 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_matches_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import numpy as np
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "don't <|END|> <|endoftext|>é"]
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)).collect()}
+    for i, t in enumerate(said):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        assert (got[i].start, got[i].length, got[i].doc_tokens, got[i].ids_crc32) == (0, len(ids), len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_cheapest_cuts_are_cheapest():
     import numpy as np
 
