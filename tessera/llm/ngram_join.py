@@ -12,8 +12,9 @@ Large buckets and components are cut into chunks of ``CHUNK`` nodes, and pairs o
 nodes exist in numpy blocks only and are never emitted as rows.
 
 Defined cases: a null text is empty; texts without words form one node of copies; a text of fewer than five words has the
-one shingle of all its words and so links with copies only; repeated rows each get their row; a null doc_id gets
-the class of its copies or null; other columns are not read.
+one shingle of all its words and so links with copies only; repeated rows each get their row. The identity of a text is
+the hash of its words, never its doc_id: texts of null or equal doc_ids are linked as any others, and a class without a doc_id
+has a null class_id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -136,13 +137,14 @@ def pairs_within(starts: np.ndarray, total: int, side: np.ndarray) -> Iterator[t
 def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for pdf in batches:
-        keys, sigs = [], []
+        keys, nodes, sigs = [], [], []
         for text in pdf["text"]:
             words = words_of(text)
             keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+            nodes.append(int.from_bytes(keys[-1][:8], "little", signed=True))
             s = shingles(words, hashes)
             sigs.append(signature(s) if len(s) else None)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "sig": sigs})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "key": keys, "node": np.array(nodes, np.int64), "sig": sigs})
 
 
 def _dealt(rows: DataFrame, key: str, node: str) -> DataFrame:
@@ -239,40 +241,57 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"node": node, "links": n, "linked_docs": docs.astype(np.int64), "root": node[root]})
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (smallest doc_id that links lead to), copy_of (smallest doc_id of the same
-    words), n_copies, n_links (other texts of similarity 0.8 or more), n_linked_docs (documents of those texts)."""
-    text = docs.select("doc_id", text_of().alias("text"))
-    members = materialise(text.mapInPandas(sign, "doc_id long, key binary, sig binary"), "signatures")
-    nodes = materialise(members.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
-    found = components(candidates(nodes.where("node IS NOT NULL")))
+def _placed(docs: DataFrame) -> DataFrame:
+    """The rows of join with text_hash, and root: the id of the class."""
+    text = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    members = materialise(text.mapInPandas(sign, "doc_id long, text_hash long, key binary, node long, sig binary"), "signatures")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # the row that stands for a node
+    nodes = materialise(members.groupBy("key").agg(F.min("node").alias("node"), F.min(one).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
+    found = components(candidates(nodes))
     sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    inside = materialise(found.join(sizes, "root").withColumnRenamed("root", "component").join(nodes.drop("sig"), "node"), "inside")
+    inside = materialise(found.join(sizes, "root").withColumnRenamed("root", "component").join(nodes.drop("sig", "key"), "node"), "inside")
+    wanted = inside.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     sets = (
-        text.join(inside.select(F.col("node").alias("doc_id"), "key"), "doc_id")
-        .where(F.col("key").isNotNull())
-        .select(F.col("doc_id").alias("node"), "text")
+        text.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        .select("node", "text")
         .mapInPandas(_sets, "node long, set binary")
+        .dropDuplicates(["node"])  # of repeated rows
     )
-    dealt = _dealt(inside.drop("key").join(sets, "node"), "component", "node").select("component", "_lo", "_hi", "side", "node", "copies", "set")
+    dealt = _dealt(inside.join(sets, "node"), "component", "node").select("component", "_lo", "_hi", "side", "node", "copies", "set")
     parts = materialise(dealt.mapInPandas(_verify, "node long, links long, linked_docs long, root long"), "links")
     counts = parts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"), F.min("root").alias("low"), F.count("*").alias("parts"))
     # A component of one chunk is settled in its task; those of more are joined from their parts.
     torn = inside.where(F.col("n") > CHUNK).select("node")
     joined = components(parts.join(torn, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = counts.join(joined, "node", "left").select("node", "links", "linked_docs", F.coalesce("root", "low").alias("root"))
-    of = nodes.drop("sig").join(classes, "node", "left")
-    return members.select("doc_id", "key").join(of, "key").select(
+    least = classes.join(inside.select("node", "one"), "node").groupBy("root").agg(F.min("one.doc_id").alias("class_id"))
+    of = nodes.drop("sig").join(classes.join(least, "root"), "node", "left")
+    return members.select("doc_id", "text_hash", "key").join(of, "key").select(
         "doc_id",
-        F.coalesce("root", "node").alias("class_id"),
-        F.col("node").alias("copy_of"),
+        F.coalesce("class_id", "one.doc_id").alias("class_id"),
+        F.col("one.doc_id").alias("copy_of"),
         F.col("copies").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("linked_docs", F.lit(0)).cast("long").alias("n_linked_docs"),
+        "text_hash",
+        F.coalesce("root", "node").alias("root"),
     )
 
 
+def join(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, class_id (smallest doc_id that links lead to), copy_of (smallest doc_id of the same
+    words), n_copies, n_links (other texts of similarity 0.8 or more), n_linked_docs (documents of those texts)."""
+    return _placed(docs).drop("text_hash", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, of one document of each class: that with the smallest doc_id."""
-    first = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_tessera_keep")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_tessera_keep")), "left_semi")
+    """The rows of docs, with their own columns, one of each class: that with the smallest doc_id, or one of those without."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    rows = _placed(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(key.alias("key"), "n")).alias("least"))
+    first = materialise(least.select(F.col("least.key.doc_id").alias("_tessera_id"), F.col("least.key.text_hash").alias("_tessera_hash"), F.col("least.n").alias("_tessera_n")), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & (F.xxhash64(text_of()) == F.col("_tessera_hash"))
+    once = docs.join(first.where("_tessera_n = 1"), same, "left_semi")
+    # rows of one doc_id and text are told apart by nothing that is read: one of them stays
+    repeated = docs.join(first.where("_tessera_n > 1"), same, "left_semi").withColumn("_tessera_hash", F.xxhash64(text_of())).dropDuplicates(["doc_id", "_tessera_hash"])
+    return once.unionByName(repeated.drop("_tessera_hash"))

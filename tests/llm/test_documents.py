@@ -97,6 +97,21 @@ def test_ngram_join(docs, empty):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_ngram_join_knows_texts_by_their_words(spark):
+    r = random.Random(12)
+    texts = [prose(r, 120).split() for _ in range(4)]
+    near = lambda w, k: " ".join([*w[:k], f"changed{k}", *w[k + 1 :]])
+    a, b, c, d = (" ".join(w) for w in texts)
+    rows = [(1, a), (1, a), (2, near(texts[0], 60))]  # a repeated row with a near copy
+    rows += [(None, b), (None, near(texts[1], 60)), (None, near(texts[1], 70))]  # only null ids, linked
+    rows += [(7, c), (7, d), (8, near(texts[2], 60))]  # two texts under one doc_id
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = Counter((x.doc_id, x.class_id, x.copy_of, x.n_copies, x.n_links, x.n_linked_docs) for x in ngram_join.join(docs).collect())
+    assert got == Counter([(1, 1, 1, 2, 1, 1)] * 2 + [(2, 1, 2, 1, 1, 2)] + [(None, None, None, 1, 2, 2)] * 3 + [(7, 7, 7, 1, 1, 1), (7, 7, 7, 1, 0, 0), (8, 7, 8, 1, 1, 1)])
+    kept = Counter(map(tuple, ngram_join.keep_one(docs).collect()))
+    assert sum(kept.values()) == 4 and kept[(1, a)] == kept[(7, c)] == kept[(7, d)] == 1 and sum(i is None for i, _ in kept) == 1
+
+
 def test_ngram_join_cuts_large_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 7)
     r = random.Random(9)
