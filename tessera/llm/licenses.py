@@ -2,7 +2,7 @@
 
 A text is cut into sentences, twice: line by line, and with wrapped lines joined. Sentences are normalised (lower case,
 runs of other characters than letters and digits become one space) and mapped to identifiers: ``N:<licence>`` for a notice
-that names a licence ("released under the MIT License"), ``T:<name>`` for a known sentence of a licence's own text. The
+that names licences ("released under the MIT License", "covered by GPL v2 or MIT, see below"), ``T:<name>`` for a known sentence of a licence's own text. The
 sequence of a document's identifiers is then matched against the rules, each an ordered list of identifiers. All of
 it happens within a row: nothing is shuffled.
 
@@ -87,7 +87,7 @@ SEQUENCES = {
     "Unlicense": ["T:unlicense"],
 }
 
-#: A notice, normalised: who, how, and the name (the group).
+#: A notice as the SQL reads it: of bounded length, with one name for the whole rest. The operator reads more, see below.
 NOTICE = (
     r"^(?:spdx license identifier|(?:.{0,60} )?(?:licen[sc]ed|released|distributed|published|available|provided|made available|free|covered|governed|redistributed|used) "
     r"(?:for use )?(?:under|by)) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?(.{2,80})$"
@@ -103,15 +103,24 @@ def rules() -> list[tuple[str, list[str]]]:
     return [(licence, [f"N:{licence}"]) for licence in NAMES] + list(SEQUENCES.items())
 
 
-#: Every known sentence and every notice has one of these; what has none is not looked at further.
+#: What the SQL looks at; some notices have none of these.
 HINTS = ["licen", " under", "permission", "warrant", "public domain", "reserved", "redistribution"]
 
+VERBS = "(?:licen[sc]ed|released|distributed|published|available|provided|free|covered|governed|redistributed|used)"
+#: Where a notice cites licences, normalised: all known names in the rest (the group) count.
+CITING = rf"(?:^spdx license identifier|\b{VERBS} (?:for use )?under|\b(?:covered|governed) by) (.+)$"
+#: Publishers and makers stand after these too, so that the rest (the group) must be a name and no more.
+BY = rf"\b{VERBS} (?:for use )?by (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?(.{{2,80}})$"
+#: Common words, names only where they stand alone or before "license".
+COMMON = r"\b(?:proprietary|commercial)\b(?! licen[sc]e| or | and |$)"
+#: Known names, the longest first; a version that goes on is another one.
+CITED = r"\b(" + "|".join(sorted((n for some in NAMES.values() for n in some), key=lambda n: (-len(n), n))) + r")\b(?! [0-9]{1,2}\b)"
+#: Every known sentence and every notice holds this (tested), in whatever way its words are parted; the rest is not looked at.
+HINT = rf"licen|permission|warrant|public[^a-z0-9]+domain|reserved|redistribution|{VERBS}[^a-z0-9]+(?:for[^a-z0-9]+use[^a-z0-9]+)?(?:under|by)"
+
 
 def hinted(lowered: Column) -> Column:
-    out = lowered.contains(HINTS[0])
-    for h in HINTS[1:]:
-        out = out | lowered.contains(h)
-    return out
+    return lowered.rlike(HINT)
 
 
 def normalised(sentence: Column) -> Column:
@@ -119,14 +128,19 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifiers(sentences: Column) -> Column:
-    """The identifiers of the known sentences among lower-case sentences, in order."""
+    """The identifiers of the known sentences among lower-case sentences, in order; of one that cites several, with spaces."""
     names = {name: f"N:{licence}" for licence, some in NAMES.items() for name in some}
     known = {text: f"T:{k}" for k, text in SENTENCES.items()}
     of_name, of_text = (F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) for d in (names, known))
+
+    def plain(cited: Column) -> Column:
+        cited = F.regexp_replace(F.regexp_replace(F.regexp_replace(cited, COMMON, " "), FILLERS, " "), V_NUMBER, "$1")
+        return F.trim(F.regexp_replace(cited, " +", " "))
+
     def one(s: Column) -> Column:
-        cited = F.regexp_replace(F.regexp_replace(F.regexp_extract(s, NOTICE, 1), FILLERS, " "), V_NUMBER, "$1")
-        cited = F.trim(F.regexp_replace(cited, " +", " "))
-        return F.coalesce(F.try_element_at(of_text, s), F.try_element_at(of_name, cited))
+        cited = F.regexp_extract_all(plain(F.regexp_extract(s, CITING, 1)), F.lit(CITED), F.lit(1))
+        several = F.concat_ws(" ", F.array_distinct(F.transform(cited, lambda x: F.try_element_at(of_name, x))))
+        return F.coalesce(F.try_element_at(of_text, s), F.when(several != "", several), F.try_element_at(of_name, plain(F.regexp_extract(s, BY, 1))))
 
     return F.filter(F.transform(F.filter(sentences, hinted), lambda s: one(normalised(s))), lambda x: x.isNotNull())
 

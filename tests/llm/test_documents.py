@@ -331,3 +331,27 @@ def test_licenses(spark, docs, empty):
     got = licenses.scan(spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "doc_id string, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {k: v[1] for k, v in rows.items()}
     assert licenses.scan(docs).count() == len(ROWS) and licenses.scan(empty).count() == 0
+
+
+def test_licenses_finds_all_notices(spark):
+    import re
+
+    long = "and all of its parts " * 12
+    rows = {
+        "Use of this code is governed by GPLv3.": "GPL-3.0",
+        "This file is covered by GPL v2.": "GPL-2.0",
+        "This package, including all of its documentation and examples and test data, is licensed under the MIT License.": "MIT",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "Licensed under the MIT License, see LICENSE for details.": "MIT",
+        f"This {long}is licensed under the MIT License {long}": "MIT",
+        "A file that is\ncovered\nby GPL v2.": "GPL-2.0",
+        "This is free and unencumbered software released into the public\ndomain.": "Unlicense",
+        "Published by Foo and licensed under the GNU GPL v3 or a commercial license.": "GPL-3.0,Proprietary",
+        "Published by the MIT Press.": "",
+        "Available under commercial pressure.": "",
+        "Licensed under Apache 2.1": "",
+    }
+    got = licenses.scan(spark.createDataFrame([(k, k) for k in rows], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == rows
+    assert all(r.n_sentences == (r.licenses != "") for r in got)
+    assert all(re.search(licenses.HINT, t) for t in licenses.SENTENCES.values())
