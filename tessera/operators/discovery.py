@@ -26,19 +26,26 @@ def two_sided_chain(edges: DataFrame) -> DataFrame:
     )
 
 
-def walk(nexts: DataFrame, heads: DataFrame, most: int = 32) -> DataFrame:
-    """Chains from their heads along sequels: chain_id, node, pos. nexts: from_id, to_id, one edge a node.
+def _cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, which doubles with every round else."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def walk(nexts: DataFrame, heads: DataFrame) -> DataFrame:
+    """Whole chains from their heads along sequels: chain_id, node, pos. nexts: from_id, to_id, one edge a node.
 
     Chains double with every join (pointer jumping): after k rounds each node knows the node 2^k steps on, so a chain of n
-    titles takes log n rounds, not n. A chain longer than ``most`` or a cycle is cut there."""
-    reach = heads.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos"))
-    jump, step = nexts.select("from_id", "to_id"), 1
-    while step < most:
+    titles takes log n rounds, not n. Rounds end when one finds no new node; a cycle ends before the first node it meets again."""
+    reach = _cut(heads.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos")))
+    jump, step, known = nexts.select("from_id", "to_id"), 1, -1
+    while (n := reach.count()) > known:
+        known = n
+        jump = _cut(jump)
         more = reach.join(jump, F.col("node") == F.col("from_id")).select("chain_id", F.col("to_id").alias("node"), (F.col("pos") + step).alias("pos"))
-        reach = reach.unionByName(more)
+        reach = _cut(first_of(reach.unionByName(more), ["chain_id", "node"], ["pos"]))
         jump = jump.alias("a").join(jump.alias("b"), F.col("a.to_id") == F.col("b.from_id")).select(F.col("a.from_id").alias("from_id"), F.col("b.to_id").alias("to_id"))
         step *= 2
-    return first_of(reach, ["chain_id", "node"], ["pos"])
+    return reach
 
 
 def branches(edges: DataFrame) -> DataFrame:

@@ -49,3 +49,20 @@ def test_greedy_links(spark, seed):
             wanted.add((pair, tuple(c.left), tuple(c.right), "crossing" if crossed else "high" if c.score >= matcher.HIGH else "low"))
     got = {(r.pair_id, tuple(r.left), tuple(r.right), r.outcome) for r in matcher.greedy_links(found, stream).collect()}
     assert got == wanted and {x[3] for x in wanted} >= {"high", "crossing"}
+
+
+def test_walk_gives_whole_chains_and_ends_in_cycles(spark):
+    from tessera.operators import discovery
+
+    edges = [(k, k + 1) for k in range(100)] + [(1000 + k, 1000 + (k + 1) % 40) for k in range(40)] + [(2000, 1005), (3000, 3000)]
+    nexts = spark.createDataFrame(edges, "from_id long, to_id long")
+    heads = spark.createDataFrame([(0,), (2000,), (1007,), (3000,), (9,)], "node long")
+    got = sorted(map(tuple, discovery.walk(nexts, heads).select("chain_id", "node", "pos").collect()))
+    after, wanted = dict(edges), []
+    for head in (0, 2000, 1007, 3000, 9):
+        node, seen = head, []
+        while node is not None and node not in seen:
+            seen.append(node)
+            node = after.get(node)
+        wanted += [(head, x, k) for k, x in enumerate(seen)]
+    assert got == sorted(wanted) and len(wanted) == 101 + 41 + 40 + 1 + 92
