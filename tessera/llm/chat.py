@@ -2,8 +2,10 @@
 
 Every participant of a conversation (each role but ``system``) in turn is the assistant: the dialogue is rendered with
 that speaker's turns as assistant turns, the others' as user turns under their names, and the masks mark the assistant's
-words with the end mark that they must learn to give. A dialogue is rendered in parts of ``PART`` turn numbers, so that no
-conversation, however long, is gathered into one row.
+words with the end mark that they must learn to give. A dialogue is rendered in parts of ``PART`` turn numbers: the whole
+dialogue is its parts' texts joined in order, later parts repeat neither the system turn nor earlier turns, and masks count from the
+start of their part. A part is bounded only where turn numbers are distinct: null or repeated turn numbers, and all rows with a null
+conv_id, gather in one part without bound.
 
 Defined cases: a null text is empty, a null role is the participant ``unknown``, a null turn comes first, in part 0; a null
 conv_id is a conversation of its own; turns of one number stand in the order of role and text; repeated rows are turns
