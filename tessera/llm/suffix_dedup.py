@@ -1,47 +1,50 @@
-"""Suffix-array dedup: repeated 200-byte strings, found by merging shards' sorted suffixes by interleave refinement.
-
-Sorting every suffix of the corpus, or interleaving the full Burrows-Wheeler transforms of its shards for 200 rounds, costs
-far more than the budget of a pass over the text (see the README for figures). So the suffix set is made sparse
-without losing a match: of the ``GRAM``-byte strings in every 200-byte window the one of least hash is the window's
-anchor. Equal windows have equal anchors at equal offsets, and one anchor serves a contiguous range of windows. Then
-
-1. ``anchors``: a pass over the whole texts gives each anchor's gram hash and the hash of its context (all bytes of its
-   windows). Anchors whose gram is unique are done; those whose whole context occurs twice have all their windows
-   repeated.
-2. The rest, one per distinct context, are the suffixes to merge. Those of one gram form a group; in it the shards'
-   suffix lists are interleaved round by round, one symbol further each time, backwards and forwards from the gram: a round
-   splits each open block by the next symbol, stably, and the round in which a boundary appears is the common prefix
-   length there. Nothing is sorted again, and blocks of one suffix are closed.
-3. A window that reaches d bytes back is repeated if another suffix shares d bytes backwards and 200 - d forwards,
-   both read off the common-prefix arrays. Groups of more than ``HOT`` distinct contexts are settled exactly by counting
-   their windows' hashes in a group-by instead, which combines before the shuffle.
+"""Suffix-array dedup: repeated 200-byte strings, by merging shards' Burrows-Wheeler transforms by interleave refinement.
+
+Equal strings must meet in one task, so the suffixes are dealt first: of the ``GRAM``-byte strings in every 200-byte window the
+one of least hash is the window's anchor. Equal windows have equal anchors at equal offsets, and one anchor serves a contiguous
+range of windows, its context.
+
+1. ``anchors``: a pass over the whole texts gives each anchor's gram hash and the 128-bit digest of its context (all bytes of
+   its windows). An anchor whose gram is unique has no repeated window. If a whole context occurs twice, all its windows
+   are repeated.
+2. The distinct contexts of the other grams are what is sorted, a group of whole grams at a time (the README has the measured
+   share). Its contexts are split into shards; each shard's suffixes are sorted for themselves and kept as a
+   Burrows-Wheeler transform. Its symbols are ``STEP`` bytes, one starting at every byte. The transforms are merged by
+   refining their interleave: after k rounds it is the order of all suffixes by their first k symbols. A round reads the
+   symbols before the suffixes in the order reached and places them stably, so no suffix is compared again; the round in
+   which a boundary appears between two places is the length of their common prefix. Places without a boundary after
+   200 / STEP rounds are the repeated intervals.
+3. Grams of more than ``HOT`` distinct contexts would make a task too large; their windows' 128-bit digests are counted
+   in a group-by, which combines before the shuffle and gives the same result.
 
 Defined cases: a null text is empty; texts under 200 bytes lose nothing; a repeated row counts as another occurrence, so
-both lose all their windows; overlapping occurrences count; ties in the anchor hash go to the leftmost gram. Other
-columns are not read.
+both lose all their windows; overlapping occurrences count; ties in the anchor hash go to the leftmost gram; null and very
+large ids come back as they are. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_count, block_of, materialise, text_of
-from tessera.llm.groups import starts_of, whole_groups
+from tessera.llm.common import block_count, block_of, discard, join_groups, materialise, nested, text_of
+from tessera.llm.groups import whole_groups
 
 WINDOW, GRAM = 200, 48
 SPAN = WINDOW - GRAM + 1  # grams in a window
-HOT = 4_096
+HOT, SHARD = 4_096, 512  # contexts
+STEP = 8  # bytes of a symbol of the transforms; divides WINDOW
 PIECE = 1 << 19  # bytes handled at once
 
 _rng = np.random.Generator(np.random.PCG64(7_001))
 _TABLE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,31 +54,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a byte array, by prefix sums of a polynomial modulo 2^64."""
+    """Hashes of all stretches of one length of a byte array, by prefix sums of a polynomial modulo 2^64."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def __init__(self, raw: np.ndarray, base: int):
+    def __init__(self, raw: np.ndarray):
         n = len(raw) + 1
-        if base not in self._powers or len(self._powers[base][0]) < n:
-            size, inverse = max(n, PIECE * 2), pow(base, -1, 2**64)
-            self._powers[base] = tuple(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (base, inverse))
-        up, self.down = self._powers[base]
+        if len(Rolling._powers[0]) < n:
+            size, inverse = max(n, PIECE * 2), pow(_BASE, -1, 2**64)
+            Rolling._powers = tuple(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, inverse))
+        up, self.down = Rolling._powers
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(_TABLE[raw] * up[: n - 1], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
     def all_of(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         return (self.sums[length:] - self.sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
 def anchor_runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For texts laid end to end (each ending at one of ends): anchor position, first and last window start, gram, context."""
+    """For texts laid end to end (each ending at one of ends): anchor position, first and last window start, gram hash."""
     low_bits = np.uint64(24)
-    key = mix(Rolling(raw, _BASES[0]).all_of(GRAM))
+    key = mix(Rolling(raw).all_of(GRAM))
     gram = key
     key = (key >> low_bits << low_bits) | np.arange(len(key), dtype=np.uint64)
     reach = 1
@@ -92,9 +92,8 @@ def anchor_runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     new[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at))[: len(first)] - 1
-    p, lo, hi = place[first], at[first], at[last]
-    context = mix(Rolling(raw, _BASES[1]).of(lo, hi + WINDOW) + ((p - lo) * 1_000_003).astype(np.uint64))
-    return p, lo, hi, gram[p], context
+    p = place[first]
+    return p, at[first], at[last], gram[p]
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,22 +122,23 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield out()
 
 
+def digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keys = pdf["key"].to_numpy()
         texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
         for raw, ends, owner, offset in _pieces(texts):
-            p, lo, hi, gram, context = anchor_runs(raw, ends)
+            p, lo, hi, gram = anchor_runs(raw, ends)
             which = np.searchsorted(ends, p, "right")
             base = offset[which] - np.append(0, ends[:-1])[which]
-            yield pd.DataFrame(
-                {
-                    "key": keys[owner[which]],
-                    "pos": ((p + base) << 16) | ((p - lo) << 8) | (p - hi),
-                    "gram": gram.view(np.int64),
-                    "context": context.view(np.int64),
-                }
-            )
+            whole = raw.tobytes()
+            # where the anchor stands in its context belongs to it
+            context = [digest(whole[a : b + WINDOW] + bytes([x])) for a, b, x in zip(lo.tolist(), hi.tolist(), (p - lo).tolist(), strict=True)]
+            pos = ((p + base) << 16) | ((p - lo) << 8) | (p - hi)
+            yield pd.DataFrame({"key": keys[owner[which]], "pos": pos, "gram": gram.view(np.int64), "context": context})
 
 
 def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,73 +147,108 @@ def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return p, p - ((pos >> 8) & 255), p - (pos & 255)
 
 
-def interleave(symbols: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge suffix lists by refining their interleave, a symbol a round.
-
-    symbols: a suffix's symbols by round (256 and over: beyond its end, never equal); group: sorted numbers of groups,
-    whose suffixes are listed shard by shard. Returns the final interleave and, for each place, the number of symbols in
-    common with the place before (-1 where a group starts).
-    """
-    n, rounds = symbols.shape
-    order = np.arange(n)
-    common = np.full(n, rounds)
-    common[0:1] = -1
-    common[1:][group[1:] != group[:-1]] = -1
-    for k in range(rounds):
-        begins = common < k  # a boundary that earlier rounds have found
-        begins[:1] = True
-        block = np.cumsum(begins) - 1
-        live = np.flatnonzero(np.bincount(block)[block] > 1)
-        if not len(live):
+@dataclass
+class Transform:
+    """A shard's Burrows-Wheeler transform over symbols of STEP bytes, one starting at every byte.
+
+    Suffixes of fewer than STEP bytes (the tails) differ from each other and from all symbols, and come first."""
+
+    before: np.ndarray  # the symbol before each suffix, in the suffixes' order
+    starts: np.ndarray  # whether nothing stands before it: fewer than STEP bytes
+    tails: int
+    order: np.ndarray  # where each suffix starts in the contexts laid end to end, one place after each
+
+
+def transform(contexts: list[bytes]) -> Transform:
+    """Sorts the suffixes of one shard by doubling, and keeps what stands before them."""
+    size = np.array([len(c) + 1 for c in contexts])
+    n = int(size.sum())
+    begin = np.append(0, size.cumsum()[:-1])
+    offset = np.arange(n) - np.repeat(begin, size)
+    left = np.repeat(size, size) - 1 - offset  # bytes to the end
+    raw = np.frombuffer(b"\0".join([*contexts, b""]) + bytes(STEP), np.uint8).astype(np.uint64)
+    symbol = np.zeros(n, np.uint64)
+    for j in range(STEP):
+        symbol = (symbol << np.uint64(8)) | raw[j : j + n]
+    tail = left < STEP
+    tails = int(tail.sum())
+    rank = np.empty(n, np.int64)
+    rank[tail] = np.arange(tails)
+    live = np.flatnonzero(~tail)
+    key, floor = symbol[live], np.full(len(live), tails)
+    reach = STEP
+    while len(live):
+        by = np.lexsort((key, floor))
+        live, key, floor = live[by], key[by], floor[by]
+        block = np.append(True, floor[1:] != floor[:-1])
+        new = block | np.append(True, key[1:] != key[:-1])
+        at = np.arange(len(live))
+        rank[live] = floor + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(block, at, 0))
+        live = live[~(new & np.append(new[1:], True))]
+        # suffixes that still share their rank reach at least that far on in their contexts
+        key, floor = rank[live + reach], rank[live]
+        reach *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    starts = offset[order] < STEP
+    return Transform(symbol[np.maximum(order - STEP, 0)], starts, tails, order)
+
+
+def interleave(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge transforms by refining their interleave ``depth`` times, a symbol further each time.
+
+    Returns for each place the number of its suffix, counting through the shards in their own sorted orders, and the
+    symbols that it shares with the place before, ``depth`` for as many or more."""
+    sizes = np.array([len(t.before) for t in shards])
+    base = np.append(0, sizes.cumsum()[:-1])
+    n, m = int(sizes.sum()), sum(t.tails for t in shards)
+    # the suffix that starts one symbol earlier, read off each transform by itself: its symbol's place, stably
+    earlier = np.zeros(n, np.int64)
+    for t, b in zip(shards, base, strict=True):
+        some = np.flatnonzero(~t.starts)
+        earlier[b + some[np.argsort(t.before[some], kind="stable")]] = b + t.tails + np.arange(len(some))
+    starts = np.concatenate([t.starts for t in shards])
+    symbol = np.zeros(n, np.int64)
+    symbol[~starts] = np.unique(np.concatenate([t.before for t in shards])[~starts], return_inverse=True)[1] + 1
+    symbol <<= 32
+    is_tail = np.arange(n) - np.repeat(base, sizes) < np.repeat([t.tails for t in shards], sizes)
+    tails = np.flatnonzero(is_tail)
+    suffix = np.concatenate([tails, np.flatnonzero(~is_tail)])  # the interleave: at first shard by shard
+    common = np.full(n, depth, np.int16)
+    common[: m + 1] = 0
+    block = np.zeros(n, np.int32)
+    place = np.arange(n)
+    for k in range(1, depth + 1):
+        key = np.sort(symbol[suffix] | place)[m:]  # suffixes with nothing before them have symbol 0
+        moved, read = key & 0xFFFFFFFF, key >> 32
+        source = block[moved]
+        suffix = np.concatenate([tails, earlier[suffix[moved]]])
+        fresh = np.append(True, (read[1:] != read[:-1]) | (source[1:] != source[:-1]))
+        fresh &= common[m:] == depth
+        if not fresh.any():
             break
-        mark = block[live] * 1024 + symbols[order[live], k]
-        if (mark[1:] < mark[:-1]).any():
-            by = np.argsort(mark, kind="stable")
-            order[live] = order[live[by]]
-            mark = mark[by]
-        split = np.append(True, (mark[1:] != mark[:-1])) | (symbols[order[live], k] >= 256)
-        fresh = live[split]
-        fresh = fresh[~begins[fresh]]
-        common[fresh] = k
-    return order, common
+        common[m:][fresh] = k - 1
+        block = np.cumsum(common < depth, dtype=np.int32) - 1
+    return suffix, common
 
 
 def repeated_windows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, and runs of window starts (first, last) that are repeated, for whole groups of distinct contexts sorted by gram."""
-    p, lo, hi = unpack(pdf["pos"].to_numpy())
-    n = len(pdf)
-    new = np.zeros(n, np.int64)
-    new[starts_of(pdf, ["gram"])] = 1
-    group = new.cumsum() - 1
-    size = hi + WINDOW - lo
-    raw = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-    base = np.append(0, size.cumsum()[:-1]) + (p - lo)  # of the anchor in raw
-    ahead = np.arange(GRAM, WINDOW)
-    there = base[:, None] + ahead
-    forward = np.where(ahead < (hi + WINDOW - p)[:, None], raw[np.minimum(there, len(raw) - 1)].astype(np.int16), 256)
-    back = np.arange(1, SPAN)
-    backward = np.where(back <= (p - lo)[:, None], raw[np.maximum(base[:, None] - back, 0)].astype(np.int16), 256)
-    ranks = []
-    for symbols, start in ((forward, GRAM), (backward, 0)):
-        order, common = interleave(symbols, group)
-        ranks.append((order, np.where(common < 0, -1, common + start)))
-    found = np.zeros((n, SPAN), bool)
-    for d in range(SPAN):  # the window starts d bytes before the anchor
-        has = np.flatnonzero((p - d >= lo) & (p - d <= hi))
-        if len(has) < 2:
-            continue
-        classes = []
-        for (order, common), depth in zip(ranks, (WINDOW - d, d), strict=True):
-            c = np.empty(n, np.int64)
-            c[order] = np.cumsum(common < depth)
-            classes.append(c[has])
-        both = classes[0] * (n + 1) + classes[1]
-        _, inverse, times = np.unique(both, return_inverse=True, return_counts=True)
-        found[has[times[inverse] > 1], d] = True
-    edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, begin = np.nonzero(edge == 1)
-    _, end = np.nonzero(edge == -1)
-    return row, p[row] - (end - 1), p[row] - begin
+    """Rows, and runs of window starts (first, last) that are repeated, for whole groups of distinct contexts."""
+    _, lo, hi = unpack(pdf["pos"].to_numpy())
+    contexts = list(pdf["bytes"])
+    size = np.array([len(c) + 1 for c in contexts])
+    begins = np.append(0, size.cumsum()[:-1])
+    shards = [slice(at, at + SHARD) for at in range(0, len(contexts), SHARD)]
+    built = [transform(contexts[x]) for x in shards]
+    suffix, common = interleave(built, WINDOW // STEP)
+    where = np.concatenate([t.order + begins[x.start] for t, x in zip(built, shards, strict=True)])
+    deep = common == WINDOW // STEP
+    repeated = np.zeros(len(where) + 1, bool)
+    repeated[where[suffix[deep | np.append(deep[1:], False)]]] = True
+    edge = np.diff(repeated.astype(np.int8), prepend=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+    row = np.searchsorted(begins, first, "right") - 1
+    return row, lo[row] + first - begins[row], lo[row] + last - begins[row]
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,41 +270,44 @@ def _contexts(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every window of hot groups' contexts: its start and its 128-bit hash."""
+    """Every window of hot groups' contexts: its start and its digest."""
     for pdf in batches:
         for at in range(0, len(pdf), 256):
             part = pdf.iloc[at : at + 256]
             _, lo, hi = unpack(part["pos"].to_numpy())
             n = hi - lo + 1
             start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.append(0, n.cumsum()[:-1]), n)
-            hashes = [hashlib.blake2b(b[k : k + WINDOW], digest_size=16).digest() for b, m in zip(part["bytes"], n, strict=True) for k in range(m)]
+            hashes = [digest(b[k : k + WINDOW]) for b, m in zip(part["bytes"], n, strict=True) for k in range(m)]
             yield pd.DataFrame({"key": part["key"].to_numpy().repeat(n), "settled": part["settled"].to_numpy().repeat(n), "start": start, "hash": hashes})
 
 
 def covers(docs: DataFrame) -> DataFrame:
     """key, begin, end: stretches of the rows' texts that are covered by repeated windows. docs: key, text, _block."""
-    anchors = docs.select("key", "text").mapInPandas(_anchors, "key long, pos long, gram long, context long")
+    anchors = docs.select("key", "text").mapInPandas(_anchors, "key binary, pos long, gram long, context binary")
     anchors = materialise(anchors, "anchors")
     # what is joined to is written first: both sides are then plain shuffles, of which Spark can split the hot partitions
-    grams = materialise(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    shared = materialise(anchors.join(grams, "gram"), "shared")
+    total = anchors.count()
+    grams = materialise(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    shared = materialise(join_groups(anchors, grams, ["gram"], "n", total).drop("n"), "shared")
+    discard(anchors, grams)
     contexts = shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("one"))
     contexts = materialise(contexts, "contexts")
-    counted = materialise(shared.join(contexts.drop("one"), ["gram", "context"]).select("key", "pos", "n"), "counted")
+    counted = materialise(join_groups(shared, contexts.drop("one"), ["gram", "context"], "n", total).select("key", "pos", "n"), "counted")
+    discard(shared)
     # settled: the whole context occurs again
     whole = counted.where("n > 1").select(
         "key", (F.shiftright("pos", 16) - F.shiftright("pos", 8).bitwiseAND(255)).alias("begin"), (F.shiftright("pos", 16) - F.col("pos").bitwiseAND(255) + WINDOW).alias("end")
     )
     groups = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("open")).where("kinds > 1 AND open > 0")
-    wanted = contexts.join(groups, "gram").select(
+    wanted = join_groups(contexts, materialise(groups, "groups"), ["gram"], "kinds", contexts.count()).select(
         "one.key", "one.pos", "gram", (F.col("n") > 1).alias("settled"), (F.col("kinds") > HOT).alias("hot")
     )
     n = docs._tessera_blocks
     wanted = wanted.withColumn("_block", block_of(n, "key"))
-    parts = docs.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInPandas(_contexts, "key long, pos long, gram long, settled boolean, hot boolean, bytes binary")
+    parts = docs.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInPandas(_contexts, "key binary, pos long, gram long, settled boolean, hot boolean, bytes binary")
     parts = materialise(parts, "parts")
-    merged = parts.where("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "key", "pos").mapInPandas(_merge, "key long, begin long, end long")
-    windows = parts.where("hot").select("key", "pos", "settled", "bytes").mapInPandas(_hashes, "key long, settled boolean, start long, hash binary")
+    merged = parts.where("NOT hot").drop("hot").repartition("gram").sortWithinPartitions("gram", "key", "pos").mapInPandas(_merge, "key binary, begin long, end long")
+    windows = parts.where("hot").select("key", "pos", "settled", "bytes").mapInPandas(_hashes, "key binary, settled boolean, start long, hash binary")
     again = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     hot = windows.where("NOT settled").join(again, "hash").select("key", F.col("start").alias("begin"), (F.col("start") + WINDOW).alias("end"))
     return whole.unionByName(merged).unionByName(hot)
@@ -293,26 +331,33 @@ def _strip(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
+def key_of(docs: DataFrame) -> Column:
+    """128 bits that stand for a row's doc_id and text; rows that are equal in both share them."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_of())))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_bytes, n_removed, n_spans, kept_sha256, kept_text for every row of docs.
 
     kept_text is the text of the remaining bytes, without the parts of characters that a cut has torn."""
-    text = docs.select("doc_id", text_of().alias("text"))
-    n = block_count(text)
-    rows = text.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("_block", block_of(n, "key"))
+    # as text in the tasks, where a null would turn a column of numbers into floating point
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), key_of(docs).alias("key"), text_of().alias("text"))
+    n = block_count(rows)
+    rows = rows.withColumn("_block", block_of(n, "key"))
     rows._tessera_blocks = n
     found = materialise(covers(rows), "covers").withColumn("_block", block_of(n, "key"))
-    return rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInPandas(
-        lambda a, b: _strip(a, b), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    out = rows.groupBy("_block").cogroup(found.groupBy("_block")).applyInPandas(
+        lambda a, b: _strip(a, b), "doc_id string, key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def stripped(docs: DataFrame) -> DataFrame:
     """The rows of docs with their own columns; text without its repeated stretches, n_chars to match."""
-    kept = dedup(docs).where("n_removed > 0").select(F.col("key").alias("_tessera_key"), F.col("kept_text").alias("_tessera_text")).dropDuplicates(["_tessera_key"])
-    whole = docs.withColumn("_tessera_own", F.xxhash64("doc_id", text_of()))
-    text = F.coalesce("_tessera_text", "text")
-    out = whole.join(kept, F.col("_tessera_own") == F.col("_tessera_key"), "left").withColumn("text", text)
+    kept = dedup(docs).where("n_removed > 0").select("key", "kept_text").dropDuplicates(["key"])
+    found = nested(docs, own=key_of(docs)).join(kept, F.col("own") == F.col("key"), "left")
+    cut = F.col("kept_text").isNotNull()
+    row = F.col("row").withField("text", F.coalesce("kept_text", "row.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_tessera_text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
