@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, text_of
+from tessera.llm.common import join_groups, materialise, nested, text_of
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,30 +50,32 @@ def recipes(docs: DataFrame) -> DataFrame:
     return lists.select("doc_id", "sha", F.transform("_l", lambda x: x["_name"]).alias("recipe"), "copies")
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, sha, copies (equal rows), keep_id, group_size: a row for each doc_id and normalised text."""
+    own = recipes(docs).withColumn("_recipe", F.unhex(F.sha2(F.concat_ws(",", "recipe"), 256))).drop("recipe")
+    own = materialise(own, "recipes")
+    groups = materialise(own.groupBy("_recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return join_groups(own, groups, ["_recipe"], "group_size", total).drop("_recipe")
+
+
 def annotate(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs; of equal texts the largest doc_id is kept."""
-    members = recipes(docs).withColumn("_recipe", F.unhex(F.sha2(F.concat_ws(",", "recipe"), 256))).drop("recipe")
-    groups = members.groupBy("_recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    return (
-        members.join(groups, "_recipe")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
+    return members(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns: of each group of equal texts one row, that with the largest doc_id."""
-    members = materialise(annotate(docs), "members")
-    kept = members.where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
-    sha = F.unhex(F.sha2(normalised(text_of()), 256))
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (sha == F.col("_keep_sha")), "left_semi")
-    repeated = members.where("kept").groupBy("doc_id").agg(F.max("group_size").alias("_n")).where("_n > 1").select("doc_id")
-    twice = docs.join(repeated.withColumnRenamed("doc_id", "_again"), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").groupBy("doc_id").count().where("count > 1")
-    # A row that is there twice is kept once; the shuffle of whole rows that this takes is spared where no row is.
-    return stay if twice.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
+    """The rows of docs that stay, with their own columns: of each group of equal texts one row, that with the largest doc_id.
+
+    Rows of one doc_id whose texts are equal are told apart by nothing that is read: any one of them stays."""
+    first = members(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "sha", "copies")
+    first = materialise(first, "kept")
+    rows = nested(docs, id=F.col("doc_id"), hash=F.unhex(F.sha2(normalised(text_of()), 256)))
+    found = rows.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("sha"))).select("row", "id", "hash", "copies")
+    return found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id", "hash"])).select("row.*")
