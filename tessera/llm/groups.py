@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 2_000) -> Iterator[pd.DataFrame]:
@@ -70,6 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = None
     while True:
+        before = links
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written first, so that both sides of the join are plain shuffles, of which Spark can split a hub's partition
         low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
@@ -78,6 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = materialise(large.groupBy("a").agg(F.min("b").alias("low")), "down")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(down.withColumnRenamed("low", "b"))
         links = materialise(small.where("a <> b").distinct(), "links")
+        discard(before, low, large, down)  # nothing reads them again
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -8,12 +8,12 @@ reaches the threshold is below ``TOLERANCE``. What survives spans components; in
 from the shingle sets, so the numbers of links are exact. A pair of similarity 0.8 shares no band with probability
 2e-5, of 0.9 with 3e-12.
 
-Large buckets and components are cut into chunks of ``CHUNK`` nodes, and pairs of chunks are dealt to tasks; pairs of
-nodes exist in numpy blocks only and are never emitted as rows.
+Buckets and components of n nodes are cut into chunks of 8 sqrt(n) nodes, at most ``CHUNK``, and pairs of chunks are dealt
+to tasks, so a node moves sqrt(n) / 8 times; pairs of nodes exist in numpy blocks only and are never emitted as rows.
 
 Defined cases: a null text is empty; texts without words form one node of copies; a text of fewer than five words has the
 one shingle of all its words and so links with copies only; repeated rows each get their row. The identity of a text is
-the hash of its words, never its doc_id: texts of null or equal doc_ids are linked as any others, and a class without a doc_id
+the 128-bit digest of its words, never its doc_id: texts of null or equal doc_ids are linked as any others, and a class without a doc_id
 has a null class_id. Other columns are not read.
 """
 
@@ -24,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, text_of
+from tessera.llm.common import join_groups, materialise, nested, text_of
 from tessera.llm.groups import components, local_roots, starts_of, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
 STEP, TOLERANCE = 24, 1e-6
-CHUNK = 256
+CHUNK, SPREAD, PAIRS = 2048, 64, 100_000
 HASHES = BANDS * ROWS
 
 _rng = np.random.Generator(np.random.PCG64(20_240_229))
@@ -114,42 +115,45 @@ def survivors(a: np.ndarray, b: np.ndarray, sig: np.ndarray, least: np.ndarray)
 
 
 def pairs_within(starts: np.ndarray, total: int, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of each group in bounded portions. side: 0 where a group is one chunk; else 1 and 2, paired across."""
+    """Row pairs of each group in portions of about PAIRS. side: 0 where a group is one chunk; else 1 and 2, paired across."""
     ends = np.append(starts[1:], total)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for s, e in zip(starts, ends, strict=True):
-        if side[s:e].any():
-            one, two = s + np.flatnonzero(side[s:e] == 1), s + np.flatnonzero(side[s:e] == 2)
-            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
-        else:
-            a, b = np.triu_indices(e - s, 1)
-            a, b = a + s, b + s
-        held.append((a, b))
-        size += len(a)
-        if size > 100_000:
-            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            held, size = [], 0
+        across = bool(side[s:e].any())
+        one, two = (s + np.flatnonzero(side[s:e] == k) for k in (1, 2)) if across else (np.arange(s, e),) * 2
+        strip = max(1, PAIRS // max(1, len(two)))
+        for at in range(0, len(one), strip):
+            some = one[at : at + strip]
+            a, b = np.repeat(some, len(two)), np.tile(two, len(some))
+            if not across:
+                a, b = a[a < b], b[a < b]
+            held.append((a, b))
+            size += len(a)
+            if size > PAIRS:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                held, size = [], 0
     if size:
         yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
-def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for pdf in batches:
-        keys, nodes, sigs = [], [], []
-        for text in pdf["text"]:
+    for batch in batches:
+        nodes, sigs = [], []
+        for text in batch.column("text").to_pylist():
             words = words_of(text)
-            keys.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            nodes.append(int.from_bytes(keys[-1][:8], "little", signed=True))
+            nodes.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             s = shingles(words, hashes)
             sigs.append(signature(s) if len(s) else None)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"], "key": keys, "node": np.array(nodes, np.int64), "sig": sigs})
+        # doc_id stays an Arrow column: a null beside it changes no id
+        kept = [batch.column("doc_id"), batch.column("text_hash")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "node", "sig"])
 
 
 def _dealt(rows: DataFrame, key: str, node: str) -> DataFrame:
     """rows with a count column n of their key's nodes: each node once for every pair of chunks that it is in."""
-    m = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+    m = F.greatest(F.ceil(F.sqrt(F.col("n") / F.lit(SPREAD))), F.ceil(F.col("n") / F.lit(CHUNK))).cast("int")
     own = F.pmod(F.xxhash64(node, F.lit(7)), m).cast("int")
     return (
         rows.withColumn("_m", m)
@@ -187,8 +191,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
         "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, ROWS)))).alias("bucket")
     )
     full = materialise(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = bands.join(full, "bucket").join(nodes.select("node", "sig"), "node")
-    return _dealt(shared, "bucket", "node").select("bucket", "_lo", "_hi", "side", "node", "sig").mapInPandas(_span, "a long, b long")
+    shared = join_groups(bands, full, ["bucket"], "n", BANDS * nodes.count()).join(nodes.select("node", "sig"), "node")
+    return _dealt(shared, "bucket", "node").select("bucket", "_lo", "_hi", "side", "node", "sig").mapInPandas(_span, "a binary, b binary")
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,30 +247,34 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _placed(docs: DataFrame) -> DataFrame:
     """The rows of join with text_hash, and root: the id of the class."""
-    text = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    members = materialise(text.mapInPandas(sign, "doc_id long, text_hash long, key binary, node long, sig binary"), "signatures")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    members = materialise(text.mapInArrow(sign, "doc_id long, text_hash long, node binary, sig binary"), "signatures")
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # the row that stands for a node
-    nodes = materialise(members.groupBy("key").agg(F.min("node").alias("node"), F.min(one).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
+    nodes = materialise(members.groupBy("node").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nodes")
     found = components(candidates(nodes))
-    sizes = found.groupBy("root").agg(F.count("*").alias("n"))
-    inside = materialise(found.join(sizes, "root").withColumnRenamed("root", "component").join(nodes.drop("sig", "key"), "node"), "inside")
+    sizes = materialise(found.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    inside = found.join(sizes, "root").withColumnRenamed("root", "component").join(nodes.drop("sig"), "node")
+    inside = materialise(inside, "inside")
     wanted = inside.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
     sets = (
         text.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("node", "text")
-        .mapInPandas(_sets, "node long, set binary")
+        .mapInPandas(_sets, "node binary, set binary")
         .dropDuplicates(["node"])  # of repeated rows
     )
     dealt = _dealt(inside.join(sets, "node"), "component", "node").select("component", "_lo", "_hi", "side", "node", "copies", "set")
-    parts = materialise(dealt.mapInPandas(_verify, "node long, links long, linked_docs long, root long"), "links")
-    counts = parts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"), F.min("root").alias("low"), F.count("*").alias("parts"))
+    parts = materialise(dealt.mapInPandas(_verify, "node binary, links long, linked_docs long, root binary"), "links")
+    counts = parts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked_docs").alias("linked_docs"), F.min("root").alias("low"))
     # A component of one chunk is settled in its task; those of more are joined from their parts.
-    torn = inside.where(F.col("n") > CHUNK).select("node")
+    torn = inside.where(F.col("n") > F.least(F.lit(CHUNK), F.lit(SPREAD))).select("node")
     joined = components(parts.join(torn, "node", "left_semi").select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = counts.join(joined, "node", "left").select("node", "links", "linked_docs", F.coalesce("root", "low").alias("root"))
-    least = classes.join(inside.select("node", "one"), "node").groupBy("root").agg(F.min("one.doc_id").alias("class_id"))
-    of = nodes.drop("sig").join(classes.join(least, "root"), "node", "left")
-    return members.select("doc_id", "text_hash", "key").join(of, "key").select(
+    classes = materialise(classes.join(inside.select("node", "one"), "node"), "classes")
+    least = classes.groupBy("root").agg(F.min("one.doc_id").alias("class_id"))
+    of = nodes.drop("sig").join(classes.drop("one").join(least, "root"), "node", "left")
+    of = materialise(of, "placed")
+    total = of.agg(F.sum("copies")).first()[0] or 0
+    return join_groups(members.select("doc_id", "text_hash", "node"), of, ["node"], "copies", total).select(
         "doc_id",
         F.coalesce("class_id", "one.doc_id").alias("class_id"),
         F.col("one.doc_id").alias("copy_of"),
@@ -285,13 +293,13 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, one of each class: that with the smallest doc_id, or one of those without."""
+    """The rows of docs, with their own columns, one of each class: that with the smallest doc_id, or one of those without.
+
+    Rows of one doc_id and text are told apart by nothing that is read: any one of them stays."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     rows = _placed(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct(key.alias("key"), "n")).alias("least"))
-    first = materialise(least.select(F.col("least.key.doc_id").alias("_tessera_id"), F.col("least.key.text_hash").alias("_tessera_hash"), F.col("least.n").alias("_tessera_n")), "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_tessera_id")) & (F.xxhash64(text_of()) == F.col("_tessera_hash"))
-    once = docs.join(first.where("_tessera_n = 1"), same, "left_semi")
-    # rows of one doc_id and text are told apart by nothing that is read: one of them stays
-    repeated = docs.join(first.where("_tessera_n > 1"), same, "left_semi").withColumn("_tessera_hash", F.xxhash64(text_of())).dropDuplicates(["doc_id", "_tessera_hash"])
-    return once.unionByName(repeated.drop("_tessera_hash"))
+    first = materialise(least.select("least.key.doc_id", "least.key.text_hash", "least.n"), "kept")
+    own = nested(docs, id=F.col("doc_id").cast("long"), hash=F.xxhash64(text_of()))
+    found = own.join(first, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("row", "id", "hash", "n")
+    return found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["id", "hash"])).select("row.*")
