@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import nested, text_of
 
 SAMPLE, TREES, DEPTH, BINS, RATE, LEAST, LAMBDA = 20_000, 80, 5, 64, 0.15, 12, 1.0
 
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """The rows of docs as doc_id, text, score: a pass over the whole texts."""
+    """row (the row of docs) and score: a pass over the whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -172,17 +172,15 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
             x = np.array([features(t) for t in batch], np.float64).reshape(len(batch), len(FEATURES))
             yield pd.Series(shared.value.scores(x))
 
-    return docs.withColumn("_tessera_score", scored(text_of()))
+    return nested(docs, score=scored(text_of()))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select(
-        "doc_id", held_out().alias("held_out"), F.col("_tessera_score").alias("score"), (F.col("_tessera_score") >= 0.5).cast("int").alias("predicted")
-    )
+    return scored.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with their own columns, that are not rejected (score of 0.5 or more)."""
-    return score(docs, train(docs, labels)).where("_tessera_score >= 0.5").drop("_tessera_score")
+    return score(docs, train(docs, labels)).where("score >= 0.5").select("row.*")
