@@ -8,7 +8,7 @@ range of windows, its context.
    its windows). An anchor whose gram is unique has no repeated window. If a whole context occurs twice, all its windows
    are repeated.
 2. The distinct contexts of the other grams are what is sorted, a group of whole grams at a time (the README has the measured
-   share). Its contexts are split into shards; each shard's suffixes are sorted for themselves and kept as a
+   share). Contexts that share neither the bytes before nor those after the gram with another stay out. The others are split into shards; each shard's suffixes are sorted for themselves and kept as a
    Burrows-Wheeler transform. Its symbols are ``STEP`` bytes, one starting at every byte. The transforms are merged by
    refining their interleave: after k rounds it is the order of all suffixes by their first k symbols. A round reads the
    symbols before the suffixes in the order reached and places them stably, so no suffix is compared again; the round in
@@ -38,8 +38,10 @@ from tessera.llm.groups import whole_groups
 
 WINDOW, GRAM = 200, 48
 SPAN = WINDOW - GRAM + 1  # grams in a window
-HOT, SHARD = 4_096, 512  # contexts
+HOT, SHARD, TOGETHER = 4_096, 32, 128  # contexts
+SIDE = (WINDOW - GRAM) // 2
 STEP = 8  # bytes of a symbol of the transforms; divides WINDOW
+DEPTH = WINDOW // STEP
 PIECE = 1 << 19  # bytes handled at once
 
 _rng = np.random.Generator(np.random.PCG64(7_001))
@@ -175,18 +177,21 @@ def transform(contexts: list[bytes]) -> Transform:
     rank = np.empty(n, np.int64)
     rank[tail] = np.arange(tails)
     live = np.flatnonzero(~tail)
+    by = np.argsort(symbol[live])
+    live = live[by]
     key, floor = symbol[live], np.full(len(live), tails)
     reach = STEP
     while len(live):
-        by = np.lexsort((key, floor))
-        live, key, floor = live[by], key[by], floor[by]
         block = np.append(True, floor[1:] != floor[:-1])
         new = block | np.append(True, key[1:] != key[:-1])
         at = np.arange(len(live))
         rank[live] = floor + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(block, at, 0))
         live = live[~(new & np.append(new[1:], True))]
         # suffixes that still share their rank reach at least that far on in their contexts
-        key, floor = rank[live + reach], rank[live]
+        key = (rank[live] << 32) | rank[live + reach]
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        floor = key >> 32
         reach *= 2
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
@@ -194,57 +199,103 @@ def transform(contexts: list[bytes]) -> Transform:
     return Transform(symbol[np.maximum(order - STEP, 0)], starts, tails, order)
 
 
-def interleave(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def interleave(shards: list[Transform], depth: int, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge transforms by refining their interleave ``depth`` times, a symbol further each time.
 
-    Returns for each place the number of its suffix, counting through the shards in their own sorted orders, and the
-    symbols that it shares with the place before, ``depth`` for as many or more."""
+    Returns for each place the number of its suffix, counting through the shards in their own sorted orders, the
+    symbols that it shares with the place before, ``depth`` for as many or more, and its block. Blocks of one suffix are
+    settled and skipped. ``need`` gives for each suffix the symbols by which it must be ordered, at most one more than for the
+    suffix that starts a symbol later; with it, only suffixes of full need have a meaning in what is returned."""
     sizes = np.array([len(t.before) for t in shards])
     base = np.append(0, sizes.cumsum()[:-1])
     n, m = int(sizes.sum()), sum(t.tails for t in shards)
     # the suffix that starts one symbol earlier, read off each transform by itself: its symbol's place, stably
-    earlier = np.zeros(n, np.int64)
+    earlier, later = np.zeros(n, np.int32), np.zeros(n, np.int32)
     for t, b in zip(shards, base, strict=True):
         some = np.flatnonzero(~t.starts)
         earlier[b + some[np.argsort(t.before[some], kind="stable")]] = b + t.tails + np.arange(len(some))
     starts = np.concatenate([t.starts for t in shards])
+    some = np.flatnonzero(~starts)
+    later[earlier[some]] = some
     symbol = np.zeros(n, np.int64)
-    symbol[~starts] = np.unique(np.concatenate([t.before for t in shards])[~starts], return_inverse=True)[1] + 1
+    symbol[some] = np.unique(np.concatenate([t.before for t in shards])[some], return_inverse=True)[1]
     symbol <<= 32
     is_tail = np.arange(n) - np.repeat(base, sizes) < np.repeat([t.tails for t in shards], sizes)
-    tails = np.flatnonzero(is_tail)
-    suffix = np.concatenate([tails, np.flatnonzero(~is_tail)])  # the interleave: at first shard by shard
+    open_ = np.flatnonzero(~is_tail).astype(np.int32)  # suffixes in blocks of several
+    suffix = np.concatenate([np.flatnonzero(is_tail).astype(np.int32), open_])  # the interleave: at first shard by shard
+    place = np.empty(n, np.int64)
+    place[suffix] = np.arange(n)
     common = np.full(n, depth, np.int16)
     common[: m + 1] = 0
-    block = np.zeros(n, np.int32)
-    place = np.arange(n)
+    block = np.zeros(n, np.int32)  # named by a place in it
+    at = np.arange(m, n)  # the places of the open suffixes
+    if need is not None:
+        wanted = need[open_] > 0
+        open_, at = open_[wanted], at[wanted]
     for k in range(1, depth + 1):
-        key = np.sort(symbol[suffix] | place)[m:]  # suffixes with nothing before them have symbol 0
-        moved, read = key & 0xFFFFFFFF, key >> 32
-        source = block[moved]
-        suffix = np.concatenate([tails, earlier[suffix[moved]]])
-        fresh = np.append(True, (read[1:] != read[:-1]) | (source[1:] != source[:-1]))
-        fresh &= common[m:] == depth
-        if not fresh.any():
+        if not len(at):
             break
-        common[m:][fresh] = k - 1
-        block = np.cumsum(common < depth, dtype=np.int32) - 1
-    return suffix, common
+        after = later[open_]
+        key = np.sort(symbol[after] | place[after])  # what stands before the suffixes, in the order reached
+        moved = key & 0xFFFFFFFF
+        read, source, former = key >> 32, block[moved], block[at]
+        open_ = earlier[suffix[moved]]
+        suffix[at], place[open_] = open_, at
+        inside = former[1:] == former[:-1]
+        differs = (read[1:] != read[:-1]) | (source[1:] != source[:-1])
+        fresh = inside & differs
+        common[at[1:][fresh]] = k - 1
+        first = np.append(True, differs | ~inside)
+        block[at] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+        if k == 1:  # the ends of contexts are known at once, and are used from the second round on
+            block[:m] = np.arange(m)
+        elif not fresh.any():
+            break
+        on = ~(first & np.append(first[1:], True))
+        if need is not None:
+            on &= need[open_] > k
+        open_, at = open_[on], at[on]
+    return suffix, common, block
+
+
+def may_repeat(pdf: pd.DataFrame) -> np.ndarray:
+    """Rows of whole groups that can share a window: each window holds the SIDE bytes before its gram or those after it."""
+    p, lo, hi = unpack(pdf["pos"].to_numpy())
+    before: dict[tuple[int, bytes], list[int]] = {}
+    after: dict[tuple[int, bytes], list[int]] = {}
+    for k, (gram, raw, at, rest) in enumerate(zip(pdf["gram"].tolist(), pdf["bytes"], (p - lo).tolist(), (p - hi).tolist(), strict=True)):
+        if at >= SIDE:
+            before.setdefault((gram, raw[at - SIDE : at]), []).append(k)
+        if rest <= SIDE:
+            after.setdefault((gram, raw[at + GRAM : at + GRAM + SIDE]), []).append(k)
+    keep = np.zeros(len(pdf), bool)
+    for some in (*before.values(), *after.values()):
+        if len(some) > 1:
+            keep[some] = True
+    return keep
 
 
 def repeated_windows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, and runs of window starts (first, last) that are repeated, for whole groups of distinct contexts."""
+    none = np.zeros(0, np.int64)
     _, lo, hi = unpack(pdf["pos"].to_numpy())
     contexts = list(pdf["bytes"])
+    if not contexts:
+        return none, none, none
     size = np.array([len(c) + 1 for c in contexts])
     begins = np.append(0, size.cumsum()[:-1])
     shards = [slice(at, at + SHARD) for at in range(0, len(contexts), SHARD)]
     built = [transform(contexts[x]) for x in shards]
-    suffix, common = interleave(built, WINDOW // STEP)
     where = np.concatenate([t.order + begins[x.start] for t, x in zip(built, shards, strict=True)])
-    deep = common == WINDOW // STEP
+    # what follows the last window's start is ordered only as far as the windows reach
+    beyond = np.arange(len(where)) - np.repeat(begins + hi - lo, size)
+    need = np.clip(DEPTH - -(-beyond // STEP), 0, DEPTH).astype(np.int16)
+    suffix, _, block = interleave(built, DEPTH, need[where])
+    starts = where[suffix]
+    window = beyond[starts] <= 0
+    _, inverse, times = np.unique(block[window], return_inverse=True, return_counts=True)
     repeated = np.zeros(len(where) + 1, bool)
-    repeated[where[suffix[deep | np.append(deep[1:], False)]]] = True
+    repeated[starts[window][times[inverse] > 1]] = True
     edge = np.diff(repeated.astype(np.int8), prepend=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
     row = np.searchsorted(begins, first, "right") - 1
@@ -252,7 +303,8 @@ def repeated_windows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in whole_groups(batches, ["gram"]):
+    for pdf in whole_groups(batches, ["gram"], TOGETHER):
+        pdf = pdf[may_repeat(pdf)]
         row, first, last = repeated_windows(pdf)
         use = ~pdf["settled"].to_numpy()[row]
         yield pd.DataFrame({"key": pdf["key"].to_numpy()[row][use], "begin": first[use], "end": last[use] + WINDOW})
