@@ -21,11 +21,15 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,11 @@ class Pieces:
     spelled: list[str]  # hexadecimal bytes of every id
     unigram: bool
 
+    @property
+    def unlisted(self) -> float:
+        """The score of a character without a piece, in unigram models."""
+        return min(self.score) - 10.0
+
 
 def load(path: str | None = None) -> Pieces:
     import sentencepiece
@@ -118,17 +127,16 @@ def fold_merges(edges: Column, n: Column) -> Column:
     return F.aggregate(F.filter(edges, lambda x: x["e"] - x["s"] > 1), singles, apply)
 
 
-def fold_viterbi(edges: Column, n: Column) -> Column:
-    """The same for the path of the highest sum of scores: characters without an edge cost as the worst score less 10."""
+def fold_viterbi(edges: Column, n: Column, unlisted: float) -> Column:
+    """The same for the path of the highest sum of scores; a character without an edge has the score ``unlisted``."""
     by_end = F.array_sort(edges, lambda a, b: F.when(a["e"] != b["e"], a["e"] - b["e"]).otherwise(b["s"] - a["s"]))
-    worst = F.array_min(F.transform(edges, lambda x: x["score"])) - 10.0
     start = F.array(F.struct(F.lit(0.0).alias("v"), F.lit(1).alias("m"), F.lit(-1).alias("b")))  # m: of equal ways the longer last piece
 
     def reach(best, e):
         into = F.filter(by_end, lambda x: x["e"] == e)
         ways = F.concat(
             F.transform(into, lambda x: F.struct((F.get(best, x["s"])["v"] + x["score"]).alias("v"), (-x["s"]).alias("m"), x["s"].alias("b"))),
-            F.array(F.struct((F.get(best, e - 1)["v"] + worst).alias("v"), (1 - e).alias("m"), (e - 1).alias("b"))),
+            F.array(F.struct((F.get(best, e - 1)["v"] + F.lit(unlisted)).alias("v"), (1 - e).alias("m"), (e - 1).alias("b"))),
         )
         return F.concat(best, F.array(F.array_max(ways)))
 
@@ -145,8 +153,8 @@ def fold_viterbi(edges: Column, n: Column) -> Column:
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word and ids of distinct words, -1 where a character has no piece; words without any piece are left out."""
-    fold = fold_viterbi if pieces.unigram else fold_merges
-    folded = lattice(words, pieces).withColumn("ends", fold(F.col("edges"), F.col("n")))
+    edges, n = F.col("edges"), F.col("n")
+    folded = lattice(words, pieces).withColumn("ends", fold_viterbi(edges, n, pieces.unlisted) if pieces.unigram else fold_merges(edges, n))
     found = lambda e, s: F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
     ids = F.filter(F.transform("ends", lambda e, s: F.when(e > 0, F.coalesce(found(e, s), F.lit(-1))).otherwise(F.lit(-2))), lambda x: x > -2)
     return folded.select("word", ids.cast("array<int>").alias("ids"))
@@ -156,14 +164,14 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Encoder:
-    """Ids of words: from the table of frequent words, else by the lattice; remembered up to a bound."""
+    """Ids of words (the bytes of int32): from the table of frequent words, else by the lattice; remembered up to a bound."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
     MOST = 300_000
 
-    def __init__(self, pieces: Pieces, head: dict[str, np.ndarray]):
+    def __init__(self, pieces: Pieces, head: dict[str, bytes]):
         self.pieces, self.head = pieces, head
-        self.own: dict[str, np.ndarray] = {}
+        self.known = dict(head)
         self.score = dict(zip(pieces.text, zip(pieces.score, pieces.ids, strict=True), strict=True))
         self.longest = max(map(len, pieces.text))
         self.letters = np.zeros((len(pieces.text), self.longest), np.uint32)
@@ -177,22 +185,25 @@ class Encoder:
             hashes = np.where(size > k, hashes * self.BASE + self.letters[:, k] + np.uint64(1), hashes)
         self.order = np.argsort(hashes)
         self.hashes, self.size = hashes[self.order], size
-        self.ids, self.scores = np.array(pieces.ids), np.array(pieces.score)
+        self.maybe = np.zeros(1 << 20, bool)  # by the upper bits of the hash
+        self.maybe[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.ids = np.array(pieces.ids)
+        self.rank = np.unique(-np.array(pieces.score), return_inverse=True)[1]
 
     def fallback(self, char: str) -> list[int]:
         raw = [self.pieces.byte_ids[b] for b in char.encode("utf-8", "replace")]
         return raw if min(raw) >= 0 else [self.pieces.unknown]
 
-    def finish(self, word: str, starts: list[int], ids: list[int]) -> np.ndarray:
-        if min(ids) >= 0:
-            return np.array(ids, np.int32)
-        return np.array([y for s, i in zip(starts, ids, strict=True) for y in ([i] if i >= 0 else self.fallback(word[s]))], np.int32)
+    def finish(self, word: str, starts: list[int], ids: list[int]) -> bytes:
+        if min(ids) < 0:
+            ids = [y for s, i in zip(starts, ids, strict=True) for y in ([i] if i >= 0 else self.fallback(word[s]))]
+        return array("i", ids).tobytes()
 
-    def long_word(self, word: str) -> np.ndarray:
+    def long_word(self, word: str) -> bytes:
         """Merges by a heap; for unigram models Viterbi."""
         n = len(word)
         if self.pieces.unigram:
-            worst = min(self.pieces.score) - 10
+            worst = self.pieces.unlisted
             best, back = [0.0] + [-1e30] * n, [0] * (n + 1)
             for e in range(1, n + 1):
                 best[e], back[e] = best[e - 1] + worst, e - 1
@@ -230,21 +241,21 @@ class Encoder:
                 s = end[s]
         return self.finish(word, [s for s, _ in cut], [x[1] if (x := self.score.get(word[s:e])) else -1 for s, e in cut])
 
-    def batch(self, words: list[str]) -> list[np.ndarray]:
+    def batch(self, words: list[str]) -> list[bytes]:
         """Ids of words of up to LONG characters, by the lattice of all of them."""
         length = np.array([len(w) for w in words])
         offset = np.append(0, length.cumsum())
         letter = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        end_of = np.repeat(offset[1:], length)
         total = len(letter)
+        word_of = np.repeat(np.arange(len(words)), length)
+        room = offset[1:][word_of] - np.arange(total)  # letters to the end of the word
         hashed = np.zeros(total, np.uint64)
         single = np.full(total, -1)
         edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(1, self.longest + 1):
-            live = np.flatnonzero(np.arange(total) + k <= end_of)
-            if not len(live):
-                break
-            hashed[live] = hashed[live] * self.BASE + letter[live + k - 1] + np.uint64(1)
+        for k in range(1, min(self.longest, int(length.max(initial=0))) + 1):
+            n = total - k + 1
+            hashed = hashed[:n] * self.BASE + letter[k - 1 :] + np.uint64(1)
+            live = np.flatnonzero(self.maybe[(hashed >> np.uint64(44)).view(np.int64)] & (room[:n] >= k))
             at = np.searchsorted(self.hashes, hashed[live])
             hit = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashed[live])
             s, piece = live[hit], self.order[at[hit]]
@@ -257,60 +268,71 @@ class Encoder:
         after, ids = np.arange(1, total + 2), np.append(single, -1)
         if edges:
             s, e, piece = (np.concatenate(x) for x in zip(*edges, strict=True))
-            word = np.searchsorted(offset, s, "right") - 1
-            by = np.lexsort((s, -self.scores[piece], word))
+            word = word_of[s]
+            by = np.argsort(((word << 16 | self.rank[piece]) << 24) | s)  # by word, score and start
             s, e, piece, word = s[by], e[by], piece[by], word[by]
             while len(s):
                 middle = after[s]
                 ready = np.flatnonzero((middle > 0) & (middle < e) & (after[np.minimum(middle, total)] == e))
                 if not len(ready):
                     break
-                _, first = np.unique(word[ready], return_index=True)
-                pick = ready[first]
+                pick = ready[np.append(True, np.diff(word[ready]) > 0)]  # the first of each word
                 after[middle[pick]] = -1
                 after[s[pick]] = e[pick]
                 ids[s[pick]] = self.ids[piece[pick]]
                 # an edge stays open while it starts and ends at borders and is longer than its first segment
                 border = after > 0
                 border[offset] = True
-                keep = border[s] & border[e] & (after[s] < e) & np.isin(word, word[pick])
+                goes_on = np.zeros(len(words), bool)
+                goes_on[word[pick]] = True
+                keep = border[s] & border[e] & (after[s] < e) & goes_on[word]
                 s, e, piece, word = s[keep], e[keep], piece[keep], word[keep]
         start = np.flatnonzero(after[:total] > 0)
         cut = np.searchsorted(start, offset)
-        out = []
-        for i, w in enumerate(words):
+        flat = ids[start].astype(np.int32)
+        raw, ends = flat.tobytes(), (cut * 4).tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for i in np.unique(word_of[start[flat < 0]]).tolist():  # words with a character that has no piece
             own = start[cut[i] : cut[i + 1]]
-            out.append(self.finish(w, (own - offset[i]).tolist(), ids[own].tolist()))
+            out[i] = self.finish(words[i], (own - offset[i]).tolist(), ids[own].tolist())
         return out
 
     def learn(self, words: set[str]) -> None:
-        if len(self.own) + len(words) > self.MOST:
-            self.own.clear()
         short = [w for w in words if len(w) <= LONG and not self.pieces.unigram]
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
-            self.own.update(zip(part, self.batch(part), strict=True))
-        self.own.update((w, self.long_word(w)) for w in words if w not in self.own)
+            self.known.update(zip(part, self.batch(part), strict=True))
+        self.known.update((w, self.long_word(w)) for w in words if w not in self.known)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         split = [re.findall(WORDS, MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for words in split for w in words if w not in self.head and w not in self.own}
+        found = [list(map(self.known.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
         if new:
             self.learn(new)
-        none = np.zeros(0, np.int32)
-        out = []
-        for words in split:
-            out.append(np.concatenate([self.head[w] if w in self.head else self.own.get(w, none) for w in words]) if words else none)
-            if words and any(w not in self.head and w not in self.own for w in words):
-                raise AssertionError("a word was not encoded")
+        out = [b"".join(map(self.known.__getitem__, words) if None in ids else ids) for words, ids in zip(split, found, strict=True)]
+        if len(self.known) > len(self.head) + self.MOST:  # only between batches: a batch needs all of its words
+            self.known = dict(self.head)
         return out
 
 
+#: The encoder of the last broadcast that this Python worker has seen, with the words that it has learnt.
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(name: str, shared: Broadcast) -> Encoder:
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(*shared.value)
+    return _encoders[name]
+
+
 def frequent_words(docs: DataFrame, most: int = HEAD) -> DataFrame:
-    """The most frequent words of the texts, ties by the word; no more than most."""
-    words = docs.select(F.explode(F.regexp_extract_all(marked(text_of()), F.lit(WORDS), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") <= LONG)
-    return counts.where((F.col("n") > 1) & ~F.col("word").startswith(MARK * 3)).orderBy(F.desc("n"), "word").limit(most).select("word")
+    """The most frequent words of the texts (what stands between white space, with a word mark), ties by the word; no more
+    than most."""
+    words = docs.select(F.explode(F.split(F.replace(text_of(), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where((F.length("word") < LONG) & (F.length("word") > 0) & ~F.col("word").contains(MARK))
+    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select(F.concat(F.lit(MARK), "word").alias("word"))
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -319,23 +341,28 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     pieces = load(model)
     head = materialise(frequent_words(docs), "head")
     known = encode_words(head.repartition("word"), pieces)
-    table = {r["word"]: np.array(r["ids"], np.int32) for r in known.toPandas().to_dict("records") if len(r["ids"]) and min(r["ids"]) >= 0}
-    shared = spark.sparkContext.broadcast((pieces, table))
+    table = {r["word"]: array("i", r["ids"]).tobytes() for r in known.toPandas().to_dict("records") if len(r["ids"]) and min(r["ids"]) >= 0}
+    shared, name = spark.sparkContext.broadcast((pieces, table)), uuid.uuid4().hex
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(*shared.value)
-        for pdf in batches:
-            start, texts = 0, list(pdf["text"])
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(name, shared)
+        for batch in batches:
+            start, texts = 0, batch.column("text").to_pylist()
             while start < len(texts):
                 end, size = start + 1, len(texts[start])
                 while end < len(texts) and size < 1_000_000:
                     size += len(texts[end])
                     end += 1
                 ids = encoder.encode(texts[start:end])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[start:end].to_numpy(), "text": texts[start:end], "n_tokens": [len(x) for x in ids], "ids": ids})
+                n_tokens = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, n_tokens.cumsum()).astype(np.int32)), flat)
+                # doc_id and text stay Arrow columns: a null beside them changes no id
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(n_tokens), lists], ["doc_id", "text", "n_tokens", "ids"])
                 start = end
 
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(encoded, "doc_id long, text string, n_tokens long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(encoded, "doc_id long, text string, n_tokens long, ids array<int>")
 
 
 def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
