@@ -9,7 +9,12 @@ import pytest
 
 from tessera.llm import exact_dedup, fingerprints, licenses, ngram_join, packing, quality, sentencepiece_lattice, suffix_dedup
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, key long, kept boolean, _block int"
+#: The columns of documents, and others whose names the operators use themselves.
+CLASHES = "sha string, key long, kept boolean, _block int, row string, id string, hash string, score string, own string, kept_text string, copies int, n int, text_hash string, node int, root int, _keep_id int, _again int"
+CLASHES += ", _tessera_keep int, _tessera_key int, _tessera_own string, _tessera_score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES
+EXTRA = tuple({"string": "x", "long": 2, "int": 5, "boolean": True}[x.split()[1]] for x in CLASHES.split(", "))
+BIG = 2**60 + 1  # no floating-point number
 
 
 def prose(r: random.Random, n: int) -> str:
@@ -32,7 +37,7 @@ ROWS = make()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", 1, "x", 2, True, 5) for i, t in ROWS], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(i, t, "en", "s", 1, *EXTRA) for i, t in ROWS], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +77,46 @@ def test_chunks_cover_the_text(spark):
     assert "".join(row.c) == text and max(map(len, row.c)) <= exact_dedup.MAX_CHUNK
 
 
+def test_stages_keep_rows_and_clashing_columns(docs, spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for out in (exact_dedup.deduplicate(docs), ngram_join.keep_one(docs), suffix_dedup.stripped(docs), quality.keep_good(docs, labels)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == EXTRA and r.lang == "en" for r in got)
+
+
+def test_exact_dedup_keeps_one_of_case_twins(spark):
+    docs = spark.createDataFrame([(5, "Hello"), (5, "hello"), (4, "HELLO"), (6, "x"), (6, "x"), (None, "y"), (None, "Y")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in exact_dedup.deduplicate(docs).collect())
+    assert got == [(0, "y"), (5, "hello"), (6, "x")]
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.annotate(docs).collect()) == Counter(
+        [(5, 5, 3, True), (5, 5, 3, False), (4, 5, 3, False), (6, 6, 2, True), (6, 6, 2, False), (None, None, 2, True), (None, None, 2, False)]
+    )
+
+
+def test_exact_dedup_of_a_hot_group(spark, monkeypatch):
+    rows = [(i, "same" if i % 3 else f"own {i // 6}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    usual = Counter(map(tuple, exact_dedup.annotate(docs).collect()))
+    for share in (1, 10**9):  # no group is hot, every group is
+        monkeypatch.setattr("tessera.llm.common.HOT_SHARE", share)
+        assert Counter(map(tuple, exact_dedup.annotate(docs).collect())) == usual
+
+
+def test_large_ids_beside_a_null(spark):
+    text = [prose(random.Random(k), 150) for k in range(3)]
+    rows = [(BIG, text[0]), (None, text[1]), (BIG + 1, text[0] + " more"), (BIG + 2, text[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ids = Counter(i for i, _ in rows)
+    assert Counter(r.doc_id for r in sentencepiece_lattice.round_trip(docs).collect()) == ids
+    assert {r.doc_id for r in packing.pack(docs).collect()} == set(ids)
+    got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
+    assert set(got) == set(ids) and got[BIG + 1].class_id == BIG and got[BIG + 1].copy_of == BIG + 1
+    assert Counter(r.doc_id for r in suffix_dedup.dedup(docs).collect()) == ids
+    assert Counter(r.doc_id for r in fingerprints.compare(docs).collect()) == ids
+    assert Counter(r.doc_id for r in exact_dedup.annotate(docs).collect()) == ids
+
+
 def similar(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -123,6 +168,9 @@ def test_ngram_join_cuts_large_groups(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {39}
+    monkeypatch.setattr(ngram_join, "SPREAD", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS", 10)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
 
 
 def test_pruning_table_keeps_what_is_likely():
@@ -151,6 +199,31 @@ def test_suffix_dedup(docs, empty):
     assert out.columns == docs.columns and out.count() == len(ROWS)
 
 
+def test_interleave_is_the_sorted_order():
+    r = random.Random(1)
+    base = "".join(r.choice("abc") for _ in range(40))
+    contexts = ["".join(r.choice("ab") for _ in range(r.randint(0, 30))) + base[r.randint(0, 10) : r.randint(20, 40)] for _ in range(60)]
+    contexts = [c.encode() for c in [*contexts, "", *["ab" * 16] * 3, "é" * 20]]
+    step, begin, symbols = suffix_dedup.STEP, 0, {}
+    for k, c in enumerate(contexts):
+        for at in range(len(c) + 1):
+            whole = [(1, c[p : p + step]) for p in range(at, len(c) - step + 1, step)]
+            symbols[begin + at] = [*whole, (0, k, at + step * len(whole))]  # what is left is less than any symbol, and like no other
+        begin += len(c) + 1
+    for cuts in ([65], [20, 35, 65], list(range(1, 66))):
+        shards = [contexts[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        built = [suffix_dedup.transform(x) for x in shards]
+        first = [sum(len(c) + 1 for x in shards[:k] for c in x) for k in range(len(shards))]
+        where = [at + b for t, b in zip(built, first, strict=True) for at in t.order.tolist()]
+        for depth in (1, 3, 12):
+            suffix, common, _ = suffix_dedup.interleave(built, depth)
+            order = [symbols[where[x]] for x in suffix.tolist()]
+            assert sorted(where[x] for x in suffix.tolist()) == sorted(symbols)
+            for a, b, n in zip(order, order[1:], common[1:].tolist(), strict=False):
+                assert a[:depth] <= b[:depth]
+                assert n == min(depth, next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y))
+
+
 def test_suffix_dedup_hot_groups(docs, monkeypatch):
     usual = Counter(map(tuple, suffix_dedup.dedup(docs).select("doc_id", "n_removed", "kept_sha256").collect()))
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
@@ -298,17 +371,39 @@ def test_sentencepiece_folds_agree(spark):
     encoder = sentencepiece_lattice.Encoder(pieces, {})
     words = sorted({"▁" + "".join(r.choice("aehinorst") for _ in range(r.randint(1, 14))) for _ in range(500)})
     encoder.learn(set(words))
+    numbers = lambda raw: list(memoryview(raw).cast("i"))
     got = sentencepiece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()
     assert len(got) == len(words)
     for row in got:
-        assert row.ids == encoder.own[row.word].tolist() == encoder.long_word(row.word).tolist()
+        assert row.ids == numbers(encoder.known[row.word]) == numbers(encoder.long_word(row.word))
+
+
+def test_sentencepiece_forgets_words(monkeypatch):
+    """Words that an earlier batch has learnt are there in a batch that fills the memory."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
+    monkeypatch.setattr(sentencepiece_lattice.Encoder, "MOST", 4)
+    encoder = sentencepiece_lattice.Encoder(sentencepiece_lattice.load(), {})
+    r = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(r.choice("one two three four five six seven eight nine ten".split()) for _ in range(r.randint(0, 6))) for _ in range(3)]
+        assert [list(memoryview(x).cast("i")) for x in encoder.encode(texts)] == [sp.encode(t) for t in texts]
+        assert len(encoder.known) <= 4
+
+
+def test_viterbi_of_unlisted_characters(spark):
+    pieces = sentencepiece_lattice.Pieces(["a", "b", "aab"], [0, 1, 2], [-1.0, -2.0, -30.0], [-1] * 256, 6, [], True)
+    got = {r.word: r.ids for r in sentencepiece_lattice.encode_words(spark.createDataFrame([("axb",), ("aab",), ("xxa",)], "word string"), pieces).collect()}
+    encoder = sentencepiece_lattice.Encoder(pieces, {})
+    assert {w: [x if x >= 0 else 6 for x in i] for w, i in got.items()} == {w: list(memoryview(encoder.long_word(w)).cast("i")) for w in got}
 
 
 def test_viterbi_fold(spark):
     pieces = sentencepiece_lattice.Pieces(["a", "b", "ab", "abc", "c", "bc"], [0, 1, 2, 3, 4, 5], [-2.5, -2.25, -3.0, -9.5, -1.5, -2.0], [-1] * 256, 6, [], True)
     got = {r.word: r.ids for r in sentencepiece_lattice.encode_words(spark.createDataFrame([("abc",), ("ab",), ("cab",), ("aab",)], "word string"), pieces).collect()}
     encoder = sentencepiece_lattice.Encoder(pieces, {})
-    assert got == {w: encoder.long_word(w).tolist() for w in got}
+    assert got == {w: list(memoryview(encoder.long_word(w)).cast("i")) for w in got}
     assert got["abc"] == [0, 5]  # as good as ab, c: the longer last piece
 
 
