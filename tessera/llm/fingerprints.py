@@ -113,19 +113,19 @@ def compare(docs: DataFrame) -> DataFrame:
         {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", "doc_id", F.lit(11))}
     )
     order = materialise(followers(keyed.select("doc_id", "k1", "k2", F.length("text").cast("long").alias("n"))), "followers")
+    # what a text needs to be edited: the first characters of the next one, which are looked up by the next one's key
     before = order.select(F.col("next1").alias("k1"), F.col("next2").alias("k2"), F.col("k1").alias("prev1"), F.col("k2").alias("prev2"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    text = keyed.select("k1", "k2", "text").join(before, ["k1", "k2"])
-    # one copy of a repeated row speaks for all
-    heads = text.select(F.col("prev1").alias("k1"), F.col("prev2").alias("k2"), "need", F.expr("left(text, need)").alias("_head"))
-    edited = text.select("k1", "k2", "text").join(heads, ["k1", "k2"]).select("k1", "k2", F.concat(F.expr("left(text, length(text) - need)"), "_head").alias("text"))
-    keys = ["k1", "k2", "side", "sha"]
-    both = text.select("k1", "k2", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("sha"), "text").unionByName(
-        edited.select("k1", "k2", F.lit(1).alias("side"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
-    )
+    heads = keyed.select("k1", "k2", "text").join(before, ["k1", "k2"]).select(F.col("prev1").alias("k1"), F.col("prev2").alias("k2"), F.expr("left(text, need)").alias("_head"))
+    heads = heads.dropDuplicates(["k1", "k2"])  # one copy of a repeated row speaks for all
+    kept = keyed.select("k1", "k2", F.expr("left(text, length(text) - CAST(floor(length(text) / 2) AS INT))").alias("_kept"))
+    # both sides are shuffled by the key, and so the samples of an edited text are found where the join has put it
+    edited = kept.join(heads.hint("merge"), ["k1", "k2"]).select("k1", "k2", F.concat("_kept", "_head").alias("text"))
+    edited = edited.select("k1", "k2", F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     # in binary, at half the bytes, until the last projection
-    prints = materialise(fingerprint(both, keys).withColumn("fingerprint", F.unhex("fingerprint")), "fingerprints")
-    own = prints.where("side = 0").select("k1", "k2", "fingerprint")
-    changed = prints.where("side = 1").select("k1", "k2", "sha", F.col("fingerprint").alias("_edited"))
+    binary = F.unhex("fingerprint").alias("fingerprint")
+    own = materialise(fingerprint(keyed.select("k1", "k2", "text"), ["k1", "k2"]).select("k1", "k2", binary), "fingerprints")
+    changed = fingerprint(edited, ["k1", "k2", "sha"]).select("k1", "k2", "sha", F.unhex("fingerprint").alias("_edited"))
+    changed = materialise(changed, "edited")
     following = own.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("fingerprint").alias("_following"))
     return (
         order.join(own, ["k1", "k2"])
