@@ -92,19 +92,21 @@ FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 WINDOW g AS (PARTITION BY h)
 """,
     "op5_license_scan": licenses.sql(),
-    "op9_chat_formatting": """
+    "op9_chat_formatting": f"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, coalesce(turn, -1) AS k, row_number() OVER () AS row_no FROM conversations),
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, coalesce(turn, -1) AS k, row_number() OVER () AS row_no FROM conversations),
+cut AS (
+  SELECT *, CAST(floor((sum(length(said) + {chat.TURN}) OVER (PARTITION BY conv_id ORDER BY k, role, said, row_no) - length(said) - {chat.TURN}) / {chat.PART}) AS BIGINT) AS part
+  FROM said),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
 heads AS (
-  SELECT s.*, perspective, CAST(floor(coalesce(turn, 0) / 64.0) AS BIGINT) AS part, s.role = perspective AS own,
+  SELECT s.*, perspective, s.role = perspective AS own,
     CASE WHEN s.role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN s.role = 'system' THEN '<|im_start|>system' || chr(10)
          ELSE '<|im_start|>user name=' || s.role || chr(10) END AS head
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM cut s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 lines AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS line FROM heads),
-placed AS (
-  SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, perspective, part ORDER BY k, role, said, row_no) - length(line) AS place FROM lines)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(line, '' ORDER BY k, role, said, row_no) AS text,
+placed AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id, perspective ORDER BY k, role, said, row_no) - length(line) AS place FROM lines)
+SELECT conv_id, perspective, part, CAST(min(place) AS BIGINT) AS start, count(*) AS n_turns, string_agg(line, '' ORDER BY k, role, said, row_no) AS text,
   coalesce(string_agg(CAST(place + length(head) AS BIGINT) || '-' || CAST(place + length(line) - 1 AS BIGINT), ',' ORDER BY k, role, said, row_no) FILTER (WHERE own), '') AS masks,
   CAST(coalesce(sum(length(line) - 1 - length(head)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked
 FROM placed GROUP BY conv_id, perspective, part

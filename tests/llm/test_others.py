@@ -11,30 +11,58 @@ from tessera.llm.groups import components, local_roots
 TURNS = "conv_id long, turn long, role string, text string, perspective string, part int"
 
 
-def test_chat(spark):
-    rows = [
-        (1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "é😀"), (1, 2, "ann", "again"), (1, 70, "bob", None), (1, 2, "ann", "again"),
-        (2, 0, "system", "alone"), (None, None, None, "x"), (3, 5, "user", ""),
-    ]
-    got = chat.rotate(spark.createDataFrame([(*r, "p", 9) for r in rows], TURNS)).collect()
-    wanted = {}
-    for conv in {r[0] for r in rows}:
-        own = sorted((r[1] if r[1] is not None else -1, r[2] or "unknown", r[3] or "") for r in rows if r[0] == conv)
+CHATS = [
+    (1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "é😀"), (1, 2, "ann", "again"), (1, 70, "bob", None), (1, 2, "ann", "again"),
+    (2, 0, "system", "alone"), (None, None, None, "x"), (3, 5, "user", ""), (4, 0, "a", "<|im_end|>"), (4, 1, "b", "<|im_start|>a"),
+    *[(None, None, "ann" if k % 2 else "bob", f"{k % 5}") for k in range(300)], *[(7, 3, "user", "same")] * 50,
+]
+
+
+@pytest.mark.parametrize("most", [chat.PART, 9_000])
+def test_chat(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "PART", most)
+    got = chat.rotate(spark.createDataFrame([(*r, "p", 9) for r in CHATS], TURNS).repartition(3)).collect()
+    wanted, cut = {}, {}
+    for conv in {r[0] for r in CHATS}:
+        own = sorted((r[1] if r[1] is not None else -1, r[2] or "unknown", r[3] or "") for r in CHATS if r[0] == conv)
         for who in {r for _, r, _ in own} - {"system"}:
-            for turn, role, said in own:
-                text, masks = wanted.setdefault((conv, who, max(turn, 0) // 64), ["", []])
+            text, masks, weight = "", [], 0
+            for _, role, said in own:
                 head = "assistant" if role == who else "system" if role == "system" else f"user name={role}"
                 line = f"<|im_start|>{head}\n{said}<|im_end|>\n"
                 if role == who:
                     masks.append(f"{len(text) + len(line) - len(said) - 11}-{len(text) + len(line) - 1}")
-                wanted[(conv, who, max(turn, 0) // 64)] = [text + line, masks]
-    assert {(r.conv_id, r.perspective, r.part): [r.text, r.masks.split(",") if r.masks else []] for r in got} == wanted
-    for r in got:
+                cut.setdefault((conv, who, weight // most), len(text))
+                weight += len(said) + chat.TURN
+                text += line
+            wanted[(conv, who)] = text, masks
+    whole = {}
+    for r in sorted(got, key=lambda r: r.part):
+        text, masks = whole.setdefault((r.conv_id, r.perspective), ["", []])
+        assert cut.pop((r.conv_id, r.perspective, r.part)) == r.start == len(text)
+        whole[(r.conv_id, r.perspective)] = [text + r.text, masks + (r.masks.split(",") if r.masks else [])]
         spans = [tuple(map(int, m.split("-"))) for m in r.masks.split(",")] if r.masks else []
-        assert all(r.text[a:b].endswith("<|im_end|>") for a, b in spans) and r.n_masked == sum(b - a for a, b in spans)
+        assert all(r.text[a - r.start : b - r.start].endswith("<|im_end|>") for a, b in spans) and r.n_masked == sum(b - a for a, b in spans)
+        assert r.n_turns <= most // chat.TURN
+    assert {k: tuple(v) for k, v in whole.items()} == wanted and not cut
+    assert (max(r.part for r in got) > 20) == (most < chat.TURN * 20)
     assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_chat_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    result = con.execute(queries.SQL["op9_chat_formatting"])
+    names = [c[0] for c in result.description]
+    got = queries.op9_chat_formatting(spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(str, result.fetchall()))
+
+
 def test_html_cases(spark):
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a><li>News</ul></nav>
     <div class="cookie-notice"><p>We use cookies</p></div><article><h1>Big&nbsp;&amp; bold</h1><p>One<br>two   <b>three</b>
