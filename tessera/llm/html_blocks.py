@@ -8,7 +8,8 @@ ends. The weights are trained by ``html_training`` on pages that it makes up, an
 
 Defined cases: a null or empty page, and one without a main block, gives an empty text; character references are decoded
 once; white space in a block becomes one space, and line breaks count as white space; unclosed and stray tags are
-tolerated; contents of scripts, styles and the like, and of the head, are never blocks; repeated rows each get their row.
+tolerated, also a left-out </head> and an svg that never ends; contents of scripts, styles, titles and the like are never
+blocks, formulas and what stands in for an object are text; reading takes time in proportion to the page's length; repeated rows each get their row.
 Other columns are not read.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,15 +31,24 @@ PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 2048, 2048, 24, 8, 16
 EXTRA = 3  # log of characters, share of characters in links, constant
 BATCH_BLOCKS = 6_000
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics"
+INLINE = frozenset(
+    f"a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr {MATH}".split()
+)
 SPACE = frozenset(["br"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template textarea title iframe svg object select math head".split())
+#: Elements whose text is never shown as text. RAW ones hold no tags; the others may be nested.
 RAW = frozenset("script style textarea title iframe noscript".split())
+UNREAD = frozenset("template svg select annotation annotation-xml".split())
+HEAD = frozenset("head base link meta template".split()) | RAW
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments and the like, or the start of a tag with its name; every match ends where the search goes on.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag whose quotes hold no angle brackets: it reads no further than the next one.
+PLAIN = re.compile(r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+>")
+MARKS = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -57,6 +68,29 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class TagEnds:
+    """The end of a tag that is open at a given place, found for all places of a page in one backward pass.
+
+    A quote that is never closed, or whose closing leaves the tag without an end, is read as a plain character."""
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in MARKS.finditer(page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        closing: dict[str, int] = {}
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = page[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k] + 1
+                continue
+            quoted = self.ends[closing[mark] + 1] if mark in closing else -1
+            self.ends[k] = quoted if quoted >= 0 else self.ends[k + 1]
+            closing[mark] = k
+
+    def of(self, place: int) -> int:
+        """The place after the tag's end, -1 if it has none."""
+        return self.ends[bisect_left(self.places, place)]
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
@@ -64,8 +98,10 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked = 0
     in_link = 0
-    pos = 0
-    unread = ""
+    pos = at = 0  # what is read so far, and where the next token is looked for
+    unread, depth = "", 0
+    ends: TagEnds | None = None
+    last_close: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal parts, linked
@@ -75,21 +111,41 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(tuple(x for _, x in stack if x[0] not in INLINE), text, min(linked, len(text))))
             parts, linked = [], 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() < pos:
-            continue
-        if not unread and m.start() > pos:
-            parts.append(page[pos : m.start()])
-            linked += (m.start() - pos) * bool(in_link)
-        pos = m.end()
-        tag = m[2]
+    def closed_after(tag: str, place: int) -> bool:
+        if tag not in last_close:
+            last_close[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_close[tag] >= place
+
+    while m := TOKEN.search(page, at):
+        tag, begin, end, rest = m[2], m.start(), m.end(), ""
+        if tag:
+            if plain := PLAIN.match(page, end):
+                after = plain.end()
+            else:
+                ends = ends or TagEnds(page)
+                after = ends.of(end)
+            if after < 0:  # no tag: its text is read with what follows
+                at = end
+                continue
+            rest, end, tag = page[end : after - 1], after, tag.lower()
+        if not unread and begin > pos:
+            parts.append(page[pos:begin])
+            linked += (begin - pos) * bool(in_link)
+        pos = at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:  # an end tag
-            if unread:
-                unread = "" if tag == unread else unread
+        empty = rest.rstrip().endswith("/")
+        if unread:
+            if tag == unread:
+                depth += -1 if m[1] else not empty
+            elif not m[1] and tag in CLOSES_P and not closed_after(unread, pos):
+                depth = 0  # it is never closed
+            if depth:
+                continue
+            unread = ""
+            if m[1]:
                 continue
+        if m[1]:  # an end tag
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag not in INLINE:
@@ -101,23 +157,14 @@ def blocks(page: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if unread:
-            if unread == "head" and tag == "body":
-                unread = ""
-            elif unread == "head" and tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
-                continue
-            else:
-                continue
-        if tag in UNREAD and not m[3].rstrip().endswith("/"):
-            if tag not in INLINE:
-                flush()
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
-            else:
-                unread = tag
+        if stack and stack[-1][0] == "head" and tag not in HEAD:
+            stack.pop()  # its end tag may be left out
+        if tag in RAW or tag in UNREAD:
+            if tag in RAW and not empty:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+                pos = at = close.end() if close else len(page)
+            elif not empty:
+                unread, depth = tag, 1
             continue
         if tag in SPACE:
             parts.append(" ")
@@ -140,8 +187,8 @@ def blocks(page: str) -> list[Block]:
                         break
         if tag == "a":
             in_link = 1
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, path_words(tag, m[3]) if m[3] else (tag,)))
+        if tag not in VOID and not empty:
+            stack.append((tag, path_words(tag, rest) if rest else (tag,)))
     if not unread and pos < len(page):
         parts.append(page[pos:])
     flush()

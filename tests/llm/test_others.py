@@ -1,6 +1,8 @@
 """Chat formatting, HTML extraction, groups and the pipeline."""
 
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -76,6 +78,69 @@ def test_html_cases(spark):
     assert html_blocks.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+class Articles(HTMLParser):
+    """A plain reading of the test tables' pages: what stands in <article>, a block for each h1 and p."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.parts = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.parts += [""] * (tag in ("article", "h1", "p", "h2", "ul", "li", "div"))
+        self.parts[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        self.parts += [""] * (tag in ("h1", "p", "article"))
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts[-1] += data
+
+
+def test_html_extraction_equals_a_plain_reading(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_blocks.extract(pages).collect()}
+    right = 0
+    for r in pages.collect():
+        reader = Articles()
+        reader.feed(r.html or "")
+        reader.close()
+        right += got[r.page_id] == "\n".join(t for p in reader.parts if (t := " ".join(p.split())))
+    assert len(got) == pages.count() and right >= 0.99 * len(got)
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<head><title>x</title><p>Text is here", ["Text is here"]),
+        ("<html><head><title>x</title>Text is here<p>and here", ["Text is here", "and here"]),
+        ("<p>a</p><svg><g>no</g><p>rest of it", ["a", "rest of it"]),
+        ("<p>so <svg><title>t</title><text>no</text></svg> on</p>", ["so on"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>", ["so x=2 holds"]),
+        ("<object><p>in its place</p></object>", ["in its place"]),
+        ("<template><p>no</p><template>no</template>no</template><p>yes", ["yes"]),
+        ("<p title='a > b' alt=\"<p>\">q</p>", ["q"]),
+        ("<p title='never closed>q</p><p>r", ["q", "r"]),
+        ("<p>a < b and c<d</p>", ["a < b and c"]),
+        ("<p>one<script>var x = '<p>no';</script>two</p>", ["onetwo"]),
+        ("<ul><li>x<li>y</ul>z", ["x", "y", "z"]),
+        ("a &amp;lt; b &#233;\u00a0 c", ["a &lt; b é c"]),
+    ],
+)
+def test_blocks(page, wanted):
+    assert [b.text for b in html_blocks.blocks(page)] == wanted
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a \">' ", "<a x=\">\"y", "<a<", "<", "<!--", "<![CDATA[", "<svg>", "<script>", "<p '>\"", "</svg"])
+def test_blocks_of_hostile_pages_take_little_time(part):
+    start = time.process_time()
+    html_blocks.blocks(part * (400_000 // len(part)))
+    html_blocks.blocks("<p>" + part * (400_000 // len(part)) + ">'\"><p>x")
+    assert time.process_time() - start < 8
+
+
 def test_labeller_on_fresh_pages():
     blocks, pages = html_training.accuracy(html_blocks.Labeller.load(), 300, seed=991)
     assert blocks > 0.999 and pages > 0.98
