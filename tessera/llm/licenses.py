@@ -1,10 +1,17 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, twice: line by line, and with wrapped lines joined. Sentences are normalised (lower case,
-runs of other characters than letters and digits become one space) and mapped to identifiers: ``N:<licence>`` for a notice
-that names licences ("released under the MIT License", "covered by GPL v2 or MIT, see below"), ``T:<name>`` for a known sentence of a licence's own text. The
-sequence of a document's identifiers is then matched against the rules, each an ordered list of identifiers. All of
-it happens within a row: nothing is shuffled.
+A text is cut into sentences, twice: line by line, and with wrapped lines joined. The cutter knows that a full stop after "v",
+an initial or a list number ends nothing. Sentences are normalised (lower case, runs of other characters than letters and
+digits become one space, list numbers go) and mapped to identifiers:
+
+* ``T:<name>`` for a known sentence of a licence's own text, of which names that are filled in may be anything;
+* ``N:<licence>`` for each licence that a notice names ("released under the MIT License", "covered by GPL v2 or MIT, see
+  below", ``SPDX-License-Identifier: MIT OR Apache-2.0``), or that a line which holds nothing else names ("The MIT License (MIT)").
+  What a notice denies ("not licensed under") is not taken.
+
+The sequence of a document's identifiers is then matched against the rules, each an ordered list of identifiers. Of rules
+that match, one whose identifiers are part of another's gives way to it (three clauses win over two). All of it happens
+within a row: nothing is shuffled.
 
 Defined cases: a null text is empty; a text without known sentences has empty results; a sentence that repeats counts each
 time; repeated rows each get their row. Other columns are not read.
@@ -22,9 +29,9 @@ NAMES = {
     "MIT": ["mit", "expat", "x11"],
     "Apache-2.0": ["apache 2 0", "apache 2", "asl 2 0", "apache software 2 0"],
     "Apache-1.1": ["apache 1 1"],
-    "GPL-1.0": ["gnu general public 1", "gpl 1", "gpl 1 0", "gplv1"],
-    "GPL-2.0": ["gnu general public 2", "gnu gpl 2", "gnu gpl v2", "gpl 2", "gpl 2 0", "gplv2", "gpl v2", "gnu general public v2"],
-    "GPL-3.0": ["gnu general public 3", "gnu gpl 3", "gnu gpl v3", "gpl 3", "gpl 3 0", "gplv3", "gpl v3", "gnu general public v3"],
+    "GPL-1.0": ["gnu general public 1", "gnu gpl 1", "gpl 1", "gpl 1 0", "gplv1"],
+    "GPL-2.0": ["gnu general public 2", "gnu gpl 2", "gnu gpl 2 0", "gpl 2", "gpl 2 0", "gplv2", "gnu gplv2"],
+    "GPL-3.0": ["gnu general public 3", "gnu gpl 3", "gnu gpl 3 0", "gpl 3", "gpl 3 0", "gplv3", "gnu gplv3"],
     "LGPL-2.1": ["gnu lesser general public 2 1", "lgpl 2 1", "lgplv2 1", "gnu lgpl 2 1"],
     "LGPL-3.0": ["gnu lesser general public 3", "lgpl 3", "lgpl 3 0", "lgplv3", "gnu lgpl 3"],
     "AGPL-3.0": ["gnu affero general public 3", "agpl 3", "agpl 3 0", "agplv3", "gnu agpl 3"],
@@ -32,7 +39,7 @@ NAMES = {
     "BSD-3-Clause": ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"],
     "BSD": ["bsd"],
     "ISC": ["isc"],
-    "MPL-2.0": ["mozilla public 2 0", "mpl 2 0", "mpl 2"],
+    "MPL-2.0": ["mozilla public 2 0", "mozilla public 2", "mpl 2 0", "mpl 2"],
     "MPL-1.1": ["mozilla public 1 1", "mpl 1 1"],
     "EPL-1.0": ["eclipse public 1 0", "epl 1 0"],
     "EPL-2.0": ["eclipse public 2 0", "epl 2 0"],
@@ -50,118 +57,200 @@ NAMES = {
     "WTFPL": ["wtfpl"],
     "Unlicense": ["unlicense"],
     "Artistic-2.0": ["artistic 2 0"],
-    "Proprietary": ["proprietary", "commercial"],
+    "Proprietary": ["proprietarylicense", "commerciallicense"],
 }
 
-#: Sentences of licences' own texts, normalised, by which they are recognised.
+#: Licences that exist with "or any later version".
+LATER = ["GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+
+_NOTICE = "the above copyright notice and this permission notice"
+#: Sentences of licences' own texts, normalised, as patterns; what is filled in is bounded.
 SENTENCES = {
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "gpl2-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl3-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "reserved": "all rights reserved",
+    "mit-grant": "^permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "mit-notice": f"^{_NOTICE} shall be included in all copies or substantial portions of the software$",
+    "as-is": "^the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "boost-grant": "^permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "apache-except": "you may not use this (?:file|software|work) except in compliance with the license$",
+    "apache-copy": "^you may obtain a copy of the license at http",
+    "apache-basis": "^unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    "gpl-terms": "redistribute it and or modify it under the terms of the gnu general public license",
+    "lgpl-terms": "redistribute it and or modify it under the terms of the gnu lesser general public license",
+    "agpl-terms": "redistribute it and or modify it under the terms of the gnu affero general public license",
+    "version-1-later": "version 1 of the license orlater",
+    "version-2-later": "version 2 of the license orlater",
+    "version-2.1-later": "version 2 1 of the license orlater",
+    "version-3-later": "version 3 of the license orlater",
+    "version-2": "version 2 of the license$",
+    "version-2.1": "version 2 1 of the license$",
+    "version-3": "version 3 of the license$",
+    "gpl-warranty": "^this (?:program|library|software) is distributed in the hope that it will be useful but without any warranty",
+    "bsd-grant": "^redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met$",
+    "bsd-source": "^redistributions? of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer$",
+    "bsd-binary": "^redistributions? in binary form must reproduce the (?:above )?copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution$",
+    "bsd-endorse": "^(?:neither the names? of .{1,120} nor the names of (?:its|any|their|the) .{0,20}contributors|the names? of .{1,120}) may (?:not )?be used to endorse or promote products derived from this software without specific prior written permission$",
+    "bsd-advert": "^all advertising materials mentioning features or use of this software must display the following acknowledge?ment$",
+    "isc-grant": f"^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that {_NOTICE} appear in all copies$",
+    "zlib-grant": "^permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions$",
+    "mpl-header": "^this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0$",
+    "unlicense": "^this is free and unencumbered software released into the public domain$",
+    "wtfpl": "^you just do what the fuck you want to$",
+    "cc0-deed": "has (?:dedicated|waived) .{0,80}the work to the public domain",
+    "reserved": "^all rights reserved$",
 }
 
 #: Licences of texts that come as a sequence of sentences.
-SEQUENCES = {
-    "MIT": ["T:mit-notice", "T:as-is"],
-    "Apache-2.0": ["T:apache-header", "T:apache-basis"],
-    "GPL-2.0": ["T:gpl2-header", "T:gpl-warranty"],
-    "GPL-3.0": ["T:gpl3-header", "T:gpl-warranty"],
-    "BSD-2-Clause": ["T:bsd-source", "T:bsd-binary"],
-    "BSD-3-Clause": ["T:bsd-source", "T:bsd-binary", "T:bsd-endorse"],
-    "ISC": ["T:isc-grant"],
-    "MPL-2.0": ["T:mpl-header"],
-    "Unlicense": ["T:unlicense"],
-}
+SEQUENCES = [
+    ("MIT", ["mit-grant", "as-is"]),
+    ("MIT", ["mit-notice", "as-is"]),
+    ("Apache-2.0", ["apache-except", "apache-copy"]),
+    ("Apache-2.0", ["apache-except", "apache-basis"]),
+    ("GPL-1.0-or-later", ["gpl-terms", "version-1-later"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "version-2-later"]),
+    ("GPL-3.0-or-later", ["gpl-terms", "version-3-later"]),
+    ("GPL-2.0", ["gpl-terms", "version-2"]),
+    ("GPL-3.0", ["gpl-terms", "version-3"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "version-2.1-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "version-3-later"]),
+    ("LGPL-2.1", ["lgpl-terms", "version-2.1"]),
+    ("LGPL-3.0", ["lgpl-terms", "version-3"]),
+    ("AGPL-3.0-or-later", ["agpl-terms", "version-3-later"]),
+    ("AGPL-3.0", ["agpl-terms", "version-3"]),
+    ("BSD-2-Clause", ["bsd-source", "bsd-binary"]),
+    ("BSD-3-Clause", ["bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-4-Clause", ["bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
+    ("ISC", ["isc-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("MPL-2.0", ["mpl-header"]),
+    ("Unlicense", ["unlicense"]),
+    ("WTFPL", ["wtfpl"]),
+    ("CC0-1.0", ["cc0-deed"]),
+]
+
+VERBS = "(?:licen[sc]ed|released|distributed|published|available|provided|free|covered|governed|redistributed|used)"
+#: Every known sentence and every notice holds this (tested), in whatever way its words are parted; the rest is not looked at.
+HINT = rf"licen|permission|warrant|public[^a-z0-9]+domain|reserved|redistribution|advertising|what[^a-z0-9]+the[^a-z0-9]+fuck|the names?[^a-z0-9]+of|copyright[^a-z0-9]+notice|{VERBS}[^a-z0-9]+(?:for[^a-z0-9]+use[^a-z0-9]+)?(?:under|by)"
+#: Read before sentences are cut: full stops and colons that end none, and marks that would get lost.
+BEFORE = [
+    (r"(?m)^[ \t]*(?:[#*;%>|]+|//+|--+)[ \t]*", ""),  # comment marks
+    (r"([0-9])\+", "$1 or later "),
+    (r"\b(v|ver|vers|no|inc|ltd|corp|e\.g|i\.e|[a-z])\.[ \t]", "$1 "),
+    (r"(?m)^[ \t]*([0-9]{1,2})\.[ \t]", "$1 "),
+    (r"(licen[sc]es?|identifier)[ \t]*:", "$1 "),
+]
+CUT = r"([.!?:;])\s+|\n"
+#: Read in sentences once they are normalised.
+AFTER = [
+    (r"^(?:[0-9]{1,2}|[a-d]|i{1,3}) ", ""),
+    (r"\bor (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?\b", "orlater"),
+    (r"\borlater of the license\b", "orlater"),
+]
+DENIED = rf"\b(?:not|never|cannot|nor|no longer|neither) (?:[a-z]+ )?(?:[a-z]+ )?{VERBS} (?:for use )?(?:under|by)\b"
+#: Where a notice cites licences: all known names in the rest (the group) count.
+CITING = rf"(?:^spdx license identifier|\b{VERBS} (?:for use )?under|\b(?:covered|governed) by) (.+)$"
+#: Publishers and makers stand after these too, so that the rest (the group) must be names and no more.
+BY = rf"\b{VERBS} (?:for use )?by (.{{2,80}})$"
+#: A line of names and nothing else, as long as it says "license" (the group).
+ALONE = r"^(.{0,60}licen[sc]e.{0,60})$"
+#: Read in what is cited: "commercial" and "proprietary" are names before "license" and alone; words that say nothing go.
+CITED = [
+    (r"\b(proprietary|commercial)(?: licen[sc]e\b| or\b| and\b|$)", "$1license "),
+    (r"(?:\b[0-9]{1,2} )?\b(?:january|february|march|april|may|june|july|august|september|october|november|december) [0-9]{4}\b", " "),
+    (r"\b(?:spdx|identifier|licen[sc]es?|licensed|version|the|only|terms|and conditions|dual|an?|of|under)\b", " "),
+    (r"\bv ?([0-9])", "$1"),
+    (r" +", " "),
+]
+
+
+def names() -> dict[str, str]:
+    """Cited name to licence, with those of later versions."""
+    plain = {name: licence for licence, some in NAMES.items() for name in some}
+    return plain | {f"{name} orlater": f"{licence}-or-later" for name, licence in plain.items() if licence in LATER}
+
+
+def _any_name() -> str:
+    return "|".join(sorted(names(), key=lambda n: (-len(n), n)))
+
 
-#: A notice as the SQL reads it: of bounded length, with one name for the whole rest. The operator reads more, see below.
-NOTICE = (
-    r"^(?:spdx license identifier|(?:.{0,60} )?(?:licen[sc]ed|released|distributed|published|available|provided|made available|free|covered|governed|redistributed|used) "
-    r"(?:for use )?(?:under|by)) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?(.{2,80})$"
-)
-#: Words of a name that say nothing.
-FILLERS = r"\b(?:licen[sc]e|licen[sc]es|version|the|only|or later|terms)\b"
-#: A v before a number says nothing either.
-V_NUMBER = r"\bv ?([0-9])"
+def name_pattern() -> str:
+    """Known names, the longest first, with the number that goes on, which makes it another version (the group)."""
+    return rf"\b((?:{_any_name()})(?: [0-9]{{1,2}})?)\b"
+
+
+def only_names() -> str:
+    return rf"^(?:(?:{_any_name()})(?: or\b| and\b| with\b)? ?)+$"
 
 
 def rules() -> list[tuple[str, list[str]]]:
     """Licence and its ordered identifiers: one of a notice for each name, and the sequences."""
-    return [(licence, [f"N:{licence}"]) for licence in NAMES] + list(SEQUENCES.items())
+    return [(licence, [f"N:{licence}"]) for licence in sorted(set(names().values()))] + [(licence, [f"T:{x}" for x in some]) for licence, some in SEQUENCES]
 
 
-#: What the SQL looks at; some notices have none of these.
-HINTS = ["licen", " under", "permission", "warrant", "public domain", "reserved", "redistribution"]
+def rule_pattern(wanted: list[str]) -> str:
+    return " " + " (?:.* )?".join(x.replace(".", r"\.") for x in wanted) + " "
 
-VERBS = "(?:licen[sc]ed|released|distributed|published|available|provided|free|covered|governed|redistributed|used)"
-#: Where a notice cites licences, normalised: all known names in the rest (the group) count.
-CITING = rf"(?:^spdx license identifier|\b{VERBS} (?:for use )?under|\b(?:covered|governed) by) (.+)$"
-#: Publishers and makers stand after these too, so that the rest (the group) must be a name and no more.
-BY = rf"\b{VERBS} (?:for use )?by (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?(.{{2,80}})$"
-#: Common words, names only where they stand alone or before "license".
-COMMON = r"\b(?:proprietary|commercial)\b(?! licen[sc]e| or | and |$)"
-#: Known names, the longest first; a version that goes on is another one.
-CITED = r"\b(" + "|".join(sorted((n for some in NAMES.values() for n in some), key=lambda n: (-len(n), n))) + r")\b(?! [0-9]{1,2}\b)"
-#: Every known sentence and every notice holds this (tested), in whatever way its words are parted; the rest is not looked at.
-HINT = rf"licen|permission|warrant|public[^a-z0-9]+domain|reserved|redistribution|{VERBS}[^a-z0-9]+(?:for[^a-z0-9]+use[^a-z0-9]+)?(?:under|by)"
+
+def gives_way(licence: str, hits: dict[str, list[list[str]]]) -> list[str]:
+    """Licences whose rules hold all identifiers of a rule of this one, and more: where they match, it doesn't count."""
+    own = hits[licence]
+    more = [other for other, some in hits.items() if other != licence and any(set(a) < set(b) for a in own for b in some)]
+    return more + [other for other in hits if licence == "BSD" and other.startswith("BSD-")]
 
 
-def hinted(lowered: Column) -> Column:
-    return lowered.rlike(HINT)
+def by_licence() -> dict[str, list[list[str]]]:
+    out: dict[str, list[list[str]]] = {}
+    for licence, wanted in rules():
+        out.setdefault(licence, []).append(wanted)
+    return out
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, r"[^a-z0-9]+", " "))
+def replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def identifiers(sentences: Column) -> Column:
-    """The identifiers of the known sentences among lower-case sentences, in order; of one that cites several, with spaces."""
-    names = {name: f"N:{licence}" for licence, some in NAMES.items() for name in some}
-    known = {text: f"T:{k}" for k, text in SENTENCES.items()}
-    of_name, of_text = (F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) for d in (names, known))
-
-    def plain(cited: Column) -> Column:
-        cited = F.regexp_replace(F.regexp_replace(F.regexp_replace(cited, COMMON, " "), FILLERS, " "), V_NUMBER, "$1")
-        return F.trim(F.regexp_replace(cited, " +", " "))
+    """The identifiers of the known sentences among lower-case sentences, in order; of one that has several, with spaces."""
+    of_name = F.create_map(*[F.lit(v) for kv in names().items() for v in (kv[0], f"N:{kv[1]}")])
 
     def one(s: Column) -> Column:
-        cited = F.regexp_extract_all(plain(F.regexp_extract(s, CITING, 1)), F.lit(CITED), F.lit(1))
-        several = F.concat_ws(" ", F.array_distinct(F.transform(cited, lambda x: F.try_element_at(of_name, x))))
-        return F.coalesce(F.try_element_at(of_text, s), F.when(several != "", several), F.try_element_at(of_name, plain(F.regexp_extract(s, BY, 1))))
+        known = [F.when(s.rlike(pattern), F.lit(f"T:{k}")) for k, pattern in SENTENCES.items()]
+        plain = lambda cited: F.trim(replaced(cited, CITED))
+        citing, by, alone = (plain(F.regexp_extract(s, p, 1)) for p in (CITING, BY, ALONE))
+        rest = F.when(s.rlike(DENIED), F.lit("")).when(citing != "", citing).when(by.rlike(only_names()), by).when(alone.rlike(only_names()), alone).otherwise(F.lit(""))
+        cited = F.transform(F.regexp_extract_all(rest, F.lit(name_pattern()), F.lit(1)), lambda x: F.try_element_at(of_name, x))
+        return F.concat_ws(" ", *known, F.array_distinct(F.filter(cited, lambda x: x.isNotNull())))
 
-    return F.filter(F.transform(F.filter(sentences, hinted), lambda s: one(normalised(s))), lambda x: x.isNotNull())
+    clean = lambda s: replaced(F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")), AFTER)
+    # each step once for a sentence: later steps read the array of the step before
+    hinted = F.transform(F.filter(sentences, lambda s: s.rlike(HINT)), clean)
+    return F.filter(F.transform(hinted, one), lambda x: x != "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, licenses (sorted, comma between), identifiers (of its sentences, in order), n_sentences (that are known)."""
     # a space before each line, so that the first word of a line has one before it as others have
-    ends = lambda t: F.regexp_replace(t, r"([.!?])\s+|\n", "$1\n ")
-    by_line = F.split(ends(F.col("_t")), "\n")
-    wrapped = F.split(ends(F.regexp_replace(F.regexp_replace("_t", r"\n\s*\n", ". "), r"\n", " ")), "\n")
-    lowered = docs.select("doc_id", F.lower(text_of()).alias("_t")).select("doc_id", F.when(hinted(F.col("_t")), F.col("_t")).otherwise("").alias("_t"))
-    found = lowered.select("doc_id", identifiers(by_line).alias("_lines"), identifiers(wrapped).alias("_wrapped"))
-    chain = {k: F.concat(F.lit(" "), F.concat_ws(" ", k), F.lit(" ")) for k in ("_lines", "_wrapped")}
-    hits = [
-        F.when(F.greatest(*[c.rlike(" " + " (?:.* )?".join(x.replace(".", r"\.") for x in wanted) + " ") for c in chain.values()]), F.lit(licence)) for licence, wanted in rules()
-    ]
+    cut = lambda t: F.split(F.regexp_replace(t, CUT, "$1\n "), "\n")
+    joined = F.regexp_replace(F.regexp_replace("_t", r"\n\s*\n", ". "), r"\n\s*", " ")
+    lowered = F.lower(text_of())
+    texts = docs.select("doc_id", F.when(lowered.rlike(HINT), lowered).otherwise(F.lit("")).alias("_t"))
+    texts = texts.withColumn("_t", F.when(F.col("_t") != "", replaced(F.col("_t"), BEFORE)).otherwise(F.col("_t")))
+    found = texts.select("doc_id", identifiers(cut(F.col("_t"))).alias("_lines"), identifiers(cut(joined)).alias("_wrapped"))
+    some = F.size("_lines") + F.size("_wrapped") > 0
+    chain = [F.concat(F.lit(" "), F.concat_ws(" ", k), F.lit(" ")) for k in ("_lines", "_wrapped")]
+    hits = by_licence()
+    matched = F.array_compact(
+        F.array(*[F.when(F.greatest(*[c.rlike("|".join(map(rule_pattern, some_rules))) for c in chain]), F.lit(licence)) for licence, some_rules in hits.items()])
+    )
+    found = found.withColumn("_hits", F.when(some, matched).otherwise(F.array().cast("array<string>")))
+    stays = [F.when(F.array_contains("_hits", licence) & ~F.arrays_overlap("_hits", F.array(*map(F.lit, more))), F.lit(licence)) for licence in hits if (more := gives_way(licence, hits))]
+    yielding = [licence for licence in hits if gives_way(licence, hits)]
+    left = F.concat(F.filter("_hits", lambda x: ~x.isin(yielding)), F.array_compact(F.array(*stays)))
     longer = F.when(F.size("_lines") >= F.size("_wrapped"), F.col("_lines")).otherwise(F.col("_wrapped"))
-    none = F.size("_lines") + F.size("_wrapped") == 0
     return found.select(
         "doc_id",
-        F.when(none, F.lit("")).otherwise(F.concat_ws(",", F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))))).alias("licenses"),
+        F.when(some, F.concat_ws(",", F.array_sort(left))).otherwise(F.lit("")).alias("licenses"),
         F.concat_ws(" ", longer).alias("identifiers"),
         F.size(longer).cast("long").alias("n_sentences"),
     )
@@ -170,31 +259,47 @@ def scan(docs: DataFrame) -> DataFrame:
 def sql() -> str:
     """The same for DuckDB."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    as_map = lambda d: "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in d.items()) + "}"
-    names = as_map({name: f"N:{licence}" for licence, some in NAMES.items() for name in some})
-    known = as_map({text: f"T:{k}" for k, text in SENTENCES.items()})
-    hint = lambda t: "(" + " OR ".join(f"contains({t}, {quote(h)})" for h in HINTS) + ")"
-    ends = lambda t: f"string_split(regexp_replace({t}, '([.!?])\\s+|\\n', '\\1\n ', 'g'), '\n')"
-    plain = "trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))"
-    cited = (
-        f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract({plain}, {quote(NOTICE)}, 1), {quote(FILLERS)}, ' ', 'g'), {quote(V_NUMBER)}, '\\1', 'g'), ' +', ' ', 'g'))"
+
+    def steps(t: str, some: list[tuple[str, str]]) -> str:
+        for pattern, by in some:
+            t = f"regexp_replace({t}, {quote(pattern)}, {quote(by.replace('$', chr(92)))}, 'g')"
+        return t
+
+    of_name = "MAP {" + ", ".join(f"{quote(k)}: {quote('N:' + v)}" for k, v in names().items()) + "}"
+    cut = lambda t: f"string_split(regexp_replace({t}, {quote(CUT)}, '\\1\n ', 'g'), '\n')"
+    clean = steps("trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))", AFTER)
+    plain = lambda p: f"trim({steps(f'regexp_extract(s, {quote(p)}, 1)', CITED)})"
+    only = lambda t: f"regexp_matches({t}, {quote(only_names())})"
+    known = ", ".join(f"CASE WHEN regexp_matches(s, {quote(p)}) THEN {quote('T:' + k)} END" for k, p in SENTENCES.items())
+    rest = (
+        f"CASE WHEN regexp_matches(s, {quote(DENIED)}) THEN '' WHEN {plain(CITING)} <> '' THEN {plain(CITING)} WHEN {only(plain(BY))} THEN {plain(BY)} "
+        f"WHEN {only(plain(ALONE))} THEN {plain(ALONE)} ELSE '' END"
     )
-    of = f"list_filter(list_transform(list_filter(@, lambda s: {hint('s')}), lambda s: coalesce(element_at(known, {plain})[1], element_at(names, {cited})[1])), lambda x: x IS NOT NULL)"
-    wrapped = "regexp_replace(regexp_replace(t, '\\n\\s*\\n', '. ', 'g'), '\\n', ' ', 'g')"
-    hits = ", ".join(
-        f"CASE WHEN regexp_matches(lines_, {quote(p)}) OR regexp_matches(wrapped_, {quote(p)}) THEN {quote(licence)} END"
-        for licence, wanted in rules()
-        for p in [" " + " (?:.* )?".join(x.replace(".", r"\.") for x in wanted) + " "]
+    cited = f"list_filter(list_transform(regexp_extract_all({rest}, {quote(name_pattern())}, 1), lambda x: element_at(names, x)[1]), lambda x: x IS NOT NULL)"
+    hits = by_licence()
+    matched = ", ".join(
+        f"CASE WHEN {' OR '.join(f'regexp_matches({c}, {quote(rule_pattern(w))})' for w in some for c in ('lines_', 'wrapped_'))} THEN {quote(licence)} END" for licence, some in hits.items()
     )
-    text = f"""
-WITH maps AS (SELECT {names} AS names, {known} AS known),
+    way = " AND ".join(f"NOT (x = {quote(licence)} AND list_has_any(hits, [{', '.join(map(quote, more))}]))" for licence in hits if (more := gives_way(licence, hits)))
+    return f"""
+WITH maps AS (SELECT {of_name} AS names),
 low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-cut AS (SELECT doc_id, CASE WHEN {hint("t")} THEN t ELSE '' END AS t FROM low),
-ids AS (SELECT doc_id, {of.replace("@", ends("t"))} AS a, {of.replace("@", ends(wrapped))} AS b FROM cut, maps),
-chains AS (SELECT *, ' ' || array_to_string(a, ' ') || ' ' AS lines_, ' ' || array_to_string(b, ' ') || ' ' AS wrapped_ FROM ids)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ',') AS licenses,
-  array_to_string(CASE WHEN len(a) >= len(b) THEN a ELSE b END, ' ') AS identifiers,
-  CAST(greatest(len(a), len(b)) AS BIGINT) AS n_sentences
-FROM chains
+clean AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quote(HINT)}) THEN {steps("t", BEFORE)} ELSE '' END AS t FROM low),
+two AS (
+  SELECT doc_id, 1 AS way, unnest({cut("t")}) AS s, generate_subscripts({cut("t")}, 1) AS i FROM clean WHERE t <> '' UNION ALL
+  SELECT doc_id, 2, unnest({cut("u")}), generate_subscripts({cut("u")}, 1)
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '\n\\s*\n', '. ', 'g'), '\n\s*', ' ', 'g') AS u FROM clean WHERE t <> '')),
+sentences AS (SELECT doc_id, way, i, {clean} AS s FROM two WHERE regexp_matches(s, {quote(HINT)})),
+read_ AS (SELECT doc_id, way, i, list_filter([{known}], lambda x: x IS NOT NULL) AS a, {cited} AS b FROM sentences, maps),
+ids AS (
+  SELECT doc_id, way, i, array_to_string(a || list_filter(b, lambda x, k: list_position(b, x) = k), ' ') AS id FROM read_ WHERE len(a) + len(b) > 0),
+chains AS (
+  SELECT doc_id, coalesce(string_agg(id, ' ' ORDER BY i) FILTER (WHERE way = 1), '') AS one, coalesce(string_agg(id, ' ' ORDER BY i) FILTER (WHERE way = 2), '') AS two_,
+    count(*) FILTER (WHERE way = 1) AS n1, count(*) FILTER (WHERE way = 2) AS n2
+  FROM ids GROUP BY doc_id),
+found AS (
+  SELECT *, list_filter([{matched}], lambda x: x IS NOT NULL) AS hits FROM (SELECT *, ' ' || one || ' ' AS lines_, ' ' || two_ || ' ' AS wrapped_ FROM chains))
+SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(hits, lambda x: {way})), ','), '') AS licenses,
+  coalesce(CASE WHEN n1 >= n2 THEN one ELSE two_ END, '') AS identifiers, CAST(coalesce(greatest(n1, n2), 0) AS BIGINT) AS n_sentences
+FROM low LEFT JOIN found USING (doc_id)
 """
-    return text
