@@ -288,7 +288,7 @@ clean AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quote(HINT)}) THEN {steps(
 two AS (
   SELECT doc_id, 1 AS way, unnest({cut("t")}) AS s, generate_subscripts({cut("t")}, 1) AS i FROM clean WHERE t <> '' UNION ALL
   SELECT doc_id, 2, unnest({cut("u")}), generate_subscripts({cut("u")}, 1)
-  FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '\n\\s*\n', '. ', 'g'), '\n\s*', ' ', 'g') AS u FROM clean WHERE t <> '')),
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '\n\\s*\n', '. ', 'g'), '\n\\s*', ' ', 'g') AS u FROM clean WHERE t <> '')),
 sentences AS (SELECT doc_id, way, i, {clean} AS s FROM two WHERE regexp_matches(s, {quote(HINT)})),
 read_ AS (SELECT doc_id, way, i, list_filter([{known}], lambda x: x IS NOT NULL) AS a, {cited} AS b FROM sentences, maps),
 ids AS (
