@@ -82,3 +82,29 @@ def locator_parts(locator: Column) -> Column:
     """struct(season, episode) of s<S>e<E>; nulls for any other locator."""
     form = "^s([0-9]+)e([0-9]+)$"
     return F.struct(F.regexp_extract(locator, form, 1).try_cast("long").alias("season"), F.regexp_extract(locator, form, 2).try_cast("long").alias("episode"))
+
+
+#: The hosts that catalogues answer on.
+OFFICIAL_HOSTS = {
+    "anidb": ["anidb.net", "api.anidb.net"],
+    "anilist": ["anilist.co", "graphql.anilist.co"],
+    "imdb": ["imdb.com", "www.imdb.com"],
+    "kitsu": ["kitsu.app", "kitsu.io"],
+    "mal": ["myanimelist.net", "api.myanimelist.net"],
+    "tmdb": ["themoviedb.org", "www.themoviedb.org", "api.themoviedb.org"],
+    "tvdb": ["thetvdb.com", "www.thetvdb.com", "api4.thetvdb.com"],
+}
+
+
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1))
+    return F.when(host != "", host)
+
+
+def official_host(url: Column, operator: Column) -> Column:
+    """Whether a URL's host is exactly one of its operator's, or, without an operator, of any catalogue's."""
+    of = F.create_map(*[x for k, hosts in OFFICIAL_HOSTS.items() for x in (F.lit(k), F.array(*map(F.lit, hosts)))])
+    every = F.array(*[F.lit(h) for hosts in OFFICIAL_HOSTS.values() for h in hosts])
+    allowed = F.when(operator.isNull(), every).otherwise(F.try_element_at(of, F.lower(operator)))
+    return F.coalesce(F.array_contains(allowed, host_of(url)), F.lit(False))

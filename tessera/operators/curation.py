@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scores import source_rank
 from tessera.operators.graph import first_of
 
+#: The curated sources.
 CURATED = ["llm-research", "llm-verified", "community", "manual"]
 
 
@@ -79,6 +80,7 @@ def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def settle(decisions: DataFrame) -> DataFrame:
-    """State of each candidate after its log: the last decision; those without stay open. decisions: candidate_id, at, verdict."""
-    last = decisions.groupBy("candidate_id").agg(F.max(F.struct("at", "verdict")).alias("d"))
-    return last.select("candidate_id", F.coalesce("d.verdict", F.lit("open")).alias("status"))
+    """State of each candidate after its log: only an open one can be decided on, so the first decision stays, of one time
+    that with the smallest id; those without stay open. decisions: candidate_id, at, decision_id, verdict."""
+    first = F.min_by("verdict", F.when(F.col("verdict").isNotNull(), F.struct("at", "decision_id")))
+    return decisions.groupBy("candidate_id").agg(F.coalesce(first, F.lit("open")).alias("status"))

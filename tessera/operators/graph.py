@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from tessera.functions.scores import source_rank
 
 
+#: The anime catalogues.
+ANIME = ["anidb", "anilist", "kitsu", "mal"]
+
+
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "_rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
@@ -134,14 +138,15 @@ def coverage_verdicts(coverage: DataFrame) -> DataFrame:
 
 
 def media_kind(titles: DataFrame) -> DataFrame:
-    """Kind of a group by its services: any anime catalogue, else a series id, else a film. titles: group_id, service, native."""
-    anime = F.bool_or(F.col("service").isin("anilist", "kitsu", "mal"))
-    return titles.groupBy("group_id").agg(F.when(anime, "anime").when(F.bool_or(F.col("native").startswith("tv:")), "tv").otherwise("film").alias("media_kind"))
+    """Kind of a group by its services: any anime catalogue, else a series of TMDB's, else a film. titles: group_id, service, native."""
+    anime = F.bool_or(F.col("service").isin(ANIME))
+    series = F.bool_or((F.col("service") == "tmdb") & F.col("native").startswith("tv:"))
+    return titles.groupBy("group_id").agg(F.when(anime, "anime").when(series, "tv").otherwise("film").alias("media_kind"))
 
 
 def spine(titles: DataFrame) -> DataFrame:
-    """The titles that carry a group's order: AniList's if any, else the other anime catalogues', else TMDB's."""
-    rank = F.when(F.col("service") == "anilist", 0).when(F.col("service").isin("kitsu", "mal"), 1).when(F.col("service") == "tmdb", 2)
+    """The titles that carry a group's order: AniDB's if any, else the other anime catalogues', else TMDB's."""
+    rank = F.when(F.col("service") == "anidb", 0).when(F.col("service").isin(ANIME), 1).when(F.col("service") == "tmdb", 2)
     out = titles.withColumn("_r", rank).where("_r IS NOT NULL").withColumn("_best", F.min("_r").over(Window.partitionBy("group_id"))).where("_r = _best")
     return ranked(out, ["group_id"], ["ordinal", "title_id"], "place").select("group_id", "title_id", "place")
 

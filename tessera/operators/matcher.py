@@ -7,6 +7,8 @@ candidates that are good enough to be chosen at all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from tessera.operators.graph import ranked
 
 MID, HIGH = 0.5, 0.8
 SIDE = ["pair_id", "side"]
+SPANS = ["l_low", "l_high", "r_low", "r_high"]
 
 
 def main_sequence(stream: DataFrame) -> DataFrame:
@@ -58,21 +61,65 @@ def t1_structure(segments: DataFrame) -> DataFrame:
     return fits.where("_all = 1").select("pair_id", F.col("locator").alias("left"), F.col("r_locator").alias("right"), F.lit("high").alias("confidence"))
 
 
-def t2_by_position(segments: DataFrame) -> DataFrame:
-    """Links by cumulative place, of pairs with no disagreement and at least one agreement (date first, then title).
+def _verdict(title, r_title, air_date, r_air_date):
+    """1 where two instalments agree, -1 where they disagree, 0 without evidence: dates a day apart at most, else titles."""
+    gap = day_distance(air_date, r_air_date)
+    a, b = normalise_title(F.coalesce(title, F.lit(""))), normalise_title(F.coalesce(r_title, F.lit("")))
+    return F.when(gap.isNotNull(), F.when(gap <= 1, 1).otherwise(-1)).when((a != "") & (b != ""), F.when(a == b, 1).otherwise(-1)).otherwise(0)
+
+
+def t2_pattern(segments: DataFrame) -> DataFrame:
+    """Links of pairs that one of two transforms covers as a whole, the first that is accepted: segment numbers shifted by a
+    constant (not 0) with equal segments and sizes, else equal totals paired by cumulative place.
+
+    Accepted is what nowhere disagrees and agrees at least once. segments: pair_id, side, segment_no, pos, locator, air_date,
+    title, of the regular instalments."""
+    segment = Window.partitionBy(*SIDE).orderBy("segment_no")
+    inner = Window.partitionBy(*SIDE, "segment_no").orderBy("pos")
+    placed = segments.select(
+        *SIDE, "segment_no", "locator", "air_date", "title", F.dense_rank().over(segment).alias("index"), F.row_number().over(inner).alias("inside"),
+        F.row_number().over(Window.partitionBy(*SIDE).orderBy("segment_no", "pos")).alias("place"),
+    )
+    sizes = placed.groupBy(*SIDE, "segment_no", "index").agg(F.count("*").alias("n"))
+    first = F.min("segment_no")
+    shape = F.transform(F.sort_array(F.collect_list(F.struct("index", "segment_no", "n"))), lambda x: F.struct(x["index"], x["n"]))
+    shift = F.transform(F.sort_array(F.collect_list(F.struct("index", "segment_no"))), lambda x: x["segment_no"])
+    sides = sizes.groupBy(*SIDE).agg(shape.alias("shape"), first.alias("first"), shift.alias("numbers"), F.sum("n").alias("total"))
+    of = lambda d, c, x: d.where(F.col("side") == x).select("pair_id", *[F.col(k).alias(f"{x[0]}_{k}") for k in c])
+    both = of(sides, ["shape", "first", "numbers", "total"], "left").join(of(sides, ["shape", "first", "numbers", "total"], "right"), "pair_id")
+    relative = lambda k: F.transform(f"{k}_numbers", lambda x: x - F.col(f"{k}_first"))
+    shifted = (F.col("l_shape") == F.col("r_shape")) & (F.col("l_first") != F.col("r_first")) & (relative("l") == relative("r"))
+    fits = F.array_compact(F.array(F.when(shifted, 0), F.when(F.col("l_total") == F.col("r_total"), 1)))
+    fits = both.select("pair_id", F.explode(fits).alias("transform"))
+    columns = ["locator", "air_date", "title", "index", "inside", "place"]
+    left, right = of(placed, columns, "left").join(fits, "pair_id"), of(placed, columns, "right")
+    cells = ["index", "inside"]
+    by_segment = left.where("transform = 0").join(right, (left.pair_id == right.pair_id) & (F.col("l_index") == F.col("r_index")) & (F.col("l_inside") == F.col("r_inside"))).drop(right.pair_id)
+    by_place = left.where("transform = 1").join(right, (left.pair_id == right.pair_id) & (F.col("l_place") == F.col("r_place"))).drop(right.pair_id)
+    zipped = by_segment.unionByName(by_place).drop(*[f"{k}_{c}" for k in "lr" for c in cells])
+    judged = zipped.withColumn("_v", _verdict(F.col("l_title"), F.col("r_title"), F.col("l_air_date"), F.col("r_air_date")))
+    accepted = judged.groupBy("pair_id", "transform").agg(F.min("_v").alias("worst"), F.max("_v").alias("best")).where("worst >= 0 AND best = 1")
+    chosen = accepted.groupBy("pair_id").agg(F.min("transform").alias("transform"))
+    return judged.join(chosen, ["pair_id", "transform"], "left_semi").select(
+        "pair_id", F.col("l_locator").alias("left"), F.col("r_locator").alias("right"), F.lit("high").alias("confidence")
+    )
+
 
-    A pairing disagrees where both dates can be read and are more than a day apart, or, without dates, the titles differ."""
-    place = F.row_number().over(Window.partitionBy(*SIDE).orderBy("segment_no", "pos"))
-    all_ = segments.withColumn("place", place)
-    left = all_.where("side = 'left'").drop("side")
-    right = all_.where("side = 'right'").select("pair_id", "place", *[F.col(c).alias(f"r_{c}") for c in ("locator", "air_date", "title")])
-    both = left.join(right, ["pair_id", "place"])
-    gap = day_distance(F.col("air_date"), F.col("r_air_date"))
-    a, b = normalise_title(F.coalesce("title", F.lit(""))), normalise_title(F.coalesce("r_title", F.lit("")))
-    verdict = F.when(gap.isNotNull(), F.when(gap <= 1, 1).otherwise(-1)).when((a != "") & (b != ""), F.when(a == b, 1).otherwise(-1)).otherwise(0)
-    w = Window.partitionBy("pair_id")
-    judged = both.withColumn("_v", verdict).withColumn("_worst", F.min("_v").over(w)).withColumn("_best", F.max("_v").over(w))
-    return judged.where("_worst >= 0 AND _best = 1").select("pair_id", F.col("locator").alias("left"), F.col("r_locator").alias("right"), F.lit("high").alias("confidence"))
+def t2_episode_groups(groups: DataFrame, left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
+    """Links of pairs by the first of their catalogue's alternative orders (episode groups) that is accepted.
+
+    Of a pair's groups, those whose count is the right side's total are looked into, ``most`` at the most, in listing order; an
+    order places the left side's instalments anew. groups: pair_id, group_no, place, locator; left, right: pair_id, locator,
+    place, air_date, title."""
+    total = right.groupBy("pair_id").agg(F.count("*").alias("_total"))
+    listed = groups.groupBy("pair_id", "group_no").agg(F.count("*").alias("_n")).join(total, "pair_id").where("_n = _total")
+    detailed = ranked(listed, ["pair_id"], ["group_no"], "_place").where(F.col("_place") <= most).select("pair_id", "group_no")
+    anew = groups.join(detailed, ["pair_id", "group_no"]).join(left.select("pair_id", "locator", "air_date", "title"), ["pair_id", "locator"])
+    held = right.select("pair_id", "place", *[F.col(c).alias(f"r_{c}") for c in ("locator", "air_date", "title")])
+    both = anew.join(held, ["pair_id", "place"]).withColumn("_v", _verdict(F.col("title"), F.col("r_title"), F.col("air_date"), F.col("r_air_date")))
+    whole = both.groupBy("pair_id", "group_no").agg(F.min("_v").alias("_worst"), F.max("_v").alias("_best"), F.count("*").alias("_n"))
+    good = whole.join(total, "pair_id").where("_worst >= 0 AND _best = 1 AND _n = _total").groupBy("pair_id").agg(F.min("group_no").alias("group_no"))
+    return both.join(good, ["pair_id", "group_no"]).select("pair_id", F.col("locator").alias("left"), F.col("r_locator").alias("right"), F.lit("high").alias("confidence"))
 
 
 def units(stream: DataFrame) -> DataFrame:
@@ -96,6 +143,8 @@ def units(stream: DataFrame) -> DataFrame:
             normalise_title(titles).alias("title"),
             F.max("pos").alias("at"),
             F.count("*").alias("size"),
+            F.min(F.when(F.col("kind") == "regular", F.col("pos"))).alias("low"),
+            F.max(F.when(F.col("kind") == "regular", F.col("pos"))).alias("high"),
         )
 
     single = fold(placed, ["pos"]).drop("pos")
@@ -105,10 +154,11 @@ def units(stream: DataFrame) -> DataFrame:
 
 
 def candidates(all_units: DataFrame) -> DataFrame:
-    """Scored candidates: pair_id, left, right (locators), score, left_seq, right_seq; an equi-join within a pair.
+    """Scored candidates: pair_id, left, right (locators), score, left_seq, right_seq, and the units' spans of regular
+    instalments (l_low to r_high, null for specials); an equi-join within a pair.
 
     At least one of air date and title must be comparable; dates more than a day apart rule a candidate out."""
-    names = ("air_date", "special", "locators", "position", "runtime", "title", "seq")
+    names = ("air_date", "special", "locators", "position", "runtime", "title", "seq", "low", "high")
     side = lambda s, p: all_units.where(F.col("side") == s).select("pair_id", *[F.col(c).alias(f"{p}_{c}") for c in names])
     both = side("left", "l").join(side("right", "r"), "pair_id")
     gap = day_distance(F.col("l_air_date"), F.col("r_air_date"))
@@ -119,7 +169,7 @@ def candidates(all_units: DataFrame) -> DataFrame:
     special = F.col("l_special") | F.col("r_special")
     score = base + runtime_bonus(F.col("l_runtime"), F.col("r_runtime")) + position_bonus(F.col("l_position"), F.col("r_position"), special)
     scored = both.withColumn("score", score).where("score IS NOT NULL")
-    return scored.select("pair_id", F.col("l_locators").alias("left"), F.col("r_locators").alias("right"), "score", F.col("l_seq").alias("left_seq"), F.col("r_seq").alias("right_seq"))
+    return scored.select("pair_id", F.col("l_locators").alias("left"), F.col("r_locators").alias("right"), "score", F.col("l_seq").alias("left_seq"), F.col("r_seq").alias("right_seq"), *SPANS)
 
 
 def crossing(a: tuple, b: tuple) -> bool:
@@ -135,20 +185,30 @@ def crossing(a: tuple, b: tuple) -> bool:
     return None not in orders and orders[0] != orders[1]
 
 
-def _spans(places: dict, locators) -> tuple | None:
-    at = [places[x] for x in locators if x in places]
-    return (min(at), max(at)) if at else None
+def _whole_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each pair, from batches that are sorted by it."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        for key, part in pdf.groupby("pair_id", sort=False):
+            if held and held[0]["pair_id"].iloc[0] != key:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
 
 
-def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
-    places = [{x: p for x, p in zip(pdf[f"{s}_regular"].iloc[0], pdf[f"{s}_places"].iloc[0], strict=True)} for s in ("left", "right")]
+def _choose(pdf: pd.DataFrame) -> list[tuple]:
     taken: tuple[set, set] = (set(), set())
     held: list[tuple] = []
     out = []
-    for row in pdf.sort_values(["score", "left_seq", "right_seq"], ascending=[False, True, True]).itertuples():
+    for row in pdf.itertuples():
+        own = tuple(None if pd.isna(low) else (low, high) for low, high in ((row.l_low, row.l_high), (row.r_low, row.r_high)))
+        if row.given:
+            held.append(own)
+            continue
         if taken[0] & set(row.left) or taken[1] & set(row.right):
             continue
-        own = (_spans(places[0], row.left), _spans(places[1], row.right))
         crosses = any(crossing(own, other) for other in held)
         if not crosses:
             taken[0].update(row.left)
@@ -156,19 +216,49 @@ def _choose(pdf: pd.DataFrame) -> pd.DataFrame:
             if own != (None, None):
                 held.append(own)
         out.append((row.pair_id, list(row.left), list(row.right), row.score, "crossing" if crosses else "high" if row.score >= HIGH else "low"))
-    return pd.DataFrame(out, columns=["pair_id", "left", "right", "score", "outcome"])
+    return out
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in _whole_pairs(batches):
+        yield pd.DataFrame(_choose(pdf), columns=["pair_id", "left", "right", "score", "outcome"])
 
 
-def greedy_links(scored: DataFrame, stream: DataFrame) -> DataFrame:
-    """The greedy choice: best score first, no locator twice, nothing that crosses what is chosen.
+def greedy_links(scored: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """The greedy choice: best score first, no locator twice, nothing that crosses what is chosen or what earlier tiers placed.
 
     outcome: high, low (to be reviewed), or crossing (dropped, but it had a counterpart). Candidates under the middle band
-    can't be chosen and don't enter; a pair's candidates are one group, bounded by the product of its two streams."""
-    regular = stream.where("kind = 'regular'").groupBy("pair_id", "side").agg(F.collect_list("locator").alias("l"), F.collect_list("pos").alias("p"))
-    side = lambda s: regular.where(F.col("side") == s).select("pair_id", F.col("l").alias(f"{s}_regular"), F.col("p").alias(f"{s}_places"))
-    rows = scored.where(F.col("score") >= MID).join(side("left"), "pair_id", "left").join(side("right"), "pair_id", "left")
-    rows = rows.withColumns({f"{s}_{c}": F.coalesce(f"{s}_{c}", F.array().cast(t)) for s in ("left", "right") for c, t in (("regular", "array<string>"), ("places", "array<int>"))})
-    return rows.groupBy("pair_id").applyInPandas(_choose, "pair_id long, left array<string>, right array<string>, score double, outcome string")
+    can't be chosen and don't enter. A pair's rows stand together in score order and are read one by one; each has its units'
+    spans, so no stream is held. placed: pair_id and spans of the links that are there (l_low to r_high)."""
+    columns = ["pair_id", "left", "right", "score", "left_seq", "right_seq", *SPANS]
+    rows = scored.where(F.col("score") >= MID).select(*columns, F.lit(False).alias("given"))
+    if placed is not None:
+        none = F.array().cast("array<string>")
+        given = placed.select("pair_id", none.alias("left"), none.alias("right"), F.lit(2.0).alias("score"), F.lit(0).alias("left_seq"), F.lit(0).alias("right_seq"), *SPANS, F.lit(True).alias("given"))
+        rows = rows.unionByName(given)
+    dealt = rows.repartition("pair_id").sortWithinPartitions("pair_id", F.desc("given"), F.desc("score"), "left_seq", "right_seq")
+    return dealt.mapInPandas(_greedy, "pair_id long, left array<string>, right array<string>, score double, outcome string")
+
+
+def ladder(stream: DataFrame, segments: DataFrame, over_budget: DataFrame) -> DataFrame:
+    """Links of all three tiers: pair_id, tier, left, right (locators), confidence. A pair that is over its budget has none.
+
+    The second tier stands down where the first has placed something; the third always runs, on what is not placed yet, and
+    crosses nothing that is. stream: as above; segments: pair_id, side, segment_no, pos, number, locator, air_date, title;
+    over_budget: pair_id."""
+    paid = lambda df: df.join(over_budget.select("pair_id").distinct(), "pair_id", "left_anti")
+    stream, segments = paid(stream), paid(segments)
+    regular = segments.join(stream.where("kind = 'regular'").select(*SIDE, "locator"), [*SIDE, "locator"], "left_semi")
+    first = t1_structure(regular)
+    second = t2_pattern(regular).join(first.select("pair_id").distinct(), "pair_id", "left_anti")
+    placed = first.withColumn("tier", F.lit("t1-structure")).unionByName(second.withColumn("tier", F.lit("t2-pattern")))
+    at = lambda x: stream.where((F.col("side") == x) & (F.col("kind") == "regular")).select("pair_id", F.col("locator").alias(x), F.col("pos").alias(f"{x[0]}_low"), F.col("pos").alias(f"{x[0]}_high"))
+    spans = placed.join(at("left"), ["pair_id", "left"], "left").join(at("right"), ["pair_id", "right"], "left")
+    ends = placed.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("locator")).unionByName(placed.select("pair_id", F.lit("right").alias("side"), F.col("right").alias("locator")))
+    left_over = stream.join(ends, [*SIDE, "locator"], "left_anti")
+    third = greedy_links(candidates(units(left_over)), spans.select("pair_id", *SPANS)).where("outcome <> 'crossing'")
+    alone = placed.select("pair_id", "tier", F.array("left").alias("left"), F.array("right").alias("right"), "confidence")
+    return alone.unionByName(third.select("pair_id", F.lit("t3-episode").alias("tier"), "left", "right", F.col("outcome").alias("confidence")))
 
 
 def crossings(links: DataFrame) -> DataFrame:

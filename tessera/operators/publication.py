@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.identity import admission_error
-from tessera.operators.graph import first_of
+from tessera.operators.graph import ANIME, first_of
 
 #: Anime catalogues whose instalments can be listed; the two that film and series ids pair with.
 ENUMERABLE = ["anilist", "mal"]
@@ -138,7 +138,7 @@ def segment_kinds(titles: DataFrame) -> DataFrame:
     """Atomic for TMDB's films and for anime titles whose group holds one, else episodic. titles: title_id, group_id, service, native."""
     film = (F.col("service") == "tmdb") & F.col("native").startswith("movie:")
     beside = F.max(film).over(Window.partitionBy("group_id"))
-    return titles.select("title_id", F.when(film | (F.col("service").isin("anilist", "kitsu", "mal") & beside), "atomic").otherwise("episodic").alias("kind"))
+    return titles.select("title_id", F.when(film | (F.col("service").isin(ANIME) & beside), "atomic").otherwise("episodic").alias("kind"))
 
 
 def retire_bootstrap(assertions: DataFrame, groups: DataFrame) -> DataFrame:

@@ -157,16 +157,36 @@ def apply_imports(local: DataFrame, remote: DataFrame, overwrite: bool = False)
     )
 
 
-def sync_writes(segments: DataFrame, statuses: DataFrame, progress: DataFrame, targets: DataFrame) -> DataFrame:
-    """Write batches per user, work segment and target: status, and the furthest episode watched in the segment.
-
-    segments: work_id, segment_no, title_id, offset, locator; targets: title_id, provider, native."""
-    far = segments.join(progress, "locator").groupBy("user_id", "work_id", "segment_no").agg(F.max(F.col("offset") + 1).alias("episode"))
-    base = segments.select("work_id", "segment_no", "title_id").distinct().join(statuses, "work_id")
+def continue_watching(statuses: DataFrame, upcoming: DataFrame, most: int) -> DataFrame:
+    """Per user the works being watched that have a next instalment, the latest first, up to ``most``.
+
+    statuses: user_id, work_id, status, updated_at; upcoming: user_id, work_id, as of ``next_up``."""
+    open_ = statuses.where(F.col("status").isin("watching", "rewatching")).join(upcoming.select("user_id", "work_id").distinct(), ["user_id", "work_id"], "left_semi")
+    return ranked(open_, ["user_id"], [F.desc("updated_at"), "work_id"], "place").where(F.col("place") <= most)
+
+
+def sync_writes(segments: DataFrame, statuses: DataFrame, progress: DataFrame, ratings: DataFrame, targets: DataFrame, providers: list[str]) -> DataFrame:
+    """What each provider is sent for each user's works: kind, episode and value of each write, or a warning per segment.
+
+    A segment without a title at a provider gives a warning for it, whatever the others have; else its status, every watched
+    instalment, and the instalments' scores on the provider's scale. segments: work_id, segment_no, title_id, offset, locator; progress: user_id, locator; ratings:
+    user_id, locator, score; targets: title_id, provider, native."""
+    each = F.explode(F.array(*map(F.lit, providers))).alias("provider")
+    parts = segments.select("work_id", "segment_no", "title_id").distinct().select("*", each).join(targets, ["title_id", "provider"], "left").drop("title_id")
+    keys = ["user_id", "work_id", "segment_no", "provider", "native"]
+    owned = parts.join(statuses, "work_id")
+    mapped = owned.where("native IS NOT NULL")
+    places = segments.select("work_id", "segment_no", "locator", (F.col("offset") + 1).cast("long").alias("episode"))
+    write = lambda df, kind, episode, value: df.select(*keys, F.lit(kind).alias("kind"), episode.cast("long").alias("episode"), value.cast("string").alias("value"))
+    inside = mapped.join(places, ["work_id", "segment_no"])
+    seen = inside.join(progress.select("user_id", "locator").distinct(), ["user_id", "locator"], "left_semi")
+    scored = inside.join(ratings, ["user_id", "locator"])
+    none = F.lit(None)
     return (
-        base.join(far, ["user_id", "work_id", "segment_no"], "left")
-        .join(targets, "title_id", "left")
-        .select("user_id", "work_id", "segment_no", "provider", "native", "status", F.coalesce("episode", F.lit(0)).cast("long").alias("episode"), F.col("native").isNull().alias("unmapped"))
+        write(owned.where("native IS NULL"), "warning", none, F.lit("no_member_title"))
+        .unionByName(write(mapped, "status", none, F.col("status")))
+        .unionByName(write(seen, "progress", F.col("episode"), F.lit("watched")))
+        .unionByName(write(scored, "rating", F.col("episode"), F.when(F.col("provider") == "anilist", F.col("score") * 10).otherwise(F.col("score"))))
     )
 
 

@@ -200,9 +200,9 @@ def upsert(t: Tables) -> DataFrame:
     return c.upsert(current, e.where("event_type = 'click'").withColumn("value", -F.col("value")).drop("event_type"), ["user_id", "key"], "event_id")
 
 
-@query("T6w_settle_T15w_log_fold", "ev", "SELECT k AS candidate_id, coalesce(arg_max(event_type, ts), 'open') AS status FROM ev GROUP BY 1")
+@query("T6w_settle_T15w_log_fold", "ev", "SELECT k AS candidate_id, event_type AS status FROM ev QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, event_id) = 1")
 def settle(t: Tables) -> DataFrame:
-    return c.settle(t.events().select(F.col("k").alias("candidate_id"), F.col("ts").alias("at"), F.col("event_type").alias("verdict")))
+    return c.settle(t.events().select(F.col("k").alias("candidate_id"), F.col("ts").alias("at"), F.col("event_id").alias("decision_id"), F.col("event_type").alias("verdict")))
 
 
 @query("T16w_cascade", "titles edges", "SELECT title_id, unit_id FROM edges WHERE title_id IN (SELECT title_id FROM titles WHERE group_id % 4 <> 0)")

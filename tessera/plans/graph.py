@@ -192,23 +192,24 @@ def outcomes(t: Tables) -> DataFrame:
 
 @query(
     "A12_media_kind",
-    "titles",
-    """SELECT CAST(floor(title_id / 2) AS BIGINT) AS group_id, CASE WHEN bool_or(service IN ('anilist', 'kitsu', 'mal')) THEN 'anime' WHEN bool_or(native LIKE 'tv:%') THEN 'tv' ELSE 'film' END AS media_kind
-FROM titles GROUP BY 1""",
+    "anidb",
+    """SELECT CAST(floor(title_id / 2) AS BIGINT) AS group_id,
+  CASE WHEN bool_or(service IN ('anidb', 'anilist', 'kitsu', 'mal')) THEN 'anime' WHEN bool_or(service = 'tmdb' AND native LIKE 'tv:%') THEN 'tv' ELSE 'film' END AS media_kind
+FROM anidb GROUP BY 1""",
 )
 def kinds(t: Tables) -> DataFrame:
-    return g.media_kind(t.titles().withColumn("group_id", F.floor(F.col("title_id") / 2).cast("long")))
+    return g.media_kind(t.titles_with_anidb().withColumn("group_id", F.floor(F.col("title_id") / 2).cast("long")))
 
 
 @query(
     "X30_spine_titles",
-    "titles",
-    """+r AS (SELECT *, CASE WHEN service = 'anilist' THEN 0 WHEN service IN ('kitsu', 'mal') THEN 1 WHEN service = 'tmdb' THEN 2 END AS r FROM titles),
+    "anidb",
+    """+r AS (SELECT *, CASE WHEN service = 'anidb' THEN 0 WHEN service IN ('anilist', 'kitsu', 'mal') THEN 1 WHEN service = 'tmdb' THEN 2 END AS r FROM anidb),
 b AS (SELECT *, min(r) OVER (PARTITION BY group_id) AS best FROM r WHERE r IS NOT NULL)
 SELECT group_id, title_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY ordinal, title_id) AS INT) AS place FROM b WHERE r = best""",
 )
 def spines(t: Tables) -> DataFrame:
-    return g.spine(t.titles())
+    return g.spine(t.titles_with_anidb())
 
 
 RANKS = "list_position(['bootstrap', 't1-structure', 't2-pattern', 't3-episode', 'llm-research', 'llm-verified', 'community', 'manual'], {0}) - 1"

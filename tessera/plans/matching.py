@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators import matcher as m
 from tessera.plans.registry import query
@@ -54,7 +55,7 @@ def scored(t: Tables) -> DataFrame:
 @query("M6_greedy_links_M1_tier3")
 def greedy(t: Tables) -> DataFrame:
     s = t.stream()
-    return m.greedy_links(m.candidates(m.units(s)), s).select("pair_id", F.concat_ws(" ", "left").alias("left"), F.concat_ws(" ", "right").alias("right"), F.round("score", 6).alias("score"), "outcome")
+    return m.greedy_links(m.candidates(m.units(s))).select("pair_id", F.concat_ws(" ", "left").alias("left"), F.concat_ws(" ", "right").alias("right"), F.round("score", 6).alias("score"), "outcome")
 
 
 SEG = "seg AS (SELECT pair_id, side, CAST(pos // 4 AS INT) AS segment_no, CAST(pos % 4 AS INT) AS pos, CAST(pos + 1 AS INT) AS number, locator, air_date, title FROM stream)"
@@ -78,17 +79,64 @@ def structure(t: Tables) -> DataFrame:
     return m.t1_structure(seg(t))
 
 
+def shifted(t: Tables) -> DataFrame:
+    """Regular instalments, with the right side's segment numbers 3 higher in every fourth pair."""
+    regular = seg(t).join(t.stream().where("kind = 'regular'").select(*m.SIDE, "locator"), [*m.SIDE, "locator"], "left_semi")
+    return regular.withColumn("segment_no", F.when((F.col("pair_id") % 4 == 0) & (F.col("side") == "right"), F.col("segment_no") + 3).otherwise(F.col("segment_no")))
+
+
+AGREES = f"""CASE WHEN gap IS NOT NULL THEN CASE WHEN gap <= 1 THEN 1 ELSE -1 END WHEN a <> '' AND b <> '' THEN CASE WHEN a = b THEN 1 ELSE -1 END ELSE 0 END"""
+ZIPPED = f"""l.pair_id, l.locator AS x, r.locator AS y, abs(date_diff('day', CAST(l.air_date AS DATE), CAST(r.air_date AS DATE))) AS gap, {NORM.format("coalesce(l.title, '')")} AS a, {NORM.format("coalesce(r.title, '')")} AS b"""
+
+
+@query(
+    "M3_t2_pattern_J12",
+    "stream",
+    f"+{SEG}, " + f"""reg AS (SELECT pair_id, side, CASE WHEN pair_id % 4 = 0 AND side = 'right' THEN segment_no + 3 ELSE segment_no END AS segment_no, pos, locator, air_date, title
+  FROM seg SEMI JOIN (SELECT * FROM stream WHERE kind = 'regular') k USING (pair_id, side, locator)),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY pair_id, side ORDER BY segment_no) AS idx, row_number() OVER (PARTITION BY pair_id, side, segment_no ORDER BY pos) AS inside,
+  row_number() OVER (PARTITION BY pair_id, side ORDER BY segment_no, pos) AS place FROM reg),
+z AS (SELECT pair_id, side, min(segment_no) AS first, string_agg(n, ',' ORDER BY idx) AS sizes, sum(n) AS total,
+    string_agg(segment_no - base, ',' ORDER BY idx) AS steps
+  FROM (SELECT *, min(segment_no) OVER (PARTITION BY pair_id, side) AS base FROM (SELECT pair_id, side, segment_no, idx, count(*) AS n FROM o GROUP BY ALL)) GROUP BY 1, 2),
+f AS (SELECT l.pair_id, l.sizes = r.sizes AND l.steps = r.steps AND l.first <> r.first AS shifted, l.total = r.total AS even FROM z l JOIN z r ON l.pair_id = r.pair_id AND l.side = 'left' AND r.side = 'right'),
+j AS (SELECT 0 AS way, {ZIPPED} FROM o l JOIN o r ON l.pair_id = r.pair_id AND l.idx = r.idx AND l.inside = r.inside AND l.side = 'left' AND r.side = 'right' JOIN f ON f.pair_id = l.pair_id AND shifted
+  UNION ALL SELECT 1, {ZIPPED} FROM o l JOIN o r ON l.pair_id = r.pair_id AND l.place = r.place AND l.side = 'left' AND r.side = 'right' JOIN f ON f.pair_id = l.pair_id AND even),
+v AS (SELECT *, {AGREES} AS v FROM j),
+g AS (SELECT pair_id, min(way) AS way FROM (SELECT pair_id, way FROM v GROUP BY 1, 2 HAVING min(v) >= 0 AND max(v) = 1) GROUP BY 1)
+SELECT pair_id, x AS "left", y AS "right", 'high' AS confidence FROM v JOIN g USING (pair_id, way)""",
+)
+def pattern(t: Tables) -> DataFrame:
+    return m.t2_pattern(shifted(t))
+
+
 @query(
-    "M3_t2_by_position_J12",
+    "M4_episode_groups",
     "stream",
-    f"+{SEG}, " + f"""o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY segment_no, pos) AS place FROM seg),
-j AS (SELECT l.pair_id, l.locator AS x, r.locator AS y, abs(date_diff('day', CAST(l.air_date AS DATE), CAST(r.air_date AS DATE))) AS gap, {NORM.format("coalesce(l.title, '')")} AS a, {NORM.format("coalesce(r.title, '')")} AS b
-  FROM o l JOIN o r ON l.pair_id = r.pair_id AND l.place = r.place AND l.side = 'left' AND r.side = 'right'),
-v AS (SELECT *, CASE WHEN gap IS NOT NULL THEN CASE WHEN gap <= 1 THEN 1 ELSE -1 END WHEN a <> '' AND b <> '' THEN CASE WHEN a = b THEN 1 ELSE -1 END ELSE 0 END AS v FROM j)
-SELECT pair_id, x AS "left", y AS "right", 'high' AS confidence FROM v QUALIFY min(v) OVER (PARTITION BY pair_id) >= 0 AND max(v) OVER (PARTITION BY pair_id) = 1""",
+    f"""+sides AS (SELECT *, pos + 1 AS place FROM stream), right_ AS (SELECT * FROM sides WHERE side = 'right'), left_ AS (SELECT * FROM sides WHERE side = 'left'),
+grp AS (SELECT pair_id, k AS group_no, CASE WHEN k = 3 THEN pos + 1 ELSE (pos + k) % n + 1 END AS place, locator FROM (SELECT *, count(*) OVER (PARTITION BY pair_id) AS n FROM left_), range(5) t(k) WHERE k <> 1 OR pos > 0),
+tot AS (SELECT pair_id, count(*) AS total FROM right_ GROUP BY 1),
+d AS (SELECT pair_id, group_no FROM (SELECT pair_id, group_no, count(*) AS n FROM grp GROUP BY 1, 2) JOIN tot USING (pair_id) WHERE n = total QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY group_no) <= 3),
+j AS (SELECT group_no, {ZIPPED} FROM grp JOIN d USING (pair_id, group_no) JOIN left_ l ON l.pair_id = grp.pair_id AND l.locator = grp.locator JOIN right_ r ON r.pair_id = grp.pair_id AND r.place = grp.place),
+v AS (SELECT *, {AGREES} AS v FROM j),
+g AS (SELECT pair_id, min(group_no) AS group_no FROM (SELECT pair_id, group_no, count(*) AS n FROM v GROUP BY 1, 2 HAVING min(v) >= 0 AND max(v) = 1) JOIN tot USING (pair_id) WHERE n = total GROUP BY 1)
+SELECT pair_id, x AS "left", y AS "right", 'high' AS confidence FROM v JOIN g USING (pair_id, group_no)""",
 )
-def by_position(t: Tables) -> DataFrame:
-    return m.t2_by_position(seg(t))
+def episode_groups(t: Tables) -> DataFrame:
+    sides = t.stream().withColumn("place", F.col("pos").cast("long") + 1)
+    left, right = (sides.where(F.col("side") == x).drop("side") for x in ("left", "right"))
+    n = F.count("*").over(Window.partitionBy("pair_id"))
+    orders = left.withColumn("n", n).withColumn("group_no", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).where("group_no <> 1 OR pos > 0")
+    place = F.when(F.col("group_no") == 3, F.col("pos") + 1).otherwise((F.col("pos") + F.col("group_no")) % F.col("n") + 1)
+    return m.t2_episode_groups(orders.select("pair_id", "group_no", place.cast("long").alias("place"), "locator"), left, right)
+
+
+#: The third tier is sequential and has no SQL; ``tests/test_matching.py`` tests the ladder against brute force.
+@query("M1_ladder")
+def whole_ladder(t: Tables) -> DataFrame:
+    over = t.stream().where("pair_id % 13 = 5").select("pair_id").distinct()
+    found = m.ladder(t.stream(), seg(t), over)
+    return found.select("pair_id", "tier", F.concat_ws(" ", "left").alias("left"), F.concat_ws(" ", "right").alias("right"), "confidence")
 
 
 LINKS = """links AS (SELECT l.pair_id, l.pos AS link_id, CASE WHEN l.kind = 'regular' THEN l.pos END AS left_min, CASE WHEN l.kind = 'regular' THEN l.pos + l.pos % 2 END AS left_max,

@@ -291,11 +291,11 @@ def json_each(t: Tables) -> DataFrame:
 
 @query(
     "X29_segment_kind",
-    "titles",
-    """SELECT title_id, CASE WHEN native LIKE 'movie:%' OR (service IN ('anilist', 'kitsu', 'mal') AND EXISTS (SELECT 1 FROM titles o WHERE o.group_id = t.group_id AND o.native LIKE 'movie:%')) THEN 'atomic' ELSE 'episodic' END AS kind FROM titles t""",
+    "anidb",
+    """SELECT title_id, CASE WHEN native LIKE 'movie:%' OR (service IN ('anidb', 'anilist', 'kitsu', 'mal') AND EXISTS (SELECT 1 FROM anidb o WHERE o.group_id = t.group_id AND o.native LIKE 'movie:%')) THEN 'atomic' ELSE 'episodic' END AS kind FROM anidb t""",
 )
 def kinds(t: Tables) -> DataFrame:
-    return p.segment_kinds(t.titles())
+    return p.segment_kinds(t.titles_with_anidb())
 
 
 @query(

@@ -187,14 +187,31 @@ def formatted(t: Tables) -> DataFrame:
     return p.withColumn("f", f).select("title_id", F.col("f.id").alias("id"), F.col("f.error").alias("error"), identity.graph_member(F.col("service"), F.col("namespace"), F.col("id")).alias("member"), locator.alias("locator"))
 
 
+_HOSTS = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in identity.OFFICIAL_HOSTS.items()) + "}"
+
+
 @query(
     "F13_official_host",
-    "",
-    "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '(^|\\.)example\\.(com|org)$') AS official FROM pages",
+    "titles",
+    f"""+hosts AS (SELECT {_HOSTS} AS m), u AS (
+  SELECT title_id, CASE WHEN ordinal % 5 <> 0 THEN service END AS operator,
+    CASE ordinal % 4 WHEN 0 THEN 'https://' || m[service][1] || '/' || native WHEN 1 THEN 'http://' || upper(m[service][2]) || ':80/x' WHEN 2 THEN 'https://' || m[service][1] || '.example.org/' ELSE 'https://' || m['mal'][1] END AS url
+  FROM titles, hosts),
+h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)', 1)) AS host FROM u)
+SELECT title_id, host, coalesce(list_contains(CASE WHEN operator IS NULL THEN flatten(map_values(m)) ELSE m[operator] END, host), false) AS official FROM h, hosts""",
 )
 def official(t: Tables) -> DataFrame:
-    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
-    return t.table("pages").select("page_id", host.alias("host"), host.rlike(r"(^|\.)example\.(com|org)$").alias("official"))
+    hosts = F.create_map(*[x for k, v in identity.OFFICIAL_HOSTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    own = lambda n: F.get(F.try_element_at(hosts, F.col("service")), F.lit(n))
+    k = F.col("ordinal") % 4
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://"), own(0), F.lit("/"), F.col("native")))
+        .when(k == 1, F.concat(F.lit("http://"), F.upper(own(1)), F.lit(":80/x")))
+        .when(k == 2, F.concat(F.lit("https://"), own(0), F.lit(".example.org/")))
+        .otherwise(F.lit("https://" + identity.OFFICIAL_HOSTS["mal"][0]))
+    )
+    operator = F.when(F.col("ordinal") % 5 != 0, F.col("service"))
+    return t.titles().select("title_id", identity.host_of(url).alias("host"), identity.official_host(url, operator).alias("official"))
 
 
 @query("A22_request_estimate_A26_highest_tier", "titles", """SELECT group_id, CAST(sum(ordinal) + 3 * count(*) AS BIGINT) AS cost, sum(ordinal) + 3 * count(*) <= 250 AS within_budget,

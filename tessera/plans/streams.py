@@ -14,8 +14,12 @@ from tessera.streaming import events as s
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
+    """A fresh folder below the shared one; a temporary one only in local mode, where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
@@ -23,6 +27,13 @@ def streamed(t: Tables) -> DataFrame:
     return s.read(t.spark, t.sf_dir)
 
 
+def last_of(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's row of the last batch that changed it."""
+    values = [c for c in updates.columns if c not in (*keys, "_batch", "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("r"))
+    return last.select(*keys, "r.*")
+
+
 @query("K1_claim_once", "", "SELECT event_id, user_id FROM events")
 def once(t: Tables) -> DataFrame:
     twice = streamed(t).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery")).drop("delivery")
@@ -32,25 +43,36 @@ def once(t: Tables) -> DataFrame:
 @query(
     "K2_stale_reactivation",
     "",
-    """WITH e AS (SELECT user_id, event_type, ts FROM events WHERE event_type IN ('error', 'purchase', 'signup')),
-l AS (SELECT user_id, arg_max(event_type, ts) AS kind FROM e GROUP BY 1)
-SELECT user_id, CASE WHEN kind = 'error' THEN 'inactive' ELSE 'active' END AS status, CAST(0 AS BIGINT) AS ignored FROM l""",
+    """WITH RECURSIVE e AS (
+  SELECT user_id, event_type = 'error' AS ends, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 2 AS sub,
+    row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 10007, event_id) AS n
+  FROM events WHERE event_type IN ('error', 'purchase', 'signup')),
+f(user_id, n, status, sub, ignored) AS (
+  SELECT user_id, 1, CASE WHEN ends THEN 'inactive' ELSE 'active' END, sub, CAST(0 AS BIGINT) FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.n, CASE WHEN e.ends OR (f.status = 'inactive' AND f.sub = e.sub) THEN 'inactive' ELSE 'active' END, e.sub,
+    f.ignored + CASE WHEN NOT e.ends AND f.status = 'inactive' AND f.sub = e.sub THEN 1 ELSE 0 END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, status, sub, ignored FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1""",
 )
 def subscriptions(t: Tables) -> DataFrame:
-    out = s.drain(s.subscriptions(streamed(t)), folder(t.spark), "subscriptions", "update")
-    last = out.groupBy("user_id").agg(F.max(F.struct("_batch", "status", "ignored")).alias("r"))
-    return last.select("user_id", "r.status", "r.ignored")
+    """Delivered out of order: by a scrambled event id, not by time."""
+    sub = F.regexp_extract("props", "([0-9]+)", 1).cast("long") % 2
+    seq = (F.col("event_id") * 7919) % 10007 * 10**10 + F.col("event_id")
+    out = s.drain(s.subscriptions(streamed(t).withColumns({"sub": sub, "seq": seq})), folder(t.spark), "subscriptions", "update")
+    last = out.groupBy("user_id").agg(F.max(F.struct("_batch", "status", "sub", "ignored")).alias("r"))
+    return last.select("user_id", "r.status", "r.sub", "r.ignored")
 
 
 @query("K5_rate_limit_windows", "", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS VARCHAR) AS start, user_id, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY 1, 2")
 def rates(t: Tables) -> DataFrame:
-    e = t.events().withColumn("ts", F.col("ts").cast("timestamp"))
-    return s.rate_windows(e, 2, "1 hour").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    out = last_of(s.drain(s.rate_windows(streamed(t), 2, "1 hour"), folder(t.spark), "rates", "update"), ["start", "user_id"])
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("K8_daily_buckets", "", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def days(t: Tables) -> DataFrame:
-    return s.daily(t.events().withColumn("ts", F.col("ts").cast("timestamp")))
+    return last_of(s.drain(s.daily(streamed(t)), folder(t.spark), "days", "update"), ["day", "event_type"])
 
 
 @query(

@@ -233,13 +233,14 @@ def sorts(t: Tables) -> DataFrame:
 
 @query(
     "F10_continue_watching",
-    "statuses",
-    """SELECT user_id, work_id, place FROM (SELECT user_id, work_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, work_id) AS INT) AS place FROM statuses WHERE status IN ('watching', 'rewatching'))
+    "progress statuses works",
+    f"+{PLAN}, " + """open_ AS (SELECT s.*, EXISTS (SELECT 1 FROM plan p WHERE p.work_id = s.work_id AND NOT EXISTS (SELECT 1 FROM progress g WHERE g.user_id = s.user_id AND g.locator = p.locator)) AS more FROM statuses s)
+SELECT user_id, work_id, place FROM (SELECT user_id, work_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, work_id) AS INT) AS place FROM open_ WHERE more AND status IN ('watching', 'rewatching'))
 WHERE place <= 4""",
 )
 def resume(t: Tables) -> DataFrame:
-    rows = t.statuses().where(F.col("status").isin("watching", "rewatching"))
-    return g.ranked(rows, ["user_id"], [F.desc("updated_at"), "work_id"], "place").where("place <= 4").select("user_id", "work_id", "place")
+    found = k.continue_watching(t.statuses(), k.next_up(plan(t), t.statuses(), t.progress()), 4)
+    return found.select("user_id", "work_id", "place")
 
 
 @query(
@@ -307,10 +308,16 @@ def counters(t: Tables) -> DataFrame:
 
 
 SYNC = """+seg AS (SELECT work_id, CAST(pos // 3 AS INT) AS segment_no, work_id * 2 + pos // 3 AS title_id, CAST(pos % 3 AS INT) AS off, locator FROM works),
-far AS (SELECT user_id, s.work_id, segment_no, max(off + 1) AS episode FROM seg s JOIN progress p ON p.locator = s.locator GROUP BY ALL),
-base AS (SELECT DISTINCT user_id, s.work_id, segment_no, title_id, status FROM seg s JOIN statuses st ON st.work_id = s.work_id),
 targets AS (SELECT title_id, service AS provider, native FROM titles WHERE service IN ('anilist', 'mal')),
-w AS (SELECT b.user_id, b.work_id, b.segment_no, provider, native, status, CAST(coalesce(episode, 0) AS BIGINT) AS episode, native IS NULL AS unmapped FROM base b LEFT JOIN far f USING (user_id, work_id, segment_no) LEFT JOIN targets t ON t.title_id = b.title_id)
+prov AS (SELECT unnest(['anilist', 'mal']) AS provider),
+parts AS (SELECT DISTINCT user_id, s.work_id, segment_no, s.title_id, status, v.provider, native FROM seg s JOIN statuses st ON st.work_id = s.work_id CROSS JOIN prov v LEFT JOIN targets t ON t.title_id = s.title_id AND t.provider = v.provider),
+scores AS (SELECT user_id, 'w#' || (rating_id % 100) AS locator, score FROM ratings),
+w AS (
+  SELECT user_id, work_id, segment_no, provider, native, 'warning' AS kind, CAST(NULL AS BIGINT) AS episode, 'no_member_title' AS value FROM parts WHERE native IS NULL
+  UNION ALL SELECT user_id, work_id, segment_no, provider, native, 'status', NULL, status FROM parts WHERE native IS NOT NULL
+  UNION ALL SELECT DISTINCT p.user_id, p.work_id, p.segment_no, p.provider, native, 'progress', off + 1, 'watched' FROM parts p JOIN seg s USING (work_id, segment_no) JOIN progress g ON g.user_id = p.user_id AND g.locator = s.locator WHERE native IS NOT NULL
+  UNION ALL SELECT p.user_id, p.work_id, p.segment_no, p.provider, native, 'rating', off + 1, CAST(CASE WHEN provider = 'anilist' THEN score * 10 ELSE score END AS VARCHAR)
+    FROM parts p JOIN seg s USING (work_id, segment_no) JOIN scores r ON r.user_id = p.user_id AND r.locator = s.locator WHERE native IS NOT NULL)
 """
 
 
@@ -318,19 +325,18 @@ def sync(t: Tables) -> DataFrame:
     p = F.col("pos")
     seg = t.works().select("work_id", F.floor(p / 3).cast("int").alias("segment_no"), (F.col("work_id") * 2 + F.floor(p / 3)).alias("title_id"), (p % 3).alias("offset"), "locator")
     targets = t.titles().where("service IN ('anilist', 'mal')").select("title_id", F.col("service").alias("provider"), "native")
-    return k.sync_writes(seg, t.statuses().drop("updated_at"), t.progress().select("user_id", "locator"), targets)
+    scores = t.ratings().select("user_id", F.concat(F.lit("w#"), (F.col("rating_id") % 100).cast("string")).alias("locator"), "score")
+    return k.sync_writes(seg, t.statuses().drop("updated_at"), t.progress().select("user_id", "locator"), scores, targets, ["anilist", "mal"])
 
 
-@query("R15_sync_fan_out", "titles progress statuses works", SYNC + "SELECT * FROM w")
+@query("R15_sync_fan_out", "titles progress ratings statuses works", SYNC + "SELECT * FROM w")
 def fan_out(t: Tables) -> DataFrame:
     return sync(t)
 
 
-@query("A23_sync_counts", "titles progress statuses works", SYNC + "SELECT coalesce(provider, 'none') AS provider, count(*) AS n, count(*) FILTER (WHERE unmapped) AS n_unmapped, count(*) FILTER (WHERE episode > 0) AS n_progress FROM w GROUP BY 1")
+@query("A23_sync_counts", "titles progress ratings statuses works", SYNC + "SELECT provider, kind, count(*) AS n FROM w GROUP BY 1, 2")
 def sync_counts(t: Tables) -> DataFrame:
-    return sync(t).groupBy(F.coalesce("provider", F.lit("none")).alias("provider")).agg(
-        F.count("*").alias("n"), F.count_if("unmapped").alias("n_unmapped"), F.count_if(F.col("episode") > 0).alias("n_progress")
-    )
+    return sync(t).groupBy("provider", "kind").agg(F.count("*").alias("n"))
 
 
 @query(

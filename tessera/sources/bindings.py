@@ -33,6 +33,10 @@ class Tables:
             native.alias("native"),
         )
 
+    def titles_with_anidb(self) -> DataFrame:
+        """The titles with AniDB in TVDB's place."""
+        return self.titles().withColumn("service", F.when(F.col("service") == "tvdb", "anidb").otherwise(F.col("service")))
+
     def edges(self) -> DataFrame:
         """title_id, service, unit_id, confidence, provenance, edge_id: an order is a unit that its parts cover."""
         lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_returnflag", "l_linenumber")
@@ -96,6 +100,7 @@ SQL = {
   SELECT p_partkey AS title_id, CAST(floor(p_partkey / 8) AS BIGINT) AS group_id, s AS service, p_size AS ordinal, p_name AS title,
     CASE WHEN s = 'tmdb' THEN (CASE WHEN p_partkey % 4 = 0 THEN 'movie:' ELSE 'tv:' END) || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS native
   FROM (SELECT *, list_extract(['anilist', 'imdb', 'kitsu', 'mal', 'tmdb', 'tvdb'], CAST(p_partkey % 6 + 1 AS INT)) AS s FROM part))""",
+    "anidb": "anidb AS (SELECT * REPLACE (CASE WHEN service = 'tvdb' THEN 'anidb' ELSE service END AS service) FROM titles)",
     "edges": """edges AS (
   SELECT title_id, service, l_orderkey AS unit_id, min(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS confidence, min(l_linenumber) AS provenance,
     l_orderkey * 1000000 + l_partkey AS edge_id
@@ -120,7 +125,7 @@ SQL = {
     CASE WHEN n % 3 <> 0 THEN CAST(n % 40 + 20 AS DOUBLE) END AS runtime, CASE WHEN n % 5 <> 0 THEN 'Part ' || turn || '!' END AS title
   FROM (SELECT *, length(text) AS n FROM conversations))""",
 }
-NEEDS = {"edges": ["titles"], "progress": ["ev"], "ratings": ["ev"], "statuses": ["ev"]}
+NEEDS = {"edges": ["titles"], "anidb": ["titles"], "progress": ["ev"], "ratings": ["ev"], "statuses": ["ev"]}
 
 
 def with_relations(names: str, body: str) -> str:

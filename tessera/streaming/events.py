@@ -43,26 +43,27 @@ ENDS, STARTS = ("error",), ("purchase", "signup")
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Later events win; a start that is older than the last end is stale and ignored."""
-    status, last, ignored = state.get if state.exists else ("none", 0, 0)
-    for pdf in batches:
-        for at, kind in sorted(zip(pdf["at"].tolist(), pdf["event_type"].tolist(), strict=True)):
-            if at < last:
-                ignored += 1
-                continue
-            if kind in ENDS:
-                status, last = "inactive", at
-            elif kind in STARTS:
-                status, last = "active", at
-    state.update((status, last, ignored))
-    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "last": [last], "ignored": [ignored]})
+    """Events in the order of their delivery; one that starts the very subscription that has ended is stale and ignored."""
+    status, sub, ignored = state.get if state.exists else ("none", -1, 0)
+    rows = [x for pdf in batches for x in zip(pdf["seq"].tolist(), pdf["sub"].tolist(), pdf["event_type"].tolist(), strict=True)]
+    for _, own, kind in sorted(rows):
+        if kind in ENDS:
+            status, sub = "inactive", own
+        elif status == "inactive" and sub == own:
+            ignored += 1
+        else:
+            status, sub = "active", own
+    state.update((status, sub, ignored))
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "sub": [sub], "ignored": [ignored]})
 
 
 def subscriptions(events: DataFrame) -> DataFrame:
-    """State of each user's subscription after the events so far; out-of-order events don't bring an ended one back."""
-    rows = events.where(F.col("event_type").isin(*ENDS, *STARTS)).select("user_id", "event_type", F.unix_micros("ts").alias("at"))
+    """State of each user's subscription after the events so far: status, sub, and how many stale starts were ignored.
+
+    events: user_id, sub (subscription id), seq (order of delivery, ascending from batch to batch), event_type."""
+    rows = events.where(F.col("event_type").isin(*ENDS, *STARTS)).select("user_id", "seq", "sub", "event_type")
     return rows.groupBy("user_id").applyInPandasWithState(
-        _fold, "user_id long, status string, last long, ignored long", "status string, last long, ignored long", "update", "NoTimeout"
+        _fold, "user_id long, status string, sub long, ignored long", "status string, sub long, ignored long", "update", "NoTimeout"
     )
 
 
