@@ -296,16 +296,3 @@ def locators(t: Tables) -> DataFrame:
     return seg.select("continuity_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"), "service", "native").select(
         "continuity_id", F.concat("service", F.lit(":"), "native", F.lit("#"), F.col("p").cast("string")).alias("locator")
     )
-
-
-@query(
-    "R5_nested_response",
-    "titles edges",
-    PATHS + """SELECT title_id, count(*) AS n_services, string_agg(target_service || '=' || n, ',' ORDER BY target_service) AS links
-FROM (SELECT title_id, target_service, count(*) AS n FROM best GROUP BY 1, 2) GROUP BY 1""",
-)
-def nested(t: Tables) -> DataFrame:
-    per = g.links(t.edges()).select("title_id", F.struct("target_service", "n_counterparts").alias("l"))
-    return per.groupBy("title_id").agg(F.count("*").alias("n_services"), F.sort_array(F.collect_list("l")).alias("l")).select(
-        "title_id", "n_services", F.array_join(F.transform("l", lambda x: F.concat(x["target_service"], F.lit("="), x["n_counterparts"].cast("string"))), ",").alias("links")
-    )

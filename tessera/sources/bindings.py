@@ -73,8 +73,9 @@ class Tables:
         return last.select("user_id", "work_id", status.alias("status"), F.col("r.ts").alias("updated_at"))
 
     def works(self) -> DataFrame:
-        """work_id, locator, pos: twenty works of five instalments."""
-        k = self.spark.range(100).select(F.col("id").alias("k"))
+        """work_id, locator, pos: works of five instalments each, one instalment for every number that an order's key leaves
+        when divided by 100 (events are on works of these numbers)."""
+        k = self.table("orders").select((F.col("o_orderkey") % 100).cast("long").alias("k")).distinct()
         return k.select(F.floor(F.col("k") / 5).cast("long").alias("work_id"), F.concat(F.lit("w#"), F.col("k").cast("string")).alias("locator"), (F.col("k") % 5).cast("int").alias("pos"))
 
     def stream(self) -> DataFrame:
@@ -116,7 +117,7 @@ SQL = {
   SELECT user_id, work_id, list_extract(['watching', 'plan_to_watch', 'on_hold', 'completed', 'dropped', 'rewatching'], k % 6 + 1) AS status, ts AS updated_at
   FROM (SELECT *, CAST(floor(k / 5) AS BIGINT) AS work_id FROM ev)
   QUALIFY row_number() OVER (PARTITION BY user_id, work_id ORDER BY ts DESC, event_id DESC) = 1)""",
-    "works": "works AS (SELECT CAST(floor(k / 5) AS BIGINT) AS work_id, 'w#' || k AS locator, CAST(k % 5 AS INT) AS pos FROM range(100) t(k))",
+    "works": "works AS (SELECT CAST(floor(k / 5) AS BIGINT) AS work_id, 'w#' || k AS locator, CAST(k % 5 AS INT) AS pos FROM (SELECT DISTINCT o_orderkey % 100 AS k FROM orders))",
     "stream": """stream AS (
   SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, CAST(turn AS INT) AS pos,
     's1e' || (turn + 1) AS locator, CASE WHEN n % 7 = 0 THEN 'special' ELSE 'regular' END AS kind,
