@@ -38,6 +38,7 @@ from tessera.llm.common import materialise, text_of
 MARK = "▁"
 WORDS = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
 HEAD, LONG = 200_000, 256
+BYTE, BETWEEN = "\ue000", "\ue001"  # private characters, which no piece holds
 
 
 def default_model() -> str:
@@ -366,11 +367,27 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def decode(coded: DataFrame, pieces: Pieces) -> DataFrame:
-    """coded with a column decoded: the text of its ids, the pieces' bytes read as UTF-8, without the first word mark."""
-    table = coded.sparkSession.range(1).select(F.split(F.lit(",".join(pieces.spelled)), ",")).scalar()
-    raw = F.unhex(F.concat_ws("", F.transform("ids", lambda i: F.get("_tessera_pieces", i))))
-    text = F.substring(F.make_valid_utf8(raw.cast("string")), 2, 2**31 - 1)
-    return coded.withColumn("_tessera_pieces", table).withColumn("decoded", text).drop("_tessera_pieces")
+    """coded with a column decoded: the text of its ids, without the first word mark.
+
+    Ids of bytes make the text be put together from the pieces' bytes and read as UTF-8; other texts are their pieces'
+    letters. ``BYTE`` marks such ids. A text that holds it itself has it as bytes."""
+    own = set(pieces.byte_ids)
+    shown = [BYTE if i in own else bytes.fromhex(raw).decode() for i, raw in enumerate(pieces.spelled)]
+
+    if any(BYTE in t or BETWEEN in t for t in pieces.text):
+        raise ValueError("a piece holds a private character")
+
+    def table(values: list[str], mark: str) -> Column:
+        return coded.sparkSession.range(1).select(F.split(F.lit(mark.join(values)), mark)).scalar()
+
+    def joined(name: str) -> Column:
+        return F.concat_ws("", F.transform("ids", lambda i: F.get(name, i)))
+
+    out = coded.select(F.struct("*").alias("row"), "ids", table(shown, BETWEEN).alias("shown"), table(pieces.spelled, ",").alias("spelled"))
+    out = out.withColumn("letters", joined("shown"))
+    raw = F.make_valid_utf8(F.unhex(joined("spelled")).cast("string"))
+    text = F.when(F.contains("letters", F.lit(BYTE)), raw).otherwise(F.col("letters"))
+    return out.select("row.*", F.substring(text, 2, 2**31 - 1).alias("decoded"))
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:

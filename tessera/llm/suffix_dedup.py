@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import block_count, block_of, discard, join_groups, materialise, nested, text_of
-from tessera.llm.groups import whole_groups
+from tessera.llm.groups import starts_of, whole_groups
 
 WINDOW, GRAM = 200, 48
 SPAN = WINDOW - GRAM + 1  # grams in a window
@@ -109,8 +109,8 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         return np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(owner), np.array(offset)
 
     for i, t in enumerate(texts):
-        for start in range(0, max(1, len(t) - WINDOW + 1), 8 * PIECE):
-            part = t[start : start + 8 * PIECE + WINDOW - 1]
+        for start in range(0, max(1, len(t) - WINDOW + 1), PIECE):
+            part = t[start : start + PIECE + WINDOW - 1]
             if len(part) < WINDOW:
                 continue
             held.append(part)
@@ -302,12 +302,25 @@ def repeated_windows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row, lo[row] + first - begins[row], lo[row] + last - begins[row]
 
 
+def portions(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Whole groups of a sorted frame, about TOGETHER rows at a time, so that what is merged at once stays in the cache."""
+    starts = np.append(starts_of(pdf, ["gram"]), len(pdf))
+    begin = 0
+    for end in starts[1:].tolist():
+        if end - begin >= TOGETHER or end == len(pdf):
+            yield pdf.iloc[begin:end]
+            begin = end
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in whole_groups(batches, ["gram"], TOGETHER):
-        pdf = pdf[may_repeat(pdf)]
-        row, first, last = repeated_windows(pdf)
-        use = ~pdf["settled"].to_numpy()[row]
-        yield pd.DataFrame({"key": pdf["key"].to_numpy()[row][use], "begin": first[use], "end": last[use] + WINDOW})
+    for frame in whole_groups(batches, ["gram"], TOGETHER):
+        found = []
+        for pdf in portions(frame):
+            pdf = pdf[may_repeat(pdf)]
+            row, first, last = repeated_windows(pdf)
+            use = ~pdf["settled"].to_numpy()[row]
+            found.append(pd.DataFrame({"key": pdf["key"].to_numpy()[row][use], "begin": first[use], "end": last[use] + WINDOW}))
+        yield pd.concat(found)
 
 
 def _contexts(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:

@@ -28,7 +28,7 @@ def make() -> list[tuple[int | None, str | None]]:
     near[50] = "changed"
     passage = prose(r, 60)
     rows = list(enumerate([*base, base[1], base[1].upper(), " ".join(near), passage + " " + base[4][:300], prose(r, 30) + passage, None, "", "   \n", "a" * 700, "ab" * 4000, "x", "x"]))
-    rows += [(40, base[2]), (40, base[2]), (41, prose(r, 30_000)), (42, "😀漢字 " * 100), (43, "\n".join([prose(r, 8)] * 60)), (None, base[2]), (44, "x y z"), (45, "x y z")]
+    rows += [(40, base[2]), (40, base[2]), (41, prose(r, 30_000)), (42, "😀漢字 " * 100), (46, "a\x00b\x01c \ue000\ue001 \x7f" * 3), (43, "\n".join([prose(r, 8)] * 60)), (None, base[2]), (44, "x y z"), (45, "x y z")]
     return rows
 
 
@@ -245,7 +245,7 @@ def test_fingerprints(docs, empty):
     order = sorted(by_id)
     off = []
     for r in got:
-        if r.doc_id in (15, 16, 20, 41, 42, 43, 44):  # documents with a plain successor
+        if r.doc_id in (15, 16, 20, 41, 42, 43, 44, 45):  # documents with a plain successor
             t, after = by_id[r.doc_id], by_id[order[order.index(r.doc_id) + 1]] if r.doc_id != order[-1] else ""
             n = len(t)
             edited = t[: n - n // 2] + after[: n // 2]
