@@ -28,8 +28,8 @@ PART, TURN = 4_000_000, 1_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def parted(said: DataFrame, people: DataFrame) -> DataFrame:
-    """The turns with every perspective of their conversation and part (0 where the conversation is not too long)."""
+def parted(said: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns with every perspective of their conversation and their part: of conversations of one part, and of longer ones."""
     weight = F.length("text") + F.lit(TURN)
     sizes = said.groupBy("conv").agg(F.sum(weight).alias("weight"))
     long = materialise(sizes.where(F.col("weight") > PART).select("conv"), "long")
@@ -44,7 +44,7 @@ def parted(said: DataFrame, people: DataFrame) -> DataFrame:
     views = stretches.select("range", "conv", earlier.alias("earlier")).join(people, "conv")
     cut = ranged.withColumn("inside", inside).join(views, ["range", "conv"])
     cut = cut.withColumn("part", F.floor((F.col("earlier") + F.col("inside")) / F.lit(PART)).cast("long"))
-    return usual.unionByName(cut.drop("range", "earlier", "inside"))
+    return usual, cut
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -65,14 +65,16 @@ def rotate(turns: DataFrame) -> DataFrame:
     )
     line = F.concat(head, F.col("text"), F.lit(f"{END}\n"))
     keys = ["conv", "conv_id", "perspective", "part"]
-    rendered = parted(said, people).select(*keys, F.struct("turn", "role", F.col("text").alias("said"), own.alias("own"), F.length(head).alias("from"), line.alias("line")).alias("s"))
-    parts = rendered.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"), F.sum(F.length("s.line")).alias("n_chars"))
-    parts = materialise(parts, "parts")
+    turn = F.struct("turn", "role", F.col("text").alias("said"), own.alias("own"), F.length(head).alias("from"), line.alias("line")).alias("s")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, turn).groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"), F.sum(F.length("s.line")).alias("n_chars"))
+
+    usual, cut = parted(said, people)
+    long = materialise(gathered(cut), "parts")
     w = Window.partitionBy("conv", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    later = parts.where("part > 0").select("conv", "perspective").distinct()
-    starts = parts.select("conv", "perspective", "part", "n_chars").join(later, ["conv", "perspective"], "left_semi")
-    starts = starts.select("conv", "perspective", "part", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start")).where("part > 0")
-    parts = parts.join(starts, ["conv", "perspective", "part"], "left").withColumn("start", F.coalesce("start", F.lit(0)).cast("long"))
+    starts = long.select("conv", "perspective", "part", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("start"))
+    parts = gathered(usual).withColumn("start", F.lit(0).cast("long")).unionByName(long.join(starts, ["conv", "perspective", "part"]))
     nothing = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("spans"))
 
     def add(acc, x):
