@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scores import source_rank
-from tessera.operators.graph import paths
+from tessera.operators.graph import paths, ranked
+from tessera.operators.tracker import interleave
 
 #: Grades from the worst to the best, and states in the order in which one of several speaks for all.
 CONFIDENCES = ["low", "high", "exact"]
@@ -133,3 +134,67 @@ def publish(current: DataFrame, batches: DataFrame, rows: DataFrame, key: list[s
     both = current.join(fresh.withColumn("_new", F.lit(True)), key, "full")
     version = F.coalesce("version", F.lit(0)) + F.when(F.col("_new"), 1).otherwise(0)
     return both.select(*key, version.cast("long").alias("version"), F.when(F.col("_new"), F.col("_value")).otherwise(F.col("value")).alias("value"))
+
+
+def search_hits(films_and_series: DataFrame, anime: DataFrame, limit: int) -> DataFrame:
+    """Hits of catalogue searches: query_id, rank, service, namespace, id, title, year, media_kind, cover.
+
+    films_and_series: query_id, scope (movie, tv or multi), place, id, media_type, title, name, release_date, first_air_date, poster; what
+    is neither a film nor a series in a multi search is passed over before the limit counts. anime: query_id, place, id, english, romaji,
+    season_year, start_year, cover (empty: none). Both lists are taken in turn, the first one first; one that failed has no rows."""
+    asked = F.when(F.col("scope") == "multi", F.col("media_type")).otherwise(F.col("scope"))
+    items = films_and_series.withColumn("_kind", asked).where(F.col("_kind").isin("movie", "tv"))
+    film = F.col("_kind") == "movie"
+    head = F.substring(F.when(film, F.col("release_date")).otherwise(F.col("first_air_date")), 1, 4)
+    named = F.when(film, F.coalesce("title", "name")).otherwise(F.coalesce("name", "title"))
+    first = items.select(
+        "query_id", "place", F.lit("tmdb").alias("service"), F.col("_kind").alias("namespace"), F.col("id").cast("string").alias("id"), F.coalesce(named, F.lit("")).alias("title"),
+        F.when(head.rlike("^[0-9]{4}$"), head.cast("int")).alias("year"), F.when(film, "film").otherwise("tv").alias("media_kind"), F.col("poster").alias("cover"),
+    )
+    second = anime.select(
+        "query_id", "place", F.lit("anilist").alias("service"), F.lit(None).cast("string").alias("namespace"), F.col("id").cast("string").alias("id"), F.coalesce("english", "romaji", F.lit("")).alias("title"),
+        F.coalesce("season_year", "start_year").cast("int").alias("year"), F.lit("anime").alias("media_kind"), F.when(F.col("cover") != "", F.col("cover")).alias("cover"),
+    )
+    first, second = (ranked(df.withColumnRenamed("place", "_p"), ["query_id"], ["_p", "id"], "place").drop("_p") for df in (first, second))
+    return interleave(first, second, ["query_id"], limit).drop("place", "list")
+
+
+def viewer(requests: DataFrame, aliases: DataFrame, statuses: DataFrame, notes: DataFrame) -> DataFrame:
+    """Each requested work's state for its viewer: user_id, work_key, status, note: each of the canonical key, else of the requested one,
+    else of the first alias that has any.
+
+    requests: user_id, work_key (canonical), asked_key; aliases: retired, work_key; statuses: user_id, key, status; notes: user_id, key, body."""
+    keys = _viewer_keys(requests, aliases)
+    best = lambda df, value, name: keys.join(df, ["user_id", "key"]).groupBy("user_id", "work_key").agg(F.min_by(value, F.struct("rank", "key")).alias(name))
+    asked = requests.select("user_id", "work_key").distinct()
+    return asked.join(best(statuses, "status", "status"), ["user_id", "work_key"], "left").join(best(notes, "body", "note"), ["user_id", "work_key"], "left")
+
+
+def _viewer_keys(requests: DataFrame, aliases: DataFrame) -> DataFrame:
+    own = requests.select("user_id", "work_key", F.col("work_key").alias("key"), F.lit(0).alias("rank"))
+    asked = requests.select("user_id", "work_key", F.col("asked_key").alias("key"), F.lit(1).alias("rank"))
+    retired = requests.select("user_id", "work_key").distinct().join(aliases, "work_key").select("user_id", "work_key", F.col("retired").alias("key"), F.lit(2).alias("rank"))
+    return own.unionByName(asked).unionByName(retired).groupBy("user_id", "work_key", "key").agg(F.min("rank").alias("rank"))
+
+
+def work_blocks(requests: DataFrame, aliases: DataFrame, instalments: DataFrame, watched: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The blocks of each requested work's page: user_id, work_key, place, block (film or part), score, episodes in order.
+
+    instalments: work_key, place, kind (atomic or episodic), pos, locator, title (null: by its number); watched: user_id, locator; ratings:
+    rating_id, user_id, unit_kind, unit_key, score. A part is rated under ``part:<work>:<place>``; keys of the requested and retired works
+    count as the canonical one's unless that has its own, of several the latest. episodes: number, locator, title, watched, score."""
+    keys = _viewer_keys(requests, aliases)
+    of_part = F.regexp_extract("unit_key", "^part:(.*):([0-9]+)$", 1)
+    parts = ratings.where("unit_kind = 'part'").select("user_id", of_part.alias("key"), F.regexp_extract("unit_key", "([0-9]+)$", 1).cast("int").alias("place"), "score", "rating_id")
+    folded = parts.join(keys, ["user_id", "key"]).groupBy("user_id", "work_key", "place").agg(F.max_by("score", F.struct(F.col("rank") == 0, "rating_id")).alias("_part"))
+    alone = ratings.where("unit_kind IN ('movie', 'episode')").groupBy("user_id", "unit_kind", F.col("unit_key").alias("locator")).agg(F.max_by("score", "rating_id").alias("_own"))
+    film = F.col("kind") == "atomic"
+    pages = requests.select("user_id", "work_key").distinct().join(instalments, "work_key").withColumn("unit_kind", F.when(film, "movie").otherwise("episode"))
+    seen = watched.select("user_id", "locator", F.lit(True).alias("_seen")).distinct()
+    rows = pages.join(alone, ["user_id", "unit_kind", "locator"], "left").join(seen, ["user_id", "locator"], "left")
+    number = F.row_number().over(Window.partitionBy("user_id", "work_key", "place").orderBy("pos"))
+    named = F.coalesce("title", F.concat(F.lit("Episode "), F.col("number").cast("string")))
+    episode = F.struct("number", "locator", named.alias("title"), F.coalesce("_seen", F.lit(False)).alias("watched"), F.col("_own").alias("score"))
+    blocks = rows.withColumn("number", number).groupBy("user_id", "work_key", "place", "kind").agg(F.sort_array(F.collect_list(episode)).alias("episodes"))
+    score = F.when(film, F.col("episodes")[0]["score"]).otherwise(F.col("_part"))
+    return blocks.join(folded, ["user_id", "work_key", "place"], "left").select("user_id", "work_key", "place", F.when(film, "film").otherwise("part").alias("block"), score.alias("score"), "episodes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +29,17 @@ def two_sided_chain(edges: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, which doubles with every round else."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df without its lineage, which doubles with every round else: checkpointed in the folder of ``spark.checkpoint.dir``.
+
+    Only in local mode may that be unset; a temporary folder stands in for it then."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def walk(nexts: DataFrame, heads: DataFrame) -> DataFrame:
