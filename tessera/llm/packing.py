@@ -7,17 +7,15 @@ penalty of its cut; the cheapest cuts come from f(j) = penalty(j) + min over i o
 over the window of 1024 tokens is kept in a monotone queue, since the padding is linear there, and sequences of a power of
 two are looked up besides. A stream is solved in portions; the last sequence of a portion is taken back into the next.
 
-Token ids: byte-level BPE by the public vocabulary's JSON file. Its pieces and added tokens are read from that one file and
-encoded with tiktoken, which gives the ids of the tokenizers library for it (tested, also where a text holds
-``<|endoftext|>``, which is one id) at four times the speed.
+Token ids: those that the tokenizers library gives for the public vocabulary's JSON file (``tokens``); ``<|endoftext|>`` in a
+text is one id.
 
-Defined cases: a null text is empty, and an empty text is the one id 0; repeated rows are packed each; null and very large ids come
+Defined cases: a text of very long white space is encoded like any other; a null text is empty, and an empty text is the one id 0; repeated rows are packed each; null and very large ids come
 back as they are; an empty table or partition yields no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_of
+from tessera.llm.tokens import byte_tokens, default_vocabulary
 
 LENGTH, HARD, PORTION = 1024, 128, 300_000
 DOC_CUT, SENTENCE_CUT, HARD_CUT = 0, 3, 24
@@ -36,40 +35,14 @@ SHORT = 16  # cost of a sequence of a smaller power of two, which has no padding
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
+_ends: dict[str, np.ndarray] = {}
 
-    return public_tokenizers.path("byte_bpe_50k.json")
 
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if it can be printed, else one from 256 on."""
-    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b if b in seen else next(others)) for b in range(256)]
-
-
-_encoders: dict[str, tuple] = {}
-
-
-def encoder(path: str):
-    """The encoding, and which ids end a sentence; once a worker."""
-    if path not in _encoders:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            read = json.load(f)
-        added = {x["content"]: x["id"] for x in read["added_tokens"]}
-        byte = {c: b for b, c in enumerate(byte_letters())}
-        spelled = {piece: bytes(map(byte.__getitem__, piece)) for piece in read["model"]["vocab"] if piece not in added}
-        # a vocabulary gives its ids in the order of the merges, which is what the encoder ranks pieces by
-        ranks = {raw: read["model"]["vocab"][piece] for piece, raw in spelled.items()}
-        ends = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)
-        for piece, i in ranks.items():
-            ends[i] = piece.endswith((b".", b"!", b"?")) or b"\n" in piece
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
-    return _encoders[path]
+def sentence_ends(path: str) -> np.ndarray:
+    """Which ids end a sentence; once a worker."""
+    if path not in _ends:
+        _ends[path] = np.array([raw.endswith((b".", b"!", b"?")) or b"\n" in raw for raw in byte_tokens(path, True).pieces])
+    return _ends[path]
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +144,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ends = encoder(path)
-        stream = Stream(ends, TaskContext.get().partitionId() << 40)
+        tokens = byte_tokens(path, True)
+        stream = Stream(sentence_ends(path), TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoding.encode(text, allowed_special="all")
+                ids = tokens.encode(text)
                 ids.append(0)
                 stream.add(doc_id, np.array(ids, "<u4"))
                 if stream.size >= PORTION:

@@ -324,7 +324,27 @@ def test_packing_matches_added_tokens(spark):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    said = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "don't <|END|> <|endoftext|>é"]
+    said = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "don't <|END|> <|endoftext|>é",
+            " " * 1_000_000, "\n\u00a0" * 500_000, "a<|endoftext|>" + " " * 700_000 + "b\t\t"]
+    got = {}
+    for r in packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(said):
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        pieces = sorted(got[i], key=lambda r: r.start)
+        assert [r.start for r in pieces] == [0, *np.cumsum([r.length for r in pieces])[:-1]], i
+        for r in pieces:
+            assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids[r.start : r.start + r.length].tobytes())), i
+        assert sum(r.length for r in pieces) == len(ids)
+
+
+def test_packing_keeps_short_documents_whole(spark):
+    from tokenizers import Tokenizer
+    import numpy as np
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = ["a<|endoftext|>b", "<|endoftext|", "é"]
     got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").coalesce(1)).collect()}
     for i, t in enumerate(said):
         ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [0], "<u4")
