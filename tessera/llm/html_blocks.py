@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 2048, 2048, 24, 8, 16
 EXTRA = 3  # log of characters, share of characters in links, constant
 BATCH_BLOCKS = 6_000
+STRIDE = 2_048  # blocks whose gates are held at a time
 
 MATH = "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics"
 INLINE = frozenset(
@@ -61,11 +62,66 @@ def path_words(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class Node:
+    """An open block-level element; blocks below it share it, so that a page's paths take no more room than its tags."""
+
+    __slots__ = ("above", "words", "vector")
+
+    def __init__(self, above: Node | None, words: tuple[str, ...]):
+        self.above, self.words, self.vector = above, words, None
+
+    def path(self) -> list[tuple[str, ...]]:
+        """The words of all elements from the top down."""
+        out, node = [], self
+        while node is not None:
+            out.append(node.words)
+            node = node.above
+        return out[::-1]
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node | None, text: str, linked: int):
+        self.node, self.text, self.linked = node, text, linked
+
+
+class Open:
+    """The open elements. Where an element of a name stands is known by name, so that no end tag walks over the others."""
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes: list[Node | None] = []  # of an inline element the node of what it stands in
+        self.at: dict[str, list[int]] = {}  # places of each name
+        self.block_at: list[int] = []  # places of block-level elements
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        above = self.nodes[-1] if self.nodes else None
+        self.at.setdefault(name, []).append(len(self.names))
+        if name not in INLINE:
+            self.block_at.append(len(self.names))
+            above = Node(above, words)
+        self.names.append(name)
+        self.nodes.append(above)
+
+    def cut(self, place: int) -> None:
+        """Close all from this place on."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.at[name].pop()
+            if name not in INLINE:
+                self.block_at.pop()
+
+    def last(self, *names: str) -> int:
+        """The last place of any of these names, -1 if none is open."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=-1)
+
+    def last_block(self) -> int:
+        return self.block_at[-1] if self.block_at else -1
+
+    def node(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
 
 
 class TagEnds:
@@ -94,7 +150,7 @@ class TagEnds:
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Open()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -108,7 +164,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(x for _, x in stack if x[0] not in INLINE), text, min(linked, len(text))))
+                out.append(Block(stack.node(), text, min(linked, len(text))))
             parts, linked = [], 0
 
     def closed_after(tag: str, place: int) -> bool:
@@ -150,15 +206,12 @@ def blocks(page: str) -> list[Block]:
                 in_link = max(0, in_link - 1)
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = stack.last(tag)
+            if k > (stack.last_block() if tag in INLINE else -1):
+                stack.cut(k)
             continue
-        if stack and stack[-1][0] == "head" and tag not in HEAD:
-            stack.pop()  # its end tag may be left out
+        if stack.names and stack.names[-1] == "head" and tag not in HEAD:
+            stack.cut(len(stack.names) - 1)  # its end tag may be left out
         if tag in RAW or tag in UNREAD:
             if tag in RAW and not empty:
                 close = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
@@ -171,24 +224,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            if tag in SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SAME[tag]:
-                        break
+            if tag in CLOSES_P and 0 <= stack.last("p") == stack.last_block():
+                stack.cut(stack.last("p"))
+            if tag in SAME and (k := stack.last(tag)) > stack.last(*SAME[tag]):
+                stack.cut(k)
         if tag == "a":
             in_link = 1
         if tag not in VOID and not empty:
-            stack.append((tag, path_words(tag, rest) if rest else (tag,)))
+            stack.push(tag, path_words(tag, rest) if rest else (tag,))
     if not unread and pos < len(page):
         parts.append(page[pos:])
     flush()
@@ -230,7 +273,6 @@ class Labeller:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.paths, self.words = Hashed(PATH_BUCKETS), Hashed(WORD_BUCKETS)
-        self.known: dict[tuple, np.ndarray] = {}
 
     @classmethod
     def load(cls, path: str | Path | None = None) -> Labeller:
@@ -238,42 +280,81 @@ class Labeller:
             return cls({k: f[k].astype(np.float32) for k in f.files})
 
     def numbers(self, page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        path, word = [], []
+        """Of each block the buckets of its path's and its text's words, and the extra inputs; for training."""
+        path = [np.array([self.paths[w] for x in (b.node.path() if b.node else []) for w in x], np.int64) for b in page]
+        return path, *self.own_numbers(page)
+
+    def own_numbers(self, page: list[Block]) -> tuple[list[np.ndarray], np.ndarray]:
+        word = []
         for b in page:
-            if (k := self.known.get(b.path)) is None:
-                k = np.array([self.paths[w] for x in b.path for w in x], np.int64)
-                if len(self.known) < 20_000:
-                    self.known[b.path] = k
-            path.append(k)
             words = b.text.lower().split()
             word.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
         extra = np.array([[np.log1p(len(b.text)) / 8, b.linked / len(b.text), 1.0] for b in page], np.float32).reshape(len(page), EXTRA)
-        return path, word, extra
+        return word, extra
+
+    def path_vectors(self, page: list[Block]) -> np.ndarray:
+        """The sum of the embeddings along each block's path; an element adds to the sum of what it stands in."""
+        out = np.zeros((len(page), PATH_DIM), np.float32)
+        embedding, paths = self.w["path"], self.paths
+        for i, b in enumerate(page):
+            node, todo = b.node, []
+            while node is not None and node.vector is None:
+                todo.append(node)
+                node = node.above
+            vector = out[i] if node is None else node.vector
+            for x in reversed(todo):
+                for w in x.words:
+                    vector = vector + embedding[paths[w]]
+                x.vector = vector
+            out[i] = vector
+        return out
 
     def inputs(self, path: list[np.ndarray], word: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
         return np.concatenate([bag(self.w["path"], path, False), bag(self.w["word"], word, True), extra], 1)
 
-    def hidden(self, x: np.ndarray, mask: np.ndarray, side: str) -> np.ndarray:
-        """States of one LSTM over padded sequences (pages, blocks, inputs)."""
-        n, steps, _ = x.shape
-        gates = x @ self.w[f"x_{side}"] + self.w[f"b_{side}"]
-        h = np.zeros((n, HIDDEN), np.float32)
-        c = np.zeros((n, HIDDEN), np.float32)
-        out = np.zeros((n, steps, HIDDEN), np.float32)
-        for t in range(steps):
-            z = gates[:, t] + h @ self.w[f"h_{side}"]
-            s = sigmoid(z[:, : 3 * HIDDEN])
-            c = s[:, :HIDDEN] * c + s[:, HIDDEN : 2 * HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
-            h = s[:, 2 * HIDDEN :] * np.tanh(c)
-            live = mask[:, t, None]
-            h, c = h * live, c * live
-            out[:, t] = h
+    def hidden(self, ahead: np.ndarray, back: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """States (page, block, units of both directions) of both LSTMs over padded sequences (page, block, input).
+
+        The two run in one loop: each gate has the units of one direction beside those of the other."""
+        n, steps, _ = ahead.shape
+        both = 2 * HIDDEN
+
+        def beside(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+            parts = np.stack([f.reshape(*f.shape[:-1], 4, HIDDEN), b.reshape(*b.shape[:-1], 4, HIDDEN)], -2)
+            parts[..., :3, :, :] *= 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+            return parts.reshape(*f.shape[:-1], 4 * both)
+
+        zero = np.zeros_like(self.w["h_f"])
+        inner = np.concatenate([beside(self.w["h_f"], zero), beside(zero, self.w["h_b"])])
+        h = np.zeros((n, both), np.float32)
+        c = np.zeros((n, both), np.float32)
+        out = np.zeros((n, steps, both), np.float32)
+        padded = not mask.all()
+        for start in range(0, steps, STRIDE):
+            part = slice(start, start + STRIDE)
+            gates = beside(ahead[:, part] @ self.w["x_f"] + self.w["b_f"], back[:, part] @ self.w["x_b"] + self.w["b_b"]).swapaxes(0, 1)
+            for t, z in enumerate(np.ascontiguousarray(gates), start):
+                z += h @ inner
+                np.tanh(z, out=z)
+                s = z[:, : 3 * both]
+                s *= 0.5
+                s += 0.5
+                c *= z[:, :both]
+                c += z[:, both : 2 * both] * z[:, 3 * both :]
+                h = np.tanh(c)
+                h *= z[:, 2 * both : 3 * both]
+                if padded:
+                    h *= mask[:, t, None]
+                    c *= mask[:, t, None]
+                out[:, t] = h
         return out
 
     def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page the probabilities of its blocks to be main text."""
         lengths = np.array([len(p) for p in pages])
-        x = self.inputs(*[sum(parts, []) if k < 2 else np.concatenate(parts) for k, parts in enumerate(zip(*[self.numbers(p) for p in pages], strict=True))])
+        read = [b for p in pages for b in p]
+        word, extra = self.own_numbers(read)
+        x = np.concatenate([self.path_vectors(read), bag(self.w["word"], word, True), extra], 1)
         steps = int(lengths.max(initial=0))
         mask = np.arange(steps) < lengths[:, None]
         rows, cols = np.nonzero(mask)
@@ -283,7 +364,8 @@ class Labeller:
         turned = lengths[rows] - 1 - cols
         back[rows, turned] = x
         mask = mask.astype(np.float32)
-        both = np.concatenate([self.hidden(ahead, mask, "f")[rows, cols], self.hidden(back, mask, "b")[rows, turned]], 1)
+        states = self.hidden(ahead, back, mask)
+        both = np.concatenate([states[rows, cols, :HIDDEN], states[rows, turned, HIDDEN:]], 1)
         p = sigmoid(both @ self.w["out"] + x @ self.w["skip"] + self.w["bias"])
         return np.split(p, lengths.cumsum()[:-1])
 

@@ -171,7 +171,7 @@ class Maker:
 def labelled(page: str) -> tuple[list[Block], np.ndarray]:
     read = blocks(page)
     y = np.array([b.text.endswith(MARK) or MARK in b.text for b in read], np.float32)
-    return [Block(b.path, t, min(b.linked, len(t))) for b in read if (t := b.text.replace(MARK, "").strip() or ".")], y
+    return [Block(b.node, t, min(b.linked, len(t))) for b in read if (t := b.text.replace(MARK, "").strip() or ".")], y
 
 
 def weights(rng: np.random.Generator) -> dict[str, np.ndarray]:

@@ -141,6 +141,34 @@ def test_blocks_of_hostile_pages_take_little_time(part):
     assert time.process_time() - start < 8
 
 
+DEEP = ["<div>a" * 166_000, "<div>" * 60_000 + "</section>" * 60_000 + "x", "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000 + "x",
+        "<table>" + "<b>" * 100_000 + "<tr>x" * 50_000, "<p><i>" * 100_000, "<ul><li>a" * 80_000]
+
+
+@pytest.mark.parametrize("page", DEEP)
+def test_deep_pages_take_little_time_and_room(page):
+    import tracemalloc
+
+    labeller = html_blocks.Labeller.load()
+    start = time.perf_counter()
+    html_blocks.main_text([page], labeller)
+    assert time.perf_counter() - start < 20
+    tracemalloc.start()
+    html_blocks.blocks(page)
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+
+
+def test_paths_are_those_of_the_open_elements():
+    page = "<div class='a b'><ul><li>x<li id=q><b>y</b></ul><p>u<p>v<section>w</p></section></table>z</div><tr><td>1<td>2<tr><td>3"
+    read = [(b.text, [" ".join(w) for w in b.node.path()] if b.node else []) for b in html_blocks.blocks(page)]
+    top = "div .a .b"
+    assert read == [
+        ("x", [top, "ul", "li"]), ("y", [top, "ul", "li .q"]), ("u", [top, "p"]), ("v", [top, "p"]), ("w", [top, "section"]), ("z", [top]),
+        ("1", ["tr", "td"]), ("2", ["tr", "td"]), ("3", ["tr", "td"]),
+    ]
+
+
 def test_labeller_on_fresh_pages():
     blocks, pages = html_training.accuracy(html_blocks.Labeller.load(), 300, seed=991)
     assert blocks > 0.999 and pages > 0.98
