@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, suffix_dedup
+from tessera.llm import chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, sharding, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_chat_formatting,
         op10_html_extraction,
+        op11_sharding,
     )
 }
 
@@ -92,6 +97,7 @@ FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 WINDOW g AS (PARTITION BY h)
 """,
     "op5_license_scan": licenses.sql(),
+    "op11_sharding": sharding.sql(),
     "op9_chat_formatting": f"""
 WITH said AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, coalesce(turn, -1) AS k, row_number() OVER () AS row_no FROM conversations),
