@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, sharding, suffix_dedup
+from tessera.llm import alignment, chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, sharding, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -54,6 +54,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_formatting,
         op10_html_extraction,
         op11_sharding,
+        op12_tokenizer_alignment,
     )
 }
 
