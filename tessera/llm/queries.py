@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import alignment, chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, quality, sentencepiece_lattice, sharding, suffix_dedup
+from tessera.llm import alignment, chat, exact_dedup, fingerprints, html_blocks, licenses, ngram_join, packing, prefix_trie, quality, sentencepiece_lattice, sharding, suffix_dedup
 from tessera.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(documents(spark, sf_dir))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
         op11_sharding,
         op12_tokenizer_alignment,
+        op13_prefix_trie,
     )
 }
 
@@ -103,6 +108,7 @@ WINDOW g AS (PARTITION BY h)
 """,
     "op5_license_scan": licenses.sql(),
     "op11_sharding": sharding.sql(),
+    "op13_prefix_trie": prefix_trie.SQL,
     "op9_chat_formatting": f"""
 WITH said AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said, coalesce(turn, -1) AS k, row_number() OVER () AS row_no FROM conversations),
