@@ -28,7 +28,7 @@ def two_sided_chain(edges: DataFrame) -> DataFrame:
     )
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, which doubles with every round else: checkpointed in the folder of ``spark.checkpoint.dir``.
 
     Only in local mode may that be unset; a temporary folder stands in for it then."""
@@ -47,13 +47,13 @@ def walk(nexts: DataFrame, heads: DataFrame) -> DataFrame:
 
     Chains double with every join (pointer jumping): after k rounds each node knows the node 2^k steps on, so a chain of n
     titles takes log n rounds, not n. Rounds end when one finds no new node; a cycle ends before the first node it meets again."""
-    reach = _cut(heads.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos")))
+    reach = cut(heads.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos")))
     jump, step, known = nexts.select("from_id", "to_id"), 1, -1
     while (n := reach.count()) > known:
         known = n
-        jump = _cut(jump)
+        jump = cut(jump)
         more = reach.join(jump, F.col("node") == F.col("from_id")).select("chain_id", F.col("to_id").alias("node"), (F.col("pos") + step).alias("pos"))
-        reach = _cut(first_of(reach.unionByName(more), ["chain_id", "node"], ["pos"]))
+        reach = cut(first_of(reach.unionByName(more), ["chain_id", "node"], ["pos"]))
         jump = jump.alias("a").join(jump.alias("b"), F.col("a.to_id") == F.col("b.from_id")).select(F.col("a.from_id").alias("from_id"), F.col("b.to_id").alias("to_id"))
         step *= 2
     return reach

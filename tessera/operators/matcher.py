@@ -1,12 +1,13 @@
 """The matching ladder over ordered streams of instalments; every relation is keyed by pair_id.
 
 Streams: pair_id, side, pos, locator, kind (regular or special), boundary (airing, complete or truncated), air_date, runtime,
-title. The three tiers are plans; only the greedy choice of the third is sequential, and runs as a grouped map over the
+title. The three tiers are plans (``ladder`` puts them together); only the greedy choice of the third is sequential, and runs as a grouped map over the
 candidates that are good enough to be chosen at all.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -105,32 +106,20 @@ def t2_pattern(segments: DataFrame) -> DataFrame:
     )
 
 
-def t2_episode_groups(groups: DataFrame, left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
-    """Links of pairs by the first of their catalogue's alternative orders (episode groups) that is accepted.
-
-    Of a pair's groups, those whose count is the right side's total are looked into, ``most`` at the most, in listing order; an
-    order places the left side's instalments anew. groups: pair_id, group_no, place, locator; left, right: pair_id, locator,
-    place, air_date, title."""
-    total = right.groupBy("pair_id").agg(F.count("*").alias("_total"))
-    listed = groups.groupBy("pair_id", "group_no").agg(F.count("*").alias("_n")).join(total, "pair_id").where("_n = _total")
-    detailed = ranked(listed, ["pair_id"], ["group_no"], "_place").where(F.col("_place") <= most).select("pair_id", "group_no")
-    anew = groups.join(detailed, ["pair_id", "group_no"]).join(left.select("pair_id", "locator", "air_date", "title"), ["pair_id", "locator"])
-    held = right.select("pair_id", "place", *[F.col(c).alias(f"r_{c}") for c in ("locator", "air_date", "title")])
-    both = anew.join(held, ["pair_id", "place"]).withColumn("_v", _verdict(F.col("title"), F.col("r_title"), F.col("air_date"), F.col("r_air_date")))
-    whole = both.groupBy("pair_id", "group_no").agg(F.min("_v").alias("_worst"), F.max("_v").alias("_best"), F.count("*").alias("_n"))
-    good = whole.join(total, "pair_id").where("_worst >= 0 AND _best = 1 AND _n = _total").groupBy("pair_id").agg(F.min("group_no").alias("group_no"))
-    return both.join(good, ["pair_id", "group_no"]).select("pair_id", F.col("locator").alias("left"), F.col("r_locator").alias("right"), F.lit("high").alias("confidence"))
-
-
 def units(stream: DataFrame) -> DataFrame:
     """Scoring units: every instalment, and every run of two or more neighbours of one air date taken together.
 
     A combined unit has the summed runtime if all are timed, the mean position, and the joined title. ``seq`` keeps the
-    order in which a reader of the stream would meet them."""
+    order in which a reader of the stream would meet them. A stream may have two more columns: ``consumed`` (placed by an
+    earlier tier: no unit, and it ends a run, but it keeps its position) and ``place`` (the order that links are held against,
+    else pos; spans are given in it)."""
+    consumed = F.col("consumed") if "consumed" in stream.columns else F.lit(False)
+    at = F.col("place") if "place" in stream.columns else F.col("pos")
     n = F.count("*").over(Window.partitionBy(*SIDE))
-    placed = stream.withColumn("place", F.col("pos") / F.greatest(F.lit(1), n - 1))
-    held = runs(placed, SIDE, "pos", ["air_date"], F.col("air_date").isNull())
+    placed = stream.withColumn("_at", at).withColumn("_consumed", consumed).withColumn("position", F.col("pos") / F.greatest(F.lit(1), n - 1))
+    held = runs(placed, SIDE, "pos", ["air_date"], F.col("air_date").isNull() | F.col("_consumed"))
     timed = F.bool_and(F.coalesce(F.col("runtime") > 0, F.lit(False)))
+    regular = F.when(F.col("kind") == "regular", F.col("_at"))
 
     def fold(df: DataFrame, keys: list[str]) -> DataFrame:
         titles = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("title", F.lit("")).alias("t")))), lambda x: x["t"]), " ")
@@ -138,16 +127,16 @@ def units(stream: DataFrame) -> DataFrame:
             F.min("air_date").alias("air_date"),
             F.bool_or(F.col("kind") == "special").alias("special"),
             F.transform(F.sort_array(F.collect_list(F.struct("pos", "locator"))), lambda x: x["locator"]).alias("locators"),
-            F.avg("place").alias("position"),
+            F.avg("position").alias("position"),
             F.when(timed, F.sum("runtime")).alias("runtime"),
             normalise_title(titles).alias("title"),
             F.max("pos").alias("at"),
             F.count("*").alias("size"),
-            F.min(F.when(F.col("kind") == "regular", F.col("pos"))).alias("low"),
-            F.max(F.when(F.col("kind") == "regular", F.col("pos"))).alias("high"),
+            F.min(regular).alias("low"),
+            F.max(regular).alias("high"),
         )
 
-    single = fold(placed, ["pos"]).drop("pos")
+    single = fold(placed.where("NOT _consumed"), ["pos"]).drop("pos")
     combined = fold(held.where("run IS NOT NULL"), ["run"]).where("size > 1").drop("run")
     both = single.unionByName(combined)
     return ranked(both, SIDE, ["at", "size"], "seq")
@@ -172,56 +161,59 @@ def candidates(all_units: DataFrame) -> DataFrame:
     return scored.select("pair_id", F.col("l_locators").alias("left"), F.col("r_locators").alias("right"), "score", F.col("l_seq").alias("left_seq"), F.col("r_seq").alias("right_seq"), *SPANS)
 
 
-def crossing(a: tuple, b: tuple) -> bool:
-    """Whether two pairings, each (left span or None, right span or None), overlap on a side or run in different orders."""
-    orders = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            orders.append(None)
-            continue
-        if not (x[1] < y[0] or y[1] < x[0]):
-            return True
-        orders.append(x[1] < y[0])
-    return None not in orders and orders[0] != orders[1]
+class Spans:
+    """Spans of chosen links that cross nothing, each (left span or None, right span or None), in sorted lists.
 
+    What a new link could cross stands next to where it would be put in: links of both sides run in one order."""
 
-def _whole_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each pair, from batches that are sorted by it."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        for key, part in pdf.groupby("pair_id", sort=False):
-            if held and held[0]["pair_id"].iloc[0] != key:
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
-
-
-def _choose(pdf: pd.DataFrame) -> list[tuple]:
-    taken: tuple[set, set] = (set(), set())
-    held: list[tuple] = []
-    out = []
-    for row in pdf.itertuples():
-        own = tuple(None if pd.isna(low) else (low, high) for low, high in ((row.l_low, row.l_high), (row.r_low, row.r_high)))
-        if row.given:
-            held.append(own)
-            continue
-        if taken[0] & set(row.left) or taken[1] & set(row.right):
-            continue
-        crosses = any(crossing(own, other) for other in held)
-        if not crosses:
-            taken[0].update(row.left)
-            taken[1].update(row.right)
-            if own != (None, None):
-                held.append(own)
-        out.append((row.pair_id, list(row.left), list(row.right), row.score, "crossing" if crosses else "high" if row.score >= HIGH else "low"))
-    return out
+    def __init__(self) -> None:
+        self.sides: tuple[list, list] = ([], [])
+        self.both: list[tuple] = []
+        self.broken = False  # links that earlier tiers placed may cross one another
+
+    def crosses(self, own: tuple) -> bool:
+        for held, span in zip(self.sides, own, strict=True):
+            if span is not None:
+                k = bisect_left(held, span)
+                if k < len(held) and held[k][0] <= span[1] or k and held[k - 1][1] >= span[0]:
+                    return True
+        if None in own:
+            return False
+        k = bisect_left(self.both, own)
+        return k < len(self.both) and self.both[k][1] < own[1] or k > 0 and self.both[k - 1][1] > own[1]
+
+    def add(self, own: tuple) -> None:
+        for held, span in zip(self.sides, own, strict=True):
+            if span is not None:
+                insort(held, span)
+        if None not in own:
+            insort(self.both, own)
 
 
 def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _whole_pairs(batches):
-        yield pd.DataFrame(_choose(pdf), columns=["pair_id", "left", "right", "score", "outcome"])
+    """Reads the rows of each pair in order; what is chosen of one pair is all that is held."""
+    pair, taken, spans = None, (set(), set()), Spans()
+    for pdf in batches:
+        bounds = pdf[SPANS].astype("float64").to_numpy()
+        out = []
+        for key, left, right, score, given, (a, b, c, d) in zip(pdf["pair_id"], pdf["left"], pdf["right"], pdf["score"], pdf["given"], bounds, strict=True):
+            if key != pair:
+                pair, taken, spans = key, (set(), set()), Spans()
+            own = (None if a != a else (a, b), None if c != c else (c, d))
+            if given:
+                spans.broken = spans.broken or spans.crosses(own)
+                spans.add(own)
+                continue
+            left, right = list(left), list(right)
+            if not taken[0].isdisjoint(left) or not taken[1].isdisjoint(right):
+                continue
+            crosses = spans.broken or spans.crosses(own)
+            if not crosses:
+                taken[0].update(left)
+                taken[1].update(right)
+                spans.add(own)
+            out.append((key, left, right, score, "crossing" if crosses else "high" if score >= HIGH else "low"))
+        yield pd.DataFrame(out, columns=["pair_id", "left", "right", "score", "outcome"])
 
 
 def greedy_links(scored: DataFrame, placed: DataFrame | None = None) -> DataFrame:
@@ -240,31 +232,29 @@ def greedy_links(scored: DataFrame, placed: DataFrame | None = None) -> DataFram
     return dealt.mapInPandas(_greedy, "pair_id long, left array<string>, right array<string>, score double, outcome string")
 
 
-def ladder(stream: DataFrame, segments: DataFrame, over_budget: DataFrame) -> DataFrame:
-    """Links of all three tiers: pair_id, tier, left, right (locators), confidence. A pair that is over its budget has none.
+def broken(links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The keys (pair_id) any two of whose links overlap on a side or are inverted, found in one sorted pass a side.
+
+    links: keys, l_low, l_high, r_low, r_high (null where a side has no regular instalment). A link that begins before an earlier
+    one has ended overlaps it; where none does, links of both sides in the order of the left must run forward on the right."""
+    keys = keys or ["pair_id"]
+
+    def against(low: str, high: str, order: list[str], present: list[str]) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = links.where(" AND ".join(f"{c} IS NOT NULL" for c in present))
+        return rows.withColumn("_before", F.max(high).over(before)).where(F.col(low) <= F.col("_before")).select(*keys)
 
-    The second tier stands down where the first has placed something; the third always runs, on what is not placed yet, and
-    crosses nothing that is. stream: as above; segments: pair_id, side, segment_no, pos, number, locator, air_date, title;
-    over_budget: pair_id."""
-    paid = lambda df: df.join(over_budget.select("pair_id").distinct(), "pair_id", "left_anti")
-    stream, segments = paid(stream), paid(segments)
-    regular = segments.join(stream.where("kind = 'regular'").select(*SIDE, "locator"), [*SIDE, "locator"], "left_semi")
-    first = t1_structure(regular)
-    second = t2_pattern(regular).join(first.select("pair_id").distinct(), "pair_id", "left_anti")
-    placed = first.withColumn("tier", F.lit("t1-structure")).unionByName(second.withColumn("tier", F.lit("t2-pattern")))
-    at = lambda x: stream.where((F.col("side") == x) & (F.col("kind") == "regular")).select("pair_id", F.col("locator").alias(x), F.col("pos").alias(f"{x[0]}_low"), F.col("pos").alias(f"{x[0]}_high"))
-    spans = placed.join(at("left"), ["pair_id", "left"], "left").join(at("right"), ["pair_id", "right"], "left")
-    ends = placed.select("pair_id", F.lit("left").alias("side"), F.col("left").alias("locator")).unionByName(placed.select("pair_id", F.lit("right").alias("side"), F.col("right").alias("locator")))
-    left_over = stream.join(ends, [*SIDE, "locator"], "left_anti")
-    third = greedy_links(candidates(units(left_over)), spans.select("pair_id", *SPANS)).where("outcome <> 'crossing'")
-    alone = placed.select("pair_id", "tier", F.array("left").alias("left"), F.array("right").alias("right"), "confidence")
-    return alone.unionByName(third.select("pair_id", F.lit("t3-episode").alias("tier"), "left", "right", F.col("outcome").alias("confidence")))
+    left, right = ["l_low", "l_high"], ["r_low", "r_high"]
+    found = against(*left, left, ["l_low"]).unionByName(against(*right, right, ["r_low"]))
+    return found.unionByName(against(*right, [*left, *right], ["l_low", "r_low"])).distinct()
 
 
 def crossings(links: DataFrame) -> DataFrame:
-    """Pairs of links of one pair_id that overlap on a side or are inverted: a self-join within the pair.
+    """Pairs of links of one pair_id that overlap on a side or are inverted: a self-join within the pairs that have any.
 
     links: pair_id, link_id, left_min, left_max, right_min, right_max (null where a side has no regular instalment)."""
+    spans = dict(zip(["left_min", "left_max", "right_min", "right_max"], SPANS, strict=True))
+    links = links.join(broken(links.withColumnsRenamed(spans)), "pair_id", "left_semi")
     a = links.select("pair_id", *[F.col(c).alias(f"a_{c}") for c in ("link_id", "left_min", "left_max", "right_min", "right_max")])
     b = links.select("pair_id", *[F.col(c).alias(f"b_{c}") for c in ("link_id", "left_min", "left_max", "right_min", "right_max")])
     both = a.join(b, "pair_id").where("a_link_id < b_link_id")

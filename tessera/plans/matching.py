@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import ladder as lad
 from tessera.operators import matcher as m
 from tessera.plans.registry import query
 from tessera.plans.scalars import NORM, SIMILAR, TOKENS
@@ -123,20 +124,48 @@ g AS (SELECT pair_id, min(group_no) AS group_no FROM (SELECT pair_id, group_no,
 SELECT pair_id, x AS "left", y AS "right", 'high' AS confidence FROM v JOIN g USING (pair_id, group_no)""",
 )
 def episode_groups(t: Tables) -> DataFrame:
-    sides = t.stream().withColumn("place", F.col("pos").cast("long") + 1)
-    left, right = (sides.where(F.col("side") == x).drop("side") for x in ("left", "right"))
+    right = t.stream().where("side = 'right'").select("pair_id", F.lit(1).alias("segment_no"), "pos", "locator", "air_date", "title")
+    every = t.stream().select("pair_id").distinct().select("pair_id", F.lit(None).cast("double").alias("left"), F.lit(0).alias("list_cost"), F.lit(0).alias("detail_cost"))
+    return lad.paid_orders(t.stream(), right, orders(t), every).links
+
+
+def orders(t: Tables) -> DataFrame:
+    """Other orders of each left stream: its instalments turned by 0 to 4 places, one of them in their own order, one without the first."""
+    left = t.stream().where("side = 'left'")
     n = F.count("*").over(Window.partitionBy("pair_id"))
-    orders = left.withColumn("n", n).withColumn("group_no", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).where("group_no <> 1 OR pos > 0")
-    place = F.when(F.col("group_no") == 3, F.col("pos") + 1).otherwise((F.col("pos") + F.col("group_no")) % F.col("n") + 1)
-    return m.t2_episode_groups(orders.select("pair_id", "group_no", place.cast("long").alias("place"), "locator"), left, right)
+    turned = left.withColumn("n", n).withColumn("order_no", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).where("order_no <> 1 OR pos > 0")
+    place = F.when(F.col("order_no") == 3, F.col("pos")).otherwise((F.col("pos") + F.col("order_no")) % F.col("n"))
+    return turned.select("pair_id", "order_no", F.lit(1).alias("segment_no"), place.alias("pos"), "locator", "air_date", "title")
+
 
+def climbed(t: Tables) -> lad.Ladder:
+    """The ladder of all pairs, whose budgets are of 0 to 12 requests; the segments of the left side are what the first tier costs."""
+    segments = seg(t)
+    fetched = segments.where("side = 'left'").groupBy("pair_id").agg(F.countDistinct("segment_no").cast("double").alias("t1_cost"))
+    one = F.lit(1.0)
+    budgets = fetched.select("pair_id", (F.col("pair_id") % 13).cast("double").alias("most"), "t1_cost", one.alias("list_cost"), one.alias("detail_cost"))
+    return lad.climb(t.stream(), segments, budgets, orders(t))
 
-#: The third tier is sequential and has no SQL; ``tests/test_matching.py`` tests the ladder against brute force.
+
+#: The third tier is sequential and has no SQL; ``tests/test_ladder.py`` tests the whole ladder against a plain one.
 @query("M1_ladder")
 def whole_ladder(t: Tables) -> DataFrame:
-    over = t.stream().where("pair_id % 13 = 5").select("pair_id").distinct()
-    found = m.ladder(t.stream(), seg(t), over)
-    return found.select("pair_id", "tier", F.concat_ws(" ", "left").alias("left"), F.concat_ws(" ", "right").alias("right"), "confidence")
+    found = climbed(t)
+    return found.links.join(found.outcome.select("pair_id", "status"), "pair_id").select("pair_id", "tier", F.concat_ws(" ", "left").alias("left"), F.concat_ws(" ", "right").alias("right"), "confidence", "status")
+
+
+@query("M1_ladder_outcomes_M10")
+def ladder_outcomes(t: Tables) -> DataFrame:
+    """Per pair the alignment's status and what the ladder spent of its budget."""
+    found = climbed(t)
+    spent = found.trace.groupBy("pair_id").agg(F.sum("spent").alias("spent"), F.count_if(F.col("kind") == "over-budget").alias("n_refused"))
+    return found.outcome.join(spent, "pair_id")
+
+
+@query("A26_highest_tier", "stream", "SELECT DISTINCT pair_id, 't3-episode' AS highest_tier FROM stream")
+def highest_tier(t: Tables) -> DataFrame:
+    """Of whole ladders the third tier, which always proposes."""
+    return lad.highest_tried(climbed(t).trace)
 
 
 LINKS = """links AS (SELECT l.pair_id, l.pos AS link_id, CASE WHEN l.kind = 'regular' THEN l.pos END AS left_min, CASE WHEN l.kind = 'regular' THEN l.pos + l.pos % 2 END AS left_max,
@@ -198,3 +227,30 @@ SELECT pair_id, side, locator, CASE WHEN boundary = 'truncated' OR (boundary = '
 )
 def disposed(t: Tables) -> DataFrame:
     return m.dispositions(t.stream(), ends(t).where("link_id < 3"))
+
+
+@query(
+    "A25_ladder_complete",
+    "stream",
+    f"+{LINKS}, {ENDS}, " + """k AS (SELECT s.*, EXISTS (SELECT 1 FROM ends e WHERE e.pair_id = s.pair_id AND e.side = s.side AND e.locator = s.locator AND link_id < 3) AS paired FROM stream s),
+l AS (SELECT *, coalesce(max(CASE WHEN paired THEN pos END) OVER (PARTITION BY pair_id, side), -1) AS last FROM k)
+SELECT pair_id, count(*) FILTER (WHERE NOT paired AND boundary = 'airing' AND pos > last) = 0 AS complete FROM l GROUP BY 1 HAVING NOT bool_or(boundary = 'truncated')""",
+)
+def completed(t: Tables) -> DataFrame:
+    held = links(t).where("link_id < 3").withColumn("b", F.when(F.col("pair_id") % 10 == 1, "s9e9").otherwise(F.col("b")))
+    published = t.stream().groupBy("pair_id").agg(F.when(F.bool_or(F.col("boundary") == "truncated"), "unpublishable").otherwise("published").alias("status"))
+    return lad.complete(t.stream(), held.select("pair_id", F.array("a").alias("left"), F.array("b").alias("right")), published)
+
+
+@query(
+    "A22_request_estimate",
+    "titles",
+    """SELECT group_id AS build_id, n * greatest(services - 1, 0) + candidates AS requests, n * greatest(services - 1, 0) + candidates <= 50 AS fits
+FROM (SELECT group_id, count(*) AS n, count(DISTINCT service) AS services, count(DISTINCT native) AS candidates FROM titles GROUP BY 1)""",
+)
+def estimates(t: Tables) -> DataFrame:
+    """A build for each group: its titles are the chain, the other services are the targets, its ids the candidates."""
+    titles = t.titles().select(F.col("group_id").alias("build_id"), "service", "native")
+    own = titles.groupBy("build_id").agg(F.min("service").alias("service"))
+    targets = titles.select("build_id", "service").distinct().join(own, ["build_id", "service"], "left_anti")
+    return lad.build_estimate(titles, targets, titles.select("build_id", "native").distinct())

@@ -148,11 +148,6 @@ def candidates(t: Tables) -> DataFrame:
     return p.firsts_in_order(c, "group_id", "ref", ["pos"]).select("group_id", "ref", "place")
 
 
-@query("A25_ladder_complete", "stream", "SELECT pair_id, count(*) FILTER (WHERE air_date IS NULL AND boundary = 'airing') = 0 AS complete FROM stream GROUP BY 1")
-def ladder(t: Tables) -> DataFrame:
-    return t.stream().groupBy("pair_id").agg((F.count_if(F.col("air_date").isNull() & (F.col("boundary") == "airing")) == 0).alias("complete"))
-
-
 @query(
     "W6_adjacent_pairs",
     "stream",

@@ -214,16 +214,6 @@ def official(t: Tables) -> DataFrame:
     return t.titles().select("title_id", identity.host_of(url).alias("host"), identity.official_host(url, operator).alias("official"))
 
 
-@query("A22_request_estimate_A26_highest_tier", "titles", """SELECT group_id, CAST(sum(ordinal) + 3 * count(*) AS BIGINT) AS cost, sum(ordinal) + 3 * count(*) <= 250 AS within_budget,
-  CASE max(ordinal % 3) WHEN 2 THEN 't3-episode' WHEN 1 THEN 't2-pattern' ELSE 't1-structure' END AS highest_tier FROM titles GROUP BY 1""")
-def estimates(t: Tables) -> DataFrame:
-    cost = F.sum("ordinal") + 3 * F.count("*")
-    tier = F.max(F.col("ordinal") % 3)
-    return t.titles().groupBy("group_id").agg(
-        cost.cast("long").alias("cost"), (cost <= 250).alias("within_budget"), F.when(tier == 2, "t3-episode").when(tier == 1, "t2-pattern").otherwise("t1-structure").alias("highest_tier")
-    )
-
-
 @query("X27_year_span_A13_run_sum", "titles", """+s AS (SELECT group_id, min(1980 + ordinal) AS a, max(CASE WHEN group_id % 3 > 0 THEN 1980 + ordinal END) AS b, CASE WHEN count(*) = count(CASE WHEN ordinal % 11 > 0 THEN ordinal END) THEN CAST(sum(ordinal) AS BIGINT) END AS total FROM titles GROUP BY 1)
 SELECT group_id, CASE WHEN b IS NULL OR a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END AS span, total FROM s""")
 def year_spans(t: Tables) -> DataFrame:

@@ -104,25 +104,6 @@ def test_t2_pattern(spark):
     assert matcher.t2_pattern(spark.createDataFrame([], LADDER)).count() == 0
 
 
-def test_ladder(spark):
-    four, special = days(4), [("2024-03-01", "The Film")]
-    both = [r for side in ("left", "right") for r in rows(0, side, [four])]  # the first tier places them, the third the specials
-    both += [(0, side, 0, 9, 1, "s0e1", "special", "complete", *special[0][:1], None, special[0][1]) for side in ("left", "right")]
-    both += rows(1, "left", [four]) + rows(1, "right", [four[:2], four[2:]])  # the second tier
-    both += rows(2, "left", [four]) + rows(2, "right", [days(3)])  # only the third
-    both += [r for side in ("left", "right") for r in rows(3, side, [four])]  # over budget
-    frame = spark.createDataFrame(both, LADDER)
-    stream, segments = frame.drop("segment_no", "number"), frame.select("pair_id", "side", "segment_no", "pos", "number", "locator", "air_date", "title")
-    got = matcher.ladder(stream, segments, spark.createDataFrame([(3,)], "pair_id long")).collect()
-    tiers = {k: sorted(r.tier for r in got if r.pair_id == k) for k in range(4)}
-    assert tiers == {0: ["t1-structure"] * 4 + ["t3-episode"], 1: ["t2-pattern"] * 4, 2: ["t3-episode"] * 3, 3: []}
-    assert [(r.left, r.right, r.confidence) for r in got if r.pair_id == 0 and r.tier == "t3-episode"] == [(["s0e1"], ["s0e1"], "high")]
-    for k in range(3):
-        for side in ("left", "right"):
-            used = [x for r in got if r.pair_id == k for x in (getattr(r, side) if isinstance(getattr(r, side), list) else [getattr(r, side)])]
-            assert len(used) == len(set(used))
-
-
 def test_greedy_links_cross_nothing_that_is_placed(spark):
     found = spark.createDataFrame(
         [(1, ["s1e1"], ["s1e3"], 0.9, 1, 1, 0, 0, 2, 2), (1, ["s1e4"], ["s1e4"], 0.7, 2, 2, 3, 3, 3, 3)],
