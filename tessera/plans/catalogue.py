@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, discovery, graph, groups, matching, publication, scalars, sources, streams, tracker
+from tessera.plans import answers, discovery, graph, groups, matching, publication, scalars, sources, streams, structural, tracker
 from tessera.plans.registry import QUERIES, SQL
 
 FLAGSHIP = graph.FLAGSHIP
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "answers", "discovery", "groups", "matching", "publication", "scalars", "sources", "streams", "tracker"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "answers", "discovery", "groups", "matching", "publication", "scalars", "sources", "streams", "structural", "tracker"]
