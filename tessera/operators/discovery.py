@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,66 @@ def walk(nexts: DataFrame, heads: DataFrame) -> DataFrame:
     return reach
 
 
+class Continuity(NamedTuple):
+    #: chain_id (the start), node, pos from 0: the whole chain, of starts that nothing is refused to
+    chains: DataFrame
+    #: chain_id, reason, entry_id, competing (from_id, kind, to_id)
+    refusals: DataFrame
+
+
+def continuity(entries: DataFrame, relations: DataFrame, starts: DataFrame) -> Continuity:
+    """The chain of each start: back along prequels, then forward along sequels, or why it can't be told.
+
+    ambiguous-branch: the start or an entry on the way has two edges of a direction (prequels before sequels); non-anime-candidate:
+    the start isn't anime, or an edge leads to a show; cycle-closing-link: an edge leads to what was walked. What is met first counts, the
+    way back before the way forward; an entry that is not there ends a way. Films are parts of chains. entries: entry_id, type;
+    relations: from_id, kind (others than prequel and sequel are passed over), to_id; starts: entry_id.
+
+    Both ways are walked by doubling (``walk``), over the edges that can be gone; what stands at a way's end is looked up once."""
+    edges = relations.where("kind IN ('prequel', 'sequel')").select("from_id", "kind", "to_id")
+    listed = F.sort_array(F.collect_list(F.struct("from_id", "kind", "to_id")))
+    several = edges.groupBy("from_id", "kind").agg(F.count("*").alias("n"), listed.alias("competing")).where("n > 1")
+    branching = first_of(several, ["from_id"], ["kind"]).select(F.col("from_id").alias("entry_id"), "competing")
+    state = entries.join(branching, "entry_id", "left").select("entry_id", "type", "competing")
+    single = edges.join(several.select("from_id").distinct(), "from_id", "left_anti")
+    to = state.select(F.col("entry_id").alias("to_id"), F.col("type").alias("_type"), "competing")
+    step = F.when(F.col("_type").isNull(), "end").when(F.col("_type") == "show", "non-anime-candidate").when(F.col("competing").isNotNull(), "ambiguous-branch").otherwise("go")
+    steps = cut(single.join(to, "to_id", "left").select("from_id", "kind", "to_id", step.alias("step"), "competing"))
+
+    begun = starts.distinct().join(state, "entry_id")
+    nothing = F.array().cast(dict(steps.dtypes)["competing"])
+    reason = F.when(F.col("type") != "anime", "non-anime-candidate").when(F.col("competing").isNotNull(), "ambiguous-branch")
+    begun = begun.withColumn("reason", reason)
+    refused = begun.where("reason IS NOT NULL").select(
+        F.col("entry_id").alias("chain_id"), "reason", "entry_id", F.when(F.col("reason") == "ambiguous-branch", F.col("competing")).otherwise(nothing).alias("competing")
+    )
+    good = begun.where("reason IS NULL").select(F.col("entry_id").alias("node"))
+
+    def ends(way: DataFrame, kind: str) -> DataFrame:
+        """The refusals at the ends of ways (chain_id, node, pos)."""
+        last = way.groupBy("chain_id").agg(F.max_by("node", "pos").alias("from_id"))
+        at = last.join(steps.where(F.col("kind") == kind), "from_id").where("step <> 'end'")
+        edge = F.array(F.struct("from_id", "kind", "to_id"))
+        found = F.when(F.col("step") == "go", "cycle-closing-link").otherwise(F.col("step"))
+        entry = F.when(F.col("step") == "go", F.col("from_id")).otherwise(F.col("to_id"))
+        return at.select("chain_id", found.alias("reason"), entry.alias("entry_id"), F.when(F.col("step") == "ambiguous-branch", F.col("competing")).otherwise(edge).alias("competing"))
+
+    go = lambda kind: steps.where((F.col("kind") == kind) & (F.col("step") == "go"))
+    back = walk(go("prequel"), good)
+    refused_back = cut(ends(back, "prequel"))
+    good = good.join(refused_back.select(F.col("chain_id").alias("node")), "node", "left_anti")
+    ahead = walk(go("sequel"), good)
+    met = ahead.where("pos > 0").join(back.where("pos > 0").select("chain_id", "node"), ["chain_id", "node"]).groupBy("chain_id").agg(F.min("pos").alias("_met"))
+    ahead = cut(ahead.join(met, "chain_id", "left").where("_met IS NULL OR pos < _met").drop("_met"))
+    refused_ahead = cut(ends(ahead, "sequel"))
+    refusals = refused.unionByName(refused_back).unionByName(refused_ahead)
+    whole = good.select(F.col("node").alias("chain_id")).join(refused_ahead.select("chain_id"), "chain_id", "left_anti")
+    behind = back.groupBy("chain_id").agg(F.max("pos").alias("_n"))
+    rows = ahead.where("pos > 0").select("chain_id", "node", "pos").unionByName(back.select("chain_id", "node", (-F.col("pos")).alias("pos")))
+    chains = rows.join(whole, "chain_id", "left_semi").join(behind, "chain_id").select("chain_id", "node", (F.col("pos") + F.col("_n")).alias("pos"))
+    return Continuity(chains, refusals)
+
+
 def branches(edges: DataFrame) -> DataFrame:
     """Nodes with more than one edge of a direction: their chain is ambiguous. edges: from_id, to_id, kind."""
     return edges.groupBy("from_id", "kind").agg(F.countDistinct("to_id").alias("n")).where("n > 1").select(F.col("from_id").alias("node"), "kind", "n")

@@ -35,21 +35,58 @@ def two_sided(t: Tables) -> DataFrame:
     return d.two_sided_chain(relations(t))
 
 
-CHAIN = "+nxt AS (SELECT title_id AS from_id, title_id + 1 AS to_id FROM titles WHERE group_id % 5 <> 4 AND title_id % 8 <> 7)"
+#: Blocks of 61 titles are chains; every second block has shows, missing entries and branches, every third is closed to a cycle.
+WALK = """+b AS (SELECT title_id AS i, title_id // 61 AS blk, title_id % 61 AS spot FROM titles),
+ent AS (SELECT i AS id, CASE WHEN blk % 2 = 1 AND i % 29 = 11 THEN 'show' WHEN i % 7 = 3 THEN 'movie' ELSE 'anime' END AS type FROM b WHERE NOT (blk % 2 = 1 AND i % 41 = 20)),
+mrel AS (SELECT i AS from_id, 'sequel' AS kind, i + 1 AS to_id FROM b WHERE spot < 60 UNION ALL SELECT i + 1, 'prequel', i FROM b WHERE spot < 60 AND i % 17 <> 5
+  UNION ALL SELECT i, 'sequel', i + 2 FROM b WHERE blk % 2 = 1 AND i % 53 = 9 UNION ALL SELECT i, 'sequel', i - 60 FROM b WHERE spot = 60 AND blk % 3 = 2 UNION ALL SELECT i, 'side_story', i + 3 FROM b WHERE i % 4 = 0),
+per AS (SELECT from_id, kind, count(*) AS n, string_agg(from_id || '>' || to_id, ',' ORDER BY to_id) AS said, min(to_id) AS to_id FROM mrel WHERE kind <> 'side_story' GROUP BY 1, 2),
+branch AS (SELECT from_id AS id, arg_min(kind || ':' || said, kind) AS said FROM per WHERE n > 1 GROUP BY 1),
+walk(start, phase, node, seen, back, ahead, reason, entry, said) AS (
+  SELECT e.id, CASE WHEN e.type <> 'anime' OR h.id IS NOT NULL THEN 2 ELSE 0 END, e.id, [e.id], CAST([] AS BIGINT[]), CAST([] AS BIGINT[]),
+    CASE WHEN e.type <> 'anime' THEN 'non-anime-candidate' WHEN h.id IS NOT NULL THEN 'ambiguous-branch' END, CASE WHEN e.type <> 'anime' OR h.id IS NOT NULL THEN e.id END,
+    CASE WHEN e.type <> 'anime' THEN '' ELSE h.said END
+  FROM ent e LEFT JOIN branch h ON h.id = e.id
+  UNION ALL
+  SELECT start, CASE WHEN step = 'go' THEN phase WHEN step = 'end' THEN phase + 1 ELSE 2 END, CASE WHEN step = 'go' THEN to_id ELSE start END,
+    CASE WHEN step = 'go' THEN list_append(seen, to_id) ELSE seen END, CASE WHEN step = 'go' AND phase = 0 THEN list_append(back, to_id) ELSE back END,
+    CASE WHEN step = 'go' AND phase = 1 THEN list_append(ahead, to_id) ELSE ahead END, CASE WHEN step NOT IN ('go', 'end') THEN step END,
+    CASE step WHEN 'cycle-closing-link' THEN node WHEN 'non-anime-candidate' THEN to_id WHEN 'ambiguous-branch' THEN to_id END,
+    CASE WHEN step = 'ambiguous-branch' THEN bsaid WHEN step NOT IN ('go', 'end') THEN kind || ':' || node || '>' || to_id END
+  FROM (SELECT w.*, p.to_id, p.kind, h.said AS bsaid,
+      CASE WHEN p.to_id IS NULL THEN 'end' WHEN list_contains(seen, p.to_id) THEN 'cycle-closing-link' WHEN e.id IS NULL THEN 'end' WHEN e.type = 'show' THEN 'non-anime-candidate'
+        WHEN h.id IS NOT NULL THEN 'ambiguous-branch' ELSE 'go' END AS step
+    FROM walk w LEFT JOIN per p ON p.from_id = w.node AND p.kind = CASE w.phase WHEN 0 THEN 'prequel' ELSE 'sequel' END
+    LEFT JOIN ent e ON e.id = p.to_id LEFT JOIN branch h ON h.id = p.to_id WHERE w.phase < 2)) /*recursive*/"""
+
+
+def walked(t: Tables) -> d.Continuity:
+    i = F.col("title_id")
+    rows = t.titles().select(i, F.floor(i / 61).alias("blk"), (i % 61).alias("at"))
+    odd = F.col("blk") % 2 == 1
+    kind = F.when(odd & (i % 29 == 11), "show").when(i % 7 == 3, "movie").otherwise("anime")
+    entries = rows.where(~(odd & (i % 41 == 20))).select(i.alias("entry_id"), kind.alias("type"))
+    edge = lambda where, a, name, b: rows.where(where).select(a.alias("from_id"), F.lit(name).alias("kind"), b.alias("to_id"))
+    edges = edge("at < 60", i, "sequel", i + 1).unionByName(edge("at < 60 AND title_id % 17 <> 5", i + 1, "prequel", i)).unionByName(edge("blk % 2 = 1 AND title_id % 53 = 9", i, "sequel", i + 2))
+    edges = edges.unionByName(edge("at = 60 AND blk % 3 = 2", i, "sequel", i - 60)).unionByName(edge("title_id % 4 = 0", i, "side_story", i + 3))
+    return d.continuity(entries, edges, entries.select("entry_id"))
 
 
 @query(
     "D1_continuity_walk",
     "titles",
-    CHAIN + """, heads AS (SELECT from_id AS node FROM nxt WHERE from_id NOT IN (SELECT to_id FROM nxt)),
-steps AS (SELECT node AS chain_id, i AS pos FROM heads, range(0, 32) r(i))
-SELECT chain_id, chain_id + pos AS node, CAST(pos AS INT) AS pos FROM steps WHERE pos = 0 OR (SELECT count(*) FROM nxt WHERE from_id >= chain_id AND from_id < chain_id + pos) = pos""",
+    WALK + """ SELECT start AS chain_id, node, CAST(pos - 1 AS INT) AS pos FROM (
+  SELECT start, unnest(path) AS node, generate_subscripts(path, 1) AS pos FROM (SELECT start, list_concat(list_reverse(back), [start], ahead) AS path FROM walk WHERE phase = 2 AND reason IS NULL))""",
 )
 def walks(t: Tables) -> DataFrame:
-    i = F.col("title_id")
-    nexts = t.titles().where("group_id % 5 <> 4 AND title_id % 8 <> 7").select(i.alias("from_id"), (i + 1).alias("to_id"))
-    heads = nexts.join(nexts.select(F.col("to_id").alias("from_id")), "from_id", "left_anti").select(F.col("from_id").alias("node"))
-    return d.walk(nexts, heads)
+    return walked(t).chains.select("chain_id", "node", F.col("pos").cast("int").alias("pos"))
+
+
+@query("D1_walk_refusals", "titles", WALK + " SELECT start AS chain_id, reason, entry AS entry_id, said AS competing FROM walk WHERE phase = 2 AND reason IS NOT NULL")
+def refusals(t: Tables) -> DataFrame:
+    said = F.array_join(F.transform("competing", lambda c: F.concat(c["from_id"].cast("string"), F.lit(">"), c["to_id"].cast("string"))), ",")
+    competing = F.when(F.size("competing") == 0, "").otherwise(F.concat(F.col("competing")[0]["kind"], F.lit(":"), said))
+    return walked(t).refusals.select("chain_id", "reason", "entry_id", competing.alias("competing"))
 
 
 @query("D1_ambiguous_branch", "titles", REL + " SELECT from_id AS node, kind, count(DISTINCT to_id) AS n FROM rel GROUP BY 1, 2 HAVING count(DISTINCT to_id) > 1")

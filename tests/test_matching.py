@@ -160,3 +160,49 @@ def test_anidb_is_an_anime_catalogue(spark):
     assert {r.group_id: r.media_kind for r in graph.media_kind(frame).collect()} == {1: "anime", 2: "film", 3: "tv", 4: "anime"}
     assert sorted(map(tuple, graph.spine(frame).select("group_id", "title_id", "place").collect())) == [(1, 1, 1), (3, 5, 1), (4, 6, 2), (4, 7, 1)]
     assert {r.title_id for r in publication.segment_kinds(frame).where("kind = 'atomic'").collect()} == {1, 2, 3}
+
+
+def walked(spark, types, edges, starts):
+    from tessera.operators import discovery
+
+    frame = spark.createDataFrame
+    got = discovery.continuity(frame(types, "entry_id string, type string"), frame(edges, "from_id string, kind string, to_id string"), frame([(x,) for x in starts], "entry_id string"))
+    chains: dict = {}
+    for r in sorted(got.chains.collect(), key=lambda r: r.pos):
+        assert r.pos == len(chains.setdefault(r.chain_id, []))
+        chains[r.chain_id].append(r.node)
+    return chains, {r.chain_id: (r.reason, r.entry_id, [tuple(x) for x in r.competing]) for r in got.refusals.collect()}
+
+
+def test_continuity_refuses_to_guess(spark):
+    s, p = "sequel", "prequel"
+    types = [(x, "anime") for x in "a b c d e f g h i j k l m n o q r u v w x y z".split()] + [("film", "movie"), ("show", "show"), ("side", "movie"), ("start", "movie"), ("z2", "anime"), ("e2", "anime"), ("bb", "anime")]
+    edges = [("a", s, "b"), ("b", p, "a"), ("b", s, "c"), ("c", p, "b")]  # a plain chain
+    edges += [("d", p, "a9"), ("d", s, "film"), ("film", p, "d"), ("film", "side_story", "side")]  # a film in it, and a missing prequel
+    edges += [("e", s, "f"), ("e", s, "e2"), ("f", p, "e")]  # a branch, met from behind
+    edges += [("g", s, "h"), ("h", s, "g")]  # a cycle of sequels
+    edges += [("i", s, "show"), ("j", s, "i"), ("i", p, "j")]
+    edges += [("k", p, "l"), ("l", p, "m"), ("m", p, "l")]  # back into a cycle that the start is not on
+    edges += [("n", p, "o"), ("n", s, "o")]  # forward into what was walked back
+    edges += [("q", p, "r"), ("r", p, "q"), ("q", s, "show")]  # both ways refuse: back counts
+    edges += [("u", s, "u")]
+    edges += [("v", p, "w"), ("v", p, "x"), ("v", s, "w"), ("v", s, "x")]  # both kinds branch: prequels are named
+    edges += [("y", p, "show"), ("z", s, "z2"), ("z", s, "z2")]  # repeated rows are two edges
+    chains, refused = walked(spark, types, edges, [*"abcdegijknquvyz", "film", "start", "bb", "a"])
+    assert chains == {"a": ["a", "b", "c"], "b": ["a", "b", "c"], "c": ["a", "b", "c"], "d": ["d", "film"], "bb": ["bb"]}
+    assert refused == {
+        "e": ("ambiguous-branch", "e", [("e", s, "e2"), ("e", s, "f")]),
+        "g": ("cycle-closing-link", "h", [("h", s, "g")]),
+        "i": ("non-anime-candidate", "show", [("i", s, "show")]),
+        "j": ("non-anime-candidate", "show", [("i", s, "show")]),
+        "k": ("cycle-closing-link", "m", [("m", p, "l")]),
+        "n": ("cycle-closing-link", "n", [("n", s, "o")]),
+        "q": ("cycle-closing-link", "r", [("r", p, "q")]),
+        "u": ("cycle-closing-link", "u", [("u", s, "u")]),
+        "v": ("ambiguous-branch", "v", [("v", p, "w"), ("v", p, "x")]),
+        "y": ("non-anime-candidate", "show", [("y", p, "show")]),
+        "z": ("ambiguous-branch", "z", [("z", s, "z2"), ("z", s, "z2")]),
+        "film": ("non-anime-candidate", "film", []),
+        "start": ("non-anime-candidate", "start", []),
+    }
+    assert walked(spark, [], [], []) == ({}, {})
