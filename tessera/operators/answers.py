@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.scores import source_rank
+from tessera.functions.scores import LINK_STATUSES, source_rank
 from tessera.operators.graph import paths, ranked
-from tessera.operators.tracker import interleave
+from tessera.operators.tracker import interleave, watch_spans
 
-#: Grades from the worst to the best, and states in the order in which one of several speaks for all.
+#: Grades from the worst to the best, the prefix of references to coverage and the largest id in them, and states in the
+#: order in which one of several speaks for all.
 CONFIDENCES = ["low", "high", "exact"]
-STATES = ["known-no-counterpart", "unmatched", "pending", "conflict", "matched"]
+PENDING = "pending"
+MOST_ID = (1 << 53) - 1
+STATES = LINK_STATUSES
 
 
 def _rank(values: list[str], column) -> F.Column:
@@ -87,39 +90,80 @@ def compact(answers: DataFrame) -> DataFrame:
     )
 
 
-def status_by_ref(refs: DataFrame, titles: DataFrame, builds: DataFrame, retry_after: int = 5) -> DataFrame:
-    """State of each reference: complete where its title is in a group, else pending or failed as its latest build says, else unknown.
-
-    refs: ref, service, native; titles: service, native, group_id; builds: ref, started, state (running, failed, done)."""
-    last = builds.groupBy("ref").agg(F.max(F.struct("started", "state"))["state"].alias("_state"))
-    known = titles.where("group_id IS NOT NULL").select("service", "native", F.lit(True).alias("_known")).distinct()
-    both = refs.join(known, ["service", "native"], "left").join(last, "ref", "left")
-    status = F.when(F.col("_known"), "complete").when(F.col("_state") == "running", "pending").when(F.col("_state") == "failed", "failed").otherwise("unknown")
-    return both.select("ref", status.alias("status"), F.when(status == "pending", F.lit(retry_after)).alias("retry_after"))
-
-
-def library(tracked: DataFrame, segments: DataFrame, watched: DataFrame, ratings: DataFrame, upcoming: DataFrame, aliases: DataFrame) -> DataFrame:
-    """A user's library: per tracked work its status, span, counts, personal rating and next instalment.
-
-    tracked: user_id, work_id, status; segments: work_id, locator; watched: user_id, locator, watched_at; ratings: user_id, work_id, score, under
-    any key that the work has had (aliases: retired, survivor), of which the canonical one counts before the smallest retired one; upcoming: user_id, work_id, locator. Only completed works have a finish."""
-    instalments = segments.select("work_id", "locator").distinct()
-    totals = instalments.groupBy("work_id").agg(F.count("*").alias("total_instalments"))
-    first = watched.groupBy("user_id", "locator").agg(F.min("watched_at").alias("_from"), F.max("watched_at").alias("_to"))
-    seen = instalments.join(first, "locator").groupBy("user_id", "work_id").agg(
-        F.count("*").alias("watched_instalments"), F.min("_from").alias("started_at"), F.max("_to").alias("_last")
-    )
-    keyed = ratings.join(aliases, F.col("work_id") == F.col("retired"), "left")
-    of = F.coalesce("survivor", "work_id")
-    rated = keyed.groupBy("user_id", of.alias("work_id")).agg(F.min_by("score", F.struct(F.col("survivor").isNotNull(), "work_id")).alias("personal_rating"))
-    both = tracked.join(totals, "work_id", "left").join(seen, ["user_id", "work_id"], "left").join(rated, ["user_id", "work_id"], "left")
+def status_by_ref(refs: DataFrame, coverages: DataFrame, retry_after: int = 5) -> DataFrame:
+    """What a caller who was told to come back finds: ref, status, retry_after.
+
+    A reference names a coverage row: pending is running, complete and open are complete, a conflict is one; a reference that names
+    none, or can't be read, is not-found. refs: ref; coverages: coverage_id, state."""
+    code = F.regexp_extract("ref", f"^{PENDING}:([0-9a-z]+)$", 1)
+    # no id has more than eleven digits of base 36; leading zeros say nothing
+    digits = F.ltrim(code, F.lit("0"))
+    coverage_id = F.when((F.length(digits) > 0) & (F.length(digits) <= 11), F.conv(digits, 36, 10).cast("long"))
+    named = refs.withColumn("coverage_id", F.when(coverage_id <= MOST_ID, coverage_id))
+    both = named.join(coverages.select("coverage_id", "state"), "coverage_id", "left")
+    status = F.when(F.col("state") == "pending", "running").when(F.col("state").isin("complete", "open"), "complete").when(F.col("state") == "conflict", "conflict").otherwise("not-found")
+    return both.select("ref", status.alias("status"), F.when(status == "running", F.lit(retry_after)).alias("retry_after"))
+
+
+def tracked_works(tracked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """user_id, work_id (canonical), work_key, status, rewatch_count of the row that speaks for the work, and its latest activity."""
+    resolved = tracked.join(aliases.select(F.col("retired").alias("work_key"), "survivor"), "work_key", "left").withColumn("work_id", F.coalesce("survivor", "work_key"))
+    at = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(0)).alias("at")
+    own = F.struct((F.col("work_key") == F.col("work_id")).alias("own"), at, "row_id")
+    entries = resolved.groupBy("user_id", "work_id").agg(F.max_by(F.struct("work_key", "status", "rewatch_count"), own).alias("r"), F.max(F.struct(at, "row_id")).alias("active"))
+    return entries.select("user_id", "work_id", "r.*", "active")
+
+
+def library(tracked: DataFrame, aliases: DataFrame, segments: DataFrame, watched: DataFrame, ratings: DataFrame, upcoming: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Every user's library, one row per canonical work, in order of activity (``place``, from 1).
+
+    Rows under a work's keys are one entry: the canonical key's row speaks for it, else the most active one; the latest activity of any places it.
+    It is finished on the last day of watching once every instalment is watched, whatever its status says, and begun on the first.
+    Its rating is that of the canonical key, else of the row's own key, else of the smallest retired key that has one.
+
+    tracked: row_id, user_id, work_key, status, rewatch_count, updated_at; aliases: retired, survivor; segments: work_id, locator; watched:
+    user_id, locator, watched_at; ratings: user_id, work_key, score; upcoming: user_id, work_id, locator; metadata: work_id, media_kind,
+    title, runtime_minutes (no row: the catalogue did not answer)."""
+    entries, survivors = tracked_works(tracked, aliases), aliases.select(F.col("retired").alias("work_key"), "survivor")
+    spans = watch_spans(segments, watched).select("user_id", "work_id", F.col("n_watched").alias("watched_instalments"), F.col("started_on").alias("started_at"), F.col("finished_on").alias("finished_at"))
+    totals = segments.groupBy("work_id").agg(F.countDistinct("locator").alias("total_instalments"))
+    scores = ratings.groupBy("user_id", "work_key").agg(F.max("score").alias("score"))
+    keys = entries.select("user_id", "work_id", F.col("work_id").alias("work_key"), F.lit(0).alias("rank")).unionByName(entries.select("user_id", "work_id", "work_key", F.lit(1).alias("rank")))
+    old = survivors.select(F.col("survivor").alias("work_id"), "work_key")
+    keys = keys.unionByName(entries.select("user_id", "work_id").join(old, "work_id").select("user_id", "work_id", "work_key", F.lit(2).alias("rank")))
+    rated = keys.join(scores, ["user_id", "work_key"]).groupBy("user_id", "work_id").agg(F.min_by("score", F.struct("rank", "work_key")).alias("personal_rating"))
+    both = entries.join(totals, "work_id", "left").join(spans, ["user_id", "work_id"], "left").join(rated, ["user_id", "work_id"], "left").join(metadata, "work_id", "left")
     both = both.join(upcoming.select("user_id", "work_id", F.col("locator").alias("next_up")), ["user_id", "work_id"], "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return both.select(
-        "user_id", "work_id", "status", "started_at", F.when(F.col("status") == "completed", F.col("_last")).alias("finished_at"), "personal_rating", "next_up", count("total_instalments"), count("watched_instalments")
+    placed = ranked(both, ["user_id"], [F.desc("active.at"), F.desc("active.row_id")], "place")
+    return placed.select(
+        "user_id", "work_id", "place", "status", "rewatch_count", "media_kind", "title", "runtime_minutes", "started_at", "finished_at", "personal_rating", "next_up", count("total_instalments"), count("watched_instalments")
     )
 
 
+def answers_with_instalments(titles: DataFrame, title_links: DataFrame, spokes: DataFrame, spoke_links: DataFrame) -> DataFrame:
+    """The whole answer for a title: title_id, group_source, mappings, instalments (input, source, mappings, in order of input).
+
+    The group's source is the most curated of its own row's and of all links', those of instalments included; an instalment's is that of its
+    own links, else the group's. titles: title_id, row_source; spokes: spoke_id, title_id, input (null: can't be named, and is left out);
+    title_links: title_id, service, link, and spoke_links: the same with the spoke's id for title_id, as ``mappings`` gives them."""
+    curated = lambda df, key: df.where("link.source IS NOT NULL").groupBy(key).agg(F.max_by("link.source", source_rank(F.col("link.source"))).alias("_source"))
+    named = spokes.where("input IS NOT NULL")
+    inner = spoke_links.withColumnRenamed("title_id", "spoke_id").join(named.select("spoke_id", F.col("title_id")), "spoke_id")
+    every = title_links.select("title_id", "link").unionByName(inner.select("title_id", "link"))
+    best = titles.join(curated(every, "title_id"), "title_id", "left")
+    source = F.when(F.col("_source").isNull() | (source_rank(F.col("row_source")) >= source_rank(F.col("_source"))), F.col("row_source")).otherwise(F.col("_source"))
+    groups = best.select("title_id", source.alias("group_source"))
+    own = nested(inner.select(F.col("spoke_id").alias("title_id"), "service", "link")).withColumnRenamed("title_id", "spoke_id")
+    parts = named.join(groups, "title_id").join(own, "spoke_id", "left").join(curated(inner, "spoke_id"), "spoke_id", "left")
+    empty = F.array().cast(dict(own.dtypes)["mappings"])
+    part = F.struct("input", F.coalesce("_source", "group_source").alias("source"), F.coalesce("mappings", empty).alias("mappings"))
+    instalments = parts.groupBy("title_id").agg(F.sort_array(F.collect_list(part)).alias("instalments"))
+    whole = groups.join(nested(title_links), "title_id", "left").join(instalments, "title_id", "left")
+    none = F.array().cast(dict(instalments.dtypes)["instalments"])
+    return whole.select("title_id", "group_source", F.coalesce("mappings", empty).alias("mappings"), F.coalesce("instalments", none).alias("instalments"))
+
+
 def publish(current: DataFrame, batches: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The relation after gated batches: a batch's rows come all or not at all, by whether what it expects still holds.
 

@@ -81,44 +81,94 @@ def compacted(t: Tables) -> DataFrame:
     return found.select("title_id", "confidence", "source", "status", ids.alias("mappings"))
 
 
+SPOKES = LINKS.replace("edges a JOIN edges b", "iedges a JOIN iedges b").replace("+paths AS", "paths AS").replace("t.title_id = b.target_id", "t.title_id = b.target_id // 4")
+SPOKES = SPOKES.replace("paths AS", "ipaths AS").replace("FROM paths", "FROM ipaths").replace("best AS", "ibest AS").replace("FROM best b", "FROM ibest b").replace("named AS", "inamed AS").replace("FROM named", "FROM inamed").replace("per AS", "iper AS")
+SPOKES = SPOKES[: SPOKES.index("wanted AS")].rstrip().rstrip(",")
+
+
+@query(
+    "R1_title_instalments",
+    "titles edges",
+    LINKS + """,
+iedges AS (SELECT title_id * 4 + unit_id % 4 AS title_id, service, unit_id, confidence, provenance, edge_id FROM edges),
+""" + SPOKES + f""",
+ilink AS (SELECT title_id AS spoke_id, title_id // 4 AS title_id, service, list_extract({LIST}, CAST(s + 1 AS INT)) AS source, s,
+    service || '=matched|' || list_extract(['low', 'high', 'exact'], CAST(c + 1 AS INT)) || '|' || list_extract({LIST}, CAST(s + 1 AS INT)) || '|' || coalesce(ids, '') || '|' || coalesce(errors, '') AS said FROM iper),
+every AS (SELECT title_id, s FROM ilink UNION ALL SELECT title_id, list_position({LIST}, source) - 1 FROM link WHERE source IS NOT NULL AND source <> 'release'),
+own AS (SELECT title_id, CASE WHEN ordinal % 5 = 0 THEN 5 ELSE -1 END AS r FROM titles),
+src AS (SELECT title_id, greatest(r, coalesce(max(s), -1)) AS s FROM own LEFT JOIN every USING (title_id) GROUP BY title_id, r),
+spoke AS (SELECT DISTINCT title_id AS spoke_id, title_id // 4 AS title_id FROM iedges),
+part AS (SELECT k.title_id, 's1e' || (spoke_id % 4 + 1) || '(' || coalesce(arg_max(i.source, i.s), CASE WHEN src.s < 0 THEN 'release' ELSE list_extract({LIST}, CAST(src.s + 1 AS INT)) END) || ')'
+    || coalesce(string_agg(said, ';' ORDER BY service), '') AS said, 's1e' || (spoke_id % 4 + 1) AS input
+  FROM spoke k JOIN src ON src.title_id = k.title_id LEFT JOIN ilink i USING (spoke_id) WHERE k.title_id % 6 <> 1 OR spoke_id % 4 <> 2 GROUP BY k.title_id, spoke_id, src.s)
+SELECT src.title_id, CASE WHEN s < 0 THEN 'release' ELSE list_extract({LIST}, CAST(s + 1 AS INT)) END AS group_source, count(part.said) AS n_instalments, coalesce(string_agg(part.said, ' ' ORDER BY input), '') AS instalments
+FROM src LEFT JOIN part USING (title_id) GROUP BY src.title_id, s""",
+)
+def with_instalments(t: Tables) -> DataFrame:
+    """An order's key modulo 4 tells which of a title's four instalments it is a unit of; one of some titles can't be named."""
+    o, i = F.col("ordinal"), F.col("title_id")
+    spoke = (i * 4 + F.col("unit_id") % 4).alias("title_id")
+    edges = t.edges().select(spoke, "service", "unit_id", "confidence", "provenance", "edge_id")
+    named = t.titles().select(F.explode(F.array(*[i * 4 + k for k in range(4)])).alias("title_id"), F.when(o % 7 != 3, F.concat_ws(":", "service", "native")).alias("id"), F.when(o % 7 == 3, F.concat(F.lit("no id of "), F.col("service"))).alias("error"))
+    found = a.counterparts(edges, named).withColumn("source_rank", F.col("source_rank") % 8)
+    states = found.sparkSession.createDataFrame([], "title_id long, service string, status string")
+    code = F.concat(F.lit("s1e"), (F.col("spoke_id") % 4 + 1).cast("string"))
+    spokes = edges.select(F.col("title_id").alias("spoke_id")).distinct().withColumn("title_id", F.floor(F.col("spoke_id") / 4).cast("long"))
+    spokes = spokes.withColumn("input", F.when((F.col("title_id") % 6 != 1) | (F.col("spoke_id") % 4 != 2), code))
+    rows = t.titles().select("title_id", F.when(o % 5 == 0, "llm-verified").otherwise("release").alias("row_source"))
+    whole = a.answers_with_instalments(rows, links(t), spokes, a.mappings(found, states, SOURCES))
+    said = F.transform("instalments", lambda x: F.concat(x["input"], F.lit("("), x["source"], F.lit(")"), F.concat_ws(";", F.transform(x["mappings"], lambda m: F.concat_ws("=", m["service"], shown(m["link"]))))))
+    return whole.select("title_id", "group_source", F.size("instalments").cast("long").alias("n_instalments"), F.concat_ws(" ", said).alias("instalments"))
+
+
+DIGIT = "substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(n // {} % 36 + 1 AS BIGINT), 1)"
+
+
 @query(
     "R8_status_by_ref",
     "titles ev",
-    """+refs AS (SELECT DISTINCT k AS ref, list_extract(['anilist', 'imdb', 'kitsu', 'mal', 'tmdb', 'tvdb'], CAST(k % 6 + 1 AS INT)) AS service, CAST(k AS VARCHAR) AS native FROM ev),
-b AS (SELECT k AS ref, arg_max(CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'done' END, event_id) AS state FROM ev WHERE k % 4 <> 3 GROUP BY 1),
-s AS (SELECT r.ref, CASE WHEN EXISTS (SELECT 1 FROM titles t WHERE t.service = r.service AND t.native = r.native AND t.group_id % 2 = 0) THEN 'complete' WHEN state = 'running' THEN 'pending' WHEN state = 'failed' THEN 'failed' ELSE 'unknown' END AS status
-  FROM refs r LEFT JOIN b USING (ref))
-SELECT *, CASE WHEN status = 'pending' THEN 5 END AS retry_after FROM s""",
+    f"""+e AS (SELECT event_id % 1679616 AS n, k FROM ev), refs AS (SELECT n, k, {" || ".join(DIGIT.format(36**x) for x in (3, 2, 1, 0))} AS code FROM e),
+named AS (SELECT DISTINCT CASE k % 10 WHEN 7 THEN 'review:' WHEN 8 THEN 'pending' ELSE 'pending:' END || CASE WHEN k % 10 = 9 THEN code || '!' ELSE code END AS ref, CASE WHEN k % 10 < 7 THEN n END AS id FROM refs),
+s AS (SELECT ref, CASE WHEN title_id IS NULL THEN 'not-found' ELSE list_extract(['running', 'complete', 'complete', 'conflict'], CAST(ordinal % 4 + 1 AS INT)) END AS status FROM named LEFT JOIN titles ON title_id = id AND id > 0)
+SELECT *, CASE WHEN status = 'running' THEN 5 END AS retry_after FROM s""",
 )
 def by_ref(t: Tables) -> DataFrame:
-    e = t.events()
-    service = F.element_at(F.array(*map(F.lit, SERVICES)), F.col("k") % 6 + 1)
-    refs = e.select(F.col("k").alias("ref"), service.alias("service"), F.col("k").cast("string").alias("native")).distinct()
-    state = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("done")
-    builds = e.where("k % 4 <> 3").select(F.col("k").alias("ref"), F.col("event_id").alias("started"), state.alias("state"))
-    return a.status_by_ref(refs, t.titles().where("group_id % 2 = 0"), builds)
+    n, k = F.col("event_id") % 1679616, F.col("k") % 10
+    code = F.lpad(F.lower(F.conv(n.cast("string"), 10, 36)), 4, "0")
+    ref = F.concat(F.when(k == 7, "review:").when(k == 8, "pending").otherwise("pending:"), code, F.when(k == 9, "!").otherwise(""))
+    state = F.element_at(F.array(*map(F.lit, ["pending", "complete", "open", "conflict"])), F.col("ordinal") % 4 + 1)
+    return a.status_by_ref(t.events().select(ref.alias("ref")).distinct(), t.titles().select(F.col("title_id").alias("coverage_id"), state.alias("state")))
 
 
 @query(
     "R11_library_list",
     "progress statuses works",
-    f"+{PLAN}, " + """al AS (SELECT work_id AS retired, work_id - 1 AS survivor FROM works WHERE work_id % 4 = 3 GROUP BY 1),
-rt AS (SELECT user_id, k % 20 AS work_id, max(k % 10 + 1) AS score FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2),
-rated AS (SELECT user_id, coalesce(survivor, work_id) AS work_id, score FROM rt LEFT JOIN al ON work_id = retired
-  QUALIFY row_number() OVER (PARTITION BY user_id, coalesce(survivor, work_id) ORDER BY survivor IS NOT NULL, work_id) = 1),
-tot AS (SELECT work_id, count(*) AS total_instalments FROM works GROUP BY 1),
-seen AS (SELECT user_id, w.work_id, count(DISTINCT w.locator) AS watched_instalments, min(watched_at) AS started_at, max(watched_at) AS last FROM works w JOIN progress p ON p.locator = w.locator GROUP BY 1, 2),
-nxt AS (SELECT s.user_id, p.work_id, p.locator FROM statuses s JOIN plan p USING (work_id) WHERE status <> 'completed' AND NOT EXISTS (SELECT 1 FROM progress g WHERE g.user_id = s.user_id AND g.locator = p.locator)
-  QUALIFY row_number() OVER (PARTITION BY s.user_id, p.work_id ORDER BY segment_no, pos) = 1)
-SELECT s.user_id, s.work_id, s.status, started_at, CASE WHEN s.status = 'completed' THEN last END AS finished_at, CAST(score AS INT) AS personal_rating, locator AS next_up,
-  coalesce(total_instalments, 0) AS total_instalments, coalesce(watched_instalments, 0) AS watched_instalments
-FROM statuses s LEFT JOIN tot USING (work_id) LEFT JOIN seen n ON n.user_id = s.user_id AND n.work_id = s.work_id LEFT JOIN rated r ON r.user_id = s.user_id AND r.work_id = s.work_id LEFT JOIN nxt x ON x.user_id = s.user_id AND x.work_id = s.work_id""",
+    f"+{PLAN}, " + """al AS (SELECT DISTINCT work_id AS retired, work_id - 1 AS survivor FROM works WHERE work_id % 4 = 3),
+tr AS (SELECT user_id * 1000 + work_id AS row_id, user_id, work_id AS key, coalesce(survivor, work_id) AS w, status, (user_id + work_id) % 3 AS rewatch_count, updated_at FROM statuses LEFT JOIN al ON work_id = retired),
+one AS (SELECT *, max(struct_pack(t := updated_at, r := row_id)) OVER (PARTITION BY user_id, w) AS act FROM tr QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY key = w DESC, updated_at DESC, row_id DESC) = 1),
+rt AS (SELECT user_id, k % 20 AS key, max(k % 10 + 1) AS score FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2),
+keys AS (SELECT user_id, w, w AS key, 0 AS rank FROM one UNION ALL SELECT user_id, w, key, 1 FROM one UNION ALL SELECT user_id, w, retired, 2 FROM one JOIN al ON survivor = w),
+rated AS (SELECT user_id, w, score FROM keys JOIN rt USING (user_id, key) QUALIFY row_number() OVER (PARTITION BY user_id, w ORDER BY rank, key) = 1),
+tot AS (SELECT work_id AS w, count(DISTINCT locator) AS n FROM works GROUP BY 1),
+seen AS (SELECT user_id, w.work_id AS w, count(DISTINCT w.locator) AS m, CAST(min(watched_at) AS DATE) AS started_at, CAST(max(watched_at) AS DATE) AS last FROM works w JOIN progress p ON p.locator = w.locator GROUP BY 1, 2),
+nxt AS (SELECT s.user_id, s.w, p.locator FROM one s JOIN plan p ON p.work_id = s.w WHERE status <> 'completed' AND NOT EXISTS (SELECT 1 FROM progress g WHERE g.user_id = s.user_id AND g.locator = p.locator)
+  QUALIFY row_number() OVER (PARTITION BY s.user_id, s.w ORDER BY segment_no, pos) = 1)
+SELECT o.user_id, o.w AS work_id, CAST(row_number() OVER (PARTITION BY o.user_id ORDER BY act DESC) AS INT) AS place, o.status, o.rewatch_count, CASE WHEN o.w % 7 <> 5 THEN list_extract(['anime', 'film', 'tv'], CAST(o.w % 3 + 1 AS INT)) END AS media_kind,
+  CASE WHEN o.w % 7 <> 5 THEN 'Work ' || o.w END AS title, CASE WHEN o.w % 7 <> 5 THEN 20 + o.w % 5 END AS runtime_minutes, started_at, CASE WHEN m = n THEN last END AS finished_at, CAST(score AS INT) AS personal_rating, locator AS next_up,
+  coalesce(n, 0) AS total_instalments, coalesce(m, 0) AS watched_instalments
+FROM one o LEFT JOIN tot USING (w) LEFT JOIN seen USING (user_id, w) LEFT JOIN rated USING (user_id, w) LEFT JOIN nxt USING (user_id, w)""",
 )
 def library(t: Tables) -> DataFrame:
-    aliases = t.works().where("work_id % 4 = 3").select(F.col("work_id").alias("retired"), (F.col("work_id") - 1).alias("survivor")).distinct()
-    ratings = t.events().where("event_type = 'purchase'").groupBy("user_id", (F.col("k") % 20).cast("long").alias("work_id")).agg(F.max(F.col("k") % 10 + 1).alias("score"))
+    w = F.col("work_id")
+    aliases = t.works().where("work_id % 4 = 3").select(w.alias("retired"), (w - 1).alias("survivor")).distinct()
+    ratings = t.events().where("event_type = 'purchase'").select("user_id", (F.col("k") % 20).cast("long").alias("work_key"), (F.col("k") % 10 + 1).alias("score"))
     watched = t.progress().select("user_id", "locator", "watched_at")
-    return a.library(t.statuses(), t.works(), watched, ratings, k.next_up(plan(t), t.statuses(), watched), aliases)
+    tracked = t.statuses().select((F.col("user_id") * 1000 + w).alias("row_id"), "user_id", w.alias("work_key"), "status", ((F.col("user_id") + w) % 3).alias("rewatch_count"), "updated_at")
+    kind = F.element_at(F.array(*map(F.lit, ["anime", "film", "tv"])), (w % 3 + 1).cast("int"))
+    works = t.statuses().select("work_id").unionByName(aliases.select(F.col("survivor").alias("work_id"))).distinct()
+    metadata = works.where("work_id % 7 <> 5").select("work_id", kind.alias("media_kind"), F.concat(F.lit("Work "), w.cast("string")).alias("title"), (w % 5 + 20).alias("runtime_minutes"))
+    upcoming = k.next_up(plan(t), a.tracked_works(tracked, aliases).select("user_id", "work_id", "status"), watched)
+    return a.library(tracked, aliases, t.works(), watched, ratings, upcoming, metadata)
 
 
 @query(
