@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import day_distance, title_similarity
+from tessera.functions.text import day_distance, hit_score, normalise_title, title_similarity, tokens
 from tessera.operators.graph import first_of, ranked
 
 
@@ -164,6 +164,49 @@ def bucket_hits(hits: DataFrame, members: int = 2, least: float = 0.7) -> DataFr
     return placed.select("query_id", "ref", "score", "place", kind.alias("bucket"))
 
 
+class Fuzzy(NamedTuple):
+    #: query_id, ref, score, place, bucket (member, over-cap or also-considered)
+    hits: DataFrame
+    #: query_id, outcome (queued, suppressed or no-proposal), evidence (the members' refs in order, joined by commas)
+    proposals: DataFrame
+
+
+def title_hits(queries: DataFrame, titles: DataFrame, results: int = 8) -> DataFrame:
+    """query_id, service, ref, score: the best titles of a query's service that share a word with it, none of the subject's own group.
+
+    Words meet in an inverted index: both sides' words are joined, and the number of shared words of each pair gives their
+    overlap without comparing sets. Edit distances are only computed for pairs that are kept. queries: query_id, service, title, year,
+    group_id; titles: ref, service, title, year, group_id."""
+
+    def read(df: DataFrame, key: str, side: str) -> DataFrame:
+        named = df.withColumn("_t", normalise_title(F.col("title"))).withColumn("_w", F.array_distinct(tokens(F.col("_t"))))
+        return named.select(key, "service", F.col("group_id").alias(f"{side}_group"), F.col("year").alias(f"{side}_year"), F.col("_t").alias(f"{side}_title"), F.col("_w").alias(f"{side}_words"))
+
+    asked, held = cut(read(queries, "query_id", "q")), cut(read(titles, "ref", "t"))
+    words = lambda df, key, side: df.select(key, "service", F.col(f"{side}_group"), F.explode(f"{side}_words").alias("word"))
+    met = words(asked, "query_id", "q").join(words(held, "ref", "t"), ["service", "word"]).where("NOT q_group <=> t_group")
+    shared = met.groupBy("query_id", "service", "ref").agg(F.count("*").alias("shared"))
+    both = shared.join(asked.drop("q_group"), ["query_id", "service"]).join(held.drop("t_group"), ["ref", "service"])
+    overlap = F.col("shared") / (F.size("q_words") + F.size("t_words") - F.col("shared"))
+    edits = 1 - F.levenshtein("q_title", "t_title") / F.greatest(F.length("q_title"), F.length("t_title"))
+    # rounded, so that equal scores are ties however they were added up
+    scored = both.withColumn("score", F.round(hit_score(edits * 0.5 + overlap * 0.5, F.col("q_year"), F.col("t_year")), 9))
+    return ranked(scored, ["query_id", "service"], [F.desc("score"), "ref"]).where(F.col("_rank") <= results).select("query_id", "service", "ref", "score")
+
+
+def fuzzy(queries: DataFrame, titles: DataFrame, rejected: DataFrame) -> Fuzzy:
+    """What is proposed for titles that exact evidence leaves unpaired: their hits in buckets, and whether the case is queued.
+
+    A query with no member proposes nothing; one whose very members were rejected before is suppressed. queries and titles: as for
+    ``title_hits``, a query_id once for each service it asks; rejected: query_id, evidence."""
+    hits = cut(bucket_hits(title_hits(queries, titles)))
+    members = hits.where("bucket = 'member'").groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list(F.col("ref"))).cast("array<string>"), ",").alias("evidence"))
+    known = rejected.select("query_id", "evidence").distinct().withColumn("_rejected", F.lit(True))
+    asked = queries.select("query_id").distinct().join(members, "query_id", "left").join(known, ["query_id", "evidence"], "left")
+    outcome = F.when(F.col("evidence").isNull(), "no-proposal").when(F.col("_rejected"), "suppressed").otherwise("queued")
+    return Fuzzy(hits, asked.select("query_id", outcome.alias("outcome"), "evidence"))
+
+
 def converge(discovered: DataFrame, stored: DataFrame) -> DataFrame:
     """What becomes of each discovery that touches stored groups.
 

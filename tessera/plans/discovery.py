@@ -9,6 +9,7 @@ from tessera.operators import curation as c
 from tessera.operators import discovery as d
 from tessera.operators import matcher
 from tessera.plans.registry import query
+from tessera.plans.scalars import NORM, SIMILAR, TOKENS
 from tessera.sources.bindings import Tables
 
 REL = """+rel AS (SELECT title_id AS from_id, title_id + 1 AS to_id, 'sequel' AS kind FROM titles WHERE group_id % 5 <> 4 AND title_id % 8 <> 7
@@ -127,6 +128,43 @@ def buckets(t: Tables) -> DataFrame:
     return d.bucket_hits(t.table("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("ref"), (F.col("l_discount") * 10).alias("score")))
 
 
+FUZZY = f"""+t AS (SELECT *, {NORM.format("title || CASE WHEN title_id % 3 = 0 THEN ' ii' ELSE '' END")} AS b, CASE WHEN ordinal % 6 > 0 THEN 1990 + ordinal END AS yb FROM titles),
+asked AS (SELECT group_id AS query_id, group_id, s.x AS service, {NORM.format("title || ' the'")} AS a, CASE WHEN ordinal % 5 > 0 THEN 1990 + ordinal END AS ya FROM titles, (SELECT unnest(['mal', 'imdb']) AS x) s WHERE title_id % 8 = 0),
+p AS (SELECT query_id, title_id AS ref, asked.service, a, b, ya, yb, {TOKENS.format("a")} AS ta, {TOKENS.format("b")} AS tb FROM asked JOIN t ON t.service = asked.service AND t.group_id <> asked.group_id),
+s AS (SELECT *, {SIMILAR} AS s FROM p WHERE list_has_any(ta, tb)),
+h AS (SELECT query_id, ref, round(CASE WHEN ya IS NULL OR yb IS NULL THEN s ELSE s * 0.6 + (CASE WHEN abs(ya - yb) <= 1 THEN 1 ELSE 0 END) * 0.4 END, 9) AS score, service FROM s),
+best AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, service ORDER BY score DESC, ref) <= 8),
+placed AS (SELECT query_id, ref, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS INT) AS place FROM best),
+bucketed AS (SELECT *, CASE WHEN score < 0.7 THEN 'also-considered' WHEN place <= 2 THEN 'member' ELSE 'over-cap' END AS bucket FROM placed)"""
+
+
+def proposed(t: Tables) -> d.Fuzzy:
+    """Each group's first title asks two catalogues; what a third of the groups would propose first was rejected before."""
+    i, o = F.col("title_id"), F.col("ordinal")
+    year = lambda n: F.when(o % n > 0, o + 1990)
+    titles = t.titles().select(i.alias("ref"), "service", F.concat("title", F.when(i % 3 == 0, " ii").otherwise("")).alias("title"), year(6).alias("year"), "group_id")
+    heads = t.titles().where("title_id % 8 = 0").select(F.col("group_id").alias("query_id"), "group_id", F.concat("title", F.lit(" the")).alias("title"), year(5).alias("year"))
+    queries = heads.withColumn("service", F.explode(F.array(F.lit("mal"), F.lit("imdb"))))
+    rejected = titles.where("ref % 24 < 3").select(F.floor(F.col("ref") / 24).cast("long").alias("query_id"), F.col("ref").cast("string").alias("evidence"))
+    return d.fuzzy(queries, titles, rejected)
+
+
+@query("D8_fuzzy_discovery", "titles", FUZZY + " SELECT query_id, ref, round(score, 6) AS score, place, bucket FROM bucketed")
+def fuzzy_hits(t: Tables) -> DataFrame:
+    return proposed(t).hits.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "D8_fuzzy_proposals",
+    "titles",
+    FUZZY + """, m AS (SELECT query_id, string_agg(ref, ',' ORDER BY ref) AS evidence FROM bucketed WHERE bucket = 'member' GROUP BY 1)
+SELECT q.query_id, CASE WHEN evidence IS NULL THEN 'no-proposal' WHEN EXISTS (SELECT 1 FROM titles r WHERE title_id % 24 < 3 AND title_id // 24 = q.query_id AND CAST(title_id AS VARCHAR) = evidence) THEN 'suppressed' ELSE 'queued' END AS outcome, evidence
+FROM (SELECT DISTINCT query_id FROM asked) q LEFT JOIN m USING (query_id)""",
+)
+def fuzzy_proposals(t: Tables) -> DataFrame:
+    return proposed(t).proposals
+
+
 CONVERGE = """+disc AS (SELECT CAST(floor(title_id / 12) AS BIGINT) AS discovery_id, title_id FROM titles WHERE ordinal % 13 > 0), st AS (SELECT title_id, CAST(floor(title_id / 4) AS BIGINT) AS group_id, ordinal % 17 = 0 AS curated FROM titles),
 touched AS (SELECT DISTINCT discovery_id, group_id FROM disc JOIN st USING (title_id)),
 m AS (SELECT t.discovery_id, t.group_id, curated, x.title_id IS NULL AS unnamed FROM touched t JOIN st s USING (group_id) LEFT JOIN disc x ON x.discovery_id = t.discovery_id AND x.title_id = s.title_id),
