@@ -67,14 +67,6 @@ def subscriptions(events: DataFrame) -> DataFrame:
     )
 
 
-def last_writer(current: DataFrame, batch: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Rows of the later time win, of equal times those that were there: what each micro-batch does to a table."""
-    from tessera.operators.graph import first_of
-
-    both = current.withColumn("_old", F.lit(1)).unionByName(batch.withColumn("_old", F.lit(0)))
-    return first_of(both, keys, [F.desc(at), F.desc("_old")]).drop("_old")
-
-
 def drain(stream: DataFrame, folder: str, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into Parquet (append) or, for other modes, batch by batch, and read the result."""
     spark = stream.sparkSession
