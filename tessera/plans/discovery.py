@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import curation as c
 from tessera.operators import discovery as d
-from tessera.operators import matcher
+from tessera.operators import matcher, moderation
 from tessera.plans.registry import query
 from tessera.plans.scalars import NORM, SIMILAR, TOKENS
 from tessera.sources.bindings import Tables
@@ -280,6 +280,20 @@ def settle(t: Tables) -> DataFrame:
     return c.settle(t.events().select(F.col("k").alias("candidate_id"), F.col("ts").alias("at"), F.col("event_id").alias("decision_id"), F.col("event_type").alias("verdict")))
 
 
+#: Each decision depends on earlier ones, which SQL can't express in reasonable time; ``tests/test_moderation.py`` takes them one after another.
+@query("T6w_settle_writes")
+def settled(t: Tables) -> DataFrame:
+    """Events decide on conflicts of titles; conflicts of neighbours propose the same places."""
+    i, e = F.col("title_id"), t.events()
+    kinds = [*moderation.RELATIONS, "fuzzy-group"]
+    candidates = t.titles().select(i.alias("candidate_id"), F.when(i % 11 == 3, "rejected").otherwise("open").alias("status"), F.element_at(F.array(*map(F.lit, kinds)), (i % 5 + 1).cast("int")).alias("kind"))
+    proposals = t.titles().select(i.alias("candidate_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("number"), (i % 17).alias("left_id"), F.floor(i / 9).alias("right_id"), F.when(i % 2 == 0, "high").otherwise("low").alias("confidence"), (i % 13).alias("counterpart_id"))
+    proposals = proposals.withColumn("left_id", F.col("left_id") + F.col("number")).where("number = 0 OR candidate_id % 5 = 1")
+    decisions = e.select(F.col("event_id").alias("decision_id"), (F.col("event_id") * 7 % 311).alias("candidate_id"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("accept"), (F.col("k") % 3).alias("number"))
+    held = t.titles().where("title_id % 19 = 0").select(F.lit("title").alias("relation"), (i % 17).alias("left_id"), F.floor(i / 9).alias("right_id"))
+    return moderation.settle_conflicts(candidates, proposals, decisions, held).outcomes
+
+
 @query("T16w_cascade", "titles edges", "SELECT title_id, unit_id FROM edges WHERE title_id IN (SELECT title_id FROM titles WHERE group_id % 4 <> 0)")
 def cascade(t: Tables) -> DataFrame:
     return c.cascade(t.edges().select("title_id", "unit_id"), t.titles().where("group_id % 4 <> 0"), "title_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.plans.registry import query
 from tessera.plans.tracker import ENTRIES, entries
@@ -34,6 +35,32 @@ def pages(t: Tables) -> DataFrame:
     return readers.paged(r, ["id"]).select("id", "page", "row", "pos")
 
 
+@query(
+    "S12_list_walk",
+    "",
+    """WITH RECURSIVE r AS (SELECT o_custkey % 40 AS list_id, o_orderkey // 50 AS n, o_orderkey AS row, o_orderkey % 97 AS title_id FROM orders),
+pg AS (SELECT list_id, n, lead(n) OVER (PARTITION BY list_id ORDER BY n) AS nxt, row_number() OVER (PARTITION BY list_id ORDER BY n) AS i FROM (SELECT DISTINCT list_id, n FROM r)),
+led AS (SELECT list_id, n, CASE WHEN list_id % 5 = 1 AND i = 9 THEN (SELECT min(n) FROM pg q WHERE q.list_id = pg.list_id) WHEN list_id % 5 = 2 AND i = 7 THEN NULL ELSE nxt END AS nxt FROM pg),
+walk(list_id, n, place, seen) AS (
+  SELECT list_id, min(n), 0, [min(n)] FROM pg GROUP BY 1
+  UNION ALL SELECT w.list_id, l.nxt, place + 1, list_append(seen, l.nxt) FROM walk w JOIN led l ON l.list_id = w.list_id AND l.n = w.n WHERE l.nxt IS NOT NULL AND NOT list_contains(seen, l.nxt) AND place + 1 < 200),
+e AS (SELECT r.*, place FROM r JOIN walk USING (list_id, n) QUALIFY row_number() OVER (PARTITION BY r.list_id, title_id ORDER BY place, row) = 1)
+SELECT list_id, title_id, row, CAST(row_number() OVER (PARTITION BY list_id ORDER BY place, row) - 1 AS INT) AS pos FROM e""",
+)
+def list_walk(t: Tables) -> DataFrame:
+    """Forty lists of staged pages; some lead back to their first page, and some to another host."""
+    rows = t.table("orders").select((F.col("o_custkey") % 40).alias("list_id"), F.floor(F.col("o_orderkey") / 50).alias("n"), F.col("o_orderkey").alias("row"), (F.col("o_orderkey") % 97).alias("title_id"))
+    url = lambda n: F.concat(F.lit("https://api.example/list?offset="), n.cast("string"))
+    numbers = rows.select("list_id", "n").distinct()
+    w = Window.partitionBy("list_id").orderBy("n")
+    order = numbers.select("list_id", "n", F.lead("n").over(w).alias("next"), F.row_number().over(w).alias("i"), F.min("n").over(Window.partitionBy("list_id")).alias("first"))
+    back, away = (F.col("list_id") % 5 == 1) & (F.col("i") == 9), (F.col("list_id") % 5 == 2) & (F.col("i") == 7)
+    led = F.when(back, url(F.col("first"))).when(away, F.concat(F.lit("https://evil.example/list?offset="), F.col("next").cast("string"))).otherwise(url(F.col("next")))
+    pages = order.select("list_id", url(F.col("n")).alias("url"), led.alias("next"))
+    walked = readers.page_walk(pages, order.where("n = first").select("list_id", url(F.col("n")).alias("url")))
+    return readers.list_entries(walked, rows.withColumn("url", url(F.col("n")))).select("list_id", "title_id", "row", "pos")
+
+
 @query(
     "S4_boundary",
     "",

@@ -63,6 +63,35 @@ def paged(rows: DataFrame, keys: list[str], most_pages: int = 100) -> DataFrame:
     return rows.join(whole, [*keys, "page"]).withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "row")) - 1)
 
 
+def page_walk(pages: DataFrame, starts: DataFrame, most_pages: int = 200) -> DataFrame:
+    """list_id, url, place: the staged pages of each list in the order in which they lead to one another.
+
+    A walk ends where a page names no next one, names one of another origin or one that isn't staged, comes back to a page it has read, or
+    has read ``most_pages``. Walks double with every round, so that their length costs only its logarithm. pages: list_id, url, next; starts:
+    list_id, url."""
+    from tessera.operators.discovery import walk
+
+    node = lambda url: F.concat_ws(" ", F.col("list_id").cast("string"), url)
+    origin = lambda url: F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    begun = starts.distinct().select("list_id", "url", origin("url").alias("origin"))
+    staged = pages.groupBy("list_id", "url").agg(F.min("next").alias("next")).join(begun.select("list_id", "origin"), "list_id")
+    led = staged.where((origin("next") == F.col("origin")) & (F.col("origin") != "")).select(node("url").alias("from_id"), node("next").alias("to_id"), "list_id", F.col("next").alias("url"))
+    nexts = led.join(pages.select("list_id", "url").distinct(), ["list_id", "url"], "left_semi").select("from_id", "to_id")
+    heads = begun.join(pages.select("list_id", "url").distinct(), ["list_id", "url"], "left_semi")
+    walked = walk(nexts, heads.select(node("url").alias("node"))).where(F.col("pos") < most_pages)
+    named = pages.select(node("url").alias("node"), "list_id", "url").distinct()
+    return walked.join(named, "node").select("list_id", "url", F.col("pos").alias("place"))
+
+
+def list_entries(walked: DataFrame, rows: DataFrame, key: str = "title_id") -> DataFrame:
+    """The entries of walked pages in order, the first of each title of a list. rows: list_id, url, row, and the entry's columns."""
+    from pyspark.sql.window import Window
+
+    read = rows.join(walked, ["list_id", "url"])
+    first = read.withColumn("_n", F.row_number().over(Window.partitionBy("list_id", key).orderBy("place", "row"))).where("_n = 1").drop("_n")
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy("list_id").orderBy("place", "row")) - 1)
+
+
 def snapshot_hits(wanted: DataFrame, snapshots: DataFrame, version: int, now: Column) -> tuple[DataFrame, DataFrame]:
     """Stored records that serve (right version, not expired), and the keys to fetch. snapshots: key, version, expires_at, payload."""
     live = snapshots.where((F.col("version") == version) & (F.col("expires_at") > now) & F.col("payload").isNotNull())

@@ -51,4 +51,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"M6_greedy_links_M1_tier3", "M1_ladder", "M1_ladder_outcomes_M10", "M11_member_mapping"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"M6_greedy_links_M1_tier3", "M1_ladder", "M1_ladder_outcomes_M10", "M11_member_mapping", "T6w_settle_writes"}
