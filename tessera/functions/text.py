@@ -11,6 +11,11 @@ def normalise_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", " "))
 
 
+def alphabetical(title: Column) -> Column:
+    """A title as it is sorted: letters of all cases and with all marks are equal."""
+    return F.collate(title, "UNICODE_CI_AI")
+
+
 def tokens(normalised: Column) -> Column:
     """Words of a normalised title; none for an empty one."""
     return F.when(normalised == "", F.array().cast("array<string>")).otherwise(F.split(normalised, " "))

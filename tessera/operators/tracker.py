@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scores import STATUSES, rounded
+from tessera.functions.text import alphabetical
 from tessera.operators.graph import first_of, ranked
 
 
@@ -108,8 +109,18 @@ def airing_days(episodes: DataFrame, today: Column, days: int = 14) -> DataFrame
     """Unwatched episodes of the next days, grouped by day. episodes: day (ISO), title, number, episode_title."""
     day = F.col("day").try_cast("date")
     soon = episodes.withColumn("_day", day).where(F.col("_day").between(today, F.date_add(today, days - 1)))
-    one = F.struct("title", "number", "episode_title")
-    return soon.groupBy(F.col("_day").alias("day")).agg(F.sort_array(F.collect_list(one)).alias("episodes"), F.count("*").alias("n_episodes"))
+    one = F.struct(alphabetical(F.col("title")).alias("title"), "number", alphabetical(F.col("episode_title")).alias("episode_title"))
+    plain = F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["title"].cast("string").alias("title"), x["number"].alias("number"), x["episode_title"].cast("string").alias("episode_title")))
+    return soon.groupBy(F.col("_day").alias("day")).agg(plain.alias("episodes"), F.count("*").alias("n_episodes"))
+
+
+def library_places(entries: DataFrame) -> DataFrame:
+    """user_id, work_id and the entry's place by activity, by title (the untitled last) and by rating (the unrated last)."""
+    at = lambda *order: F.row_number().over(Window.partitionBy("user_id").orderBy(*order, "work_id"))
+    title = F.coalesce("title", F.lit(""))
+    return entries.select(
+        "user_id", "work_id", at(F.desc("updated_at")).alias("by_activity"), at(title == "", alphabetical(title)).alias("by_title"), at(F.desc_nulls_last("rating")).alias("by_rating")
+    )
 
 
 def collapse_tracked(rows: DataFrame) -> DataFrame:

@@ -221,14 +221,14 @@ def filtered(t: Tables) -> DataFrame:
 @query(
     "O3_library_sorts",
     "progress statuses",
-    f"+{ENTRIES} " + """SELECT user_id, work_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, work_id) AS INT) AS by_activity,
-  CAST(row_number() OVER (PARTITION BY user_id ORDER BY title NULLS LAST, work_id) AS INT) AS by_title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rating DESC NULLS LAST, work_id) AS INT) AS by_rating FROM entries""",
+    f"+{ENTRIES}, " + """named AS (SELECT * REPLACE (CASE work_id % 5 WHEN 1 THEN 'É' || title WHEN 2 THEN 'e' || lower(title) WHEN 3 THEN '' ELSE title END AS title) FROM entries)
+SELECT user_id, work_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, work_id) AS INT) AS by_activity,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY coalesce(title, '') = '', coalesce(title, '') COLLATE NOCASE.NOACCENT, work_id) AS INT) AS by_title, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rating DESC NULLS LAST, work_id) AS INT) AS by_rating FROM named""",
 )
 def sorts(t: Tables) -> DataFrame:
-    at = lambda *order: F.row_number().over(Window.partitionBy("user_id").orderBy(*order, "work_id"))
-    return entries(t).select(
-        "user_id", "work_id", at(F.desc("updated_at")).alias("by_activity"), at(F.asc_nulls_last("title")).alias("by_title"), at(F.desc_nulls_last("rating")).alias("by_rating")
-    )
+    w, title = F.col("work_id") % 5, F.col("title")
+    named = F.when(w == 1, F.concat(F.lit("É"), title)).when(w == 2, F.concat(F.lit("e"), F.lower(title))).when(w == 3, "").otherwise(title)
+    return k.library_places(entries(t).withColumn("title", named))
 
 
 @query(

@@ -89,3 +89,18 @@ def test_instalments_of_answers(spark):
     assert [(x.input, x.source, [m.service for m in x.mappings]) for x in got[1].instalments] == [("s1e1", "t3-episode", ["imdb", "mal"]), ("s1e2", "t3-episode", [])]
     assert [(x.input, x.source) for x in got[2].instalments] == [("s1e1", "community")]
     assert got[3].instalments == [] and got[3].mappings == [] and [m.service for m in got[1].mappings] == ["imdb", "mal"]
+
+
+def test_titles_are_sorted_as_people_read_them(spark):
+    from tessera.operators import tracker
+
+    names = ["Éclair", "eclair", "Zebra", "apple", None, "", "ÅNGSTRÖM", "zebra"]
+    rows = [(1, k, n, 1, None if k % 2 else k) for k, n in enumerate(names)]
+    got = {r.work_id: r for r in tracker.library_places(spark.createDataFrame(rows, "user_id long, work_id long, title string, updated_at int, rating int")).collect()}
+    assert [names[k] for k in sorted(got, key=lambda k: got[k].by_title)] == ["ÅNGSTRÖM", "apple", "Éclair", "eclair", "Zebra", "zebra", None, ""]
+    assert sorted(got, key=lambda k: got[k].by_rating) == [6, 4, 2, 0, 1, 3, 5, 7]
+    days = [("2024-01-02", "zebra", 1, "b"), ("2024-01-02", "Éa", 2, None), ("2024-01-02", "ea", 1, "x"), ("soon", "a", 1, "a"), (None, "a", 1, "a")]
+    from pyspark.sql import functions as F
+
+    found = tracker.airing_days(spark.createDataFrame(days, "day string, title string, number int, episode_title string"), F.lit("2024-01-01").cast("date")).collect()
+    assert [[x.title for x in r.episodes] for r in found] == [["ea", "Éa", "zebra"]]
