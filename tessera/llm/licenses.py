@@ -7,7 +7,7 @@ digits become one space, list numbers go) and mapped to identifiers:
 * ``T:<name>`` for a known sentence of a licence's own text, of which names that are filled in may be anything;
 * ``N:<licence>`` for each licence that a notice names ("released under the MIT License", "covered by GPL v2 or MIT, see
   below", ``SPDX-License-Identifier: MIT OR Apache-2.0``), or that a line which holds nothing else names ("The MIT License (MIT)").
-  What a notice denies ("not licensed under") is not taken.
+  What a notice denies ("not licensed under", "never intended to be released under") is not taken.
 
 The sequence of a document's identifiers is then matched against the rules, each an ordered list of identifiers. Of rules
 that match, one whose identifiers are part of another's gives way to it (three clauses win over two). All of it happens
@@ -57,11 +57,52 @@ NAMES = {
     "WTFPL": ["wtfpl"],
     "Unlicense": ["unlicense"],
     "Artistic-2.0": ["artistic 2 0"],
+    "Artistic-1.0": ["artistic 1 0"],
+    "0BSD": ["0bsd", "zero clause bsd", "bsd zero clause", "free public 1 0 0"],
+    "OFL-1.1": ["sil open font 1 1", "sil open font", "open font 1 1", "ofl 1 1", "sil ofl 1 1", "ofl"],
+    "CDDL-1.0": ["common development and distribution 1 0", "common development and distribution cddl 1 0", "cddl 1 0"],
+    "CDDL-1.1": ["common development and distribution 1 1", "cddl 1 1"],
+    "PSF-2.0": ["python software foundation 2", "python software foundation", "psf 2", "psf 2 0", "psf"],
+    "Python-2.0": ["python 2 0", "python"],
+    "EUPL-1.1": ["european union public 1 1", "eupl 1 1"],
+    "EUPL-1.2": ["european union public 1 2", "eupl 1 2"],
+    "LGPL-2.0": ["gnu library general public 2", "lgpl 2", "lgpl 2 0", "lgplv2", "gnu lgpl 2"],
+    "AGPL-1.0": ["affero general public 1", "agpl 1 0"],
+    "GFDL-1.1": ["gnu free documentation 1 1", "gfdl 1 1"],
+    "GFDL-1.2": ["gnu free documentation 1 2", "gfdl 1 2"],
+    "GFDL-1.3": ["gnu free documentation 1 3", "gfdl 1 3"],
+    "AFL-3.0": ["academic free 3 0", "afl 3 0"],
+    "OSL-3.0": ["open software 3 0", "osl 3 0"],
+    "ECL-2.0": ["educational community 2 0", "ecl 2 0"],
+    "NCSA": ["university illinois ncsa open source", "ncsa"],
+    "PostgreSQL": ["postgresql"],
+    "OpenSSL": ["openssl"],
+    "PHP-3.01": ["php 3 01"],
+    "Ruby": ["ruby"],
+    "Vim": ["vim"],
+    "Beerware": ["beerware", "beer ware"],
+    "MS-PL": ["microsoft public", "ms pl"],
+    "MS-RL": ["microsoft reciprocal", "ms rl"],
+    "CPL-1.0": ["common public 1 0", "cpl 1 0"],
+    "IPL-1.0": ["ibm public 1 0", "ipl 1 0"],
+    "QPL-1.0": ["q public 1 0", "qpl 1 0"],
+    "UPL-1.0": ["universal permissive 1 0", "upl 1 0"],
+    "ZPL-2.1": ["zope public 2 1", "zpl 2 1"],
+    "LPPL-1.3c": ["latex project public 1 3c", "lppl 1 3c"],
+    "CeCILL-2.1": ["cecill 2 1"],
+    "MulanPSL-2.0": ["mulan psl 2", "mulan psl 2 0", "mulan permissive software 2"],
+    "BlueOak-1.0.0": ["blue oak model 1 0 0"],
+    "ODbL-1.0": ["open database 1 0", "odbl 1 0", "open data commons open database 1 0"],
+    "ODC-By-1.0": ["open data commons attribution 1 0", "odc by 1 0"],
+    "PDDL-1.0": ["open data commons public domain dedication and 1 0", "pddl 1 0"],
+    "SSPL-1.0": ["server side public 1", "sspl 1", "sspl 1 0"],
+    "BUSL-1.1": ["business source 1 1", "busl 1 1"],
+    "MPL-1.0": ["mozilla public 1 0", "mpl 1 0"],
     "Proprietary": ["proprietarylicense", "commerciallicense"],
 }
 
 #: Licences that exist with "or any later version".
-LATER = ["GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+LATER = ["LGPL-2.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
 
 _NOTICE = "the above copyright notice and this permission notice"
 #: Sentences of licences' own texts, normalised, as patterns; what is filled in is bounded.
@@ -95,6 +136,23 @@ SENTENCES = {
     "unlicense": "^this is free and unencumbered software released into the public domain$",
     "wtfpl": "^you just do what the fuck you want to$",
     "cc0-deed": "has (?:dedicated|waived) .{0,80}the work to the public domain",
+    "apache-defines": "^license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document$",
+    "0bsd-grant": "^permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted$",
+    "ofl-goals": "^the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects",
+    "ofl-mean": "^the ofl allows the licensed fonts to be used studied modified and redistributed freely as long as they are not sold by themselves$",
+    "cddl-use": "^the contents of this file are subject to the terms of the common development and distribution license",
+    "psf-agreement": "^this license agreement is between the python software foundation psf and the individual or organization licensee accessing and otherwise using",
+    "eupl-applies": "^this european union public licen[sc]e the eupl applies to the work",
+    "gpl-2-named": "under the terms of (?:the )?gnu general public license(?: gpl)? version 2(?: only| as published by the free software foundation|$)",
+    "gpl-3-named": "under the terms of (?:the )?gnu general public license(?: gpl)? version 3(?: only| as published by the free software foundation|$)",
+    "lgpl-2.1-named": "under the terms of (?:the )?gnu (?:lesser|library) general public license(?: lgpl)? version 2 1(?: only| as published by the free software foundation|$)",
+    "lgpl-3-named": "under the terms of (?:the )?gnu lesser general public license(?: lgpl)? version 3(?: only| as published by the free software foundation|$)",
+    "boost-end": "^the copyright notices in the software and this entire statement including the above license grant",
+    "ncsa-grant": "to deal with the software without restriction",
+    "postgresql-grant": "^permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+    "epl-content": "^this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|v |version )?2 0",
+    "epl-1-content": "^this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|v |version )?1 0",
+    "ms-pl-accept": "^if you use the software you accept this license$",
     "reserved": "^all rights reserved$",
 }
 
@@ -125,6 +183,23 @@ SEQUENCES = [
     ("Unlicense", ["unlicense"]),
     ("WTFPL", ["wtfpl"]),
     ("CC0-1.0", ["cc0-deed"]),
+    ("Apache-2.0", ["apache-defines"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("OFL-1.1", ["ofl-goals"]),
+    ("OFL-1.1", ["ofl-mean"]),
+    ("CDDL-1.0", ["cddl-use"]),
+    ("PSF-2.0", ["psf-agreement"]),
+    ("EUPL-1.2", ["eupl-applies"]),
+    ("GPL-2.0", ["gpl-2-named"]),
+    ("GPL-3.0", ["gpl-3-named"]),
+    ("LGPL-2.1", ["lgpl-2.1-named"]),
+    ("LGPL-3.0", ["lgpl-3-named"]),
+    ("BSL-1.0", ["boost-end"]),
+    ("NCSA", ["ncsa-grant"]),
+    ("PostgreSQL", ["postgresql-grant"]),
+    ("EPL-2.0", ["epl-content"]),
+    ("EPL-1.0", ["epl-1-content"]),
+    ("MS-PL", ["ms-pl-accept"]),
 ]
 
 VERBS = "(?:licen[sc]ed|released|distributed|published|available|provided|free|covered|governed|redistributed|used)"
@@ -145,7 +220,11 @@ AFTER = [
     (r"\bor (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?\b", "orlater"),
     (r"\borlater of the license\b", "orlater"),
 ]
-DENIED = rf"\b(?:not|never|cannot|nor|no longer|neither) (?:[a-z]+ )?(?:[a-z]+ )?{VERBS} (?:for use )?(?:under|by)\b"
+#: Words that may stand between a denial and what it denies, besides two others.
+BETWEEN = "(?:be|been|being|is|are|was|were|to|have|has|had|intended|meant|supposed|planned|going|allowed|yet|ever|currently|officially|originally|otherwise)"
+DENIED = rf"\b(?:not|never|cannot|nor|no longer|neither) (?:{BETWEEN} ){{0,6}}(?:[a-z]+ )?(?:[a-z]+ )?{VERBS} (?:for use )?(?:under|by)\b"
+#: The expression of an SPDX tag as it stands: identifiers, operators, exceptions and parentheses (the group).
+EXPRESSION = r"(?i)spdx-license-identifier:[ \t]*([(a-z0-9][a-z0-9.+()\- \t]*[a-z0-9.+)])"
 #: Where a notice cites licences: all known names in the rest (the group) count.
 CITING = rf"(?:^spdx license identifier|\b{VERBS} (?:for use )?under|\b(?:covered|governed) by) (.+)$"
 #: Publishers and makers stand after these too, so that the rest (the group) must be names and no more.
@@ -229,14 +308,18 @@ def identifiers(sentences: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licenses (sorted, comma between), identifiers (of its sentences, in order), n_sentences (that are known)."""
+    """doc_id, licenses (sorted, comma between), identifiers (of its sentences, in order), n_sentences (that are known), expressions.
+
+    ``expressions``: those of SPDX tags as they stand, with one space between words, each once, sorted, with semicolons."""
     # a space before each line, so that the first word of a line has one before it as others have
     cut = lambda t: F.split(F.regexp_replace(t, CUT, "$1\n "), "\n")
     joined = F.regexp_replace(F.regexp_replace("_t", r"\n\s*\n", ". "), r"\n\s*", " ")
     lowered = F.lower(text_of())
-    texts = docs.select("doc_id", F.when(lowered.rlike(HINT), lowered).otherwise(F.lit("")).alias("_t"))
+    tagged = F.transform(F.regexp_extract_all(text_of(), F.lit(EXPRESSION), F.lit(1)), lambda x: F.regexp_replace(x, r"[ \t]+", " "))
+    tagged = F.when(F.contains(lowered, F.lit("spdx-license-identifier:")), F.concat_ws(";", F.array_sort(F.array_distinct(tagged)))).otherwise(F.lit(""))
+    texts = docs.select("doc_id", F.when(lowered.rlike(HINT), lowered).otherwise(F.lit("")).alias("_t"), tagged.alias("expressions"))
     texts = texts.withColumn("_t", F.when(F.col("_t") != "", replaced(F.col("_t"), BEFORE)).otherwise(F.col("_t")))
-    found = texts.select("doc_id", identifiers(cut(F.col("_t"))).alias("_lines"), identifiers(cut(joined)).alias("_wrapped"))
+    found = texts.select("doc_id", "expressions", identifiers(cut(F.col("_t"))).alias("_lines"), identifiers(cut(joined)).alias("_wrapped"))
     some = F.size("_lines") + F.size("_wrapped") > 0
     chain = [F.concat(F.lit(" "), F.concat_ws(" ", k), F.lit(" ")) for k in ("_lines", "_wrapped")]
     hits = by_licence()
@@ -253,6 +336,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(some, F.concat_ws(",", F.array_sort(left))).otherwise(F.lit("")).alias("licenses"),
         F.concat_ws(" ", longer).alias("identifiers"),
         F.size(longer).cast("long").alias("n_sentences"),
+        "expressions",
     )
 
 
@@ -283,7 +367,10 @@ def sql() -> str:
     way = " AND ".join(f"NOT (x = {quote(licence)} AND list_has_any(hits, [{', '.join(map(quote, more))}]))" for licence in hits if (more := gives_way(licence, hits)))
     return f"""
 WITH maps AS (SELECT {of_name} AS names),
-low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+low AS (
+  SELECT doc_id, lower(coalesce(text, '')) AS t,
+    array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), {quote(EXPRESSION)}, 1), lambda x: regexp_replace(x, '[ \\t]+', ' ', 'g')))), ';') AS expressions
+  FROM documents),
 clean AS (SELECT doc_id, CASE WHEN regexp_matches(t, {quote(HINT)}) THEN {steps("t", BEFORE)} ELSE '' END AS t FROM low),
 two AS (
   SELECT doc_id, 1 AS way, unnest({cut("t")}) AS s, generate_subscripts({cut("t")}, 1) AS i FROM clean WHERE t <> '' UNION ALL
@@ -300,6 +387,6 @@ chains AS (
 found AS (
   SELECT *, list_filter([{matched}], lambda x: x IS NOT NULL) AS hits FROM (SELECT *, ' ' || one || ' ' AS lines_, ' ' || two_ || ' ' AS wrapped_ FROM chains))
 SELECT doc_id, coalesce(array_to_string(list_sort(list_filter(hits, lambda x: {way})), ','), '') AS licenses,
-  coalesce(CASE WHEN n1 >= n2 THEN one ELSE two_ END, '') AS identifiers, CAST(coalesce(greatest(n1, n2), 0) AS BIGINT) AS n_sentences
+  coalesce(CASE WHEN n1 >= n2 THEN one ELSE two_ END, '') AS identifiers, CAST(coalesce(greatest(n1, n2), 0) AS BIGINT) AS n_sentences, coalesce(expressions, '') AS expressions
 FROM low LEFT JOIN found USING (doc_id)
 """

@@ -512,11 +512,77 @@ def test_licenses_of_whole_texts(spark):
     assert {r.doc_id: r.licenses for r in got} == rows
 
 
+#: Beginnings and notices of further public licences, as they come.
+MORE_TEXTS = {
+    '''                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.''': "Apache-2.0",
+    """This library is free software; you can redistribute it and/or modify it
+under the terms of the GNU Lesser General Public License version 2.1 only, as
+published by the Free Software Foundation.""": "LGPL-2.1",
+    """it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.""": "GPL-2.0",
+    """This Font Software is licensed under the SIL Open Font License, Version 1.1.
+This license is copied below, and is also available with a FAQ at:
+https://scripts.sil.org/OFL""": "OFL-1.1",
+    """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License.""": "CDDL-1.0",
+    """PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2
+--------------------------------------------
+
+1. This LICENSE AGREEMENT is between the Python Software Foundation
+("PSF"), and the Individual or Organization ("Licensee") accessing and
+otherwise using this software ("Python") in source or binary form and
+its associated documentation.""": "PSF-2.0",
+    "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL.": "EUPL-1.2",
+    """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES""": "0BSD",
+    "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0": "CDDL-1.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at": "EPL-2.0",
+    "Released under the GNU Free Documentation License, Version 1.3 or any later version": "GFDL-1.3-or-later",
+    "Licensed under the Academic Free License version 3.0": "AFL-3.0",
+    "Use of this source code is governed by the Blue Oak Model License 1.0.0": "BlueOak-1.0.0",
+    "This database is made available under the Open Database License: ODbL 1.0": "ODbL-1.0",
+    "The code was never intended to be released under the MIT License": "",
+    "It has not been licensed under the Apache License, Version 2.0": "",
+    "This is not a toy for children and it is licensed under the MIT License": "MIT",
+}
+
+
+def test_licenses_of_more_texts(spark):
+    got = licenses.scan(spark.createDataFrame([(k, k) for k in MORE_TEXTS], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == MORE_TEXTS
+    assert len(licenses.NAMES) > 65 and len(licenses.names()) < 260
+
+
+def test_expressions_stay_as_they_are(spark):
+    rows = {
+        "// SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR  GPL-2.0-only WITH Classpath-exception-2.0\nint x;": "(MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0+ */\n# spdx-license-identifier: MIT\n# SPDX-License-Identifier: MIT": "GPL-2.0+;MIT",
+        "SPDX-License-Identifier:": "",
+        "SPDX": "",
+        "": "",
+    }
+    got = licenses.scan(spark.createDataFrame([(k, k) for k in rows], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.expressions for r in got} == rows
+
+
 def test_licenses_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id INTEGER, text VARCHAR)")
-    texts = [MIT_TEXT, BSD_3_TEXT, APACHE_TEXT, GPL_TEXT, LGPL_TEXT, ISC_TEXT, "", None, "SPDX-License-Identifier: MIT OR Apache-2.0", "Not released under GPL v2.\nMIT License"]
+    texts = [MIT_TEXT, BSD_3_TEXT, APACHE_TEXT, GPL_TEXT, LGPL_TEXT, ISC_TEXT, "", None, "SPDX-License-Identifier: MIT OR Apache-2.0", "Not released under GPL v2.\nMIT License",
+             *MORE_TEXTS, "/* SPDX-License-Identifier:  (GPL-2.0-only WITH\tClasspath-exception-2.0) OR MIT */\n// SPDX-License-Identifier: ISC"]
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     result = con.execute(licenses.sql())
     names = [c[0] for c in result.description]
