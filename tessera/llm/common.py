@@ -21,6 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOT_SHARE = 1000
 
 
+#: Tables of at most so many narrow rows (about 100 bytes each in memory) are broadcast where their size is known; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, to be broadcast if its count allows it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only in local mode, where none is set (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import join_groups, materialise, nested, text_of
+from tessera.llm.common import join_groups, materialise, nested, small_side, text_of
 from tessera.llm.groups import components, local_roots, starts_of, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
@@ -191,7 +191,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
         "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, ROWS)))).alias("bucket")
     )
     full = materialise(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = join_groups(bands, full, ["bucket"], "n", BANDS * nodes.count()).join(nodes.select("node", "sig"), "node")
+    total = BANDS * nodes.count()
+    held = small_side(full)
+    met = bands.join(held, "bucket") if held is not full else join_groups(bands, full, ["bucket"], "n", total)
+    shared = met.join(nodes.select("node", "sig"), "node")
     return _dealt(shared, "bucket", "node").select("bucket", "_lo", "_hi", "side", "node", "sig").mapInPandas(_span, "a binary, b binary")
 
 
@@ -255,7 +258,8 @@ def _placed(docs: DataFrame) -> DataFrame:
     sizes = materialise(found.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     inside = found.join(sizes, "root").withColumnRenamed("root", "component").join(nodes.drop("sig"), "node")
     inside = materialise(inside, "inside")
-    wanted = inside.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash"))
+    # while it can be broadcast, only the texts of candidates move, and not all texts
+    wanted = small_side(inside.select("node", F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")))
     sets = (
         text.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("node", "text")
