@@ -6,8 +6,8 @@ chunk's identifier is a 64-bit number, verified against the chunk's SHA-256 (ide
 get a suffix). Documents are then compared by their ordered lists of verified identifiers, their recipes.
 
 Defined cases: a null text is empty; an empty text has the empty recipe, and all such rows form one group; repeated rows
-(same doc_id and text) are separate members of a group, of which all those with the largest doc_id are marked as kept in
-``annotate``; other columns, whatever their names, are left alone.
+(same doc_id and text) are separate members of a group, and of several rows with the largest doc_id one is kept; a group of null
+ids only keeps one of its rows, any other group none of its rows of null id; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

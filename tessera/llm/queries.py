@@ -102,7 +102,7 @@ SELECT doc_id, class_id, node AS copy_of, copies AS n_copies, CAST(coalesce(n_li
 FROM words JOIN nodes USING (w) JOIN classes USING (node) LEFT JOIN counts USING (node)
 """,
     "op8_exact_dedup": """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
 WINDOW g AS (PARTITION BY h)
 """,

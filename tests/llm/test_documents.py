@@ -94,6 +94,26 @@ def test_exact_dedup_keeps_one_of_case_twins(spark):
     )
 
 
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard_join", "op8_exact_dedup"])
+def test_documents_equal_their_sql(spark, name, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.llm import queries
+
+    r = random.Random(5)
+    base = [prose(r, 30) for _ in range(6)]
+    rows = [(i, r.choice(base) + r.choice(["", " end", " End"]), "en", "s", 1) for i in range(60)]
+    if name == "op8_exact_dedup":  # the other SQL knows texts by their ids
+        more = [(5, "Hello"), (5, "hello"), (5, "hello"), (4, "HELLO"), (6, "x"), (6, None), (7, ""), (None, "y"), (None, "Y"), (None, "hello")]
+        rows += [(*x, "en", "s", 1) for x in more]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(queries.SQL[name])
+    names = [c[0] for c in result.description]
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(result.fetchall())
+
+
 def test_exact_dedup_of_a_hot_group(spark, monkeypatch):
     rows = [(i, "same" if i % 3 else f"own {i // 6}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
