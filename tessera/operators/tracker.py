@@ -218,3 +218,26 @@ def visible_changes(rows: DataFrame, keys: list[str], value: str, at: str) -> Da
     """Rows where a value differs from the one before."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(at))
     return rows.withColumn("before", before).where(~F.col(value).eqNullSafe(F.col("before")))
+
+
+#: Rated services in the order in which they are shown, and the tops of their scales.
+RATED_SERVICES = {"tmdb": 10, "imdb": 10, "metacritic": 100, "mal": 10, "anilist": 100, "anidb": 10}
+
+
+def bucketed_ratings(records: DataFrame, buckets: DataFrame) -> DataFrame:
+    """title_id, score, votes of catalogue records that give a distribution of scores: the average, or where there is none the mean,
+    and the sum of the buckets' amounts; none without a score or a vote. records: title_id, average, mean; buckets: title_id, bucket, amount."""
+    votes = buckets.groupBy("title_id").agg(F.sum("amount").cast("long").alias("votes"))
+    scored = records.select("title_id", F.coalesce("average", "mean").alias("score")).where("score > 0")
+    return scored.join(votes, "title_id").where("votes > 0")
+
+
+def rating_list(ratings: DataFrame) -> DataFrame:
+    """unit_id, place, service, score, scale, votes: each service's rating of a unit, the last one written (largest ``seq``), in the services' order.
+
+    ratings: unit_id, service (any but the rated ones is passed over), seq, score, votes."""
+    place = F.array_position(F.array(*map(F.lit, RATED_SERVICES)), F.col("service"))
+    known = ratings.withColumn("_at", place).where("_at > 0")
+    last = known.groupBy("unit_id", "service", "_at").agg(F.max_by(F.struct("score", "votes"), "seq").alias("r"))
+    scale = F.element_at(F.array(*map(F.lit, RATED_SERVICES.values())), F.col("_at").cast("int"))
+    return ranked(last, ["unit_id"], ["_at"], "place").select("unit_id", "place", "service", "r.score", scale.alias("scale"), "r.votes")

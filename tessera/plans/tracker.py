@@ -393,12 +393,26 @@ def metadata(t: Tables) -> DataFrame:
 
 @query(
     "A11_votes_R14_rating_list",
-    "",
-    """WITH b AS (SELECT l_partkey AS title_id, CAST(floor(l_quantity / 10) AS INT) AS bucket, count(*) AS amount FROM lineitem GROUP BY 1, 2),
-v AS (SELECT title_id, CAST(sum(amount) AS BIGINT) AS votes, sum(bucket * amount) / sum(amount) AS score FROM b GROUP BY 1)
-SELECT title_id, votes, score FROM v WHERE score > 0 AND votes > 0""",
+    "titles",
+    """+b AS (SELECT l_partkey AS title_id, CAST(floor(l_quantity / 10) AS INT) AS bucket, count(*) AS amount FROM lineitem WHERE l_partkey % 9 <> 4 GROUP BY 1, 2),
+v AS (SELECT title_id, CAST(sum(amount) AS BIGINT) AS votes FROM b GROUP BY 1)
+SELECT title_id, CAST(score AS DOUBLE) AS score, votes FROM (SELECT title_id, coalesce(CASE WHEN title_id % 3 > 0 THEN ordinal - 5 END, CASE WHEN title_id % 5 > 0 THEN ordinal + 0.5 END) AS score FROM titles) JOIN v USING (title_id) WHERE score > 0 AND votes > 0""",
 )
 def votes(t: Tables) -> DataFrame:
-    b = t.table("lineitem").groupBy(F.col("l_partkey").alias("title_id"), F.floor(F.col("l_quantity") / 10).cast("int").alias("bucket")).agg(F.count("*").alias("amount"))
-    v = b.groupBy("title_id").agg(F.sum("amount").alias("votes"), (F.sum(F.col("bucket") * F.col("amount")) / F.sum("amount")).alias("score"))
-    return v.where("score > 0 AND votes > 0")
+    i, o = F.col("title_id"), F.col("ordinal")
+    buckets = t.table("lineitem").where("l_partkey % 9 <> 4").groupBy(F.col("l_partkey").alias("title_id"), F.floor(F.col("l_quantity") / 10).cast("int").alias("bucket")).agg(F.count("*").alias("amount"))
+    records = t.titles().select(i, F.when(i % 3 > 0, (o - 5).cast("double")).alias("average"), F.when(i % 5 > 0, o + F.lit(0.5)).alias("mean"))
+    return k.bucketed_ratings(records, buckets)
+
+
+@query(
+    "R14_service_rating_list",
+    "titles",
+    """+r AS (SELECT group_id AS unit_id, service, title_id AS seq, ordinal AS score, title_id % 100 AS votes FROM titles),
+o AS (SELECT *, list_position(['tmdb', 'imdb', 'metacritic', 'mal', 'anilist', 'anidb'], service) AS at_ FROM r WHERE service IN ('tmdb', 'imdb', 'metacritic', 'mal', 'anilist', 'anidb') QUALIFY row_number() OVER (PARTITION BY unit_id, service ORDER BY seq DESC) = 1)
+SELECT unit_id, CAST(row_number() OVER (PARTITION BY unit_id ORDER BY at_) AS INT) AS place, service, score, CASE WHEN service IN ('metacritic', 'anilist') THEN 100 ELSE 10 END AS scale, votes FROM o""",
+)
+def rating_list(t: Tables) -> DataFrame:
+    """A group's titles are what the services wrote of one unit, in order of their ids."""
+    i = F.col("title_id")
+    return k.rating_list(t.titles().select(F.col("group_id").alias("unit_id"), "service", i.alias("seq"), F.col("ordinal").alias("score"), (i % 100).alias("votes")))

@@ -104,3 +104,18 @@ def test_titles_are_sorted_as_people_read_them(spark):
 
     found = tracker.airing_days(spark.createDataFrame(days, "day string, title string, number int, episode_title string"), F.lit("2024-01-01").cast("date")).collect()
     assert [[x.title for x in r.episodes] for r in found] == [["ea", "Éa", "zebra"]]
+
+
+def test_service_ratings(spark):
+    from tessera.operators import tracker
+
+    frame = spark.createDataFrame
+    records = [(1, 80.0, 70.0), (2, None, 70.0), (3, 0.0, 70.0), (4, None, None), (5, 60.0, None), (6, 50.0, None)]
+    buckets = [(1, 10, 3), (1, 20, 4), (2, 10, 1), (3, 10, 1), (4, 10, 1), (5, 10, 0)]
+    got = tracker.bucketed_ratings(frame(records, "title_id long, average double, mean double"), frame(buckets, "title_id long, bucket int, amount long"))
+    assert sorted(map(tuple, got.select("title_id", "score", "votes").collect())) == [(1, 80.0, 7), (2, 70.0, 1)]
+    rows = [(1, "anidb", 1, 5.0, 1), (1, "imdb", 2, 8.0, 9), (1, "imdb", 5, 7.0, 8), (1, "tvdb", 3, 9.0, 1), (1, "tmdb", 4, 6.0, 2), (2, "mal", 1, None, None), (3, None, 1, 5.0, 1)]
+    schema = "unit_id long, service string, seq long, score double, votes long"
+    got = sorted(map(tuple, tracker.rating_list(frame(rows, schema)).collect()))
+    assert got == [(1, 1, "tmdb", 6.0, 10, 2), (1, 2, "imdb", 7.0, 10, 8), (1, 3, "anidb", 5.0, 10, 1), (2, 1, "mal", None, 10, None)]
+    assert tracker.rating_list(frame([], schema)).count() == 0
