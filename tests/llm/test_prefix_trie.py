@@ -77,7 +77,7 @@ def thread(seed):
     return rows
 
 
-@pytest.mark.parametrize(("make", "piece"), [(talk, 4_000), (talk, 20), (thread, 4_000), (thread, 200)])
+@pytest.mark.parametrize(("ranges", "make", "piece"), [(1, talk, 4_000), (9, talk, 20), (9, thread, 200)], indirect=["ranges"])
 def test_trie_equals_a_plain_one(spark, monkeypatch, ranges, make, piece):
     monkeypatch.setattr(prefix_trie, "PIECE", piece)
     rows = make(7)
