@@ -62,6 +62,11 @@ def epoch_day(seconds: Column) -> Column:
     return F.to_date(F.timestamp_seconds(seconds))
 
 
+def iso_day(date: Column) -> Column:
+    """A date as text; years after 9999 without the plus sign that a cast gives them."""
+    return F.ltrim(date.cast("string"), F.lit("+"))
+
+
 def watched_hours(minutes: Column, omitted: Column) -> Column:
     """Hours and minutes as text, with a note where titles were left out."""
     hours, rest = F.floor(minutes / 60), minutes % 60

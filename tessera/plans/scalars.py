@@ -66,7 +66,7 @@ def dates(t: Tables) -> DataFrame:
         text.day_distance(F.col("a"), F.col("b")).cast("long").alias("gap"),
         text.year_of(F.col("a")).alias("year"),
         text.partial_date(F.lit(2001), F.when(F.col("m") > 0, F.col("m")), F.lit(None).cast("int")).alias("assembled"),
-        text.epoch_day(F.col("id") * 86400).cast("string").alias("epoch_day"),
+        text.iso_day(text.epoch_day(F.col("id") * 86400)).alias("epoch_day"),
         F.date_add(F.col("b").cast("date"), 13).cast("string").alias("until"),
     )
 
