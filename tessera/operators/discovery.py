@@ -174,24 +174,46 @@ class Fuzzy(NamedTuple):
 def title_hits(queries: DataFrame, titles: DataFrame, results: int = 8) -> DataFrame:
     """query_id, service, ref, score: the best titles of a query's service that share a word with it, none of the subject's own group.
 
-    Words meet in an inverted index: both sides' words are joined, and the number of shared words of each pair gives their
-    overlap without comparing sets. Edit distances are only computed for pairs that are kept. queries: query_id, service, title, year,
-    group_id; titles: ref, service, title, year, group_id."""
-
-    def read(df: DataFrame, key: str, side: str) -> DataFrame:
-        named = df.withColumn("_t", normalise_title(F.col("title"))).withColumn("_w", F.array_distinct(tokens(F.col("_t"))))
-        return named.select(key, "service", F.col("group_id").alias(f"{side}_group"), F.col("year").alias(f"{side}_year"), F.col("_t").alias(f"{side}_title"), F.col("_w").alias(f"{side}_words"))
-
-    asked, held = cut(read(queries, "query_id", "q")), cut(read(titles, "ref", "t"))
-    words = lambda df, key, side: df.select(key, "service", F.col(f"{side}_group"), F.explode(f"{side}_words").alias("word"))
-    met = words(asked, "query_id", "q").join(words(held, "ref", "t"), ["service", "word"]).where("NOT q_group <=> t_group")
-    shared = met.groupBy("query_id", "service", "ref").agg(F.count("*").alias("shared"))
-    both = shared.join(asked.drop("q_group"), ["query_id", "service"]).join(held.drop("t_group"), ["ref", "service"])
-    overlap = F.col("shared") / (F.size("q_words") + F.size("t_words") - F.col("shared"))
+    Equal texts are compared once, however many rows have them. Words of the different texts meet in an inverted index: both sides'
+    words are joined, and the number of shared words of each pair gives their overlap without comparing sets. Rows of one text and
+    year have one score, so that the first ones by ref stand for all of them: as many of each group, then twice as many in all, since a
+    query passes over one group. queries: query_id, service, title, year, group_id; titles: ref, service, title, year, group_id."""
+    asked = cut(queries.select("query_id", "service", F.col("group_id").alias("q_group"), F.col("year").alias("q_year"), normalise_title(F.col("title")).alias("q_title")))
+    held = titles.select("ref", "service", "group_id", F.col("year").alias("t_year"), normalise_title(F.col("title")).alias("t_title"))
+
+    def first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+        """As many rows of each key as any query needs, whichever group it passes over."""
+        own = ranked(df, [*keys, "group_id"], order, "_own").where(F.col("_own") <= results)
+        return ranked(own, keys, order, "_all").where(F.col("_all") <= 2 * results).drop("_own", "_all")
+
+    # a text of a year: its first rows, and how many a query finds in it at least
+    kinds = ["service", "t_title", "t_year"]
+    rows = cut(first(held, kinds, ["ref"]))
+    sizes = rows.groupBy(*kinds, "group_id").agg(F.count("*").alias("_n")).groupBy(*kinds).agg((F.sum("_n") - F.max("_n")).alias("sure"))
+
+    def words(df: DataFrame, side: str) -> DataFrame:
+        texts = df.select("service", f"{side}_title").distinct().withColumn("_w", F.array_distinct(tokens(F.col(f"{side}_title"))))
+        return texts.select("service", f"{side}_title", F.size("_w").alias(f"{side}_size"), F.explode("_w").alias("word"))
+
+    met = words(asked, "q").join(words(rows, "t"), ["service", "word"])
+    shared = met.groupBy("service", "q_title", "t_title", "q_size", "t_size").agg(F.count("*").alias("shared"))
+    overlap = F.col("shared") / (F.col("q_size") + F.col("t_size") - F.col("shared"))
     edits = 1 - F.levenshtein("q_title", "t_title") / F.greatest(F.length("q_title"), F.length("t_title"))
+    similar = cut(shared.select("service", "q_title", "t_title", (edits * 0.5 + overlap * 0.5).alias("similarity")))
     # rounded, so that equal scores are ties however they were added up
-    scored = both.withColumn("score", F.round(hit_score(edits * 0.5 + overlap * 0.5, F.col("q_year"), F.col("t_year")), 9))
-    return ranked(scored, ["query_id", "service"], [F.desc("score"), "ref"]).where(F.col("_rank") <= results).select("query_id", "service", "ref", "score")
+    score = F.round(hit_score(F.col("similarity"), F.col("q_year"), F.col("t_year")), 9)
+    wanted = asked.select("service", "q_title", "q_year").distinct()
+    scored = wanted.join(similar, ["service", "q_title"]).join(sizes, ["service", "t_title"]).withColumn("score", score)
+    # what scores less than enough others can't be among the best
+    better = Window.partitionBy("service", "q_title", "q_year").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    enough = scored.withColumn("_here", F.sum("sure").over(better)).withColumn("_before", F.col("_here") - F.sum("sure").over(Window.partitionBy("service", "q_title", "q_year", "score")))
+    near = enough.where(F.col("_before") < results).select("service", "q_title", "q_year", "t_title", "t_year", "score")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in kinds]
+    found = near.alias("n").join(rows.alias("r"), same).select("n.service", "q_title", "q_year", "ref", "group_id", "score")
+    asks = ["service", "q_title", "q_year"]
+    best = first(found, asks, [F.desc("score"), "ref"]).select(*[F.col(c).alias(f"_{c}") for c in asks], "ref", "group_id", "score")
+    own = asked.join(best, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asks]).where("NOT q_group <=> group_id")
+    return ranked(own, ["query_id", "service"], [F.desc("score"), "ref"]).where(F.col("_rank") <= results).select("query_id", "service", "ref", "score")
 
 
 def fuzzy(queries: DataFrame, titles: DataFrame, rejected: DataFrame) -> Fuzzy:

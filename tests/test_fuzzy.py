@@ -1,6 +1,7 @@
 """Fuzzy discovery: what it finds equals scoring all pairs, and cases on small frames."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 from test_ladder import normal, similar
@@ -50,3 +51,19 @@ def test_words_meet_by_equality(spark):
     got = discovery.title_hits(spark.createDataFrame([(1, "mal", "a b", None, 1)], QUERIES), spark.createDataFrame([(1, "mal", "b c", None, 2)], TITLES))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "NestedLoop" not in plan and got.agg(F.count("*")).first()[0] == 1
+
+
+def test_equal_titles_are_compared_once(spark):
+    """Thousands of rows of one text: all pairs of them would take minutes; a query's own group holds more than it may propose."""
+    titles = spark.range(30_000).select(F.col("id").alias("ref"), F.lit("mal").alias("service"), F.lit("Red Garden").alias("title"), (F.col("id") % 3 * 5 + 1990).cast("int").alias("year"), F.floor(F.col("id") / 60).alias("group_id"))
+    queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.lit("mal").alias("service"), F.lit("red garden!").alias("title"), F.lit(1995).alias("year"), (F.col("id") % 500).alias("group_id"))
+    start = time.monotonic()
+    rows = discovery.title_hits(queries, titles).collect()
+    assert time.monotonic() - start < 60
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.ref, r.score))
+    assert len(got) == 10_000
+    for q, found in got.items():
+        first = 61 if q % 500 == 0 else 1  # the refs of 1995 are 1, 4, 7 ...
+        assert sorted(found) == [(first + 3 * k, 1.0) for k in range(8)]
