@@ -40,7 +40,8 @@ class Tables:
     def edges(self) -> DataFrame:
         """title_id, service, unit_id, confidence, provenance, edge_id: an order is a unit that its parts cover."""
         lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_returnflag", "l_linenumber")
-        edges = lines.groupBy("l_partkey", "l_orderkey").agg(
+        # dealt by the order alone, by which units meet: so they are not moved again where the titles are broadcast
+        edges = lines.repartition("l_orderkey").groupBy("l_partkey", "l_orderkey").agg(
             F.min(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).alias("confidence"), F.min("l_linenumber").alias("provenance")
         )
         return edges.join(self.titles().select("title_id", "service"), F.col("l_partkey") == F.col("title_id")).select(
