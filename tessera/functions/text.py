@@ -29,8 +29,13 @@ def token_overlap(left: Column, right: Column) -> Column:
 
 def normalised_similarity(left: Column, right: Column) -> Column:
     """Half from character edits, half from words, of normalised titles."""
+    return words_similarity(left, right, tokens(left), tokens(right))
+
+
+def words_similarity(left: Column, right: Column, left_words: Column, right_words: Column) -> Column:
+    """The same of titles whose words are at hand, so that a title in many pairs is taken apart once."""
     edits = 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
-    return F.when((left == "") | (right == ""), F.lit(0.0)).otherwise(edits * 0.5 + token_overlap(tokens(left), tokens(right)) * 0.5)
+    return F.when((left == "") | (right == ""), F.lit(0.0)).otherwise(edits * 0.5 + token_overlap(left_words, right_words) * 0.5)
 
 
 def title_similarity(left: Column, right: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import identity, scores, text
@@ -25,15 +25,21 @@ PAIRS = f"+p AS (SELECT x.title_id, y.title_id AS other_id, {NORM.format('x.titl
 
 
 def pairs(t: Tables) -> DataFrame:
-    x = t.titles().select("group_id", "title_id", "title", "ordinal")
-    return x.join(x.select("group_id", F.col("title_id").alias("other_id"), F.col("title").alias("other"), F.col("ordinal").alias("other_ordinal")), "group_id")
+    """Pairs of titles of a group, with their normal forms (a, b) and words, which are made once a title."""
+    x = t.spread(t.titles().select("group_id", "title_id", "title", "ordinal"), "group_id").withColumn("a", text.normalise_title(F.col("title")))
+    x = x.select("group_id", "title_id", "ordinal", "a", text.tokens(F.col("a")).alias("a_words"))
+    y = x.select("group_id", F.col("title_id").alias("other_id"), F.col("ordinal").alias("other_ordinal"), F.col("a").alias("b"), F.col("a_words").alias("b_words"))
+    return x.join(y, "group_id")
+
+
+def alike() -> Column:
+    return text.words_similarity(F.col("a"), F.col("b"), F.col("a_words"), F.col("b_words"))
 
 
 @query("X3_edit_distance_X4_title_similarity_A10_overlap", "titles", PAIRS + f" SELECT title_id, other_id, levenshtein(a, b) AS edits, round({OVERLAP.format('ta', 'tb')}, 6) AS overlap, round({SIMILAR}, 6) AS similarity FROM q")
 def similarity(t: Tables) -> DataFrame:
-    a, b = text.normalise_title(F.col("title")), text.normalise_title(F.col("other"))
     return pairs(t).select(
-        "title_id", "other_id", F.levenshtein(a, b).cast("long").alias("edits"), F.round(text.token_overlap(text.tokens(a), text.tokens(b)), 6).alias("overlap"), F.round(text.title_similarity(F.col("title"), F.col("other")), 6).alias("similarity")
+        "title_id", "other_id", F.levenshtein("a", "b").cast("long").alias("edits"), F.round(text.token_overlap(F.col("a_words"), F.col("b_words")), 6).alias("overlap"), F.round(alike(), 6).alias("similarity")
     )
 
 
@@ -45,7 +51,7 @@ def similarity(t: Tables) -> DataFrame:
 )
 def hits(t: Tables) -> DataFrame:
     year = F.when(F.col("ordinal") % 5 > 0, F.col("ordinal") + 1990)
-    return pairs(t).select("title_id", "other_id", F.round(text.hit_score(text.title_similarity(F.col("title"), F.col("other")), year, F.col("other_ordinal") + 1990), 6).alias("score"))
+    return pairs(t).select("title_id", "other_id", F.round(text.hit_score(alike(), year, F.col("other_ordinal") + 1990), 6).alias("score"))
 
 
 @query(

@@ -20,6 +20,10 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame, key: str) -> DataFrame:
+        """df dealt by a key to all tasks of a shuffle, however few its file is read by or its bytes would fill: before costly expressions."""
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
+
     def titles(self) -> DataFrame:
         """title_id, group_id, service, ordinal, title, native: a part is a title; eight neighbours are a group."""
         service = F.element_at(F.array(*map(F.lit, SERVICES)), (F.col("p_partkey") % 6 + 1).cast("int"))
