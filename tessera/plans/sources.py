@@ -90,7 +90,7 @@ def xml(t: Tables) -> DataFrame:
         F.lit('</title><title type="official" lang="en">English</title></titles><episodes><episode><epno type="1">2</epno></episode><episode><epno type="2">S1</epno></episode><episode><epno type="1">1</epno></episode></episodes>'
               '<creators><name type="Animation Work">Studio</name><name type="Music">M</name></creators></anime>'),
     )
-    r = t.titles().select("title_id", readers.anime_record(doc).alias("r"))
+    r = t.spread(t.titles(), "title_id").select("title_id", readers.anime_record(doc).alias("r"))
     numbers = F.array_join(F.transform("r.episodes", lambda e: e["number"].cast("string")), ",")
     return r.select("title_id", "r.id", "r.title", F.size("r.episodes").cast("long").alias("n_episodes"), numbers.alias("numbers"), F.col("r.studios")[0].alias("studio"))
 

@@ -17,7 +17,11 @@ RELATIONS = ["sequel", "prequel", "side_story", "alternative", "summary", "spin_
 
 def anime_record(xml: Column) -> Column:
     """Work record of an anime document: title (main, else English, else the first), regular episodes in order, staff and studios."""
-    x = F.from_xml(xml, ANIME_XML)
+    # transform over one element binds the parsed document to a name, so that it is parsed once and not for every field
+    return F.get(F.transform(F.array(F.from_xml(xml, ANIME_XML)), _anime_record), F.lit(0))
+
+
+def _anime_record(x: Column) -> Column:
     titles = F.coalesce(x["titles"]["title"], F.array().cast("array<struct<_VALUE:string,_type:string,_lang:string>>"))
     pick = lambda test: F.get(F.filter(titles, test), F.lit(0))["_VALUE"]
     title = F.coalesce(pick(lambda t: t["_type"] == "main"), pick(lambda t: t["_lang"] == "en"), F.get(titles, F.lit(0))["_VALUE"])
