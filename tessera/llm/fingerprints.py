@@ -117,9 +117,10 @@ def compare(docs: DataFrame) -> DataFrame:
     before = order.select(F.col("next1").alias("k1"), F.col("next2").alias("k2"), F.col("k1").alias("prev1"), F.col("k2").alias("prev2"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     heads = keyed.select("k1", "k2", "text").join(before, ["k1", "k2"]).select(F.col("prev1").alias("k1"), F.col("prev2").alias("k2"), F.expr("left(text, need)").alias("_head"))
     heads = heads.dropDuplicates(["k1", "k2"])  # one copy of a repeated row speaks for all
-    kept = keyed.select("k1", "k2", F.expr("left(text, length(text) - CAST(floor(length(text) / 2) AS INT))").alias("_kept"))
-    # both sides are shuffled by the key, and so the samples of an edited text are found where the join has put it
-    edited = kept.join(heads.hint("merge"), ["k1", "k2"]).select("k1", "k2", F.concat("_kept", "_head").alias("text"))
+    # the whole text is moved by its key once, for what it gives to the text before it and for what it keeps itself (cut after that
+    # move, or it would be another one); the samples of an edited text are found where the join has put it
+    edited = keyed.select("k1", "k2", "text").join(heads.hint("merge"), ["k1", "k2"])
+    edited = edited.select("k1", "k2", F.concat(F.expr("left(text, length(text) - CAST(floor(length(text) / 2) AS INT))"), "_head").alias("text"))
     edited = edited.select("k1", "k2", F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     # in binary, at half the bytes, until the last projection
     binary = F.unhex("fingerprint").alias("fingerprint")
