@@ -43,20 +43,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def walk(nexts: DataFrame, heads: DataFrame) -> DataFrame:
+def walk(nexts: DataFrame, heads: DataFrame, most: int | None = None) -> DataFrame:
     """Whole chains from their heads along sequels: chain_id, node, pos. nexts: from_id, to_id, one edge a node.
 
-    Chains double with every join (pointer jumping): after k rounds each node knows the node 2^k steps on, so a chain of n
-    titles takes log n rounds, not n. Rounds end when one finds no new node; a cycle ends before the first node it meets again."""
-    reach = cut(heads.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos")))
-    jump, step, known = nexts.select("from_id", "to_id"), 1, -1
-    while (n := reach.count()) > known:
-        known = n
-        jump = cut(jump)
-        more = reach.join(jump, F.col("node") == F.col("from_id")).select("chain_id", F.col("to_id").alias("node"), (F.col("pos") + step).alias("pos"))
-        reach = cut(first_of(reach.unionByName(more), ["chain_id", "node"], ["pos"]))
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.to_id") == F.col("b.from_id")).select(F.col("a.from_id").alias("from_id"), F.col("b.to_id").alias("to_id"))
+    Pointer jumping: after k rounds each node knows the node 2^k steps on, or its end and how far it is, so a chain of n titles takes
+    log n rounds, not n. Rounds end when as many nodes have no end as the round before: they lead to cycles. A chain whose end is known is
+    written out with each row joined only while its chain goes on; one without, in ``circling``. A cycle ends before the first node it meets
+    again. With ``most`` only as many nodes of a chain are wanted, and rounds end there."""
+    far, step, endless, jumps = cut(nexts.select("from_id", "to_id", F.lit(1).alias("steps"))), 1, -1, []
+    while True:
+        on = far.where(F.col("steps") == step)
+        jumps.append(on.select("from_id", "to_id"))
+        if (n := on.count()) in (0, endless) or (most and step >= most):
+            break
+        endless = n
+        further = far.select(F.col("from_id").alias("_at"), F.col("to_id").alias("_to"), F.col("steps").alias("_steps"))
+        grown = on.join(further, F.col("to_id") == F.col("_at"), "left")
+        grown = grown.select("from_id", F.coalesce("_to", "to_id").alias("to_id"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+        far = cut(grown.unionByName(far.where(F.col("steps") < step)))
         step *= 2
+    last = F.when(F.col("steps").isNull(), 0).when(F.col("steps") < step, F.col("steps"))
+    begun = heads.select("node").distinct().join(far, F.col("node") == F.col("from_id"), "left")
+    begun = cut(begun.select(F.col("node").alias("chain_id"), "node", F.lit(0).alias("pos"), last.alias("last")))
+    reach = begun.where("last IS NOT NULL")
+    for k, jump in enumerate(jumps[:-1]):
+        more = reach.where(F.col("pos") + 2**k <= F.col("last")).join(jump, F.col("node") == F.col("from_id"))
+        reach = reach.unionByName(cut(more.select("chain_id", F.col("to_id").alias("node"), (F.col("pos") + 2**k).alias("pos"), "last")))
+    rest = begun.where("last IS NULL").select("chain_id", "node", "pos")
+    reach = reach.select("chain_id", "node", "pos")
+    reach = reach.unionByName(circling(jumps, rest, most)) if n and not rest.isEmpty() else reach
+    return reach.where(F.col("pos") < most) if most else reach
+
+
+def circling(jumps: list[DataFrame], reach: DataFrame, most: int | None) -> DataFrame:
+    """Chains that may lead to cycles, from their first rows; ``jumps`` hold the first rounds' edges over 1, 2, 4 ... steps."""
+    k, known = 0, -1
+    while (n := reach.count()) > known and not (most and 2**k >= most):
+        known = n
+        if k == len(jumps):
+            a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
+            jumps.append(cut(a.join(b, F.col("a.to_id") == F.col("b.from_id")).select(F.col("a.from_id").alias("from_id"), F.col("b.to_id").alias("to_id"))))
+        more = reach.join(jumps[k], F.col("node") == F.col("from_id")).select("chain_id", F.col("to_id").alias("node"), (F.col("pos") + 2**k).alias("pos"))
+        reach = cut(reach.unionByName(more).groupBy("chain_id", "node").agg(F.min("pos").alias("pos")))
+        k += 1
     return reach
 
 

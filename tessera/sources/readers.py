@@ -71,19 +71,18 @@ def page_walk(pages: DataFrame, starts: DataFrame, most_pages: int = 200) -> Dat
     """list_id, url, place: the staged pages of each list in the order in which they lead to one another.
 
     A walk ends where a page names no next one, names one of another origin or one that isn't staged, comes back to a page it has read, or
-    has read ``most_pages``. Walks double with every round, so that their length costs only its logarithm. pages: list_id, url, next; starts:
+    has read ``most_pages``. Walks double with every round, and only until they hold that many. pages: list_id, url, next; starts:
     list_id, url."""
-    from tessera.operators.discovery import walk
+    from tessera.operators.discovery import cut, walk
 
-    node = lambda url: F.concat_ws(" ", F.col("list_id").cast("string"), url)
     origin = lambda url: F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
-    begun = starts.distinct().select("list_id", "url", origin("url").alias("origin"))
-    staged = pages.groupBy("list_id", "url").agg(F.min("next").alias("next")).join(begun.select("list_id", "origin"), "list_id")
-    led = staged.where((origin("next") == F.col("origin")) & (F.col("origin") != "")).select(node("url").alias("from_id"), node("next").alias("to_id"), "list_id", F.col("next").alias("url"))
-    nexts = led.join(pages.select("list_id", "url").distinct(), ["list_id", "url"], "left_semi").select("from_id", "to_id")
-    heads = begun.join(pages.select("list_id", "url").distinct(), ["list_id", "url"], "left_semi")
-    walked = walk(nexts, heads.select(node("url").alias("node"))).where(F.col("pos") < most_pages)
-    named = pages.select(node("url").alias("node"), "list_id", "url").distinct()
+    begun = starts.select("list_id", "url").distinct()
+    # pages are known by numbers, so that no round moves their addresses
+    named = cut(pages.groupBy("list_id", "url").agg(F.min("next").alias("next")).withColumn("node", F.monotonically_increasing_id()))
+    led = named.join(begun.select("list_id", origin("url").alias("origin")).distinct(), "list_id").where((origin("next") == F.col("origin")) & (F.col("origin") != ""))
+    led = led.select("list_id", F.col("next").alias("url"), F.col("node").alias("from_id"))
+    nexts = led.join(named.select("list_id", "url", F.col("node").alias("to_id")), ["list_id", "url"]).select("from_id", "to_id")
+    walked = walk(nexts, begun.join(named, ["list_id", "url"]).select("node"), most_pages)
     return walked.join(named, "node").select("list_id", "url", F.col("pos").alias("place"))
 
 
