@@ -11,6 +11,8 @@ from tessera.functions.scores import source_rank
 
 #: The anime catalogues.
 ANIME = ["anidb", "anilist", "kitsu", "mal"]
+#: The two titles of a route.
+PAIR = ["a_title_id", "a_service", "b_title_id", "b_service"]
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str = "_rank") -> DataFrame:
@@ -22,42 +24,47 @@ def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return ranked(df, keys, order).where("_rank = 1").drop("_rank")
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    """All routes between titles of different services that share a unit.
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df dealt by its keys to so many tasks, or to as many as Spark finds fit."""
+    return df.repartition(*([tasks] if tasks else []), *keys)
 
-    edges: title_id, service, unit_id, confidence (0 low, 1 high), provenance, edge_id. A path is as good as its weakest
-    edge, and as curated as its most curated one."""
+
+def shared_units(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """All routes between titles of different services that share a unit, each once: a is the title whose service comes first by name.
+
+    edges: title_id, service (one a title), unit_id, confidence (0 low, 1 high), provenance, edge_id. A path is as good as its weakest
+    edge, and as curated as its most curated one, so both ways. Edges are moved by their unit once, for both sides. Routes are
+    dealt by the two titles: hardly any two share several units, so combining before the shuffle would sort all routes to drop a few."""
+    edges = dealt(edges, tasks, "unit_id")
     side = lambda p: edges.select("unit_id", *[F.col(c).alias(f"{p}_{c}") for c in ("title_id", "service", "confidence", "provenance", "edge_id")])
-    both = side("source").join(side("target"), "unit_id").where("source_service <> target_service")
-    return both.select(
-        F.col("source_title_id").alias("title_id"),
-        F.col("target_title_id").alias("target_id"),
-        "target_service",
-        "unit_id",
-        F.least("source_confidence", "target_confidence").alias("confidence"),
-        F.greatest("source_provenance", "target_provenance").alias("provenance"),
-        F.col("target_edge_id").alias("edge_id"),
-    )
+    both = side("a").join(side("b"), "unit_id").where("a_service < b_service")
+    routes = both.select(*PAIR, "unit_id", F.least("a_confidence", "b_confidence").alias("confidence"), F.greatest("a_provenance", "b_provenance").alias("provenance"), "a_edge_id", "b_edge_id")
+    return dealt(routes, tasks, "a_title_id", "b_title_id")
+
 
+def both_ways(pairs: DataFrame, to_b: list, to_a: list) -> DataFrame:
+    """Each pair as a row from a to b with the columns to_b, and one from b to a with to_a."""
+    way = lambda p, q, columns: F.struct(F.col(f"{p}_title_id").alias("title_id"), F.col(f"{q}_title_id").alias("target_id"), F.col(f"{q}_service").alias("target_service"), *columns)
+    return pairs.select(F.inline(F.array(way("a", "b", to_b), way("b", "a", to_a))))
 
-def strongest_paths(edges: DataFrame) -> DataFrame:
-    """Per source and target the best path: confidence, then provenance, then the smallest unit.
 
-    The three are packed in one struct and reduced by max, which combines before the shuffle; a window would sort it all."""
+def strongest_paths(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Per source and target the best path: confidence, then provenance, then the smallest unit; the same both ways."""
     best = F.max(F.struct("confidence", "provenance", (-F.col("unit_id")).alias("unit"))).alias("p")
-    grouped = paths(edges).groupBy("title_id", "target_id", "target_service").agg(best)
-    return grouped.select("title_id", "target_id", "target_service", "p.confidence", "p.provenance", (-F.col("p.unit")).alias("unit_id"))
+    columns = [F.col("p.confidence"), F.col("p.provenance"), (-F.col("p.unit")).alias("unit_id")]
+    return both_ways(shared_units(edges, tasks).groupBy(*PAIR).agg(best), columns, columns)
 
 
-def first_paths(edges: DataFrame) -> DataFrame:
+def first_paths(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per source and target the path of the smallest edge id, as a read in storage order keeps it."""
-    first = F.min(F.struct("edge_id", "unit_id", "confidence", "provenance")).alias("p")
-    return paths(edges).groupBy("title_id", "target_id", "target_service").agg(first).select("title_id", "target_id", "target_service", "p.edge_id", "p.unit_id", "p.confidence", "p.provenance")
+    first = lambda q: F.min(F.struct(F.col(f"{q}_edge_id").alias("edge_id"), "unit_id", "confidence", "provenance")).alias(f"to_{q}")
+    columns = lambda q: [F.col(f"to_{q}.{c}") for c in ("edge_id", "unit_id", "confidence", "provenance")]
+    return both_ways(shared_units(edges, tasks).groupBy(*PAIR).agg(first("a"), first("b")), columns("b"), columns("a"))
 
 
-def links(edges: DataFrame) -> DataFrame:
+def links(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per source and target service: counterparts, best confidence, most curated provenance."""
-    return strongest_paths(edges).groupBy("title_id", "target_service").agg(
+    return strongest_paths(edges, tasks).groupBy("title_id", "target_service").agg(
         F.count("*").alias("n_counterparts"), F.max("confidence").alias("confidence"), F.max("provenance").alias("provenance")
     )
 

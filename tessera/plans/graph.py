@@ -23,12 +23,12 @@ best AS (
 
 @query(FLAGSHIP, "titles edges", PATHS + "SELECT title_id, target_service, count(*) AS n_counterparts, max(confidence) AS confidence, max(provenance) AS provenance FROM best GROUP BY 1, 2")
 def hub(t: Tables) -> DataFrame:
-    return g.links(t.edges())
+    return g.links(t.edges(), t.tasks)
 
 
 @query("J2_derive_all_W9_strongest_path", "titles edges", PATHS + "SELECT title_id, target_id, target_service, confidence, provenance, unit_id FROM best")
 def strongest(t: Tables) -> DataFrame:
-    return g.strongest_paths(t.edges())
+    return g.strongest_paths(t.edges(), t.tasks)
 
 
 @query(
@@ -37,7 +37,7 @@ def strongest(t: Tables) -> DataFrame:
     PATHS + "SELECT title_id, target_id, target_service, edge_id, unit_id, confidence, provenance FROM paths QUALIFY row_number() OVER (PARTITION BY title_id, target_id, target_service ORDER BY edge_id, unit_id) = 1",
 )
 def first_edge(t: Tables) -> DataFrame:
-    return g.first_paths(t.edges())
+    return g.first_paths(t.edges(), t.tasks)
 
 
 ALIASES = "+aliases AS (SELECT DISTINCT group_id AS retired, group_id - 1 AS survivor FROM titles WHERE group_id % 3 = 2)"

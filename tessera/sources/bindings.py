@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import STATUSES
+from tessera.operators.graph import dealt
 
 #: The catalogues.
 SERVICES = ["anilist", "imdb", "kitsu", "mal", "tmdb", "tvdb"]
+#: Lines that a task takes at most on average, so that its memory doesn't grow with the table.
+LINES = 250_000
 
 
 class Tables:
@@ -24,6 +29,12 @@ class Tables:
         """df dealt by a key to all tasks of a shuffle, however few its file is read by or its bytes would fill: before costly expressions."""
         return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
 
+    @cached_property
+    def tasks(self) -> int | None:
+        """How many tasks lines are dealt to; none where they are few, which Spark may put together as it likes. Parquet's footers give the count."""
+        wanted = -(-self.table("lineitem").count() // LINES)
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), wanted) if wanted > self.spark.sparkContext.defaultParallelism else None
+
     def titles(self) -> DataFrame:
         """title_id, group_id, service, ordinal, title, native: a part is a title; eight neighbours are a group."""
         service = F.element_at(F.array(*map(F.lit, SERVICES)), (F.col("p_partkey") % 6 + 1).cast("int"))
@@ -41,15 +52,15 @@ class Tables:
         """The titles with AniDB in TVDB's place."""
         return self.titles().withColumn("service", F.when(F.col("service") == "tvdb", "anidb").otherwise(F.col("service")))
 
-    def edges(self) -> DataFrame:
-        """title_id, service, unit_id, confidence, provenance, edge_id: an order is a unit that its parts cover."""
+    def edges(self, *of_titles: str) -> DataFrame:
+        """title_id, service, unit_id, confidence, provenance, edge_id: an order is a unit that its parts cover. of_titles: further columns of titles."""
         lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_returnflag", "l_linenumber")
-        # dealt by the order alone, by which units meet: so they are not moved again where the titles are broadcast
-        edges = lines.repartition("l_orderkey").groupBy("l_partkey", "l_orderkey").agg(
+        # dealt by the part alone, by which the titles join: so they are not moved again where the titles are too many for a broadcast
+        edges = dealt(lines, self.tasks, "l_partkey").groupBy("l_partkey", "l_orderkey").agg(
             F.min(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).alias("confidence"), F.min("l_linenumber").alias("provenance")
         )
-        return edges.join(self.titles().select("title_id", "service"), F.col("l_partkey") == F.col("title_id")).select(
-            "title_id", "service", F.col("l_orderkey").alias("unit_id"), "confidence", "provenance", (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("edge_id")
+        return edges.join(self.titles().select("title_id", "service", *of_titles), F.col("l_partkey") == F.col("title_id")).select(
+            "title_id", "service", F.col("l_orderkey").alias("unit_id"), "confidence", "provenance", (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("edge_id"), *of_titles
         )
 
     def events(self) -> DataFrame:
