@@ -128,11 +128,13 @@ def reconcile(requested: DataFrame, members: DataFrame, pairs: DataFrame) -> Dat
     return all_.select("title_id", "member_id", "n_requested", "n_member", "n_shared", shape.alias("shape"), F.when(shape != "bare", F.col("shared_unit")).alias("shown_unit"))
 
 
-def best_aligned(segments: DataFrame, members: DataFrame) -> DataFrame:
+def best_aligned(segments: DataFrame, members: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per segment and service the member that shares most units; ties to the smaller ordinal and id; none without any.
 
-    segments: segment_id, unit_id; members: title_id, service, ordinal, unit_id."""
-    counts = segments.join(members, "unit_id").groupBy("segment_id", "service", "ordinal", "title_id").agg(F.count("*").alias("n_shared"))
+    segments: segment_id, unit_id; members: title_id, service, ordinal, unit_id. Shared units are dealt by the title and counted there:
+    a title's units lie far apart, so counts before the shuffle would fill memory to drop a few rows."""
+    shared = segments.join(members, "unit_id").select("segment_id", "service", "ordinal", "title_id")
+    counts = dealt(shared, tasks, "title_id").groupBy("segment_id", "service", "ordinal", "title_id").agg(F.count("*").alias("n_shared"))
     return first_of(counts, ["segment_id", "service"], [F.desc("n_shared"), "ordinal", "title_id"])
 
 

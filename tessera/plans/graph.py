@@ -144,9 +144,9 @@ n AS (SELECT segment_id, service, ordinal, title_id, count(*) AS n_shared FROM s
 SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY segment_id, service ORDER BY n_shared DESC, ordinal, title_id) = 1""",
 )
 def aligned(t: Tables) -> DataFrame:
-    e = t.edges()
-    seg = e.select((F.col("title_id") % 97).alias("segment_id"), "unit_id").distinct()
-    return g.best_aligned(seg, e.select("title_id", "service", "unit_id").join(t.titles().select("title_id", "ordinal"), "title_id"))
+    e = t.edges("ordinal")
+    seg = g.dealt(e.select((F.col("title_id") % 97).alias("segment_id"), "unit_id"), t.tasks, "unit_id").distinct()
+    return g.best_aligned(seg, g.dealt(e.select("title_id", "service", "ordinal", "unit_id"), t.tasks, "unit_id"), t.tasks)
 
 
 STATES = """coverage AS (
