@@ -29,17 +29,22 @@ def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
     return df.repartition(*([tasks] if tasks else []), *keys)
 
 
-def shared_units(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+def routes(edges: DataFrame, *carried: str) -> DataFrame:
     """All routes between titles of different services that share a unit, each once: a is the title whose service comes first by name.
 
-    edges: title_id, service (one a title), unit_id, confidence (0 low, 1 high), provenance, edge_id. A path is as good as its weakest
-    edge, and as curated as its most curated one, so both ways. Both sides select the same, so that edges are moved by their unit
-    once, by the join itself, which may split units of very many titles. Routes are dealt by the two titles: hardly any two share
-    several units, so combining before the shuffle would sort all routes to drop a few."""
-    side = lambda p: edges.select("unit_id", *[F.col(c).alias(f"{p}_{c}") for c in ("title_id", "service", "confidence", "provenance", "edge_id")])
+    edges: title_id, service (one a title), unit_id, confidence (0 low, 1 high), provenance, and carried: what both ends of a route keep. A path is as
+    good as its weakest edge, and as curated as its most curated one, so both ways. Both sides select the same, so that edges are moved by
+    their unit once, by the join itself, which may split units of very many titles."""
+    side = lambda p: edges.select("unit_id", *[F.col(c).alias(f"{p}_{c}") for c in ("title_id", "service", "confidence", "provenance", *carried)])
     both = side("a").join(side("b"), "unit_id").where("a_service < b_service")
-    routes = both.select(*PAIR, "unit_id", F.least("a_confidence", "b_confidence").alias("confidence"), F.greatest("a_provenance", "b_provenance").alias("provenance"), "a_edge_id", "b_edge_id")
-    return dealt(routes, tasks, "a_title_id", "b_title_id")
+    ends = [f"{p}_{c}" for c in carried for p in "ab"]
+    return both.select(*PAIR, "unit_id", F.least("a_confidence", "b_confidence").alias("confidence"), F.greatest("a_provenance", "b_provenance").alias("provenance"), *ends)
+
+
+def shared_units(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The routes of edges with their edge_id at both ends, dealt by the two titles: hardly any two share several units, so combining before the
+    shuffle would sort all routes to drop a few."""
+    return dealt(routes(edges, "edge_id"), tasks, "a_title_id", "b_title_id")
 
 
 def both_ways(pairs: DataFrame, to_b: list, to_a: list) -> DataFrame:

@@ -59,7 +59,10 @@ class Tables:
         edges = dealt(lines, self.tasks, "l_partkey").groupBy("l_partkey", "l_orderkey").agg(
             F.min(F.when(F.col("l_returnflag") == "R", 0).otherwise(1)).alias("confidence"), F.min("l_linenumber").alias("provenance")
         )
-        return edges.join(self.titles().select("title_id", "service", *of_titles), F.col("l_partkey") == F.col("title_id")).select(
+        titles = self.titles().select("title_id", "service", *of_titles)
+        # a broadcast is built on the driver, and a table of titles is much larger there than its file tells
+        titles = titles.hint("shuffle_hash") if self.tasks else titles
+        return edges.join(titles, F.col("l_partkey") == F.col("title_id")).select(
             "title_id", "service", F.col("l_orderkey").alias("unit_id"), "confidence", "provenance", (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("edge_id"), *of_titles
         )
 
